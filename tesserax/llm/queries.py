@@ -32,12 +32,43 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserax.llm.toxicity import toxicity_held_out
+
+    return toxicity_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserax.llm.sharding import shard_by_bytes
 
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserax.llm.language_id import identify_held_out
+
+    return identify_held_out(table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserax.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def byte_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserax.llm.tokens import tokenize
+
+    found = tokenize(table(spark, sf_dir, "documents"), byte_bpe())
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserax.llm.mixing import mix
 
