@@ -13,19 +13,23 @@ import numpy as np
 
 #: One random odd word for each letter and power base of the substring hashes.
 _RANDOM = np.random.default_rng(20240607).integers(0, 2**63, 65_536, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 2**64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    power = np.full(n, base, dtype=np.uint64)
+    power[0] = 1
+    return np.multiply.accumulate(power)
 
 
 class Substrings:
-    """64-bit hashes of any substrings of one array of letters."""
+    """64-bit hashes of any substrings of an array of letters, the same for equal substrings of other arrays."""
 
     def __init__(self, text: np.ndarray):
-        power = np.full(len(text) + 1, _BASE, dtype=np.uint64)
-        power[0] = 1
-        power = np.multiply.accumulate(power)
         self.total = np.zeros(len(text) + 1, dtype=np.uint64)
-        np.cumsum(_RANDOM[text] * power[:-1], out=self.total[1:])
-        self.back = power[::-1]
+        np.cumsum(_RANDOM[text] * _powers(_BASE, len(text) + 1)[:-1], out=self.total[1:])
+        self.back = _powers(_INVERSE, len(text) + 1)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Equal for equal text[start:end]; mixed with the length."""
@@ -38,9 +42,9 @@ def is_s_type(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next; the last, the end mark, is."""
     s = np.ones(len(text), dtype=bool)
     step = np.sign(text[1:].astype(np.int32) - text[:-1])
-    known = np.flatnonzero(np.r_[step != 0, True])
-    at = known[np.searchsorted(known, np.arange(len(text)))]
-    s[:-1] = np.r_[step > 0, True][at[:-1]]
+    at = np.where(step != 0, np.arange(len(step)), len(step))
+    at = np.minimum.accumulate(at[::-1])[::-1]
+    s[:-1] = np.r_[step > 0, True][at]
     return s
 
 
@@ -138,24 +142,14 @@ def _order_of_names(name: np.ndarray, depth: int) -> np.ndarray:
     return np.argsort(name, kind="stable")
 
 
-def permuted_common_prefixes(text: np.ndarray, starts_in_order: np.ndarray, length: int) -> np.ndarray:
-    """For suffixes in order, in that order, whether each shares its first `length` letters with the one before it.
+def permuted_common_prefixes(hashes: np.ndarray, in_order: np.ndarray) -> np.ndarray:
+    """Whether each of some places shares its fixed-length prefix with the one before it in suffix order.
 
-    Computed at the suffixes' places in the text, one after the other, against the suffix before them in order.
+    hashes: of the prefixes, by place; in_order: the places in suffix order. Computed by place, not by order: each place
+    has one before it, and prefixes are equal where their hashes are.
     """
-    phi = np.empty(len(starts_in_order), dtype=np.int64)
-    place = np.argsort(starts_in_order, kind="stable")
-    before = np.r_[starts_in_order[:1], starts_in_order[:-1]]
-    here, other = starts_in_order[place], before[place]
-    same = np.ones(len(here), dtype=bool)
-    alive = np.arange(len(here))
-    padded = np.r_[text, np.zeros(8, dtype=np.uint16)]
-    words = np.lib.stride_tricks.as_strided(padded, (len(text) + 4, 4), (2, 2))
-    for k in range(0, length, 4):
-        width = min(4, length - k)
-        equal = (words[here[alive] + k, :width] == words[other[alive] + k, :width]).all(axis=1)
-        same[alive[~equal]] = False
-        alive = alive[equal]
-    phi[place] = same
-    phi[:1] = 0
-    return phi.astype(bool)
+    before = np.empty(len(in_order), dtype=np.int64)
+    before[in_order] = np.r_[in_order[:1], in_order[:-1]]
+    shared = hashes == hashes[before]
+    shared[in_order[:1]] = False
+    return shared
