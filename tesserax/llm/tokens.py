@@ -9,8 +9,9 @@ an id before a position and its k-th occurrence come from the planes without unp
 from __future__ import annotations
 
 import json
-import re
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ SHARD_TOKENS = 1_000_000
 RANGE_BYTES = 24_000_000
 WORD_BITS = 512
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 class WaveletMatrix:
@@ -141,43 +142,72 @@ def read_image(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     return parts[0].view("<i8"), parts[1].view("<i8"), WaveletMatrix(header["tokens"], parts[2:])
 
 
+class Pieces(dict):
+    """What the library says of pieces after a lead, as bytes; None for pieces that can't be cut off the text around them.
+
+    At REMEMBERED pieces these become the older generation, from which those that are met again return.
+    """
+
+    def __init__(self, lead: str, library, marks: dict[str, bytes]):
+        super().__init__()
+        self.lead, self.library, self.marks, self.older = lead, library, marks, {}
+
+    def learn(self, pieces: set[str]) -> None:
+        new = pieces.difference(self)
+        if len(self) + len(new) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+            new = pieces
+        back = new.intersection(self.older)
+        self.update((p, self.older[p]) for p in back)
+        new = new - back
+        alone = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
+        self.update(dict.fromkeys(alone))
+        new = new - alone
+        marked = {p for p in new if p[-1] in self.marks and p[-2:-1].isalnum()}
+        whole = list(({p[:-1] for p in marked} | (new - marked)).difference(self))
+        self.update(zip(whole, self.library([self.lead + p for p in whole]), strict=True))
+        self.update((p, self[p[:-1]] + self.marks[p[-1]]) for p in marked if self[p[:-1]] is not None)
+        self.update((p, None) for p in marked if self[p[:-1]] is None)
+
+
 class Encoder:
     """The library's ids of whole texts, with its answers for pieces remembered.
 
-    A byte-level pre-tokenizer never joins a non-space with a space after it, so a text in which every space has such a
-    character before it can be cut before each space. Other texts go to the library whole.
+    A byte-level pre-tokenizer never joins a non-space with a space after it, nor a line's end with the word after it, nor a
+    word with a mark that ends the piece. So where no two white-space characters meet, a text is cut into lines, a line
+    before each space, and a last mark off its word. Other texts go to the library whole.
     """
 
-    BLANKS = re.compile(r"\s ")
+    MARKS = ".,;:!?"
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given this worker one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.bits = max(1, max(self.tokenizer.get_vocab_size() - 1, END_ID).bit_length())
         self.dtype = np.dtype("<u4" if self.bits > 16 else "<u2")
         self.end = np.array([END_ID], self.dtype).tobytes()
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        marks = {m: self._library([m])[0] for m in self.MARKS}
+        self.line_end = self._library(["\n"])[0]
+        self.first, self.later = Pieces("", self._library, marks), Pieces(" ", self._library, marks)
 
-    def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        new = [p for p in pieces if p not in known]
-        for p, e in zip(new, self.tokenizer.encode_batch([lead + p for p in new], add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, self.dtype).tobytes()
+    def _library(self, texts: list[str]) -> list[bytes]:
+        code = "I" if self.bits > 16 else "H"
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids and the end id, as little-endian bytes of self.dtype; null is the empty text."""
-        if len(self.first) + len(self.later) > REMEMBERED:
-            self.first, self.later = {}, {}
-        cut = [None if t and self.BLANKS.search(t) else (t or "").split(" ") for t in texts]
-        self._learn(self.first, {c[0] for c in cut if c}, "")
-        self._learn(self.later, {p for c in cut if c for p in c[1:]}, " ")
-        out = []
+        cut = [[x.split(" ") for x in t.split("\n")] if t else [] for t in texts]
+        self.first.learn({x[0] for c in cut for x in c})
+        self.later.learn(set().union(*(x[1:] for c in cut for x in c)))
+        first, later, out = self.first, self.later.__getitem__, []
         for t, c in zip(texts, cut, strict=True):
-            if c is None:
-                body = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype).tobytes()
-            else:
-                body = self.first[c[0]] + b"".join(map(self.later.__getitem__, c[1:]))
+            try:
+                body = self.line_end.join([first[x[0]] + b"".join(map(later, x[1:])) for x in c])
+            except TypeError:  # a piece that can't be cut off
+                body = self._library([t])[0]
             out.append(body + self.end)
         return out
 
