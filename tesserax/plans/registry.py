@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ["q_spatial"]
+
+
+def _all(what: str) -> dict:
+    out: dict = {}
+    for name in MODULES:
+        out |= getattr(importlib.import_module(f"tesserax.plans.{name}").query, what)
+    return out
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return _all("queries")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _all("sql")
