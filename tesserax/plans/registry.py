@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["q_spatial"]
+MODULES = ["q_spatial", "q_aggregates"]
 
 
 def _all(what: str) -> dict:
