@@ -41,8 +41,10 @@ def term_counts(labelled: DataFrame) -> DataFrame:
     once a document, and of how many of 64 kinds the words before are in toxic ones."""
     docs = labelled.filter("text is not null").groupBy(F.sha2("text", 256).alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    docs = docs.select("toxic", words.alias("w")).select("toxic", F.array_distinct(F.arrays_zip(F.col("w").alias("term"), F.concat(F.array(F.lit("")), F.col("w")).alias("before"))).alias("p"))
-    pairs = docs.select("toxic", F.inline("p")).filter("term is not null")
+    # pairs as strings: arrays of those are made distinct by hashing
+    pair = F.array_distinct(F.zip_with(F.concat(F.array(F.lit("")), "w"), "w", lambda before, term: F.concat_ws(" ", before, term)))
+    docs = docs.select("toxic", words.alias("w")).filter(F.size("w") > 0).select("toxic", F.explode(pair).alias("p"))
+    pairs = docs.select("toxic", F.substring_index("p", " ", -1).alias("term"), F.substring_index("p", " ", 1).alias("before")).filter("term <> ''")
     kind = F.expr("shiftleft(1L, cast(pmod(xxhash64(before), 64) as int))")
     toxic = F.col("toxic") == 1
     return pairs.groupBy("term").agg(
