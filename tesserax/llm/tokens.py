@@ -13,6 +13,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ SHARD_TOKENS = 1_000_000
 RANGE_BYTES = 24_000_000
 WORD_BITS = 512
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 800_000
 
 
 class WaveletMatrix:
@@ -142,33 +143,34 @@ def read_image(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     return parts[0].view("<i8"), parts[1].view("<i8"), WaveletMatrix(header["tokens"], parts[2:])
 
 
-class Pieces(dict):
+class Pieces:
     """What the library says of pieces after a lead, as bytes; None for pieces that can't be cut off the text around them.
 
     At REMEMBERED pieces these become the older generation, from which those that are met again return.
     """
 
     def __init__(self, lead: str, library, marks: dict[str, bytes]):
-        super().__init__()
-        self.lead, self.library, self.marks, self.older = lead, library, marks, {}
-
-    def learn(self, pieces: set[str]) -> None:
-        new = pieces.difference(self)
-        if len(self) + len(new) > REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-            new = pieces
-        back = new.intersection(self.older)
-        self.update((p, self.older[p]) for p in back)
-        new = new - back
-        alone = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
-        self.update(dict.fromkeys(alone))
-        new = new - alone
-        marked = {p for p in new if p[-1] in self.marks and p[-2:-1].isalnum()}
-        whole = list(({p[:-1] for p in marked} | (new - marked)).difference(self))
-        self.update(zip(whole, self.library([self.lead + p for p in whole]), strict=True))
-        self.update((p, self[p[:-1]] + self.marks[p[-1]]) for p in marked if self[p[:-1]] is not None)
-        self.update((p, None) for p in marked if self[p[:-1]] is None)
+        self.lead, self.library, self.marks, self.known, self.older = lead, library, marks, {}, {}
+
+    def learn(self, pieces: set[str]) -> dict[str, bytes | None]:
+        """The answers for these pieces, in a dictionary small enough for the processor's cache."""
+        if len(self.known) + len(pieces) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older, marks = self.known, self.older, self.marks
+        new = pieces.difference(known)
+        back = new.intersection(older)
+        known.update([(p, older[p]) for p in back])
+        new -= back
+        alone = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
+        known.update(dict.fromkeys(alone))
+        new.difference_update(alone)
+        marked = {p for p in new if p[-1] in marks and p[-2:-1].isalnum()}
+        whole = list(({p[:-1] for p in marked} | (new - marked)).difference(known))
+        known.update(zip(whole, self.library([self.lead + p for p in whole]), strict=True))
+        for p in marked:
+            core = known[p[:-1]]
+            known[p] = core if core is None else core + marks[p[-1]]
+        return {p: known[p] for p in pieces}
 
 
 class Encoder:
@@ -200,9 +202,9 @@ class Encoder:
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids and the end id, as little-endian bytes of self.dtype; null is the empty text."""
         cut = [[x.split(" ") for x in t.split("\n")] if t else [] for t in texts]
-        self.first.learn({x[0] for c in cut for x in c})
-        self.later.learn(set().union(*(x[1:] for c in cut for x in c)))
-        first, later, out = self.first, self.later.__getitem__, []
+        first = self.first.learn({x[0] for c in cut for x in c})
+        later = self.later.learn(set().union(*(x[1:] for c in cut for x in c))).__getitem__
+        out = []
         for t, c in zip(texts, cut, strict=True):
             try:
                 body = self.line_end.join([first[x[0]] + b"".join(map(later, x[1:])) for x in c])
@@ -212,7 +214,10 @@ class Encoder:
         return out
 
 
-ENCODERS: dict[str, Encoder] = {}
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each worker process, kept from task to task."""
+    return Encoder(path)
 
 
 def write_shards(docs: DataFrame, tokenizer: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -228,7 +233,7 @@ def write_shards(docs: DataFrame, tokenizer: str, shard_tokens: int = SHARD_TOKE
     rows = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ENCODERS.get(tokenizer) or ENCODERS.setdefault(tokenizer, Encoder(tokenizer))
+        encode = encoder(tokenizer)
         part, seq, ids, parts, held = TaskContext.get().partitionId(), 0, [], [], 0
         width = encode.dtype.itemsize
 
