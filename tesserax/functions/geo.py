@@ -177,8 +177,8 @@ def circle_point(lon, lat, radius, degree) -> Column:
 def circle(lon, lat, radius) -> Column:
     """Closed array of 361 vertices (x, y); moved east by 360 if any is west of -180."""
     points = F.transform(F.sequence(F.lit(0), F.lit(360)), lambda k: circle_point(lon, lat, radius, k % 360))
-    west = F.exists(points, lambda p: p["x"] < -180)
-    return F.transform(points, lambda p: F.struct((p["x"] + F.when(west, 360.0).otherwise(0.0)).alias("x"), p["y"].alias("y")))
+    moved = F.transform(points, lambda p: F.struct((p["x"] + 360.0).alias("x"), p["y"].alias("y")))
+    return F.when(F.exists(points, lambda p: p["x"] < -180), moved).otherwise(points)
 
 
 def snap(x, res: float, mode: str = "truncate") -> Column:

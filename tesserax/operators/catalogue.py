@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,3 +20,203 @@ def facet_counts(df: DataFrame, column: str) -> DataFrame:
     every = Window.partitionBy()
     n = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
     return n.withColumns({"values_": F.count("*").over(every), "total": F.sum("n").over(every)})
+
+
+# -- predicates ---------------------------------------------------------------------------------------------------------
+
+
+def parse_envelope(text: str) -> dict[str, tuple[float, float] | list[int]]:
+    """`ENVELOPE(layer,min,max:layer,id,id...)`: el* layers have a range, others a list of object ids."""
+    out: dict = {}
+    for part in text.strip().removeprefix("ENVELOPE(").removesuffix(")").split(":"):
+        name, *values = (x.strip() for x in part.split(","))
+        out[name] = (float(values[0]), float(values[1])) if name.startswith("el") else [int(x) for x in values]
+    return out
+
+
+def environmental_range(column, low: float, high: float):
+    """low - 1e-7 <= value <= high + 1e-7; null and NaN are outside."""
+    c = F.col(column)
+    return F.coalesce(~F.isnan(c) & (c >= low - 1e-7) & (c <= high + 1e-7), F.lit(False))
+
+
+def envelope(text: str):
+    """Column: all parts of an envelope hold, for a table with a column for each layer."""
+    test = F.lit(True)
+    for name, want in parse_envelope(text).items():
+        test = test & (environmental_range(name, *want) if isinstance(want, tuple) else F.coalesce(F.col(name).isin(want), F.lit(False)))
+    return test
+
+
+def facet(text: str):
+    """Column of a facet filter: `field:value`, `field:"v"`, `field:*`, `field:[a TO b]`, a leading `-`, AND, OR, brackets."""
+    tokens = re.findall(r'\(|\)|AND\b|OR\b|-?\w+:(?:"[^"]*"|\[[^\]]*\]|[^\s()]+)', text)
+
+    def term(t: str):
+        name, value = t.lstrip("-").split(":", 1)
+        c = F.col(name)
+        if value == "*":
+            test = c.isNotNull()
+        elif value.startswith("["):
+            a, b = value[1:-1].split(" TO ")
+            test = (F.lit(True) if a == "*" else c >= F.lit(float(a))) & (F.lit(True) if b == "*" else c <= F.lit(float(b)))
+        else:
+            test = c.cast("string") == value.strip('"')
+        test = F.coalesce(test, F.lit(False))
+        return ~test if t.startswith("-") else test
+
+    def any_of():
+        out = all_of()
+        while tokens and tokens[0] == "OR":
+            tokens.pop(0)
+            out = out | all_of()
+        return out
+
+    def all_of():
+        out = one()
+        while tokens and tokens[0] not in ("OR", ")"):
+            if tokens[0] == "AND":
+                tokens.pop(0)
+            out = out & one()
+        return out
+
+    def one():
+        t = tokens.pop(0)
+        if t != "(":
+            return term(t)
+        out = any_of()
+        tokens.pop(0)
+        return out
+
+    return any_of()
+
+
+def year_facet(text: str, year: str = "year"):
+    """`[a TO b]`, `before` (to 1849) or a decade's first year followed by `s`, as a range of a year column."""
+    if text == "before":
+        return F.col(year) <= 1849
+    if text.endswith("s"):
+        return F.col(year).between(int(text[:-1]), int(text[:-1]) + 9)
+    a, b = text.strip("[]").split(" TO ")
+    return F.col(year).between(int(a), int(b))
+
+
+def without_sensitive(occ: DataFrame, flag: str = "sensitive") -> tuple[DataFrame, DataFrame]:
+    """Records without the flag, and the distinct species that have a record with it."""
+    return occ.filter(F.col(flag).isNull()), occ.filter(F.col(flag).isNotNull()).select("species").distinct()
+
+
+def matches(text: str, *columns: str):
+    """Any column holds the text, whatever its case; % and _ in it are plain."""
+    pattern = "%" + re.sub(r"([%_\\])", r"\\\1", text) + "%"
+    test = F.lit(False)
+    for c in columns:
+        test = test | F.coalesce(F.col(c).ilike(pattern), F.lit(False))
+    return test
+
+
+def domains_meet(a, b):
+    """True if either list of domains is null, or the comma lists share one, whatever the case."""
+    own = lambda c: F.transform(F.split(F.lower(c), ","), lambda x: F.trim(x))
+    return F.coalesce(F.arrays_overlap(own(a), own(b)), F.lit(True))
+
+
+def ring_valid(xs, ys):
+    """Closed, four vertices or more, not all on a line."""
+    n = F.size(xs)
+    closed = (F.get(xs, F.lit(0)) == F.get(xs, n - 1)) & (F.get(ys, F.lit(0)) == F.get(ys, n - 1))
+    turn = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.lit(0.0), lambda s, i: s + F.get(xs, i - 1) * F.get(ys, i) - F.get(xs, i) * F.get(ys, i - 1))
+    return F.coalesce((n >= 4) & closed & (turn != 0), F.lit(False))
+
+
+# -- look-ups and joins -------------------------------------------------------------------------------------------------
+
+
+def search_ranked(df: DataFrame, text: str, limit: int, offset: int = 0, fields: list[str] | None = None) -> DataFrame:
+    """Objects with the text in their name: by its place in the name, then name, then pid."""
+    own = df.filter(matches(text, "name"))
+    own = own if fields is None else own.filter(F.col("fid").isin(fields))
+    return own.withColumn("at", F.locate(text.lower(), F.lower("name"))).orderBy("at", "name", "pid").offset(offset).limit(limit)
+
+
+def catalogue_diff(local: DataFrame, remote: DataFrame, key: str) -> DataFrame:
+    """(key, status): only local, only remote, both."""
+    a, b = local.select(key).distinct().withColumn("a", F.lit(1)), remote.select(key).distinct().withColumn("b", F.lit(1))
+    status = F.when(F.col("b").isNull(), "local").when(F.col("a").isNull(), "remote").otherwise("both")
+    return a.join(b, key, "full").select(key, status.alias("status"))
+
+
+def missing_pairs(fields: DataFrame, done: DataFrame) -> DataFrame:
+    """(id1, id2), id1 < id2, of intersecting fields with compatible domains of one group that are not done either way.
+
+    fields(id, grp, domain, intersects): pairs are sought within groups, which bounds them.
+    """
+    own = fields.filter("intersects")
+    a, b = (own.select(F.col("id").alias(f"id{k}"), "grp", F.col("domain").alias(f"d{k}")) for k in (1, 2))
+    pairs = a.join(b, "grp").filter(F.col("id1") < F.col("id2")).filter(domains_meet(F.col("d1"), F.col("d2"))).select("id1", "id2")
+    both = done.select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")).distinct()
+    return pairs.join(both, ["id1", "id2"], "left_anti")
+
+
+def plain(name):
+    """Lower case letters and digits only."""
+    return F.regexp_replace(F.lower(name), r"[^a-z0-9]", "")
+
+
+def match_names(names: DataFrame, objects: DataFrame) -> DataFrame:
+    """(name, pid, how): exact name first, then the remainder by letters and digits alone; the lowest pid of each."""
+    exact = names.join(objects.groupBy("name").agg(F.min("pid").alias("pid")), "name").withColumn("how", F.lit("exact"))
+    rest = names.join(exact.select("name"), "name", "left_anti")
+    loose = objects.groupBy(plain("name").alias("key")).agg(F.min("pid").alias("pid"))
+    return exact.unionByName(rest.withColumn("key", plain("name")).join(loose, "key").drop("key").withColumn("how", F.lit("plain")))
+
+
+def backfill_pid(rows: DataFrame, objects: DataFrame, geometry: str = "geom") -> DataFrame:
+    """rows with pid: their own, or that of an object with equal geometry text, or a new one shared by equal geometries."""
+    known = objects.groupBy(geometry).agg(F.min("pid").alias("known"))
+    own = rows.join(known, geometry, "left").withColumn("pid", F.coalesce("pid", "known")).drop("known")
+    new = own.filter("pid is null").select(geometry).distinct().withColumn("new", F.concat(F.lit("g"), F.md5(geometry)))
+    return own.join(new, geometry, "left").withColumn("pid", F.coalesce(F.col("pid").cast("string"), "new")).drop("new")
+
+
+def rematch(taxa: DataFrame, names: DataFrame, force: bool = False) -> DataFrame:
+    """taxa with family and lsid from names(name, family, lsid, issue) where empty or forced; issue `excluded` blanks both."""
+    n = names.select("name", F.col("family").alias("f"), F.col("lsid").alias("l"), "issue")
+    out = taxa.join(n, "name", "left")
+    new = lambda c, x: F.when(F.col("issue") == "excluded", None).when(F.lit(force) | F.col(c).isNull(), F.coalesce(x, c)).otherwise(F.col(c))
+    return out.withColumns({"family": new("family", "f"), "lsid": new("lsid", "l")}).drop("f", "l", "issue")
+
+
+# -- reports ------------------------------------------------------------------------------------------------------------
+
+
+def log_counts(log: DataFrame, by: list[str], limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Per group and month: records, records of each first category, distinct sessions and users; most first."""
+    g = log.groupBy(*by, F.year("created").alias("year"), F.month("created").alias("month"))
+    tool, area = (F.count_if(F.col("category1") == c) for c in ("Tool", "Area"))
+    out = g.agg(F.count("*").alias("records"), tool.alias("tools"), area.alias("areas"), F.countDistinct("session_id").alias("sessions"), F.countDistinct("user_id").alias("users"))
+    out = out.orderBy(F.col("records").desc(), *by, "year", "month")
+    return out if limit is None else out.offset(offset).limit(limit)
+
+
+def user_activity(log: DataFrame, kinds: list[str]) -> DataFrame:
+    """A row a user, a column for each category pair named, zero filled, with the total."""
+    pair = F.concat_ws("_", "category1", "category2")
+    out = log.withColumn("pair", pair).groupBy("user_id").pivot("pair", kinds).count().na.fill(0)
+    return out.withColumn("total", sum((F.col(k) for k in kinds), F.lit(0)))
+
+
+def infer_type(df: DataFrame, column: str) -> DataFrame:
+    """One row (column, type): INT, LONG, DOUBLE or STRING, the narrowest that every non-blank value parses as."""
+    v = F.when(F.trim(column) != "", F.trim(column))
+    parsed = lambda t: F.count(F.expr(f"try_cast(trim({column}) as {t})"))
+    n = df.agg(F.count(v).alias("n"), parsed("int").alias("i"), parsed("bigint").alias("l"), parsed("double").alias("d"))
+    kind = F.when((F.col("n") == 0) | (F.col("d") < F.col("n")), "STRING").when(F.col("i") == F.col("n"), "INT").when(F.col("l") == F.col("n"), "LONG").otherwise("DOUBLE")
+    return n.select(F.lit(column).alias("column"), kind.alias("type"))
+
+
+def name_index(objects: DataFrame) -> DataFrame:
+    """(name_lower, name_id): the distinct lower-case names of searchable objects, numbered in order."""
+    from tesserax.sources.records import numbered
+
+    return numbered(objects.filter("namesearch").select(F.lower("name").alias("name_lower")).distinct(), "name_lower", "name_id")

@@ -7,7 +7,120 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserax.functions import geo
+from tesserax.operators.spatial import first_polygon
+from tesserax.sources.scratch import materialise
+
 
 def stack(layers: dict[str, DataFrame]) -> DataFrame:
     """(row, col, one column a layer): all layers' values of a cell in one row; null where a layer has none."""
     return reduce(lambda a, b: a.join(b, ["row", "col"], "full"), (c.select("row", "col", F.col("value").alias(n)) for n, c in layers.items()))
+
+
+def overlay_grids(a: DataFrame, b: DataFrame, res: float) -> DataFrame:
+    """(v1, v2, cells, km2): common cells of two aligned grids by their pair of values."""
+    both = a.select("row", "col", "lat", F.col("value").alias("v1")).join(b.select("row", "col", F.col("value").alias("v2")), ["row", "col"])
+    return both.groupBy("v1", "v2").agg(F.count("*").alias("cells"), F.sum(geo.cell_area(res, "lat")).alias("km2"))
+
+
+def standardise(cells: DataFrame, res: float, target: float, west: float, north: float) -> DataFrame:
+    """cells on a target lattice: the value of the nearest centre if the native cell is at most 1.2 targets wide, else unchanged rows
+    re-binned by mean where several native cells fall into one."""
+    own = cells.withColumns({"row": F.floor((F.lit(north) - F.col("lat")) / target).cast("int"), "col": F.floor((F.col("lon") - west) / target).cast("int")})
+    if res > 1.2 * target:
+        raise ValueError("the native cells are too coarse for the target")
+    return own.groupBy("row", "col").agg(F.avg("value").alias("value"))
+
+
+def cut(layers: dict[str, DataFrame], mask: DataFrame | None = None) -> DataFrame:
+    """(row, col, one column a layer) on the cells that all layers and the mask(row, col) have."""
+    wide = reduce(lambda a, b: a.join(b, ["row", "col"]), (c.filter("value is not null").select("row", "col", F.col("value").alias(n)) for n, c in layers.items()))
+    return wide if mask is None else wide.join(mask.select("row", "col").distinct(), ["row", "col"], "left_semi")
+
+
+def envelope_cells(layers: dict[str, DataFrame], ranges: dict[str, tuple[float, float]]) -> DataFrame:
+    """Cells where every layer is within its range, bounds widened by 1e-7."""
+    own = {n: c.filter(F.col("value").between(ranges[n][0] - 1e-7, ranges[n][1] + 1e-7)) for n, c in layers.items()}
+    return cut(own)
+
+
+def envelope_summary(cells: DataFrame, places: DataFrame, res: float, cap: int | None = None) -> DataFrame:
+    """One row: cells, km2, trimmed extent in cells, and the resolution, doubled until at most `cap` cells fill the extent."""
+    own = cells.join(places.select("row", "col", "lat"), ["row", "col"])
+    out = own.agg(F.count("*").alias("cells"), F.sum(geo.cell_area(res, "lat")).alias("km2"), F.min("row").alias("row0"), F.max("row").alias("row1"), F.min("col").alias("col0"), F.max("col").alias("col1"))
+    size = (F.col("row1") - F.col("row0") + 1) * (F.col("col1") - F.col("col0") + 1)
+    times = F.greatest(F.lit(0), F.ceil(F.log(2.0, size / float(cap)) / 2)) if cap else F.lit(0)
+    return out.withColumn("res", res * F.pow(F.lit(2.0), times))
+
+
+def region_mask(cells: DataFrame, minx: float, miny: float, maxx: float, maxy: float, res: float) -> DataFrame:
+    """(row, col, full): cells that a box meets, and whether it holds them wholly."""
+    h = res / 2
+    meets = (F.col("lon") + h > minx) & (F.col("lon") - h < maxx) & (F.col("lat") + h > miny) & (F.col("lat") - h < maxy)
+    full = (F.col("lon") - h >= minx) & (F.col("lon") + h <= maxx) & (F.col("lat") - h >= miny) & (F.col("lat") + h <= maxy)
+    return cells.filter(meets).select("row", "col", full.alias("full"))
+
+
+def reclassify(cells: DataFrame, classes: DataFrame) -> DataFrame:
+    """cells with each value replaced by the lowest value of its label in classes(value, name)."""
+    first = classes.groupBy("name").agg(F.min("value").alias("new"))
+    table = classes.join(first, "name").select("value", "new")
+    return cells.join(table, "value", "left").withColumn("value", F.coalesce("new", "value")).drop("new")
+
+
+def where_missing(cells: DataFrame, other: DataFrame, keep: bool) -> DataFrame:
+    """cells that the other grid has no value for, or (keep) those it has one for."""
+    return cells.join(other.filter("value is not null").select("row", "col"), ["row", "col"], "left_semi" if keep else "left_anti")
+
+
+def sub_grid(cells: DataFrame, minx: float, miny: float, maxx: float, maxy: float) -> DataFrame:
+    return cells.filter(geo.in_box("lon", "lat", *map(F.lit, (minx, miny, maxx, maxy))))
+
+
+def lattice(boxes: DataFrame, step: float) -> DataFrame:
+    """(pid, lon, lat): points from each box's south-west corner by `step`, inside it."""
+    at = lambda lo, hi: F.transform(F.sequence(F.lit(0), F.floor((F.col(hi) - F.col(lo)) / step).cast("int")), lambda k: F.col(lo) + k * step)
+    return boxes.select("pid", F.explode(at("minx", "maxx")).alias("lon"), "miny", "maxy").select("pid", "lon", F.explode(at("miny", "maxy")).alias("lat"))
+
+
+def rasterise(cells: DataFrame, rings: DataFrame) -> DataFrame:
+    """(row, col, pid): the lowest polygon at each cell's centre."""
+    own = cells.select("row", "col", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
+    return first_polygon(own, rings).filter("pid is not null").select("row", "col", "pid")
+
+
+def regions(cells: DataFrame, rounds: int = 60) -> DataFrame:
+    """(row, col, value, region): cells of equal value joined edge to edge share the least of their cells' numbers.
+
+    Labels spread to neighbours and then jump to their label's label, so a region of n cells across takes about log n rounds;
+    each round is written to the shared folder.
+    """
+    spark = cells.sparkSession
+    number = F.col("row").cast("long") * 1_000_000 + F.col("col")
+    own = materialise(cells.select("row", "col", "value", number.alias("id")))
+    beside = [own.alias("a").join(own.alias("b"), (F.col("b.row") == F.col("a.row") + dr) & (F.col("b.col") == F.col("a.col") + dc) & (F.col("a.value") == F.col("b.value"))).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")) for dr, dc in ((0, 1), (1, 0))]
+    edges = reduce(DataFrame.unionByName, beside)
+    edges = materialise(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))))
+    labels = own.select("id", F.col("id").alias("label"))
+    for _ in range(rounds):
+        near = edges.join(labels, edges.y == labels.id).groupBy("x").agg(F.min("label").alias("m"))
+        new = labels.join(near, labels.id == near.x, "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("old"))
+        jump = new.select(F.col("id").alias("j"), F.col("label").alias("to"))
+        new = materialise(new.join(jump, new.label == jump.j).select("id", F.least("label", "to").alias("label"), "old"))
+        changed = new.filter("label <> old").limit(1).count()
+        labels = new.select("id", "label")
+        if not changed:
+            break
+    return own.join(labels, "id").select("row", "col", "value", F.col("label").alias("region"))
+
+
+def region_edges(labelled: DataFrame) -> DataFrame:
+    """(region, x1, y1, x2, y2): sides of cells, in cell units from the north-west, that bound a region; interior on the right."""
+    c = labelled.select("row", "col", "region")
+    out = None
+    for dr, dc, (x1, y1, x2, y2) in ((-1, 0, (0, 0, 1, 0)), (0, 1, (1, 0, 1, 1)), (1, 0, (1, 1, 0, 1)), (0, -1, (0, 1, 0, 0))):
+        other = c.select((F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col"), "region")
+        side = c.join(other, ["row", "col", "region"], "left_anti")
+        side = side.select("region", (F.col("col") + x1).alias("x1"), (F.col("row") + y1).alias("y1"), (F.col("col") + x2).alias("x2"), (F.col("row") + y2).alias("y2"))
+        out = side if out is None else out.unionByName(side)
+    return out

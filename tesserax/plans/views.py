@@ -102,6 +102,8 @@ def oracle(sql: str) -> str:
     plain = lambda text: re.sub(r"\{(\w+)\}", r"\1", text)
     views = [f"{name} as ({plain(VIEWS[name])})" for name in order]
     body = plain(sql).strip()
+    if body.lower().startswith("with recursive "):
+        return "with recursive " + ",\n".join([*views, body[15:]])
     if body.lower().startswith("with "):
         views, body = [*views, body[5:]], ""
         return "with " + ",\n".join(views)
