@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["q_spatial", "q_aggregates", "q_catalogue", "q_rasters"]
+MODULES = ["q_spatial", "q_aggregates", "q_catalogue", "q_rasters", "q_sources"]
 
 
 def _all(what: str) -> dict:

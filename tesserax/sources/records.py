@@ -15,3 +15,67 @@ def numbered(df: DataFrame, order: str, name: str, start: int = 1, parts: int |
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return ranged.withColumn("_k", F.row_number().over(own)).join(sizes.select("_p", before.alias("_b")), "_p").withColumn(name, (F.col("_b") + F.col("_k") + (start - 1)).cast("long")).drop("_p", "_k", "_b")
+
+
+def read_occurrences(spark: SparkSession, path: str, facet_field: str = "names_and_lsid", bbox: tuple | None = None, keep: Column | None = None, include_year: bool = True) -> DataFrame:
+    """(lon, lat, species[, year]) of a delimited file with a header, columns found by name.
+
+    Rows whose coordinates do not parse are dropped; a year that does not parse is 0. bbox: minx, miny, maxx, maxy.
+    keep: a condition on lon and lat, such as a region test.
+    """
+    raw = spark.read.option("header", True).csv(path)
+    number = lambda c: F.expr(f"try_cast(`{c}` as double)")
+    out = raw.select(number("longitude").alias("lon"), number("latitude").alias("lat"), F.col(facet_field).alias("species"), *([F.coalesce(F.expr("try_cast(year as short)"), F.lit(0).cast("short")).alias("year")] if include_year else []))
+    out = out.filter("lon is not null and lat is not null")
+    if bbox:
+        out = out.filter(F.col("lon").between(bbox[0], bbox[2]) & F.col("lat").between(bbox[1], bbox[3]))
+    return out if keep is None else out.filter(keep)
+
+
+def by_longitude(occ: DataFrame, slices: int = 360) -> DataFrame:
+    """Records in longitude order over range partitions, one degree to a slice by default."""
+    return occ.repartitionByRange(slices, "lon").sortWithinPartitions("lon")
+
+
+def read_downloads(spark: SparkSession, path: str) -> DataFrame:
+    """(species, lat, lon) of tab separated, pipe quoted text (lsid, name, latitude, longitude): rows without a latitude go, the key is
+    name, pipe, lsid with commas as spaces."""
+    raw = spark.read.csv(path, sep="\t", quote="|", header=True)
+    own = raw.filter("latitude is not null and trim(latitude) <> ''")
+    key = F.translate(F.concat_ws("|", "name", "lsid"), ",", " ")
+    return own.select(key.alias("species"), F.expr("try_cast(latitude as double)").alias("lat"), F.expr("try_cast(longitude as double)").alias("lon"))
+
+
+def species_dictionary(occ: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(species, species_id) numbered in order, and (lon, lat) distinct."""
+    return numbered(occ.select("species").distinct(), "species", "species_id", 0), occ.select("lon", "lat").dropDuplicates()
+
+
+#: Header terms of occurrence uploads and the names they are known by.
+TERMS = {"scientific name": "scientificName", "species": "scientificName", "lat": "decimalLatitude", "latitude": "decimalLatitude", "lon": "decimalLongitude", "lng": "decimalLongitude", "longitude": "decimalLongitude", "date": "eventDate", "year": "year"}
+
+
+def ingest_upload(df: DataFrame, order: str, user_id: str, dataset: str) -> DataFrame:
+    """df with headers renamed by TERMS, occurrenceID numbered in the order of a column, userId and datasetName set."""
+    out = numbered(df, order, "occurrenceID")
+    out = out.withColumnsRenamed({c: TERMS[c.lower()] for c in df.columns if c.lower() in TERMS})
+    return out.withColumns({"userId": F.lit(user_id), "datasetName": F.lit(dataset)})
+
+
+def harvest_tracks(df: DataFrame, mapping: dict[str, str], order: str) -> DataFrame:
+    """Mapped columns (empty text as null), type `t`, spcode numbered from 5,000,000."""
+    own = df.select(order, *(F.when(F.trim(F.col(src).cast("string")) != "", F.col(src)).alias(to) for src, to in mapping.items()))
+    return numbered(own, order, "spcode", 5_000_000).withColumn("type", F.lit("t"))
+
+
+def replace_by_key(existing: DataFrame, loaded: DataFrame, key: str, order: str, geometry: str) -> DataFrame:
+    """existing without the loaded keys, and the last loaded row (by order) of each key that has a geometry."""
+    last = Window.partitionBy(key).orderBy(F.col(order).desc())
+    new = loaded.filter(F.col(geometry).isNotNull()).withColumn("_k", F.row_number().over(last)).filter("_k = 1").drop("_k")
+    return existing.join(new.select(key), key, "left_anti").unionByName(new.select(*existing.columns))
+
+
+def article_locations(articles: DataFrame) -> DataFrame:
+    """(id, lon, lat) of articles with locations, whose coordinates are coords.lon, coords.lat or longitude, latitude."""
+    own = articles.filter(F.col("locations").isNotNull()).select("id", F.explode("locations").alias("p"))
+    return own.select("id", F.coalesce("p.coords.lon", "p.longitude").alias("lon"), F.coalesce("p.coords.lat", "p.latitude").alias("lat"))
