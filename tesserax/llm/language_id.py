@@ -27,6 +27,9 @@ MAX_LANGS = 500
 BLOCK = 8192
 #: Greedy parsing, with matches from four bytes: words are short.
 LEVEL, MIN_MATCH = 5, 4
+#: Texts under SHORT bytes are packed after CARRIER bytes of the language and counted by what they add: alone they would
+#: be stored as they are.
+SHORT, CARRIER = 64, 2048
 #: Least relative margin of a row that isn't rejected.
 MIN_MARGIN = 0.002
 UNKNOWN = "und"
@@ -56,18 +59,26 @@ class Classifier:
     def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL):
         self.langs = list(dictionaries)
         self.packers = []
+        self.carriers, self.empty = [], []
         for lang in self.langs:
-            d = zstandard.ZstdCompressionDict(dictionaries[lang].ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            cut = CARRIER if len(dictionaries[lang]) > 8 * CARRIER else 0
+            self.carriers.append(dictionaries[lang][:cut])
+            d = zstandard.ZstdCompressionDict(dictionaries[lang][cut:].ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             how = zstandard.ZstdCompressionParameters.from_level(level, dict_size=len(d), min_match=MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
             self.packers.append(zstandard.ZstdCompressor(compression_params=how, dict_data=d))
+            self.empty.append(len(self.packers[-1].compress(self.carriers[-1])))
 
     def __call__(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, margin); `und` for null and texts without a letter, and where nothing was learned."""
         data = letters(text) if text and self.langs else b""
         if not data:
             return UNKNOWN, 0.0, 0.0
-        blocks = [data[k : k + BLOCK] for k in range(0, len(data), BLOCK)]
-        sizes = np.array([sum(len(p.compress(b)) for b in blocks) for p in self.packers], dtype=float)
+        if len(data) < SHORT:
+            sizes = [max(1, len(p.compress(c + data)) - n) for p, c, n in zip(self.packers, self.carriers, self.empty, strict=True)]
+        else:
+            blocks = [data[k : k + BLOCK] for k in range(0, len(data), BLOCK)]
+            sizes = [sum(len(p.compress(b)) for b in blocks) for p in self.packers]
+        sizes = np.array(sizes, dtype=float)
         best = int(sizes.argmin())
         if len(sizes) == 1:
             return self.langs[0], 1.0, 1.0
