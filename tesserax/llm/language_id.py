@@ -30,6 +30,8 @@ LEVEL, MIN_MATCH = 5, 4
 #: Texts under SHORT bytes are packed after CARRIER bytes of the language and counted by what they add: alone they would
 #: be stored as they are.
 SHORT, CARRIER = 64, 2048
+#: Bytes by which short texts' sizes may differ by chance: within them the more frequent language is taken.
+SLACK = 3
 #: Least relative margin of a row that isn't rejected.
 MIN_MARGIN = 0.002
 UNKNOWN = "und"
@@ -79,11 +81,11 @@ class Classifier:
             blocks = [data[k : k + BLOCK] for k in range(0, len(data), BLOCK)]
             sizes = [sum(len(p.compress(b)) for b in blocks) for p in self.packers]
         sizes = np.array(sizes, dtype=float)
-        best = int(sizes.argmin())
+        best = int((sizes <= sizes.min() + SLACK * (len(data) < SHORT)).argmax())
         if len(sizes) == 1:
             return self.langs[0], 1.0, 1.0
-        second = np.partition(sizes, 1)[1]
-        margin = (second - sizes[best]) / second
+        second = np.delete(sizes, best).min()
+        margin = abs(second - sizes[best]) / second
         odds = np.exp2((sizes[best] - sizes) / (0.01 * sizes[best] + 1))
         return self.langs[best], float(1 / odds.sum()), float(margin)
 
