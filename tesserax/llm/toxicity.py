@@ -1,7 +1,7 @@
 """Toxicity: a learned lexicon in a trie, intersected with Levenshtein automata, and scores of the hits' context windows.
 
 Terms are words that labelled toxic documents have far oftener than others, in several different contexts, so that copies
-of one document teach nothing. The trie and the automata run as one: a state is the set of (trie node, edits so far) that
+of one document teach nothing. They are learned from at most LEXICON_ROWS labelled documents, the weights from MAX_ROWS. The trie and the automata run as one: a state is the set of (trie node, edits so far) that
 a word's letters can reach, worked out when first met and remembered, so most words end after two or three letters.
 A window of words around a hit tells whether it stands in quotation (quotation marks around it, words of reporting) or is
 addressed to someone. A logistic model over the counts of hits by kind and window gives the score.
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tesserax.llm.common import held_out
 
-#: Bounds of what executors get and the model is fitted on: terms, labelled rows.
-MAX_TERMS, MAX_ROWS = 4000, 20_000
+#: Bounds of what executors get and the model is fitted on: terms; labelled rows for the lexicon and for the weights.
+MAX_TERMS, LEXICON_ROWS, MAX_ROWS = 4000, 40_000, 20_000
 #: Least evidence (natural log of a likelihood ratio), share of toxic rows and different contexts of a term.
 EVIDENCE, PRECISION, CONTEXTS = 12.0, 0.8, 4
 #: Letters from which a term is matched with one and with two edits.
@@ -37,13 +37,13 @@ REMEMBERED = 500_000
 
 
 def term_counts(labelled: DataFrame) -> DataFrame:
-    """(term, toxic, clean, contexts) over labelled(text, toxic), equal texts once: pairs of a word and the one before it,
-    once a document, and of how many of 64 kinds the words before are in toxic ones."""
-    docs = labelled.filter("text is not null").groupBy(F.sha2("text", 256).alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    """(term, toxic, clean, contexts) over labelled(text, toxic): pairs of a word and the one before it, once a document, and of how
+    many of 64 kinds the words before are in toxic ones."""
+    docs = labelled.filter("text is not null")
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     # pairs as strings: arrays of those are made distinct by hashing
     pair = F.array_distinct(F.zip_with(F.concat(F.array(F.lit("")), "w"), "w", lambda before, term: F.concat_ws(" ", before, term)))
-    docs = docs.select("toxic", words.alias("w")).filter(F.size("w") > 0).select("toxic", F.explode(pair).alias("p"))
+    docs = docs.select("toxic", words.alias("w")).filter(F.size("w") > 0).select("toxic", F.explode(pair).alias("p")).filter("instr(p, ' ') > 0")
     pairs = docs.select("toxic", F.substring_index("p", " ", -1).alias("term"), F.substring_index("p", " ", 1).alias("before")).filter("term <> ''")
     kind = F.expr("shiftleft(1L, cast(pmod(xxhash64(before), 64) as int))")
     toxic = F.col("toxic") == 1
@@ -208,9 +208,18 @@ def score(docs: DataFrame, terms: dict[str, float], weights: np.ndarray, thresho
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = LEXICON_ROWS) -> DataFrame:
+    """(doc_id, text, toxic) of at most `rows` labelled documents that are not held out, picked by a hash of the id.
+
+    The labels picked are few by this bound, so they go to the documents and no text is shuffled.
+    """
+    own = labels.filter("toxic is not null").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    share = min(1.0, rows / max(1, own.count()))
+    picked = own.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * share)).limit(rows)
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+
+
 def toxicity_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) with a model of the labelled documents that are not held out."""
-    labels = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = docs.filter(~held_out()).select("doc_id", "text").join(labels, "doc_id")
-    terms, weights = fit(labelled)
+    """(doc_id, held_out, score, predicted) with a model of labelled documents that are not held out."""
+    terms, weights = fit(training_rows(docs, labels))
     return score(docs.select("doc_id", "text"), terms, weights).select("doc_id", held_out().alias("held_out"), "score", "predicted")
