@@ -16,8 +16,9 @@ from tesserax.llm.queries import byte_bpe
 from tesserax.llm.simhash import near_duplicates
 from tesserax.llm.tokens import tokenize
 
-#: Differing bits of near copies here: twice the operator's default, so that copies with more edits go too.
-RADIUS, BLOCKS = 6, 9
+#: Near copies here: fingerprints of two-word shingles, which few edits change, differ in at most radius bits, and those of
+#: five-word shingles in at most second_radius, about what a similarity of 0.8 gives.
+NEAR = {"width": 2, "radius": 7, "blocks": 10, "second": 5, "second_radius": 14}
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near copies the row with the smallest doc_id (one, if it is repeated); rows without an id stay."""
-    found = near_duplicates(docs, radius=RADIUS, blocks=BLOCKS)
+    found = near_duplicates(docs, **NEAR)
     first = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))

@@ -6,7 +6,8 @@ keyed by their bits: the index's top nodes, spread over the cluster. Below a top
 of the other bits, upper nodes hold the bit patterns their members share, and pairs of nodes are followed downwards
 together: differences accumulate level by level, and a pair over the radius is dropped with everything below it.
 
-Fingerprints are made distinct first, so groups of exact copies have one entry. What leaves a partition is a spanning
+A second fingerprint, of wider shingles, may have to agree as well: then chance neighbours, of which a large corpus has many
+at wider radii, do not link. Fingerprints are made distinct first, so groups of exact copies have one entry. What leaves a partition is a spanning
 forest of its links, not the pairs; components then come from alternating star contraction over shuffles.
 """
 
@@ -48,15 +49,16 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, second: int | None = None) -> DataFrame:
+    """(doc_id, fp, fp2): fingerprints as signed longs, fp2 of shingles of `second` words (0 where there is none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(x.as_py(), width) for x in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            of = lambda n: pa.array(np.fromiter((fingerprint(x.as_py(), n) for x in b.column(1)), np.uint64, b.num_rows).view(np.int64))  # noqa: B023, E731
+            other = of(second) if second else pa.array(np.zeros(b.num_rows, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), of(width), other], names=["doc_id", "fp", "fp2"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long, fp2 long")
 
 
 def gray_rank(code: np.ndarray) -> np.ndarray:
@@ -84,24 +86,25 @@ class Forest:
                 p[:] = q
 
 
-def _follow(levels: list, k: int, a: np.ndarray, b: np.ndarray, radius: int, forest: Forest) -> None:
+def _follow(levels: list, k: int, a: np.ndarray, b: np.ndarray, radius: int, forest: Forest, agree) -> None:
     """Pairs (a, b), a <= b, of nodes on level k: prune, then their children's pairs; on the last level, link."""
     while True:
         code, first = levels[k]
         near = np.bitwise_count(code[a] ^ code[b]) <= radius
         a, b = a[near], b[near]
         if k == len(levels) - 1:
-            forest.link(a, b)
+            near = agree(a, b)
+            forest.link(a[near], b[near])
             return
         if len(a) > FRONTIER:
             half = len(a) // 2
-            _follow(levels, k, a[:half], b[:half], radius, forest)
+            _follow(levels, k, a[:half], b[:half], radius, forest, agree)
             a, b = a[half:], b[half:]
             continue
         na, nb = first[a + 1] - first[a], first[b + 1] - first[b]
         if len(a) > 1 and (na * nb).sum() > 8 * FRONTIER:
             half = len(a) // 2
-            _follow(levels, k, a[:half], b[:half], radius, forest)
+            _follow(levels, k, a[:half], b[:half], radius, forest, agree)
             a, b = a[half:], b[half:]
             continue
         pair = np.repeat(np.arange(len(a)), na * nb)
@@ -111,15 +114,15 @@ def _follow(levels: list, k: int, a: np.ndarray, b: np.ndarray, radius: int, for
         a, b, k = a[once], b[once], k + 1
 
 
-def linked(key: np.ndarray, rest: np.ndarray, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def linked(key: np.ndarray, rest: np.ndarray, bits: int, radius: int, second: np.ndarray, second_radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the entries and, in that order, the smallest entry each is linked with through others of its key.
 
-    key: the top node of each; rest: its other bits, `bits` of them.
+    key: the top node of each; rest: its other bits, `bits` of them; second: its second fingerprint.
     """
     rank = gray_rank(rest)
     order = np.lexsort((rank, key))
-    key, rank, rest = key[order], rank[order], rest[order]
-    n, levels, starts = len(key), [], None
+    key, rank, rest, second = key[order], rank[order], rest[order], second[order]
+    n, levels = len(key), []
     depths = [0, *range(bits % STEP or STEP, bits + 1, STEP)]
     new_key = np.r_[True, key[1:] != key[:-1]]
     for d in depths:
@@ -135,12 +138,12 @@ def linked(key: np.ndarray, rest: np.ndarray, bits: int, radius: int) -> tuple[n
     forest = Forest(n)
     tops = np.arange(len(levels[0][0]))
     tops = tops[np.diff(np.r_[levels[0][0], n]) > 1]
-    _follow(tree, 0, tops, tops, radius, forest)
+    _follow(tree, 0, tops, tops, radius, forest, lambda a, b: np.bitwise_count(second[a] ^ second[b]) <= second_radius)
     return order, forest.parent
 
 
-def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """(a, b): a spanning forest, by top nodes, of the links among classes (fp, cid), fp distinct."""
+def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, second_radius: int = 64) -> DataFrame:
+    """(a, b): a spanning forest, by top nodes, of the links among classes (fp, fp2, cid), distinct but for cid."""
     edges = np.linspace(0, 64, blocks + 1).round().astype(int)
     choices = list(combinations(range(blocks), blocks - radius))
     mask = lambda i: ((1 << int(edges[i + 1] - edges[i])) - 1) << int(edges[i])
@@ -148,13 +151,13 @@ def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> Dat
     masks = [signed(sum(mask(i) for i in c)) for c in choices]
     widths = [64 - int(sum(edges[i + 1] - edges[i] for i in c)) for c in choices]
     keyed = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("choice", "key")
-    rows = classes.select("fp", "cid", keyed)
+    rows = classes.select("fp", "fp2", "cid", keyed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
 
         def out(t: pa.Table):
-            fp, cid, choice, key = (t.column(c).to_numpy() for c in ("fp", "cid", "choice", "key"))
+            fp, fp2, cid, choice, key = (t.column(c).to_numpy() for c in ("fp", "fp2", "cid", "choice", "key"))
             for c in np.unique(choice):
                 x = np.flatnonzero(choice == c)
                 if len(x) < 2:
@@ -164,7 +167,7 @@ def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> Dat
                 for i in set(range(blocks)) - set(choices[c]):
                     rest |= ((bits >> np.uint64(edges[i])) & np.uint64((1 << int(edges[i + 1] - edges[i])) - 1)) << np.uint64(at)
                     at += int(edges[i + 1] - edges[i])
-                order, root = linked(key[x], rest, widths[c], radius)
+                order, root = linked(key[x], rest, widths[c], radius, fp2[x], second_radius)
                 ids = cid[x][order]
                 below = np.flatnonzero(root != np.arange(len(root)))
                 if len(below):
@@ -214,14 +217,16 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = RADIUS, blocks: int = BLOCKS, second: int | None = None, second_radius: int = 64) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of at most `radius` bits.
 
+    second: words of a second fingerprint's shingles, which must differ in at most second_radius bits as well.
+
     Null and empty texts have fingerprint 0 and link like any other. Repeated rows and ties share a component; extra
     columns are dropped; an empty table gives no row; rows with a null id have no component of their own (null).
     """
-    fps = materialise(fingerprints(docs, doc_id, text, width), "fingerprints")
-    classes = materialise(fps.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("cid")), "classes")
-    found = components(links(classes, radius, blocks))
-    roots = classes.join(found, classes.cid == found.node, "left").select("fp", F.coalesce("root", "cid").alias("component_id"))
-    return fps.join(roots, "fp", "left").select("doc_id", "fp", "component_id")
+    fps = materialise(fingerprints(docs, doc_id, text, width, second), "fingerprints")
+    classes = materialise(fps.filter("doc_id is not null").groupBy("fp", "fp2").agg(F.min("doc_id").alias("cid")), "classes")
+    found = components(links(classes, radius, blocks, second_radius))
+    roots = classes.join(found, classes.cid == found.node, "left").select("fp", "fp2", F.coalesce("root", "cid").alias("component_id"))
+    return fps.join(roots, ["fp", "fp2"], "left").select("doc_id", "fp", "component_id")

@@ -95,16 +95,17 @@ def test_near_duplicates(spark, docs, none):
     assert H.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize(("radius", "blocks"), [(3, 5), (6, 9)])
-def test_index_loses_no_link(spark, radius, blocks):
+@pytest.mark.parametrize(("radius", "blocks", "confirm"), [(3, 5, False), (6, 9, False), (7, 10, True)])
+def test_index_loses_no_link(spark, radius, blocks, confirm):
     from tesserax.llm import simhash as H
 
     r = random.Random(4)
     seeds = [r.getrandbits(64) for _ in range(30)]
     codes = sorted({s ^ sum(1 << r.randrange(64) for _ in range(r.randrange(5))) & (2**64 - 1) for s in seeds for _ in range(20)})
     signed = [c - 2**64 if c >> 63 else c for c in codes]
-    classes = spark.createDataFrame([(f, k) for k, f in enumerate(signed)], "fp long, cid long")
-    found = {r.node: r.root for r in H.components(H.links(classes, radius, blocks)).collect()}
+    second = [k % 2 * 255 for k in range(len(codes))] if confirm else [0] * len(codes)
+    classes = spark.createDataFrame([(f, g, k) for k, (f, g) in enumerate(zip(signed, second, strict=True))], "fp long, fp2 long, cid long")
+    found = {r.node: r.root for r in H.components(H.links(classes, radius, blocks, 7)).collect()}
     parent = list(range(len(codes)))
 
     def find(x):
@@ -114,7 +115,7 @@ def test_index_loses_no_link(spark, radius, blocks):
 
     for i in range(len(codes)):
         for j in range(i):
-            if (codes[i] ^ codes[j]).bit_count() <= radius:
+            if (codes[i] ^ codes[j]).bit_count() <= radius and second[i] == second[j]:
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     assert all(found.get(k, k) == find(k) for k in range(len(codes)))
