@@ -31,8 +31,10 @@ SHARD_TOKENS = 1_000_000
 #: Bytes of text in a range of documents, about.
 RANGE_BYTES = 24_000_000
 WORD_BITS = 512
+#: Letters below this are letters to every version of the pattern library.
+LATIN_END = "\u0250"
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 1_000_000
 
 
 class WaveletMatrix:
@@ -52,7 +54,7 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         planes = []
         for k in range(bits - 1, -1, -1):
-            one = (ids >> k & 1).astype(bool)
+            one = (ids & ids.dtype.type(1 << k)) != 0
             planes.append(np.packbits(one, bitorder="little"))
             ids = np.concatenate([ids[~one], ids[one]])
         return cls(len(ids), planes)
@@ -144,7 +146,7 @@ def read_image(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
 
 
 class Pieces:
-    """What the library says of pieces after a lead, as bytes; None for pieces that can't be cut off the text around them.
+    """What the library says of pieces after a lead, as bytes; False for pieces that can't be cut off the text around them.
 
     At REMEMBERED pieces these become the older generation, from which those that are met again return.
     """
@@ -152,25 +154,34 @@ class Pieces:
     def __init__(self, lead: str, library, marks: dict[str, bytes]):
         self.lead, self.library, self.marks, self.known, self.older = lead, library, marks, {}, {}
 
-    def learn(self, pieces: set[str]) -> dict[str, bytes | None]:
+    def learn(self, pieces: set[str]) -> dict[str, bytes | bool]:
         """The answers for these pieces, in a dictionary small enough for the processor's cache."""
         if len(self.known) + len(pieces) > REMEMBERED:
             self.known, self.older = {}, self.known
         known, older, marks = self.known, self.older, self.marks
-        new = pieces.difference(known)
-        back = new.intersection(older)
-        known.update([(p, older[p]) for p in back])
-        new -= back
-        alone = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
-        known.update(dict.fromkeys(alone))
-        new.difference_update(alone)
-        marked = {p for p in new if p[-1] in marks and p[-2:-1].isalnum()}
-        whole = list(({p[:-1] for p in marked} | (new - marked)).difference(known))
-        known.update(zip(whole, self.library([self.lead + p for p in whole]), strict=True))
+        local = dict(zip(pieces, map(known.get, pieces), strict=True))
+        new, whole, marked = {}, [], []
+        for p in [p for p, ids in local.items() if ids is None]:
+            ids = older.get(p)
+            if ids is not None:
+                new[p] = ids
+            elif not p or p[0].isspace() or p[-1].isspace():
+                new[p] = False
+            elif p[-1] in marks and p[-2:-1].isalnum():
+                marked.append(p)
+            else:
+                whole.append(p)
+        cores = {p[:-1] for p in marked}
+        found = {p: new.get(p, known.get(p)) for p in cores}
+        whole = list({*whole, *(p for p, ids in found.items() if ids is None)})
+        new.update(zip(whole, self.library([self.lead + p for p in whole]), strict=True))
         for p in marked:
-            core = known[p[:-1]]
-            known[p] = core if core is None else core + marks[p[-1]]
-        return {p: known[p] for p in pieces}
+            core = found[p[:-1]]
+            core = new[p[:-1]] if core is None else core
+            new[p] = core and core + marks[p[-1]]
+        known.update(new)
+        local.update((p, ids) for p, ids in new.items() if p in local)
+        return local
 
 
 class Encoder:
@@ -185,19 +196,28 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given this worker one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.bits = max(1, max(self.tokenizer.get_vocab_size() - 1, END_ID).bit_length())
         self.dtype = np.dtype("<u4" if self.bits > 16 else "<u2")
         self.end = np.array([END_ID], self.dtype).tobytes()
+        # letters alone, after a space or not, are one pre-token: no pattern has to find that out
+        self.letters = None
+        if type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and not self.tokenizer.pre_tokenizer.add_prefix_space:
+            self.letters = Tokenizer.from_file(path)
+            self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         marks = {m: self._library([m])[0] for m in self.MARKS}
         self.line_end = self._library(["\n"])[0]
         self.first, self.later = Pieces("", self._library, marks), Pieces(" ", self._library, marks)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         code = "I" if self.bits > 16 else "H"
-        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.letters is None:
+            return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        easy = [t.lstrip(" ").isalpha() and max(t) < LATIN_END and t[1:].isalpha() for t in texts]
+        found = [iter(k.encode_batch_fast([t for t, x in zip(texts, easy, strict=True) if x == want], add_special_tokens=False)) for k, want in ((self.tokenizer, False), (self.letters, True))]
+        return [array(code, next(found[x]).ids).tobytes() for x in easy]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids and the end id, as little-endian bytes of self.dtype; null is the empty text."""
