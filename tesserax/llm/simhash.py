@@ -87,10 +87,15 @@ class Forest:
 
 
 def _follow(levels: list, k: int, a: np.ndarray, b: np.ndarray, radius: int, forest: Forest, agree) -> None:
-    """Pairs (a, b), a <= b, of nodes on level k: prune, then their children's pairs; on the last level, link."""
+    """Pairs (a, b), a <= b, of nodes on level k: prune, then their children's pairs; on the last level, link.
+
+    Pairs whose members are all in one tree of the forest already need not be followed.
+    """
     while True:
-        code, first = levels[k]
+        code, first, starts = levels[k]
+        low, high = np.minimum.reduceat(forest.parent, starts), np.maximum.reduceat(forest.parent, starts)
         near = np.bitwise_count(code[a] ^ code[b]) <= radius
+        near &= (low[a] != high[a]) | (low[b] != high[b]) | (low[a] != low[b])
         a, b = a[near], b[near]
         if k == len(levels) - 1:
             near = agree(a, b)
@@ -134,11 +139,19 @@ def linked(key: np.ndarray, rest: np.ndarray, bits: int, radius: int, second: np
     for k, (starts, code) in enumerate(levels):
         below = levels[k + 1][0] if k + 1 < len(levels) else None
         first = np.r_[np.searchsorted(below, starts), len(below)] if below is not None else None
-        tree.append((code[starts], first))
+        tree.append((code[starts], first, starts))
     forest = Forest(n)
+    agree = lambda a, b: np.bitwise_count(second[a] ^ second[b]) <= second_radius
+    # neighbours in Gray order first: large groups of near copies are mostly one tree before pairs are followed
+    for gap in (1, 2, 3, 4, 8, 16):
+        a = np.arange(max(0, n - gap))
+        b = a + gap
+        near = (key[a] == key[b]) & (np.bitwise_count(rest[a] ^ rest[b]) <= radius)
+        near[near] = agree(a[near], b[near])
+        forest.link(a[near], b[near])
     tops = np.arange(len(levels[0][0]))
     tops = tops[np.diff(np.r_[levels[0][0], n]) > 1]
-    _follow(tree, 0, tops, tops, radius, forest, lambda a, b: np.bitwise_count(second[a] ^ second[b]) <= second_radius)
+    _follow(tree, 0, tops, tops, radius, forest, agree)
     return order, forest.parent
 
 
