@@ -16,9 +16,9 @@ from tesserax.llm.queries import byte_bpe
 from tesserax.llm.simhash import near_duplicates
 from tesserax.llm.tokens import tokenize
 
-#: Near copies here: fingerprints of two-word shingles, which few edits change, differ in at most radius bits, and those of
-#: five-word shingles in at most second_radius, about what a similarity of 0.8 gives.
-NEAR = {"width": 2, "radius": 7, "blocks": 10, "second": 5, "second_radius": 14}
+#: Near copies here: fingerprints of two-word shingles, which few edits change, differ in at most radius bits, or bands of
+#: least hashes of five-word shingles meet; and fingerprints of those in at most second_radius, about what a similarity of 0.8 gives.
+NEAR = {"width": 2, "radius": 7, "blocks": 10, "second": 5, "second_radius": 14, "bands": 16}
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

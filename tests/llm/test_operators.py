@@ -95,6 +95,25 @@ def test_near_duplicates(spark, docs, none):
     assert H.near_duplicates(none).count() == 0
 
 
+def test_near_copies_beyond_the_radius_of_the_first_fingerprint(spark):
+    import corpus_pipeline as P
+    from tesserax.llm import simhash as H
+
+    r, pairs = random.Random(11), []
+    while len(pairs) < 8:
+        own = words(200, r.randrange(10**6)).split()
+        edited = list(own)
+        for at in r.sample(range(200), 4):
+            edited[at] = f"edit{at}"
+        a, b = (set(H.shingles(" ".join(x), 5).tolist()) for x in (own, edited))
+        d2, d5 = ((H.fingerprint(" ".join(own), k) ^ H.fingerprint(" ".join(edited), k)).bit_count() for k in (2, 5))
+        if len(a & b) >= 0.8 * len(a | b) and d2 > P.NEAR["radius"] and d5 <= P.NEAR["second_radius"]:
+            pairs.append((" ".join(own), " ".join(edited)))
+    rows = [(2 * k + j, t) for k, pair in enumerate(pairs) for j, t in enumerate(pair)]
+    got = {x.doc_id: x.component_id for x in H.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **P.NEAR).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 @pytest.mark.parametrize(("radius", "blocks", "confirm"), [(3, 5, False), (6, 9, False), (7, 10, True)])
 def test_index_loses_no_link(spark, radius, blocks, confirm):
     from tesserax.llm import simhash as H
