@@ -1,15 +1,15 @@
-"""Benchmark decontamination: rare word n-grams of test items seed, Smith-Waterman alignment decides.
+"""Benchmark decontamination: word n-grams of test items seed, Smith-Waterman alignment decides.
 
 Items are taken in blocks of at most BLOCK_CHARS characters, the proven bound of what an executor holds; a longer benchmark
 takes more passes over the documents, with the same results. Within a pass documents stay where they are: a document's
-words become the benchmark's word numbers, windows of n known words are looked up among the block's seeds, and each run
-of hits of an item is aligned, word by word, with the item. The score is the alignment's over the item's own.
+words become the benchmark's word numbers, windows of n known words are looked up among the block's seeds (every window of
+every item, however many items share it), and each run of hits of an item is aligned, word by word, with the item. Items
+with too few words in the document or the passage to reach the score are not aligned. The score is the alignment's over the item's own.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WIDTH = 5
-#: A seed is rare if it stands in at most so many items; items with under LEAST rare seeds use all of theirs.
-RARE, LEAST = 8, 3
 MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 1, -1, 1
 BLOCK_CHARS = 16_000_000
@@ -49,21 +47,21 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[int, str]], width: int = WIDTH):
         self.vocabulary: dict[str, int] = {}
-        self.width, self.items, grams = width, {}, defaultdict(set)
-        self.short: dict[int, int] = {}
-        for key, (item, text) in enumerate(items):
+        self.width, self.items = width, []
+        for item, text in items:
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], dtype=np.int64)
             if len(ids):
-                self.items[key] = (item, ids)
-        for key, (_, ids) in self.items.items():
-            for h in self._grams(ids):
-                grams[int(h)].add(key)
-        rare = Counter(k for keys in grams.values() if len(keys) <= RARE for k in keys)
-        seeds = [(h, k) for h, keys in grams.items() for k in keys if len(keys) <= RARE or rare[k] < LEAST]
-        self.by_seed = defaultdict(list)
-        for h, k in seeds:
-            self.by_seed[h].append(k)
-        self.hashes = np.array(sorted(self.by_seed), dtype=np.int64)
+                self.items.append((item, ids))
+        self.sizes = np.array([len(x) for _, x in self.items], dtype=np.int64)
+        self.starts, self.words = np.cumsum(self.sizes) - self.sizes, np.concatenate([x for _, x in self.items] or [self.sizes])
+        self.widths = sorted({min(width, int(n)) for n in self.sizes})
+        grams = [np.unique(self._grams(x)) for _, x in self.items]
+        of = np.repeat(np.arange(len(grams)), [len(x) for x in grams])
+        found = np.concatenate(grams or [self.sizes])
+        order = np.argsort(found, kind="stable")
+        self.by_seed = of[order]
+        self.hashes, self.first, self.shared = np.unique(found[order], return_index=True, return_counts=True)
+        self.present = np.zeros(len(self.vocabulary) + 1, dtype=bool)
 
     def _grams(self, ids: np.ndarray, width: int | None = None) -> np.ndarray:
         """Hashes of the windows of `width` words; of a shorter sequence, its own, mixed with its length."""
@@ -73,15 +71,29 @@ class Benchmark:
             h = h * np.int64(6364136223846793005) + ids[k : k + len(h)]
         return h
 
-    def find(self, text: str | None) -> list[tuple[int, float, int, int, int]]:
-        """(item_id, score, seeds, first and end word) of every item with a seed in the text, each at its best place."""
+    def _enough(self, keys: np.ndarray, ids: np.ndarray, least: float) -> np.ndarray:
+        """Those of the items that have so many words among ids that their score can reach least: each word of an item matches once at most."""
+        self.present[ids] = True
+        self.present[0] = False
+        out = []
+        for some in np.array_split(keys, 1 + len(keys) // 4096):
+            n = self.sizes[some]
+            before = np.cumsum(n) - n
+            at = np.arange(n.sum()) + np.repeat(self.starts[some] - before, n)
+            if len(some):
+                out.append(some[np.add.reduceat(self.present[self.words[at]], before, dtype=np.int64) >= least * n * MATCH])
+        self.present[ids] = False
+        return np.concatenate(out or [keys])
+
+    def find(self, text: str | None, least: float = 0.0) -> Iterator[tuple[int, float, int, int, int]]:
+        """(item_id, score, seeds, first and end word) of every item with a seed in the text and a score of least or more, each at its best place."""
         found = words(text)
         if not found or not len(self.hashes):
-            return []
+            return
         ids = np.fromiter((self.vocabulary.get(w, 0) for w in found), np.int64, len(found))
         known = np.r_[0, np.cumsum(ids > 0)]
-        hits: dict[int, list[int]] = defaultdict(list)
-        for width in {min(self.width, len(x)) for _, x in self.items.values()}:
+        seeds, places = [], []
+        for width in self.widths:
             if len(ids) < width:
                 continue
             full = np.flatnonzero(known[width:] - known[:-width] == width)
@@ -89,10 +101,23 @@ class Benchmark:
                 continue
             h = self._grams(ids, width)[full]
             at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            for k in np.flatnonzero(self.hashes[at] == h).tolist():
-                for item in self.by_seed[int(h[k])]:
-                    hits[item].append(int(full[k]))
-        out = []
+            hit = self.hashes[at] == h
+            seeds.append(at[hit])
+            places.append(full[hit])
+        if not sum(map(len, seeds)):
+            return
+        seed, place = np.concatenate(seeds), np.concatenate(places)
+        keys = np.zeros(len(self.sizes), dtype=bool)
+        for s in np.unique(seed):
+            keys[self.by_seed[self.first[s] : self.first[s] + self.shared[s]]] = True
+        wanted = np.zeros(len(keys), dtype=bool)
+        wanted[self._enough(np.flatnonzero(keys), ids, least)] = True
+        hits: dict[int, list[int]] = {}
+        if wanted.any():
+            for s, k in zip(seed.tolist(), place.tolist(), strict=True):
+                own = self.by_seed[self.first[s] : self.first[s] + self.shared[s]]
+                for item in own[wanted[own]].tolist():
+                    hits.setdefault(item, []).append(k)
         for key, at in hits.items():
             item, own = self.items[key]
             at, best = sorted(at), (0, 0, 0)
@@ -101,13 +126,13 @@ class Benchmark:
             for a, b in zip(cuts, cuts[1:], strict=False):
                 lo, hi = max(0, at[a] - 2 * len(own)), min(len(ids), at[b - 1] + self.width + 2 * len(own))
                 passage = ids[lo:hi]
-                if (print_ := passage.tobytes()) in seen:
+                if (print_ := passage.tobytes()) in seen or not len(self._enough(np.array([key]), passage, least)):
                     continue
                 seen.add(print_)
                 score, end = smith_waterman(own, passage)
                 best = max(best, (score, -(lo + max(0, end - len(own))), -(lo + end)))
-            out.append((item, best[0] / (MATCH * len(own)), len(at), -best[1], -best[2]))
-        return out
+            if best[0] >= least * MATCH * len(own):
+                yield item, best[0] / (MATCH * len(own)), len(at), -best[1], -best[2]
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -137,7 +162,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_S
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             bench = Benchmark(shipped.value)
             for b in batches:
-                rows = [(d, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for x in bench.find(t.as_py()) if x[1] >= min_score]
+                rows = [(d, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for x in bench.find(t.as_py(), min_score)]
                 columns = zip(*rows, strict=True) if rows else [[]] * 6
                 types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, types, strict=True)], names=["doc_id", "item_id", "score", "seeds", "first_word", "end_word"])
@@ -156,7 +181,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_
             bench = Benchmark(shipped.value)
             for b in batches:
                 texts = b.column(b.schema.names.index("text"))
-                clean = [all(x[1] < min_score for x in bench.find(t.as_py())) for t in texts]
+                clean = [next(bench.find(t.as_py(), min_score), None) is None for t in texts]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

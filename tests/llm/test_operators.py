@@ -296,6 +296,17 @@ def test_decontamination(spark, docs, none):
     assert B.decontaminate(docs, bench).columns == docs.columns
 
 
+def test_decontamination_by_a_passage_that_many_items_share(spark):
+    from tesserax.llm import decontaminate as B
+
+    passage = words(300, 21)
+    items = [(k, f"{passage} question{k} {words(6, 500 + k)}") for k in range(9)]
+    rows = [(1, f"{words(80, 22)} {passage} {words(80, 23)}"), (2, words(400, 24)), (3, " ".join(passage.split()[:40]))]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in B.contaminated(df, bench).collect()) == [(1, k) for k in range(9)]
+    assert sorted(r.doc_id for r in B.decontaminate(df, bench).collect()) == [2, 3]
+
+
 def test_smith_waterman():
     from tesserax.llm.decontaminate import smith_waterman
 
