@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -87,63 +89,128 @@ def extent_of_occurrence(occ: DataFrame) -> DataFrame:
 
 
 def delaunay(p: np.ndarray) -> np.ndarray:
-    """(m, 3) vertex numbers of a Delaunay triangulation, by inserting points into a large triangle."""
-    n, span = len(p), float(np.ptp(p, axis=0).max() or 1) * 1000
-    mid = p.mean(axis=0)
-    q = np.vstack([p, mid + [-span, -span], mid + [span, -span], mid + [0, span]])
-    tri = np.array([[n, n + 1, n + 2]])
-    centre, r2 = _circles(q, tri)
-    for i in range(n):
-        hit = ((centre - q[i]) ** 2).sum(axis=1) < r2
-        edges = np.sort(tri[hit][:, [0, 1, 1, 2, 2, 0]].reshape(-1, 2), axis=1)
-        once, count = np.unique(edges, axis=0, return_counts=True)
-        once = once[count == 1]
-        new = np.column_stack([once, np.full(len(once), i)])
-        c, r = _circles(q, new)
-        tri, centre, r2 = np.vstack([tri[~hit], new]), np.vstack([centre[~hit], c]), np.r_[r2[~hit], r]
-    return tri[(tri < n).all(axis=1)]
-
-
-def _circles(q: np.ndarray, tri: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    a, b, c = q[tri[:, 0]], q[tri[:, 1]], q[tri[:, 2]]
-    b, c = b - a, c - a
-    d = 2 * (b[:, 0] * c[:, 1] - b[:, 1] * c[:, 0])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        u = np.column_stack([c[:, 1] * (b**2).sum(1) - b[:, 1] * (c**2).sum(1), b[:, 0] * (c**2).sum(1) - c[:, 0] * (b**2).sum(1)]) / d[:, None]
-    u = np.where(np.isfinite(u), u, 0)
-    r = np.where(d != 0, (u**2).sum(1), np.inf)
-    return a + u, r
-
-
-#: Places of a species that its alpha hull is made from, at most: more are snapped to a coarser lattice first.
-MAX_PLACES = 2000
-
-
-def alpha_hull(occ: DataFrame, alpha: float = 2.0, res: float = 0.5) -> DataFrame:
-    """(species, triangles, area): Delaunay triangles whose edges are at most alpha times the mean edge, and their planar area.
-
-    Points are snapped to a lattice of `res` degrees, doubled for a species until MAX_PLACES places are enough.
+    """(m, 3) vertex numbers of a Delaunay triangulation of distinct points, by divide and conquer over quad edges.
+
+    Coordinates become integers of one power of two, so that every test is exact: points on a line or on a circle need no shift, and
+    the order of points settles which of several triangulations it is.
     """
-    own = occ.select("species", "lon", "lat")
-    level = own.select("species", *(F.struct(F.floor(F.col("lon") / (res * 2**k)), F.floor(F.col("lat") / (res * 2**k))).alias(f"c{k}") for k in range(6))).groupBy("species").agg(*(F.countDistinct(f"c{k}").alias(f"n{k}") for k in range(6)))
-    step = F.coalesce(*(F.when(F.col(f"n{k}") <= MAX_PLACES, F.lit(res * 2**k)) for k in range(6)), F.lit(res * 64))
-    places = own.join(level.select("species", step.alias("step")), "species")
-    places = places.select("species", (F.floor(F.col("lon") / F.col("step")) * F.col("step")).alias("lon"), (F.floor(F.col("lat") / F.col("step")) * F.col("step")).alias("lat")).distinct()
+    order = np.lexsort((p[:, 1], p[:, 0]))
+    if len(p) < 3:
+        return np.zeros((0, 3), dtype=np.int64)
+    exact = [(x.as_integer_ratio(), y.as_integer_ratio()) for x, y in p[order].tolist()]
+    unit = max(max(x[1], y[1]) for x, y in exact)
+    xs, ys = ([z[k][0] * (unit // z[k][1]) for z in exact] for k in (0, 1))
+    org, nxt, prv = array("q"), array("q"), array("q")  # edge e starts at org[e]; e ^ 1 is its other direction
+    live = bytearray()
+
+    def edge(a: int, b: int) -> int:
+        e = len(org)
+        for x in (org, nxt, prv):
+            x.extend((a, b) if x is org else (e, e + 1))
+        live.append(1)
+        return e
+
+    def splice(a: int, b: int) -> None:
+        if a != b:
+            prv[nxt[a]], prv[nxt[b]] = b, a
+            nxt[a], nxt[b] = nxt[b], nxt[a]
+
+    def connect(a: int, b: int) -> int:
+        e = edge(org[a ^ 1], org[b])
+        splice(e, prv[a ^ 1])
+        splice(e ^ 1, b)
+        return e
+
+    def delete(e: int) -> None:
+        splice(e, prv[e])
+        splice(e ^ 1, prv[e ^ 1])
+        live[e >> 1] = 0
+
+    def side(k: int, e: int) -> int:
+        """Positive where point k is on one side of the edge, negative on the other."""
+        a, b, x, y = org[e], org[e ^ 1], xs[k], ys[k]
+        return (xs[a] - x) * (ys[b] - y) - (ys[a] - y) * (xs[b] - x)
+
+    def inside(a: int, b: int, c: int, d: int) -> bool:
+        x, y = xs[d], ys[d]
+        a1, a2, b1, b2, c1, c2 = xs[a] - x, ys[a] - y, xs[b] - x, ys[b] - y, xs[c] - x, ys[c] - y
+        return (a1 * a1 + a2 * a2) * (b1 * c2 - b2 * c1) + (b1 * b1 + b2 * b2) * (a2 * c1 - a1 * c2) + (c1 * c1 + c2 * c2) * (a1 * b2 - a2 * b1) < 0
+
+    def made(lo: int, hi: int) -> tuple[int, int]:
+        if hi - lo == 2:
+            a = edge(lo, lo + 1)
+            return a, a ^ 1
+        if hi - lo == 3:
+            a, b = edge(lo, lo + 1), edge(lo + 1, lo + 2)
+            splice(a ^ 1, b)
+            turn = side(lo + 2, a)
+            if turn == 0:
+                return a, b ^ 1
+            c = connect(b, a)
+            return (a, b ^ 1) if turn > 0 else (c ^ 1, c)
+        mid = (lo + hi + 1) // 2
+        (left_out, left), (right, right_out) = made(lo, mid), made(mid, hi)
+        while True:
+            if side(org[right], left) > 0:
+                left = nxt[left ^ 1]
+            elif side(org[left], right) < 0:
+                right = prv[right ^ 1]
+            else:
+                break
+        base = connect(left ^ 1, right)
+        left_out = base if org[left] == org[left_out] else left_out
+        right_out = base ^ 1 if org[right] == org[right_out] else right_out
+        while True:
+            r, q = nxt[base ^ 1], prv[base]
+            on_r, on_q = side(org[r ^ 1], base) > 0, side(org[q ^ 1], base) > 0
+            if not (on_r or on_q):
+                return left_out, right_out
+            if on_r:
+                while side(org[nxt[r] ^ 1], base) > 0 and inside(org[base ^ 1], org[base], org[r ^ 1], org[nxt[r] ^ 1]):
+                    t = nxt[r]
+                    delete(r)
+                    r = t
+            if on_q:
+                while side(org[prv[q] ^ 1], base) > 0 and inside(org[base ^ 1], org[base], org[q ^ 1], org[prv[q] ^ 1]):
+                    t = prv[q]
+                    delete(q)
+                    q = t
+            if not on_r or on_q and inside(org[r ^ 1], org[r], org[q], org[q ^ 1]):
+                base = connect(q, base ^ 1)
+            else:
+                base = connect(base ^ 1, r ^ 1)
+
+    made(0, len(p))
+    start, before = np.frombuffer(org, dtype=np.int64), np.frombuffer(prv, dtype=np.int64)
+    e = np.flatnonzero(np.repeat(np.frombuffer(live, dtype=np.uint8), 2))
+    second = before[e ^ 1]
+    third = before[second ^ 1]
+    t = np.column_stack([start[e], start[second], start[third]])
+    t = t[(before[third ^ 1] == e) & (t[:, 0] < t[:, 1]) & (t[:, 0] < t[:, 2])]
+    turns = [(xs[b] - xs[a]) * (ys[c] - ys[a]) - (ys[b] - ys[a]) * (xs[c] - xs[a]) for a, b, c in t.tolist()]
+    return order[t[np.array([x < 0 for x in turns], dtype=bool)][:, ::-1]]
+
+
+def alpha_hull(occ: DataFrame, alpha: float = 2.0) -> DataFrame:
+    """(species, triangles, area): Delaunay triangles of a species' distinct points whose edges are at most alpha times the mean edge,
+    and their planar area. Rows without a coordinate are left out; a species without a triangle has 0."""
 
     def run(key, pdf):
-        p = pdf[["lon", "lat"]].to_numpy()
-        if len(p) < 3:
+        p = pdf[["lon", "lat"]].to_numpy(dtype=float)
+        p = np.unique(p[np.isfinite(p).all(axis=1)] + 0.0, axis=0)
+        n = delaunay(p)
+        if not len(n):
             return pd.DataFrame({"species": [key[0]], "triangles": [0], "area": [0.0]})
-        p = p[np.lexsort((p[:, 1], p[:, 0]))]
-        # lattice points are on common circles: a tiny shift, the same in every run, makes the triangulation unique
-        p = p + np.random.default_rng(7).uniform(-1e-6, 1e-6, p.shape)
-        t = p[delaunay(p)]
+        t = p[n]
+        pairs = np.unique(np.sort(n[:, [0, 1, 1, 2, 2, 0]].reshape(-1, 2), axis=1), axis=0)
+        mean = np.sqrt(((p[pairs[:, 0]] - p[pairs[:, 1]]) ** 2).sum(axis=1)).mean()
         edge = np.sqrt(((t - np.roll(t, 1, axis=1)) ** 2).sum(axis=2))
-        keep = (edge <= edge.mean() * alpha).all(axis=1)
+        keep = (edge <= mean * alpha).all(axis=1)
         a, b = t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]
         area = np.abs(a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]) / 2
         return pd.DataFrame({"species": [key[0]], "triangles": [int(keep.sum())], "area": [float(area[keep].sum())]})
 
+    places = occ.select("species", "lon", "lat").distinct()
     return places.groupBy("species").applyInPandas(run, "species string, triangles long, area double")
 
 

@@ -215,7 +215,7 @@ def _(v):
 
 @query("agg28_alpha_hull")
 def _(v):
-    return M.alpha_hull(v.occurrences, res=2.0)
+    return M.alpha_hull(v.occurrences)
 
 
 @query("agg29_point_radius_area")

@@ -63,6 +63,29 @@ def test_triangulation_fills_the_hull():
     assert area == pytest.approx(abs((x * np.roll(y, -1) - y * np.roll(x, -1)).sum()) / 2, rel=1e-6)
 
 
+@pytest.mark.parametrize("kind", ["random", "lattice", "line and a point", "line"])
+def test_triangulation_has_empty_circles(kind):
+    r = np.random.default_rng(3)
+    p = {"random": r.random((120, 2)), "lattice": np.unique(r.integers(0, 14, (150, 2)) / 64.0, axis=0), "line and a point": np.array([[k, k] for k in range(9)] + [[2, 5]], float), "line": np.array([[k, 2 * k] for k in range(9)], float)}[kind]
+    p = p[r.permutation(len(p))]
+    n, a = M.delaunay(p), 0.0
+    for i, j, k in n.tolist():
+        (x1, y1), (x2, y2) = p[j] - p[i], p[k] - p[i]
+        d, a = 2 * (x1 * y2 - x2 * y1), a + (x1 * y2 - x2 * y1) / 2
+        c = p[i] + np.array([y2 * (x1**2 + y1**2) - y1 * (x2**2 + y2**2), x1 * (x2**2 + y2**2) - x2 * (x1**2 + y1**2)]) / d
+        assert d > 0 and (np.hypot(*(p - c).T) >= np.hypot(*(p[i] - c)) - 1e-9).all()
+    h = M.hull(p)
+    x, y = h[:, 0], h[:, 1]
+    assert a == pytest.approx(abs((x * np.roll(y, -1) - y * np.roll(x, -1)).sum()) / 2, abs=1e-9)
+
+
+def test_alpha_hull_takes_the_points_themselves(spark):
+    """Distinct points of a 51 x 51 lattice of 1/64 degree: two triangles a square, and more than 2000 places."""
+    rows = [("a", 120 + i / 64, -20 + j / 64) for i in range(51) for j in range(51)]
+    got = M.alpha_hull(spark.createDataFrame(rows + rows[:9], "species string, lon double, lat double")).first()
+    assert got.triangles == 5000 and got.area == pytest.approx((50 / 64) ** 2, rel=1e-12)
+
+
 def test_facets(spark):
     rows = list(itertools.product(["a", "b c", None], [1, 5, None]))
     df = spark.createDataFrame(rows, "s string, n int")
