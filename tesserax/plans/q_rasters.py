@@ -220,7 +220,7 @@ def _(v):
 
 @query("agg29_point_radius_area")
 def _(v):
-    return M.point_radius_area(v.occurrences.filter("year = 1995"), 40_000.0, 0.5, 0.125)
+    return M.point_radius_area(v.occurrences, 40_000.0, 0.5, 0.125)
 
 
 # -- functions ----------------------------------------------------------------------------------------------------------

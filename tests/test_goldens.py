@@ -86,6 +86,18 @@ def test_alpha_hull_takes_the_points_themselves(spark):
     assert got.triangles == 5000 and got.area == pytest.approx((50 / 64) ** 2, rel=1e-12)
 
 
+def test_point_radius_area_takes_records_of_all_years(spark):
+    from tesserax.plans import registry
+    from tesserax.plans.views import Views
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.species: r.km2 for r in registry.queries()["agg29_point_radius_area"](spark, sf).collect()}
+    own = Views(spark, sf).occurrences
+    assert {r.species for r in own.select("species").distinct().collect()} == set(got)
+    one = M.point_radius_area(own.filter("species = 'sp5'"), 40_000.0, 0.5, 0.125).first()
+    assert got["sp5"] == pytest.approx(one.km2)
+
+
 def test_facets(spark):
     rows = list(itertools.product(["a", "b c", None], [1, 5, None]))
     df = spark.createDataFrame(rows, "s string, n int")
