@@ -101,13 +101,24 @@ def _(v):
     return S.with_cell(v.point_objects, **GRID).join(wide, ["row", "col"], "left").select("pid", "el1", "el2", "cl3")
 
 
+def _point_detail(v, points):
+    own = S.sample_grid(points, v.cells_el1, "el1", **GRID).withColumnRenamed("pid", "point")
+    found = S.first_polygon(own, S.boxes_to_rings(v.areas)).join(v.areas.select("pid", F.col("name").alias("area_name")), "pid", "left")
+    return found.select(F.col("point").alias("pid"), "lon", "lat", F.col("pid").alias("area_pid"), "area_name", "el1")
+
+
 @query("join7_point_detail", """select p.pid, p.lon, p.lat, a.pid as area_pid, a.name as area_name, e.value as el1 from {point_objects} p
     left join {areas} a on p.lon between a.minx and a.maxx and p.lat between a.miny and a.maxy
     left join {cells_el1} e on e.row = cast(floor((-10 - p.lat) / 0.25) as int) and e.col = cast(floor((p.lon - 112) / 0.25) as int) where p.pid % 10 = 3""")
 def _(v):
-    own = S.sample_grid(v.point_objects.filter("pid % 10 = 3"), v.cells_el1, "el1", **GRID).withColumnRenamed("pid", "point")
-    found = S.first_polygon(own, S.boxes_to_rings(v.areas)).join(v.areas.select("pid", F.col("name").alias("area_name")), "pid", "left")
-    return found.select(F.col("point").alias("pid"), "lon", "lat", F.col("pid").alias("area_pid"), "area_name", "el1")
+    return _point_detail(v, v.point_objects.filter("pid % 10 = 3"))
+
+
+@query("join7_point_detail_all", """select p.pid, p.lon, p.lat, a.pid as area_pid, a.name as area_name, e.value as el1 from {point_objects} p
+    left join {areas} a on p.lon between a.minx and a.maxx and p.lat between a.miny and a.maxy
+    left join {cells_el1} e on e.row = cast(floor((-10 - p.lat) / 0.25) as int) and e.col = cast(floor((p.lon - 112) / 0.25) as int)""")
+def _(v):
+    return _point_detail(v, v.point_objects)
 
 
 @query("join8_objects_at_location", f"select o.rec_order, o.rec_line, t.pid from {{occurrences}} o join ({PIP}) t on o.lon = t.lon and o.lat = t.lat")
