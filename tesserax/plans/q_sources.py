@@ -11,7 +11,7 @@ from tesserax.plans.views import Registry
 from tesserax.sources import exports as E
 from tesserax.sources import grids as G
 from tesserax.sources import records as R
-from tesserax.sources.scratch import shared_path
+from tesserax.sources.scratch import materialise, shared_path
 
 query = Registry()
 
@@ -99,13 +99,24 @@ def _(v):
     return v._spark.read.parquet(path)
 
 
+def _polygon_files(v, corners):
+    path = shared_path(v._spark, "shapes")
+    _binary(v._spark, f"{path}/none.shp", [G.encode_polygons([])])
+    at = lambda *names: F.array(*(F.col(n).cast("double") for n in names))
+    rings = corners.select("pid", at("ax", "cx", "bx", "ax").alias("xs"), at("ay", "cy", "b_y", "ay").alias("ys"))
+    numbers = materialise(G.write_polygon_files(rings, path, 2 + corners.count() // 50_000))
+    own = G.read_polygon_files(v._spark, f"{path}/*.shp").join(numbers, ["file", "feature"])
+    return own.select("pid", F.get("xs", F.lit(0)).alias("x0"), F.get("xs", F.lit(1)).alias("x2"))
+
+
 @query("src10_polygon_files", "select pid, ax as x0, cx as x2 from {corners} where pid < 40")
 def _(v):
-    path = shared_path(v._spark, "shapes")
-    corners = v.corners.filter("pid < 40").orderBy("pid").collect()  # one small file
-    _binary(v._spark, f"{path}/a.shp", [G.encode_polygons([([c.ax, c.cx, c.bx, c.ax], [c.ay, c.cy, c.b_y, c.ay]) for c in corners])])
-    own = G.read_polygon_files(v._spark, f"{path}/*.shp")
-    return own.select((F.col("feature") - 1).cast("long").alias("pid"), F.get("xs", F.lit(0)).alias("x0"), F.get("xs", F.lit(1)).alias("x2"))
+    return _polygon_files(v, v.corners.filter("pid < 40"))
+
+
+@query("src10_polygon_files_all", "select pid, ax as x0, cx as x2 from {corners}")
+def _(v):
+    return _polygon_files(v, v.corners)
 
 
 @query("src11_wkt_reader", "select pid, ring, minx, maxy, 5 as n from {nested}")

@@ -134,3 +134,22 @@ def encode_polygons(rings: list[tuple[list[float], list[float]]]) -> bytes:
         body = struct.pack("<i4d2ii", 5, min(xs), min(ys), max(xs), max(ys), 1, len(xs), 0) + np.column_stack([xs, ys]).astype("<f8").tobytes()
         out.append(struct.pack(">ii", k, len(body) // 2) + body)
     return b"\0" * 100 + b"".join(out)
+
+
+def write_polygon_files(rings: DataFrame, path: str, parts: int) -> DataFrame:
+    """(file, feature, pid): rings(pid, xs, ys) encoded within tasks, one polygon file for each of `parts` ranges of pid, in an existing
+    folder that executors share. Files are written when the result is; a repeated task writes the same file again."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        own = pd.concat([pd.DataFrame({"pid": [], "xs": [], "ys": []}), *batches])
+        if len(own):
+            name = f"{TaskContext.get().partitionId()}.shp"
+            store, folder = fs.FileSystem.from_uri(path)
+            with store.open_output_stream(f"{folder}/{name}") as out:
+                out.write(encode_polygons([(list(x), list(y)) for x, y in zip(own["xs"], own["ys"], strict=True)]))
+            yield pd.DataFrame({"file": name, "feature": range(1, len(own) + 1), "pid": own.pid.astype("int64")})
+
+    return rings.select("pid", "xs", "ys").repartitionByRange(parts, "pid").sortWithinPartitions("pid", "xs", "ys").mapInPandas(run, "file string, feature int, pid long")

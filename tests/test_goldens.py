@@ -98,6 +98,16 @@ def test_point_radius_area_takes_records_of_all_years(spark):
     assert got["sp5"] == pytest.approx(one.km2)
 
 
+def test_polygon_files_of_all_ranges(spark, tmp_path):
+    from tesserax.sources import grids as G
+
+    rows = [(k, [k + 0.0, k + 1.0, k + 1.0, k + 0.0], [0.0, 2.0, 0.0, 0.0]) for k in range(5, 305)]
+    numbers = G.write_polygon_files(spark.createDataFrame(rows, "pid long, xs array<double>, ys array<double>"), tmp_path.as_uri(), 3).collect()
+    back = {(r.file, r.feature): r.xs[0] for r in G.read_polygon_files(spark, f"{tmp_path}/*.shp").collect()}
+    assert len({r.file for r in numbers}) == 3
+    assert {r.pid: back[r.file, r.feature] for r in numbers} == {k: float(k) for k in range(5, 305)} and len(back) == 300
+
+
 def test_facets(spark):
     rows = list(itertools.product(["a", "b c", None], [1, 5, None]))
     df = spark.createDataFrame(rows, "s string, n int")
