@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserax.llm.common import materialise, partitions
+from tesserax.operators.components import components
 
 SEED = 42
 RADIUS = 3
@@ -249,31 +250,6 @@ def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, second
     return dealt.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, root): for every node of edges (a, b), the smallest node reachable, by alternating star contraction.
-
-    Large star: each node's larger neighbours move to its smallest; small star: its smaller ones do. Nodes' minima are
-    partial aggregates and go back by joins that Spark may split, so a hub isn't one task's work.
-    """
-    edges = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        moved = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialise(least.select("u", F.col("m").alias("v")).unionByName(moved).distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components are not stable after {rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = RADIUS, blocks: int = BLOCKS, second: int | None = None, second_radius: int = 64, bands: int = 0) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of at most `radius` bits.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserax.functions import geo
+from tesserax.operators.components import components
 from tesserax.operators.spatial import first_polygon
 from tesserax.sources.scratch import materialise
 
@@ -89,29 +90,13 @@ def rasterise(cells: DataFrame, rings: DataFrame) -> DataFrame:
     return first_polygon(own, rings).filter("pid is not null").select("row", "col", "pid")
 
 
-def regions(cells: DataFrame, rounds: int = 60) -> DataFrame:
-    """(row, col, value, region): cells of equal value joined edge to edge share the least of their cells' numbers.
-
-    Labels spread to neighbours and then jump to their label's label, so a region of n cells across takes about log n rounds;
-    each round is written to the shared folder.
-    """
-    spark = cells.sparkSession
+def regions(cells: DataFrame) -> DataFrame:
+    """(row, col, value, region): cells of equal value joined edge to edge share the least of their cells' numbers."""
     number = F.col("row").cast("long") * 1_000_000 + F.col("col")
     own = materialise(cells.select("row", "col", "value", number.alias("id")))
-    beside = [own.alias("a").join(own.alias("b"), (F.col("b.row") == F.col("a.row") + dr) & (F.col("b.col") == F.col("a.col") + dc) & (F.col("a.value") == F.col("b.value"))).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")) for dr, dc in ((0, 1), (1, 0))]
-    edges = reduce(DataFrame.unionByName, beside)
-    edges = materialise(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))))
-    labels = own.select("id", F.col("id").alias("label"))
-    for _ in range(rounds):
-        near = edges.join(labels, edges.y == labels.id).groupBy("x").agg(F.min("label").alias("m"))
-        new = labels.join(near, labels.id == near.x, "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("old"))
-        jump = new.select(F.col("id").alias("j"), F.col("label").alias("to"))
-        new = materialise(new.join(jump, new.label == jump.j).select("id", F.least("label", "to").alias("label"), "old"))
-        changed = new.filter("label <> old").limit(1).count()
-        labels = new.select("id", "label")
-        if not changed:
-            break
-    return own.join(labels, "id").select("row", "col", "value", F.col("label").alias("region"))
+    beside = [own.alias("a").join(own.alias("b"), (F.col("b.row") == F.col("a.row") + dr) & (F.col("b.col") == F.col("a.col") + dc) & (F.col("a.value") == F.col("b.value"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")) for dr, dc in ((0, 1), (1, 0))]
+    found = components(reduce(DataFrame.unionByName, beside))
+    return own.join(found, own.id == found.node, "left").select("row", "col", "value", F.coalesce("root", "id").alias("region"))
 
 
 def region_edges(labelled: DataFrame) -> DataFrame:

@@ -108,6 +108,16 @@ def test_polygon_files_of_all_ranges(spark, tmp_path):
     assert {r.pid: back[r.file, r.feature] for r in numbers} == {k: float(k) for k in range(5, 305)} and len(back) == 300
 
 
+def test_winding_region_is_one(spark):
+    """A serpentine through a grid of 140 x 160 cells, beside it single cells of another value."""
+    from tesserax.operators import rasters as R
+
+    path = lambda r, c: r % 2 == 0 or c == (159 if r % 4 == 1 else 0)
+    cells = [(r, c, 1) for r in range(140) for c in range(160) if path(r, c)] + [(r, 80, 2) for r in range(1, 140, 2)]
+    got = R.regions(spark.createDataFrame(cells, "row int, col int, value int")).groupBy("value").agg(F.countDistinct("region").alias("n"), F.count("*").alias("cells")).collect()
+    assert {(r.value, r.n, r.cells) for r in got} == {(1, 1, len(cells) - 70), (2, 70, 70)}
+
+
 def test_facets(spark):
     rows = list(itertools.product(["a", "b c", None], [1, 5, None]))
     df = spark.createDataFrame(rows, "s string, n int")
