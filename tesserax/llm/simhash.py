@@ -85,13 +85,18 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            signed = lambda x: pa.array(np.fromiter(x, np.uint64, b.num_rows).view(np.int64))  # noqa: B023, E731
-            texts = [x.as_py() for x in b.column(1)]
-            wide = [shingles(x, second) for x in texts] if second else []
-            other = signed(map(simhash, wide)) if second else pa.array(np.zeros(b.num_rows, dtype=np.int64))
-            out = {"doc_id": b.column(0), "fp": signed(fingerprint(x, width) for x in texts), "fp2": other}
+            fp, fp2 = (np.zeros(b.num_rows, dtype=np.uint64) for _ in range(2))
+            keys = np.zeros((b.num_rows, bands), dtype=np.int64)
+            ends = np.zeros(b.num_rows + 1, dtype=np.int32)
+            for k, x in enumerate(b.column(1)):  # one text at a time: a batch's shingles are many times its texts
+                fp[k] = fingerprint(x.as_py(), width)
+                wide = shingles(x.as_py(), second) if second else fp[:0]
+                fp2[k], own = simhash(wide), sketch(wide, bands) if bands else []
+                keys[ends[k] : ends[k] + 1, : len(own)] = own
+                ends[k + 1] = ends[k] + (len(own) > 0)
+            out = {"doc_id": b.column(0), "fp": pa.array(fp.view(np.int64)), "fp2": pa.array(fp2.view(np.int64))}
             if bands:
-                out["bands"] = pa.array([sketch(x, bands) for x in wide], pa.list_(pa.int64()))
+                out["bands"] = pa.ListArray.from_arrays(pa.array(ends * bands), pa.array(keys[: ends[-1]].reshape(-1)))
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long, fp2 long" + ", bands array<long>" * bool(bands))
