@@ -34,6 +34,13 @@ def materialise(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_system(where: str):
+    """(file system, path in it) of a folder or file that tasks write and read themselves."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(where) if "://" in where or where.startswith("file:") else (fs.LocalFileSystem(), where)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,6 +1,6 @@
-"""Token-ID output: per shard one file image holding a wavelet matrix of its ids.
+"""Token-ID output: per shard one file holding a wavelet matrix of its ids.
 
-Documents are tokenized in doc_id order. Every SHARD_TOKENS ids, about, become an image: a JSON header, then sections packed
+Documents are tokenized in doc_id order. Every SHARD_TOKENS ids, about, become a file in the shared folder: a JSON header, then sections packed
 with zstandard: doc ids, document starts, and one bit-plane for each bit of an id, highest first, each stably sorted by the
 bits above. A directory of ones before every 512 bits gives rank; searching it gives select; so single tokens, counts of
 an id before a position and its k-th occurrence come from the planes without unpacking ids.
@@ -10,19 +10,21 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserax.llm.common import materialise
+from tesserax.llm.common import file_system, materialise, shared_dir
 
 MAGIC = b"WMTOK1\n"
 END_ID = 2
@@ -30,11 +32,13 @@ END_ID = 2
 SHARD_TOKENS = 1_000_000
 #: Bytes of text in a range of documents, about.
 RANGE_BYTES = 24_000_000
+#: Shard files a task reads, about.
+READ_SHARDS = 4
 WORD_BITS = 512
-#: Letters below this are letters to every version of the pattern library.
-LATIN_END = "\u0250"
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 800_000
+#: Bytes of text encoded at once, about.
+SLAB = 4_000_000
 
 
 class WaveletMatrix:
@@ -145,93 +149,107 @@ def read_image(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     return parts[0].view("<i8"), parts[1].view("<i8"), WaveletMatrix(header["tokens"], parts[2:])
 
 
-class Pieces:
-    """What the library says of pieces after a lead, as bytes; False for pieces that can't be cut off the text around them.
-
-    At REMEMBERED pieces these become the older generation, from which those that are met again return.
-    """
-
-    def __init__(self, lead: str, library, marks: dict[str, bytes]):
-        self.lead, self.library, self.marks, self.known, self.older = lead, library, marks, {}, {}
-
-    def learn(self, pieces: set[str]) -> dict[str, bytes | bool]:
-        """The answers for these pieces, in a dictionary small enough for the processor's cache."""
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        known, older, marks = self.known, self.older, self.marks
-        local = dict(zip(pieces, map(known.get, pieces), strict=True))
-        new, whole, marked = {}, [], []
-        for p in [p for p, ids in local.items() if ids is None]:
-            ids = older.get(p)
-            if ids is not None:
-                new[p] = ids
-            elif not p or p[0].isspace() or p[-1].isspace():
-                new[p] = False
-            elif p[-1] in marks and p[-2:-1].isalnum():
-                marked.append(p)
-            else:
-                whole.append(p)
-        cores = {p[:-1] for p in marked}
-        found = {p: new.get(p, known.get(p)) for p in cores}
-        whole = list({*whole, *(p for p, ids in found.items() if ids is None)})
-        new.update(zip(whole, self.library([self.lead + p for p in whole]), strict=True))
-        for p in marked:
-            core = found[p[:-1]]
-            core = new[p[:-1]] if core is None else core
-            new[p] = core and core + marks[p[-1]]
-        known.update(new)
-        local.update((p, ids) for p, ids in new.items() if p in local)
-        return local
-
-
 class Encoder:
-    """The library's ids of whole texts, with its answers for pieces remembered.
+    """The library's ids of whole texts, looked up by piece.
 
-    A byte-level pre-tokenizer never joins a non-space with a space after it, nor a line's end with the word after it, nor a
-    word with a mark that ends the piece. So where no two white-space characters meet, a text is cut into lines, a line
-    before each space, and a last mark off its word. Other texts go to the library whole.
+    A byte-level pre-tokenizer cuts before a space that a word follows, around a line's end and before a mark that ends a
+    word. So a text is cut there; pieces are made distinct by Arrow, their ids gathered from a pool by numpy, and only pieces
+    not met before go to the library, many in one call: the bytes of each token tell where one piece's ids end. Texts with
+    longer runs of white space or other white space beside it, with added tokens, and all texts of tokenizers of another
+    kind, go to the library whole.
     """
 
-    MARKS = ".,;:!?"
+    #: Begins a piece that has no space before it.
+    GLUE = "\x01"
+    # Unicode white space besides the space and the line's end, letters and marks of which the latter are cut off.
+    OTHER_SPACE = r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    MARKED = r"([A-Za-z0-9À-ɏ])([.,;:!?])( |\n|$)"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given this worker one core
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.bits = max(1, max(self.tokenizer.get_vocab_size() - 1, END_ID).bit_length())
+        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
+        vocabulary = self.tokenizer.get_vocab()
+        self.bits = max(1, max(*vocabulary.values(), END_ID).bit_length())
         self.dtype = np.dtype("<u4" if self.bits > 16 else "<u2")
-        self.end = np.array([END_ID], self.dtype).tobytes()
-        # letters alone, after a space or not, are one pre-token: no pattern has to find that out
-        self.letters = None
-        if type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and not self.tokenizer.pre_tokenizer.add_prefix_space:
-            self.letters = Tokenizer.from_file(path)
-            self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        marks = {m: self._library([m])[0] for m in self.MARKS}
-        self.line_end = self._library(["\n"])[0]
-        self.first, self.later = Pieces("", self._library, marks), Pieces(" ", self._library, marks)
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        code = "I" if self.bits > 16 else "H"
-        if self.letters is None:
-            return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        easy = [t.lstrip(" ").isalpha() and max(t) < LATIN_END and t[1:].isalpha() for t in texts]
-        found = [iter(k.encode_batch_fast([t for t, x in zip(texts, easy, strict=True) if x == want], add_special_tokens=False)) for k, want in ((self.tokenizer, False), (self.letters, True))]
-        return [array(code, next(found[x]).ids).tobytes() for x in easy]
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids and the end id, as little-endian bytes of self.dtype; null is the empty text."""
-        cut = [[x.split(" ") for x in t.split("\n")] if t else [] for t in texts]
-        first = self.first.learn({x[0] for c in cut for x in c})
-        later = self.later.learn(set().union(*(x[1:] for c in cut for x in c))).__getitem__
-        out = []
-        for t, c in zip(texts, cut, strict=True):
-            try:
-                body = self.line_end.join([first[x[0]] + b"".join(map(later, x[1:])) for x in c])
-            except TypeError:  # a piece that can't be cut off
-                body = self._library([t])[0]
-            out.append(body + self.end)
-        return out
+        with open(path, encoding="utf-8") as f:
+            how = json.load(f)
+        pre, added = how.get("pre_tokenizer") or {}, how.get("added_tokens") or []
+        plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in added)
+        self.cuts = how.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and how["model"].get("type") == "BPE" and plain
+        odd = [self.GLUE, "[ \\n]{3}", "[ \\n]{2}$", f"(?:^|[ \\n]){self.OTHER_SPACE}", f"{self.OTHER_SPACE}(?:$|[ \\n])"]
+        self.odd = "|".join([*odd, *(re.escape(t["content"]) for t in added)])
+        # a byte-level token has a letter for each byte
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token)
+        self.forget()
+
+    def forget(self) -> None:
+        """Slots 0 to 3: nothing, the end id, a space and a line's end alone."""
+        self.known = {self.GLUE: 0, "": 2, "\n": 3}
+        own = [[], [END_ID], *(self.whole(x).tolist() for x in (" ", "\n"))]
+        self.pool, self.count = np.array(sum(own, []), self.dtype), np.array([len(x) for x in own], dtype=np.int64)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+
+    def _learn(self, texts: list[str], lead: int) -> None:
+        """New slots, in order, for texts that each begin with white space, without each one's first `lead` ids."""
+        found, counts = [self.pool], [self.count]
+        for at in range(0, len(texts), 512):
+            some = texts[at : at + 512]
+            ids, ends = self.whole("".join(some)), np.cumsum([len(t.encode()) for t in some])
+            reached = np.cumsum(self.sizes[ids])
+            if len(ids) and reached[-1] == ends[-1]:
+                count = np.diff(np.r_[0, np.searchsorted(reached, ends) + 1])
+            else:  # bytes that the vocabulary lacks
+                each = [self.whole(t) for t in some]
+                ids, count = np.concatenate(each), np.array([len(x) for x in each], dtype=np.int64)
+            if lead:
+                begin = np.cumsum(count) - count
+                ids, count = np.delete(ids, (begin[:, None] + np.arange(lead)).ravel()), count - lead
+            found.append(ids)
+            counts.append(count)
+        self.pool, self.count = np.concatenate(found), np.concatenate(counts)
+
+    def _slots(self, pieces: list[str]) -> np.ndarray:
+        """Slots of distinct pieces, new ones learned."""
+        if len(self.known) > self.remembered:
+            self.forget()
+        slots = list(map(self.known.get, pieces))
+        new = [p for p, s in zip(pieces, slots, strict=True) if s is None]
+        if new:
+            spaced, glued = ([p for p in new if (p[0] == self.GLUE) == want] for want in (False, True))
+            self.known.update(zip(spaced + glued, range(len(self.count), len(self.count) + len(new)), strict=True))
+            self._learn([" " + p for p in spaced], 0)
+            self._learn(["\n" + p[1:] for p in glued], int(self.count[3]))
+            slots = list(map(self.known.get, pieces))
+        return np.array(slots, dtype=np.int64)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each followed by the end id; how many each text has); null is the empty text."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        odd = pc.match_substring_regex(texts, self.odd) if self.cuts else pa.array([True] * len(texts), pa.bool_())
+        large = lambda x: pa.scalar(x, pa.large_string())
+        plain = pc.if_else(odd, large(""), texts)
+        plain = pc.replace_substring_regex(plain, self.MARKED, rf"\1 {self.GLUE}\2\3")
+        plain = pc.replace_substring(pc.binary_join_element_wise(large(self.GLUE), plain, large("")), "\n", f" \n {self.GLUE}")
+        lists = pc.split_pattern(plain, " ")
+        offsets, coded = lists.offsets.to_numpy().astype(np.int64), lists.flatten().dictionary_encode()
+        pieces = self._slots(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+        pool, count, bad = self.pool, self.count, np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(bad):
+            whole = [self.whole(t) for t in texts.take(pa.array(bad)).to_pylist()]
+            pieces[offsets[bad]] = len(count) + np.arange(len(bad))
+            pool, count = np.concatenate([pool, *whole]), np.r_[count, np.array([len(x) for x in whole], dtype=np.int64)]
+        start, pieces, out = np.cumsum(count) - count, np.insert(pieces, offsets[1:], 1), [pool[:0]]
+        for at in range(0, len(pieces), 1 << 19):
+            some = pieces[at : at + (1 << 19)]
+            c = count[some]
+            out.append(pool[np.repeat(start[some] - (np.cumsum(c) - c), c) + np.arange(c.sum())])
+        return np.concatenate(out), np.add.reduceat(count[pieces], offsets[:-1] + np.arange(len(texts))) if len(texts) else offsets[:-1]
 
 
 @cache
@@ -240,44 +258,65 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows with about SLAB bytes of text together; a longer text alone."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(size) // SLAB)) + 1
+        for at, end in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+            yield b.slice(at, end - at)
+
+
 def write_shards(docs: DataFrame, tokenizer: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """(part, seq, first_doc, docs, tokens, image): shard files in ascending doc_id order, written and read again.
+    """(part, seq, first_doc, docs, tokens, file): shard files in the shared folder, in ascending doc_id order.
 
     Rows with equal ids keep together by text; null ids come first and are stored as the least long. Null and empty texts
-    are an end id. Extra columns are dropped; an empty table gives no shard.
+    are an end id. Extra columns are dropped; an empty table gives no shard. A file's name holds the attempt that wrote it,
+    so a task that runs again leaves the first one's file unread.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "text")
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, min(-(-size // RANGE_BYTES) * 2, 100_000))
     rows = rows.withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    folder = f"{shared_dir(docs.sparkSession)}/tesserax/{uuid.uuid4().hex}/tokens"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
-        part, seq, ids, parts, held = TaskContext.get().partitionId(), 0, [], [], 0
-        width = encode.dtype.itemsize
-
-        def out():
-            lengths = np.array([len(p) // width for p in parts], dtype=np.int64)
-            data = image(np.array(ids, dtype=np.int64), lengths, np.frombuffer(b"".join(parts), encode.dtype), encode.bits)
-            row = [[part], [seq], [ids[0]], [len(ids)], [int(lengths.sum())], [data]]
-            types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, types, strict=True)], names=["part", "seq", "first_doc", "docs", "tokens", "image"])
-
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                x = b.slice(at, 256)
-                for d, e in zip(x.column(0).to_pylist(), encode(x.column(1).to_pylist()), strict=True):
-                    ids.append(d)
-                    parts.append(e)
-                    held += len(e) // width
-                    if held >= shard_tokens:
-                        yield out()
-                        seq, ids, parts, held = seq + 1, [], [], 0
-        if ids:
-            yield out()
-
-    return materialise(rows.select("doc_id", "text").mapInArrow(run, "part int, seq int, first_doc long, docs long, tokens long, image binary"), "shards")
+        encode, task = encoder(tokenizer), TaskContext.get()
+        fs, path = file_system(folder)
+        fs.create_dir(path, recursive=True)
+        part, seq = task.partitionId(), 0
+        held: list[tuple] = []  # (doc ids, lengths, ids)
+
+        def out(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+            name = f"{part:06d}-{seq:06d}-{task.taskAttemptId()}.wm"
+            with fs.open_output_stream(f"{path}/{name}") as f:
+                f.write(image(doc_ids, lengths, ids, encode.bits))
+            row = [[part], [seq], [int(doc_ids[0])], [len(doc_ids)], [len(ids)], [name]]
+            types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, types, strict=True)], names=["part", "seq", "first_doc", "docs", "tokens", "file"])
+
+        for b in _slabs(batches):
+            ids, lengths = encode(b.column(1))
+            held.append((b.column(0).to_numpy(), lengths, ids))
+            if sum(len(x[2]) for x in held) < shard_tokens:
+                continue
+            doc_ids, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            ends = np.cumsum(lengths)
+            at = 0
+            while ends[-1] - (ends[at - 1] if at else 0) >= shard_tokens:
+                before = int(ends[at - 1]) if at else 0
+                to = int(np.searchsorted(ends, before + shard_tokens)) + 1
+                yield out(doc_ids[at:to], lengths[at:to], ids[before : int(ends[to - 1])])
+                seq, at = seq + 1, to
+                if at == len(ends):
+                    break
+            held = [(doc_ids[at:], lengths[at:], ids[int(ends[at - 1]) if at else 0 :])] if at < len(ends) else []
+        if held:
+            yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    shards = rows.select("doc_id", "text").mapInArrow(run, "part int, seq int, first_doc long, docs long, tokens long, file string")
+    return materialise(shards, "shards").withColumn("file", F.concat(F.lit(f"{folder}/"), "file"))
 
 
 def read_back(shards: DataFrame) -> DataFrame:
@@ -290,25 +329,25 @@ def read_back(shards: DataFrame) -> DataFrame:
     parts = sizes.groupBy("part").agg(F.sum("tokens").alias("t"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
-    offsets = sizes.withColumn("own", F.coalesce(F.sum("tokens").over(own), F.lit(0))).join(parts, "part")
-    offsets = materialise(offsets.select("part", "seq", (F.col("base") + F.col("own")).cast("long").alias("base")), "offsets")
+    offsets = shards.withColumn("own", F.coalesce(F.sum("tokens").over(own), F.lit(0))).join(parts, "part")
+    offsets = offsets.select("part", "seq", "file", (F.col("base") + F.col("own")).cast("long").alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                r = {k: b.column(j)[i].as_py() for j, k in enumerate(b.schema.names)}
-                doc_ids, starts, matrix = read_image(r["image"])
+            for r in b.to_pylist():
+                fs, path = file_system(r["file"])
+                with fs.open_input_stream(path) as f:
+                    doc_ids, starts, matrix = read_image(f.read())
                 ids = matrix.ids().astype("<u4")
                 ends = np.r_[starts[1:], matrix.n]
                 crc = [zlib.crc32(ids[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 same = lambda x: pa.array(np.full(len(starts), x, dtype=np.int32))
-                columns = [pa.array(doc_ids), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64()), same(r["part"]), same(r["seq"])]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "at", "n_tokens", "ids_crc32", "part", "seq"])
+                columns = [pa.array(doc_ids), pa.array(starts + r["base"]), pa.array(ends - starts), pa.array(crc, pa.int64()), same(r["part"]), same(r["seq"])]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "part", "seq"])
 
-    found = shards.select("part", "seq", "image").mapInArrow(run, "doc_id long, at long, n_tokens long, ids_crc32 long, part int, seq int")
-    found = found.join(offsets, ["part", "seq"])
-    doc_id = F.when(F.col("doc_id") != F.lit(-(2**63)), F.col("doc_id"))
-    return found.select(doc_id.alias("doc_id"), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "part", "seq")
+    n = max(1, min(shards.count(), 100_000) // READ_SHARDS)
+    found = offsets.repartition(n, "part", "seq").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, seq int")
+    return found.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(-(2**63)), F.col("doc_id")))
 
 
 def tokenize(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -359,14 +359,61 @@ def test_tokens(spark, docs, none):
 
 
 def test_pieces_are_the_whole():
+    import pyarrow as pa
+
     from tesserax.llm.queries import byte_bpe
     from tesserax.llm.tokens import Encoder
 
-    e, r = Encoder(byte_bpe()), random.Random(3)
-    alphabet = ["a", "B", "é", "1", ".", ",", "'s", " ", " ", "\n", "\t", "  ", "\u3000", "中", "the", "<|endoftext|>", "\x85"]
-    texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(15))) for _ in range(3000)]
-    for t, got in zip(texts, e(texts), strict=True):
-        assert np.frombuffer(got, e.dtype).tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, 2], t
+    r = random.Random(3)
+    alphabet = ["a", "B", "é", "1", ".", ",", "'s", " ", " ", "\n", "\t", "  ", "\u3000", "中", "the", "<|endoftext|>", "\x85", "\x01"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(15))) for _ in range(6000)] + [None, ""]
+    for remembered in (10**6, 50):
+        e = Encoder(byte_bpe(), remembered)
+        assert e.cuts
+        for at in range(0, len(texts), 1000):
+            ids, n = e(pa.array(texts[at : at + 1000], pa.string()))
+            ends = np.cumsum(n)
+            for t, a, b in zip(texts[at : at + 1000], ends - n, ends, strict=True):
+                assert ids[a:b].tolist() == [*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 2], t
+
+
+def test_tokenizers_of_other_kinds_are_not_cut(tmp_path):
+    import json
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tesserax.llm.queries import byte_bpe
+    from tesserax.llm.tokens import Encoder
+
+    with open(byte_bpe()) as f:
+        how = json.load(f)
+    how["pre_tokenizer"]["add_prefix_space"] = True
+    path = str(tmp_path / "other.json")
+    with open(path, "w") as f:
+        json.dump(how, f)
+    e, library = Encoder(path), Tokenizer.from_file(path)
+    texts = ["one two", "", "three.\nfour"]
+    ids, n = e(pa.array(texts))
+    assert not e.cuts and ids.tolist() == [i for t in texts for i in [*library.encode(t, add_special_tokens=False).ids, 2]] and n.sum() == len(ids)
+
+
+def test_shards_are_cut_at_documents(spark):
+    from tesserax.llm import tokens as K
+    from tesserax.llm.common import file_system
+    from tesserax.llm.queries import byte_bpe
+
+    rows = [(k, words(k % 50, k)) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    shards = K.write_shards(df, byte_bpe(), 500)
+    got = shards.orderBy("part", "seq").collect()
+    assert len(got) > 20 and sum(r.docs for r in got) == 300
+    for r in got[:-1]:
+        assert r.tokens >= 500 or r.part != got[got.index(r) + 1].part
+    fs, path = file_system(got[3].file)
+    doc_ids, starts, matrix = K.read_image(fs.open_input_stream(path).read())
+    assert doc_ids[0] == got[3].first_doc and matrix.n == got[3].tokens and len(starts) == got[3].docs
+    assert K.read_back(shards).count() == 300
 
 
 # 9
