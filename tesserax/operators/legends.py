@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserax.sources.records import numbered
+
 
 def category_legend(df: DataFrame, column: str) -> DataFrame:
-    """(value, n, rank): categories by descending count, ties by value."""
+    """(value, n, rank): categories by descending count, ties by value. Ranks are counted over ranges, not in one sort."""
     n = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return n.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), "value")))
+    return numbered(n, [F.col("n").desc(), F.col("value").asc()], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def cut_points(values: DataFrame, column: str, n: int = 10, kind: str = "even") -> DataFrame:
@@ -17,8 +19,11 @@ def cut_points(values: DataFrame, column: str, n: int = 10, kind: str = "even")
     size: equal numbers of distinct values. The last is the maximum. Without values, no row."""
     v = values.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
     if kind == "size":
-        ranks = v.distinct().withColumn("idx", F.ntile(n).over(Window.orderBy("v")) - 1)
-        return ranks.groupBy("idx").agg(F.max("v").alias("cut"))
+        ranks = numbered(v.distinct(), "v", "k", 0)
+        low, more = (F.floor(F.col("total") / n), F.col("total") % n)  # the first `more` classes have one value more
+        idx = F.when(F.col("k") < more * (low + 1), F.floor(F.col("k") / (low + 1))).otherwise(more + F.floor((F.col("k") - more * (low + 1)) / F.greatest(low, F.lit(1))))
+        ranks = ranks.join(F.broadcast(ranks.agg(F.count("*").alias("total"))))
+        return ranks.groupBy(idx.cast("int").alias("idx")).agg(F.max("v").alias("cut"))
     e = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo is not null").withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     part = (F.col("idx") + 1) / n
     if kind == "even":
@@ -51,47 +56,49 @@ def score(values: DataFrame, column: str, n: int = 10) -> DataFrame:
     return out
 
 
-#: Distinct values that equal-area cut points are worked out from; more are rounded to so many quantiles first.
-MAX_VALUES = 100_000
-
-
 def equal_area(values: DataFrame, column: str, n: int = 10) -> DataFrame:
-    """(idx, cut): classes of nearly equal numbers of rows; a value as frequent as a class has one to itself.
+    """(idx, cut): at most n classes of nearly equal numbers of rows, by their upper bounds.
 
-    Counts by value (at most MAX_VALUES rows, a proven bound) go to the driver; classes are filled in order, with the share of
-    a class scaled up while classes run out before values do and down while they are left over.
+    A value that has a share (rows / n) or more to itself is a class, and so is what lies between two such, as far as there
+    are classes; those left over are dealt to the stretches between by their rows, a stretch of k classes being cut where
+    its running count passes the next k-th of its rows. All counts run over range partitions, so every number of values takes the same way; what
+    is gathered is one row a stretch: there are at most 2 n + 1.
     """
     v = values.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    counts = v.groupBy("v").agg(F.count("*").alias("n"))
-    if counts.count() > MAX_VALUES:
-        cuts = v.approxQuantile("v", [k / 10_000 for k in range(1, 10_001)], 1e-5)
-        counts = v.select(F.element_at(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c >= F.col("v")), 1).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
-    rows = [(r.v, r.n) for r in counts.orderBy("v").collect()]
-    found = fill_classes(rows, n)
-    return values.sparkSession.createDataFrame(list(enumerate(found)), "idx int, cut double")
-
-
-def fill_classes(rows: list[tuple[float, int]], n: int) -> list[float]:
-    """Upper bounds of at most n classes over sorted (value, rows)."""
-    if not rows:
-        return []
-    total, scale, tried = sum(k for _, k in rows), 1.0, 0
-    while True:
-        cuts, held, left = [], 0, total
-        share = -(-total // n) * scale
-        for i, (v, k) in enumerate(rows):
-            held += k
-            ahead = rows[i + 1][1] if i + 1 < len(rows) else 0
-            if held >= share or k >= share or ahead >= share or i + 1 == len(rows):
-                cuts.append(v)
-                left, held = left - held, 0
-                share = -(-left // max(1, n - len(cuts))) * scale
-        if len(cuts) > n and tried >= 0:
-            scale, tried = scale * 1.2, 1
-        elif len(cuts) < n < len(rows) and tried <= 0 and scale > 1e-6:
-            scale, tried = scale / 1.2, -1
-        else:
-            return [*cuts[: n - 1], rows[-1][0]] if len(cuts) > n else cuts
+    counts = numbered(v.groupBy("v").agg(F.count("*").alias("n")), "v", "k")
+    total = counts.agg(F.sum("n")).first()[0]
+    if not total:
+        return values.sparkSession.createDataFrame([], "idx int, cut double")
+    heavy = [r.k for r in counts.filter(F.col("n") >= total / n).orderBy("k").collect()]  # n at most
+    # stretch 2 i lies before the i-th heavy value, 2 i + 1 is that value
+    k = F.col("k")
+    stretch = sum((F.when(k > h, 2).when(k == h, 1).otherwise(0) for h in heavy), F.lit(0)).cast("int")
+    counts = counts.withColumn("s", stretch)
+    held = {r.s: (r.rows, r.values) for r in counts.groupBy("s").agg(F.sum("n").alias("rows"), F.count("*").alias("values")).collect()}
+    light = {s: x for s, x in held.items() if s % 2 == 0}
+    # too many: the smallest stretches go to the heavy value after them; the last one, which has none, fits without
+    before = sorted((x[0], s) for s, x in light.items() if s + 1 in held)[: max(0, len(held) - n)]
+    joined = {s for _, s in before}
+    share, spare = {s: 1 for s in light if s not in joined}, n - len(held) + len(joined)
+    while spare > 0 and (open_ := [s for s in share if share[s] < light[s][1]]):
+        s = max(open_, key=lambda s: (light[s][0] / share[s], -s))
+        share[s], spare = share[s] + 1, spare - 1
+    if joined:
+        counts = counts.withColumn("s", F.when(F.col("s").isin(*joined), F.col("s") + 1).otherwise(F.col("s")))
+    part = F.lit(1).cast("long")
+    for s, c in share.items():
+        part = F.when(F.col("s") == s, F.ceil(F.col("upto") * c / light[s][0])).otherwise(part)
+    cuts = running_sum(counts, "s", "k", "n", "upto").groupBy("s", part.alias("part")).agg(F.max("v").alias("cut"))
+    return numbered(cuts, "cut", "idx", 0).select(F.col("idx").cast("int"), "cut")
+
+
+def running_sum(df: DataFrame, group: str, order: str, of: str, name: str, width: int = 10_000) -> DataFrame:
+    """df with the sum of a column up to each row within its group, in the order of gapless numbers: by blocks of those, then within each."""
+    own = df.withColumn("_b", F.floor(F.col(order) / width))
+    sums = own.groupBy(group, "_b").agg(F.sum(of).alias("_t"))
+    before = F.coalesce(F.sum("_t").over(Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum(of).over(Window.partitionBy(group, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return own.withColumn(name, inside).join(sums.select(group, "_b", before.alias("_o")), [group, "_b"]).withColumn(name, F.col(name) + F.col("_o")).drop("_b", "_o")
 
 
 def decade_legend(df: DataFrame, column: str = "year") -> DataFrame:

@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tesserax.sources.scratch import materialise
 
-def numbered(df: DataFrame, order: str, name: str, start: int = 1, parts: int | None = None) -> DataFrame:
-    """df with gapless numbers in the order of a column: counts of ranges first, then numbers within each."""
+
+def numbered(df: DataFrame, order: str | list, name: str, start: int = 1, parts: int | None = None) -> DataFrame:
+    """df with gapless numbers in the order of a column or several: counts of ranges first, then numbers within each.
+
+    The ranges are written with their numbers, since their sampled bounds differ from one evaluation to the next.
+    """
     spark = df.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, order).withColumn("_p", F.spark_partition_id())
-    own = Window.partitionBy("_p").orderBy(order)
+    by = order if isinstance(order, list) else [order]
+    ranged = materialise(df.repartitionByRange(n, *by).withColumn("_p", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy("_p").orderBy(*by)
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.withColumn("_k", F.row_number().over(own)).join(sizes.select("_p", before.alias("_b")), "_p").withColumn(name, (F.col("_b") + F.col("_k") + (start - 1)).cast("long")).drop("_p", "_k", "_b")
+    return ranged.withColumn("_k", F.row_number().over(own)).join(F.broadcast(sizes.select("_p", before.alias("_b"))), "_p").withColumn(name, (F.col("_b") + F.col("_k") + (start - 1)).cast("long")).drop("_p", "_k", "_b")
 
 
 def read_occurrences(spark: SparkSession, path: str, facet_field: str = "names_and_lsid", bbox: tuple | None = None, keep: Column | None = None, include_year: bool = True) -> DataFrame:

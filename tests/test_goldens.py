@@ -126,11 +126,35 @@ def test_facets(spark):
     assert count("(s:a OR n:5) AND -n:1") == 4
 
 
-def test_equal_area_gives_frequent_values_their_own_class():
-    assert L.fill_classes([(float(k), 10) for k in range(100)], 10) == [float(k) for k in range(9, 100, 10)]
-    cuts = L.fill_classes([(1.0, 1), (2.0, 1000), (3.0, 1), (4.0, 1)], 3)
-    assert 2.0 in cuts and 1.0 in cuts and cuts[-1] == 4.0
-    assert L.fill_classes([], 3) == []
+def test_equal_area_gives_frequent_values_their_own_class(spark):
+    def cuts(counts, n):
+        df = spark.createDataFrame([(v, k) for v, k in counts], "x double, k int").select("x", F.explode(F.sequence(F.lit(1), F.col("k"))))
+        return [(r.idx, r.cut) for r in L.equal_area(df, "x", n).orderBy("idx").collect()]
+
+    assert cuts([(float(k), 10) for k in range(100)], 10) == list(enumerate(float(k) for k in range(9, 100, 10)))
+    assert cuts([(1.0, 1), (2.0, 1000), (3.0, 1), (4.0, 1)], 3) == [(0, 1.0), (1, 2.0), (2, 4.0)]
+    assert cuts([(1.0, 1), (2.0, 500), (3.0, 1), (4.0, 500), (5.0, 1)], 3) == [(0, 2.0), (1, 4.0), (2, 5.0)]
+    assert cuts([], 3) == []
+
+
+@pytest.mark.parametrize("parts", [4, 8, 33])
+def test_numbers_are_gapless_and_in_order(spark, parts):
+    from tesserax.plans import registry
+    from tesserax.sources import records as R
+
+    customers = spark.read.parquet("/root/testdata/sf0.01/customer.parquet")
+    got = [(r.c_custkey, r.k) for r in R.numbered(customers, "c_custkey", "k", parts=parts).select("c_custkey", "k").collect()]
+    assert [k for _, k in sorted(got)] == list(range(1, len(got) + 1))
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        own = registry.queries()
+        for name, key, number, start in (("src5_species_dictionary", "species", "species_id", 0), ("win4_row_numbers", "s_suppkey", "spcode", 5_000_000), ("agg47_name_index", "name_lower", "name_id", 1)):
+            rows = sorted((r[key], r[number]) for r in own[name](spark, "/root/testdata/sf0.01").collect())
+            assert [k for _, k in rows] == list(range(start, start + len(rows))), name
+        for name, number, start in (("src16_upload_ingest", "occurrenceID", 1), ("src17_track_harvest", "spcode", 5_000_000)):
+            assert sorted(r[number] for r in own[name](spark, "/root/testdata/sf0.01").collect())[0] == start, name
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_grid_header_rescale():
