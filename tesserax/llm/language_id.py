@@ -8,16 +8,16 @@ rejected.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserax.llm.common import held_out
+from tesserax.llm.common import fresh, held_out
 
 #: Bounds of the training sample, for each language: documents, characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 160, 1024
@@ -35,7 +35,8 @@ SLACK = 3
 #: Least relative margin of a row that isn't rejected.
 MIN_MARGIN = 0.002
 UNKNOWN = "und"
-OTHER = re.compile(r"[\W\d_]+")
+#: Everything but letters, Unicode category L.
+OTHER = regex.compile(r"[^\p{L}]+")
 
 
 def letters(text: str) -> bytes:
@@ -90,21 +91,35 @@ class Classifier:
         return self.langs[best], float(1 / odds.sum()), float(margin)
 
 
+def _classified(docs: DataFrame, dictionaries: dict[str, bytes], text: str, min_margin: float) -> tuple[DataFrame, Column, Column]:
+    """docs with a struct of lang_pred, score and margin; that struct; whether the row is rejected."""
+    @F.pandas_udf("struct<lang_pred:string, score:double, margin:double>")
+    def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = Classifier(dictionaries)
+        for texts in batches:
+            yield pd.DataFrame([model(t) for t in texts], columns=["lang_pred", "score", "margin"])
+
+    (name,) = fresh(docs, "found")
+    found = F.col(name)
+    return docs.withColumn(name, classify(F.col(text))), found, (found["lang_pred"] == UNKNOWN) | (found["margin"] < min_margin)
+
+
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
     """docs with lang_pred, score (0 to 1), margin and rejected (unknown, or margin under min_margin).
 
     Null, empty and letterless texts give `und`, score 0, rejected. Texts of any length are read whole. Ties go to the
     more frequent language in training. Columns with these names are replaced; others are kept.
     """
-    @F.pandas_udf("struct<lang_pred:string, score:double, margin:double>")
-    def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = Classifier(dictionaries)
-        for texts in batches:
-            yield pd.DataFrame([model(t) for t in texts], columns=["lang_pred", "score", "margin"])
+    new = ("lang_pred", "score", "margin")
+    out, found, rejected = _classified(docs, dictionaries, text, min_margin)
+    kept = [F.col(c) for c in docs.columns if c.lower() not in (*new, "rejected")]
+    return out.select(*kept, *(found[c].alias(c) for c in new), rejected.alias("rejected"))
+
 
-    out = docs.withColumn("_found", classify(F.col(text)))
-    out = out.withColumns({k: F.col(f"_found.{k}") for k in ("lang_pred", "score", "margin")}).drop("_found")
-    return out.withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("margin") < min_margin))
+def identified(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The rows of docs that are not rejected, with all their columns as they are."""
+    out, _, rejected = _classified(docs, dictionaries, text, min_margin)
+    return out.filter(~rejected).select(*docs.columns)
 
 
 def identify_held_out(docs: DataFrame) -> DataFrame:

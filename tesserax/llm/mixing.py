@@ -2,7 +2,8 @@
 once more if a seeded hash of its id, read as a number in [0, 1), is below the rate's fraction.
 
 All of it is DataFrame operations: one partial aggregate by source, a handful of rows of arithmetic, and a join back of one
-row per source. Copies of a document are independent of partitioning, so reruns agree.
+row per source. Rows whose id is null or not their own draw by id, text and number among their equals, so that they draw
+apart. What is taken does not depend on partitioning, so reruns agree.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserax.llm.common import WORD, materialise
+from tesserax.llm.common import WORD, fresh, materialise
 
 #: Repeats of a document that a mix may take at most.
 MAX_RATE = 3
@@ -24,12 +25,35 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def unit_hash(doc_id: str, seed: int) -> Column:
-    """A number in [0, 1) from 52 bits of md5(seed:id); null ids share one number."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))).cast("binary"))
+def unit_hash(*parts) -> Column:
+    """A number in [0, 1) from 52 bits of the md5 of the parts, joined by colons."""
+    digest = F.md5(F.concat_ws(":", *parts).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+def with_draw(docs: DataFrame, name: str, seed: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with a number in [0, 1): of the id where it is one row's own, else of id, text and the row's number among rows
+    equal in both. Only ids are shuffled for that, and the rows that share one; equal rows are counted by partition first,
+    so many of them are no one task's work."""
+    ids = docs.select(F.col(doc_id).alias("id"))
+    shared = materialise(ids.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 or id is null").select("id"), "shared_ids")
+    own = docs.withColumn(name, unit_hash(F.lit(str(seed)), F.col(doc_id).cast("string")))
+    if shared.isEmpty():
+        return own
+    key, h, part, k, before = fresh(docs, "key", "h", "part", "k", "before")
+    alone = own.filter(F.col(doc_id).isNotNull()).join(shared.select(F.col("id").alias(key)), F.col(doc_id) == F.col(key), "left_anti")
+    # each id as text with a mark, so that null is a value like others
+    keyed = docs.withColumn(key, F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))
+    several = keyed.join(shared.select(F.coalesce(F.col("id").cast("string"), F.lit("null")).alias(key)), key, "left_semi")
+    several = materialise(several.withColumns({h: F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")), part: F.spark_partition_id()}), "repeated")
+    sizes = several.groupBy(key, h, part).agg(F.count("*").alias("n"))
+    offset = F.coalesce(F.sum("n").over(Window.partitionBy(key, h).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    number = several.withColumn(k, F.row_number().over(Window.partitionBy(key, h, part).orderBy(key)))
+    number = number.join(sizes.select(key, h, part, offset.alias(before)), [key, h, part])
+    several = number.withColumn(name, unit_hash(F.lit(str(seed)), key, h, (F.col(k) + F.col(before)).cast("string")))
+    return alone.unionByName(several.select(*own.columns))
+
+
 def source_targets(sizes: DataFrame, max_rate: int = MAX_RATE, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """(source, source_size, target) from rows of (source, size): sources by code point, null last, weigh `weights` in turn.
 
@@ -53,23 +77,36 @@ def source_targets(sizes: DataFrame, max_rate: int = MAX_RATE, weights: tuple[in
     return per.select("source", "source_size", F.when(cut, F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
+def _rated(docs: DataFrame, seed: int, max_rate: int, weights: tuple[int, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with size, source_size, target and copies, under names that docs has not, and those names."""
+    names = ("size", "source_size", "target", "copies", "draw", "source")
+    as_ = dict(zip(names, fresh(docs, *names), strict=True))
+    sizes = docs.select("source", word_count().alias("size"))
+    targets = materialise(source_targets(sizes, max_rate, weights), "targets")
+    few = targets.count() <= FEW_SOURCES
+    targets = targets.select(F.col("source").alias(as_["source"]), F.col("source_size").alias(as_["source_size"]), F.col("target").alias(as_["target"]))
+    rate = F.when(F.col(as_["source_size"]) > 0, F.col(as_["target"]) / F.col(as_["source_size"])).otherwise(0.0)
+    sized = with_draw(docs, as_["draw"], seed).withColumn(as_["size"], word_count())
+    out = sized.join(F.broadcast(targets) if few else targets, F.col("source").eqNullSafe(F.col(as_["source"])))
+    copies = F.floor(rate) + (F.col(as_["draw"]) < rate - F.floor(rate)).cast("long")
+    return out.withColumn(as_["copies"], copies.cast("long")).drop(as_["source"], as_["draw"]), as_
+
+
 def mix(docs: DataFrame, seed: int = 17, max_rate: int = MAX_RATE, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """docs with size, source_size, target, copies (0 to max_rate) and taken (copies x size); columns of these names are replaced.
+    """docs with size, source_size, target, copies (0 to max_rate) and taken (copies x size); columns of these names are replaced, all others kept.
 
     Null texts and texts without a word have size 0 and are still taken by their source's rate (rate 0 in a source without
-    words). Null sources are one source. Repeated rows count each. An empty table gives no row.
+    words). Null sources are one source. Repeated rows and null ids count and draw each. An empty table gives no row.
     """
-    sized = docs.withColumn("size", word_count())
-    targets = materialise(source_targets(sized.select("source", "size"), max_rate, weights), "targets")
-    targets = targets.select(F.col("source").alias("_source"), "source_size", "target")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    out = sized.drop("source_size", "target").join(F.broadcast(targets) if targets.count() <= FEW_SOURCES else targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    whole = F.floor(rate)
-    copies = (whole + (unit_hash("doc_id", seed) < rate - whole).cast("long")).cast("long")
-    return out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-
-
-def mixed_copies(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each document's row as often as it is taken, with the columns of docs."""
-    taken = mix(docs, **how).filter("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    new = ("size", "source_size", "target", "copies")
+    out, as_ = _rated(docs, seed, max_rate, weights)
+    kept = [F.col(c) for c in docs.columns if c.lower() not in (*new, "taken")]
+    return out.select(*kept, *(F.col(as_[c]).alias(c) for c in new), (F.col(as_["copies"]) * F.col(as_["size"])).alias("taken"))
+
+
+def mixed_copies(docs: DataFrame, seed: int = 17, max_rate: int = MAX_RATE, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The mix itself: each document's row as often as it is taken, with the columns of docs as they are."""
+    out, as_ = _rated(docs, seed, max_rate, weights)
+    (copy,) = fresh(out, "copy")
+    out = out.filter(F.col(as_["copies"]) > 0)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(as_["copies"]).cast("int")))).select(*docs.columns)

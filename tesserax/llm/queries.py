@@ -114,7 +114,10 @@ from q left join fits f on q.page_id = f.page_id and q.host = f.host and q.path
 
 OP9_SQL = r"""
 with d as (
-  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size from documents),
+  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
+    case when doc_id is not null and count(*) over (partition by doc_id) = 1 then doc_id::varchar
+      else concat(coalesce(doc_id::varchar, 'null'), ':', md5(coalesce(text, '')), ':', row_number() over (partition by doc_id, md5(coalesce(text, '')))) end as draw
+  from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as weight, 3 * source_size as cap from s),
 o as (
@@ -126,9 +129,9 @@ f as (select rest as r1, lft as l1 from c where not cut order by cap / weight, s
 t as (
   select source, source_size, case when cut then cap::double else r1::double * weight::double / l1::double end as target from c, f),
 j as (
-  select d.doc_id, d.size, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0.0 end as rate
+  select d.doc_id, d.draw, d.size, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0.0 end as rate
   from d join t on d.source is not distinct from t.source),
-h as (select *, ('0x' || substr(md5('17:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint::double / 4503599627370496.0::double as u from j)
+h as (select *, ('0x' || substr(md5('17:' || draw), 1, 13))::bigint::double / 4503599627370496.0::double as u from j)
 select doc_id, size, source_size, target,
   cast((floor(rate) + (u < rate - floor(rate))::int) * size as bigint) as taken
 from h

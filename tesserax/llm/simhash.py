@@ -6,10 +6,14 @@ keyed by their bits: the index's top nodes, spread over the cluster. Below a top
 of the other bits, upper nodes hold the bit patterns their members share, and pairs of nodes are followed downwards
 together: differences accumulate level by level, and a pair over the radius is dropped with everything below it.
 
-A second fingerprint, of wider shingles, may have to agree as well: then chance neighbours, of which a large corpus has many
-at wider radii, do not link. Such texts may also meet by bands of least hashes of the wider shingles, whatever their first
-fingerprints: below a band's key the second fingerprints are indexed. Fingerprints are made distinct first, so groups of exact copies have one entry. What leaves a partition is a spanning
-forest of its links, not the pairs; components then come from alternating star contraction over shuffles.
+At a wider similarity fingerprints differ in more bits than blocks can hold apart. Then texts may also meet under top nodes
+of another kind, bands of least hashes of the same shingles, below which fingerprints are indexed in the same way at a
+wider radius; and all links must agree in enough of the least hashes, so that chance neighbours, of which a large corpus
+has many, do not link.
+
+Fingerprints are made distinct first, so groups of exact copies have one entry. A top node of over HOT entries is cut into
+chunks, every two of which meet in a task of their own. What leaves a task is a spanning forest of its links, not the
+pairs; components then come from alternating star contraction over shuffles.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserax.llm.common import materialise, partitions
+from tesserax.llm.common import fresh, materialise, partitions
 from tesserax.operators.components import components
 
 SEED = 42
@@ -32,10 +36,16 @@ RADIUS = 3
 BLOCKS = 5
 #: Bands of least hashes, where they are asked for, have so many each: at a similarity of 0.8, 16 bands miss 2 pairs in 10,000.
 ROWS = 4
+#: Least hashes of bands are remembered by 4 bits each; linked texts must have so many equal: at a similarity of 0.8 99 in 100 have.
+AGREE = 0.7
+#: Entries of a top node that one task takes.
+HOT = 100_000
 #: Bits by which a node's children are longer.
 STEP = 6
 #: Pairs of nodes followed at once; more are halved and followed one half after the other.
 FRONTIER = 1 << 18
+#: Entries worked on at once, about.
+BATCH = 200_000
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -68,38 +78,46 @@ def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
     return shift, odd | np.uint64(1)
 
 
-def sketch(hashes: np.ndarray, bands: int) -> list[int]:
-    """Keys, as signed longs, of bands of ROWS least hashes each; none without a shingle."""
+def sketch(hashes: np.ndarray, bands: int) -> tuple[list[int], list[int]]:
+    """Keys, as signed longs, of bands of ROWS least hashes each, and four bits of every least hash, 16 to a long; none without a shingle."""
     if not len(hashes):
-        return []
+        return [], []
     shift, odd = _functions(bands * ROWS)
     least = np.full(bands * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(hashes), 1 << 12):
         least = np.minimum(least, ((hashes[None, at : at + (1 << 12)] ^ shift) * odd).min(axis=1))
-    return [xxhash.xxh64_intdigest(x.tobytes(), SEED) - (1 << 63) for x in least.reshape(bands, ROWS)]
+    bits = (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(60)).reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    keys = [xxhash.xxh64_intdigest(x.tobytes(), SEED) - (1 << 63) for x in least.reshape(bands, ROWS)]
+    return keys, np.bitwise_or.reduce(bits, axis=1).view(np.int64).tolist()
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, second: int | None = None, bands: int = 0) -> DataFrame:
-    """(doc_id, fp, fp2[, bands]): fingerprints as signed longs, fp2 of shingles of `second` words (0 where there is none)
-    and keys of bands of least hashes of the same shingles."""
+def equal_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many groups of four bits are equal in rows of longs."""
+    x = a ^ b
+    x |= x >> np.uint64(1)
+    x |= x >> np.uint64(2)
+    return 16 * a.shape[1] - np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1, dtype=np.int64)
+
+
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, bands: int = 0) -> DataFrame:
+    """(doc_id, h, fp[, keys, sketch]): hash of the text (null: 42's own), fingerprint as signed long, keys of bands of least hashes, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, fp2 = (np.zeros(b.num_rows, dtype=np.uint64) for _ in range(2))
-            keys = np.zeros((b.num_rows, bands), dtype=np.int64)
-            ends = np.zeros(b.num_rows + 1, dtype=np.int32)
-            for k, x in enumerate(b.column(1)):  # one text at a time: a batch's shingles are many times its texts
-                fp[k] = fingerprint(x.as_py(), width)
-                wide = shingles(x.as_py(), second) if second else fp[:0]
-                fp2[k], own = simhash(wide), sketch(wide, bands) if bands else []
-                keys[ends[k] : ends[k] + 1, : len(own)] = own
-                ends[k + 1] = ends[k] + (len(own) > 0)
-            out = {"doc_id": b.column(0), "fp": pa.array(fp.view(np.int64)), "fp2": pa.array(fp2.view(np.int64))}
+            fp, keys, sketches = np.zeros(b.num_rows, dtype=np.uint64), [], []
+            for k, x in enumerate(b.column(2)):  # one text at a time: a batch's shingles are many times its texts
+                own = shingles(x.as_py(), width)
+                fp[k] = simhash(own)
+                if bands:
+                    for held, part in zip((keys, sketches), sketch(own, bands), strict=True):
+                        held.append(part)
+            out = {"doc_id": b.column(0), "h": b.column(1), "fp": pa.array(fp.view(np.int64))}
             if bands:
-                out["bands"] = pa.ListArray.from_arrays(pa.array(ends * bands), pa.array(keys[: ends[-1]].reshape(-1)))
+                out |= {"keys": pa.array(keys, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.list_(pa.int64()))}
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long, fp2 long" + ", bands array<long>" * bool(bands))
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    return own.mapInArrow(run, "doc_id long, h long, fp long" + ", keys array<long>, sketch array<long>" * bool(bands))
 
 
 def gray_rank(code: np.ndarray) -> np.ndarray:
@@ -160,14 +178,14 @@ def _follow(levels: list, k: int, a: np.ndarray, b: np.ndarray, radius: int, for
         a, b, k = a[once], b[once], k + 1
 
 
-def linked(key: np.ndarray, rest: np.ndarray, bits: int, radius: int, second: np.ndarray, second_radius: int) -> tuple[np.ndarray, np.ndarray]:
+def linked(key: np.ndarray, rest: np.ndarray, bits: int, radius: int, agree) -> tuple[np.ndarray, np.ndarray]:
     """Order of the entries and, in that order, the smallest entry each is linked with through others of its key.
 
-    key: the top node of each; rest: its other bits, `bits` of them; second: its second fingerprint.
+    key: the top node of each; rest: its other bits, `bits` of them; agree: of arrays of entries a and b, whether they may link.
     """
-    rank, second = gray_rank(rest), second.view(np.uint64)  # of signed integers bitwise_count takes the absolute value
+    rank = gray_rank(rest)
     order = np.lexsort((rank, key))
-    key, rank, rest, second = key[order], rank[order], rest[order], second[order]
+    key, rank, rest = key[order], rank[order], rest[order]
     n, levels = len(key), []
     depths = [0, *range(bits % STEP or STEP, bits + 1, STEP)]
     new_key = np.r_[True, key[1:] != key[:-1]]
@@ -182,24 +200,25 @@ def linked(key: np.ndarray, rest: np.ndarray, bits: int, radius: int, second: np
         first = np.r_[np.searchsorted(below, starts), len(below)] if below is not None else None
         tree.append((code[starts], first, starts))
     forest = Forest(n)
-    agree = lambda a, b: np.bitwise_count(second[a] ^ second[b]) <= second_radius
+    agree_ = lambda a, b: agree(order[a], order[b])
     # neighbours in Gray order first: large groups of near copies are mostly one tree before pairs are followed
     for gap in (1, 2, 3, 4, 8, 16):
         a = np.arange(max(0, n - gap))
         b = a + gap
         near = (key[a] == key[b]) & (np.bitwise_count(rest[a] ^ rest[b]) <= radius)
-        near[near] = agree(a[near], b[near])
+        near[near] = agree_(a[near], b[near])
         forest.link(a[near], b[near])
     tops = np.arange(len(levels[0][0]))
     tops = tops[np.diff(np.r_[levels[0][0], n]) > 1]
-    _follow(tree, 0, tops, tops, radius, forest, agree)
+    _follow(tree, 0, tops, tops, radius, forest, agree_)
     return order, forest.parent
 
 
-def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, second_radius: int = 64) -> DataFrame:
-    """(a, b): a spanning forest, by top nodes, of the links among classes (fp, fp2, cid[, bands]), distinct but for cid.
+def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, band_radius: int = 64, hot: int = HOT) -> DataFrame:
+    """(a, b): a spanning forest, by top nodes, of the links among distinct fingerprints, classes(fp[, keys, sketch]).
 
-    Classes that share one of their bands (position, key) link as well when fp2 differs in at most second_radius bits.
+    With keys of bands, classes that share one link as well if fp differs in at most band_radius bits, and all links need
+    sketches that are equal in AGREE of their least hashes.
     """
     edges = np.linspace(0, 64, blocks + 1).round().astype(int)
     choices = list(combinations(range(blocks), blocks - radius))
@@ -207,67 +226,115 @@ def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, second
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     masks = [signed(sum(mask(i) for i in c)) for c in choices]
     widths = [64 - int(sum(edges[i + 1] - edges[i] for i in c)) for c in choices]
-    keyed = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("choice", "key")
-    rows = classes.select("fp", "fp2", "cid", keyed)
-    if "bands" in classes.columns:
-        banded = classes.select("fp", "fp2", "cid", F.explode("bands").alias("band"))
-        rows = rows.unionByName(banded.select("fp", "fp2", "cid", (F.col("band.choice") + len(choices)).alias("choice"), "band.key"))
+    banded = "keys" in classes.columns
+    own = ["fp", "sketch"] if banded else ["fp"]
+    keys = F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))
+    rows = classes.select(*own, F.posexplode(F.concat(keys, F.col("keys")) if banded else keys).alias("choice", "key"))
+    # chunks of a hot top node meet two by two
+    many = materialise(rows.groupBy("choice", "key").agg(F.count("*").alias("n")).filter(F.col("n") > hot), "hot")
+    rows = rows.withColumn("pair", F.lit(0))
+    if not many.isEmpty():
+        n_chunks = F.ceil(F.col("n") / hot).cast("int")
+        chunk = F.pmod(F.xxhash64(*own), n_chunks).cast("int")
+        met = F.transform(F.sequence(F.lit(0), n_chunks - 1), lambda c: F.least(c, chunk) * n_chunks + F.greatest(c, chunk))
+        split = rows.drop("pair").join(many, ["choice", "key"], "left").select(*own, "choice", "key", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(met)).alias("pair"))
+        rows = split
+
+    def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        t = t.combine_chunks()
+        fp, choice, key, pair = (t.column(c).to_numpy() for c in ("fp", "choice", "key", "pair"))
+        if banded:
+            held = t.column("sketch").combine_chunks()
+            held = held.chunk(0) if isinstance(held, pa.ChunkedArray) else held
+            size = np.diff(held.offsets.to_numpy())
+            sketches = np.zeros((len(fp), int(size.max(initial=0))), dtype=np.uint64)
+            sketches[size > 0] = held.flatten().to_numpy().view(np.uint64).reshape(int((size > 0).sum()), sketches.shape[1])
+            enough = AGREE * 16 * sketches.shape[1]
+        # one number for a node, whatever its pair of chunks
+        node = np.cumsum(np.r_[True, (choice[1:] != choice[:-1]) | (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])])
+        for c in np.unique(choice):
+            x = np.flatnonzero(choice == c)
+            if len(x) < 2:
+                continue
+            if banded:
+                agree = lambda a, b, x=x: equal_hashes(sketches[x[a]], sketches[x[b]]) >= enough
+            else:
+                agree = lambda a, b: np.ones(len(a), dtype=bool)
+            bits, rest = fp[x].view(np.uint64), np.zeros(len(x), dtype=np.uint64)
+            if c >= len(choices):
+                order, root = linked(node[x], bits, 64, band_radius, agree)
+            else:
+                at = 0
+                for i in set(range(blocks)) - set(choices[c]):
+                    rest |= ((bits >> np.uint64(edges[i])) & np.uint64((1 << int(edges[i + 1] - edges[i])) - 1)) << np.uint64(at)
+                    at += int(edges[i + 1] - edges[i])
+                order, root = linked(node[x], rest, widths[c], radius, agree)
+            ids = fp[x][order]
+            below = np.flatnonzero(root != np.arange(len(root)))
+            if len(below):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[root[below]]), pa.array(ids[below])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
-
-        def out(t: pa.Table):
-            fp, fp2, cid, choice, key = (t.column(c).to_numpy() for c in ("fp", "fp2", "cid", "choice", "key"))
-            for c in np.unique(choice):
-                x = np.flatnonzero(choice == c)
-                if len(x) < 2:
-                    continue
-                bits, rest = fp[x].view(np.uint64), np.zeros(len(x), dtype=np.uint64)
-                if c >= len(choices):
-                    order, root = linked(key[x], fp2[x].view(np.uint64), 64, second_radius, fp2[x], second_radius)
-                else:
-                    at = 0
-                    for i in set(range(blocks)) - set(choices[c]):
-                        rest |= ((bits >> np.uint64(edges[i])) & np.uint64((1 << int(edges[i + 1] - edges[i])) - 1)) << np.uint64(at)
-                        at += int(edges[i + 1] - edges[i])
-                    order, root = linked(key[x], rest, widths[c], radius, fp2[x], second_radius)
-                ids = cid[x][order]
-                below = np.flatnonzero(root != np.arange(len(root)))
-                if len(below):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[root[below]]), pa.array(ids[below])], names=["a", "b"])
-
         for b in batches:
+            if not b.num_rows:
+                continue
             kept.append(b)
-            if sum(x.num_rows for x in kept) < 200_000:
+            if sum(x.num_rows for x in kept) < BATCH:
                 continue
-            t = pa.Table.from_batches(kept)
-            c, k = t.column("choice").to_numpy(), t.column("key").to_numpy()
-            same = (c == c[-1]) & (k == k[-1])
-            cut = t.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
-            if cut:
-                yield from out(t.slice(0, cut))
-                kept = t.slice(cut).to_batches()
+            # all but the last node, if it began in this batch
+            last = [b.column(b.schema.names.index(c)).to_numpy() for c in ("choice", "key", "pair")]
+            other = np.flatnonzero(np.any([x != x[-1] for x in last], axis=0))
+            if len(other):
+                cut = int(other[-1]) + 1
+                yield from out(pa.Table.from_batches([*kept[:-1], b.slice(0, cut)]))
+                kept = [b.slice(cut)]
         if kept:
             yield from out(pa.Table.from_batches(kept))
 
-    n = partitions(classes.sparkSession)
-    dealt = rows.repartition(n, "choice", "key").sortWithinPartitions("choice", "key")
+    by = ("choice", "key", "pair")
+    dealt = rows.repartition(partitions(classes.sparkSession), *by).sortWithinPartitions(*by)
     return dealt.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = RADIUS, blocks: int = BLOCKS, second: int | None = None, second_radius: int = 64, bands: int = 0) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of at most `radius` bits.
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = RADIUS, blocks: int = BLOCKS, bands: int = 0, band_radius: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, fp) of every row, h a hash of its text; (node, root) of every fingerprint with a link: the least one that links reach.
+
+    bands: documents that share one of so many bands of least hashes link within band_radius bits too.
+    """
+    fps = materialise(fingerprints(docs, doc_id, text, width, bands), "fingerprints")
+    # texts with one fingerprint are one node, but stand under the bands of each
+    classes = materialise(fps.select("fp", *(["sketch", "keys"] if bands else [])).distinct(), "classes")
+    return fps, components(links(classes, radius, blocks, band_radius))
+
 
-    second: words of a second fingerprint's shingles, which must differ in at most second_radius bits as well.
-    bands: documents that share one of so many bands of least hashes of those shingles link within second_radius bits too.
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of at most `radius` bits.
 
     Null and empty texts have fingerprint 0 and link like any other. Repeated rows and ties share a component; extra
-    columns are dropped; an empty table gives no row; rows with a null id have no component of their own (null).
+    columns are dropped; an empty table gives no row; where only rows with a null id are reachable, component_id is null.
+    """
+    fps, roots = groups(docs, doc_id, text, **how)
+    least = materialise(_with_root(fps.groupBy("fp").agg(F.min("doc_id").alias("m")), roots), "roots")
+    of = least.join(least.groupBy("root").agg(F.min("m").alias("component_id")), "root").select("fp", "component_id")
+    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+
+
+def _with_root(by_fp: DataFrame, roots: DataFrame) -> DataFrame:
+    return by_fp.join(roots, by_fp.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of docs without near copies: of each group the one with the smallest doc_id, a null id last, then the least
+    hash of the text, then the least of the other columns (which must have an order). All columns are kept as they are.
     """
-    fps = materialise(fingerprints(docs, doc_id, text, width, second, bands), "fingerprints")
-    own = F.flatten(F.collect_set(F.transform("bands", lambda x, k: F.struct(k.alias("choice"), x.alias("key"))))) if bands else None
-    classes = fps.filter("doc_id is not null").groupBy("fp", "fp2").agg(F.min("doc_id").alias("cid"), *([F.array_distinct(own).alias("bands")] if bands else []))
-    classes = materialise(classes, "classes")
-    found = components(links(classes, radius, blocks, second_radius))
-    roots = classes.join(found, classes.cid == found.node, "left").select("fp", "fp2", F.coalesce("root", "cid").alias("component_id"))
-    return fps.join(roots, ["fp", "fp2"], "left").select("doc_id", "fp", "component_id")
+    fps, roots = groups(docs, doc_id, text, **how)
+    key = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "h")
+    first = fps.groupBy("fp").agg(F.min(key).alias("k"))
+    first = _with_root(first, roots).groupBy("root").agg(F.min("k").alias("k"))
+    first = first.select(F.col("k.doc_id").alias("first_id"), F.col("k.h").alias("first_h"))
+    id_, h = fresh(docs, "id", "h")
+    own = docs.withColumns({id_: F.col(doc_id).cast("long"), h: F.xxhash64(text)})
+    kept = own.join(first, own[id_].eqNullSafe(first.first_id) & (own[h] == first.first_h), "left_semi")
+    rows = kept.groupBy(id_, h).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return rows.select("row.*")

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserax.llm.common import fresh
+
 #: Above so many rules (some tens of MB as a trie) rules are joined, not broadcast.
 MAX_TRIE_RULES = 100_000
 
@@ -75,8 +77,9 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str =
         found = [trie.match(h, p) or (default, None) for h, p in zip(host, path, strict=True)]
         return pd.DataFrame(found, columns=["verdict", "rule"], dtype=object)
 
-    found = df.withColumn("_found", judge("host", "path"))
-    return found.withColumns({"rule": F.col("_found.rule"), "verdict": F.col("_found.verdict")}).drop("_found")
+    (name,) = fresh(df, "found")
+    found = df.withColumn(name, judge("host", "path"))
+    return found.withColumns({"rule": F.col(name)["rule"], "verdict": F.col(name)["verdict"]}).drop(name)
 
 
 def _joined(df: DataFrame, rules: list[tuple[str, str, str]], default: str) -> DataFrame:
@@ -92,6 +95,7 @@ def _joined(df: DataFrame, rules: list[tuple[str, str, str]], default: str) -> D
     fits = keys.join(r, ["rule_host", "stem"]).filter(F.col("path").startswith(F.col("rule_path")))
     rule = F.concat("rule_host", "rule_path")
     rank = F.struct(F.length(rule).alias("n"), F.length("rule_host").alias("h"), F.col("v").alias("verdict"), rule.alias("rule"))
-    best = fits.groupBy("host", "path").agg(F.max(rank).alias("_best"))
+    (name,) = fresh(df, "best")
+    best = fits.groupBy("host", "path").agg(F.max(rank).alias(name))
     out = df.join(best, ["host", "path"], "left")
-    return out.withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce(F.col("_best.verdict"), F.lit(default))}).drop("_best")
+    return out.withColumns({"rule": F.col(name)["rule"], "verdict": F.coalesce(F.col(name)["verdict"], F.lit(default))}).drop(name)

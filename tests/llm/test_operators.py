@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -48,7 +49,7 @@ def test_urls_by_trie_and_by_join(spark):
     hosts = ["com", "a.com", "Example.COM", "www.example.com", "b.example.com", "x.net", "net", "notexample.com", "a.org", "", "example.com."]
     paths = ["", "/", "/en/", "/en", "/en/deep/erx", "/es/1", "/fr/", "/x/partial", "//", "/en//?q#f", "?x", "#y"]
     urls = [f"https://{h}{p}" for h in hosts for p in paths] + [None, "", "no scheme", "a://b://c.com/"]
-    df = spark.createDataFrame([(k, u, "mine", 5) for k, u in enumerate(urls)], "page_id int, url string, host string, verdict int")
+    df = spark.createDataFrame([(k, u, "mine", 5, 6, 7) for k, u in enumerate(urls)], "page_id int, url string, host string, verdict int, _found int, _best int")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in U.filter_urls(df, rules).collect()}
     joined = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in U._joined(U.with_host_and_path(df), rules, "allow").collect()}
     assert got == joined and len(got) == len(urls)
@@ -59,6 +60,7 @@ def test_urls_by_trie_and_by_join(spark):
         fits = [(len(h) + len(p), len(h), v, h + p) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
         best = max(fits) if fits else (0, 0, "allow", None)
         assert got[k] == (host, path, best[3], best[2]), u
+    assert {(r._found, r._best) for r in U.filter_urls(df, rules).collect()} == {(6, 7)} == {(r._found, r._best) for r in U._joined(U.with_host_and_path(df), rules, "allow").collect()}
     assert U.filter_urls(df.limit(0), rules).count() == 0 and U.filter_urls(df, []).filter("rule is not null").count() == 0
 
 
@@ -95,37 +97,59 @@ def test_near_duplicates(spark, docs, none):
     assert H.near_duplicates(none).count() == 0
 
 
-def test_near_copies_beyond_the_radius_of_the_first_fingerprint(spark):
+def similarity(a, b):
+    from tesserax.llm import simhash as H
+
+    x, y = (set(H.shingles(t, 5).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_at_a_similarity_of_0_8(spark):
     import corpus_pipeline as P
     from tesserax.llm import simhash as H
 
-    r, pairs = random.Random(11), []
-    while len(pairs) < 8:
-        own = words(200, r.randrange(10**6)).split()
+    r, rows, want = random.Random(11), [], {}
+    for k in range(120):
+        own = words(r.randrange(60, 400), r.randrange(10**6)).split()
         edited = list(own)
-        for at in r.sample(range(200), 4):
-            edited[at] = f"edit{at}"
-        a, b = (set(H.shingles(" ".join(x), 5).tolist()) for x in (own, edited))
-        d2, d5 = ((H.fingerprint(" ".join(own), k) ^ H.fingerprint(" ".join(edited), k)).bit_count() for k in (2, 5))
-        if len(a & b) >= 0.8 * len(a | b) and d2 > P.NEAR["radius"] and d5 <= P.NEAR["second_radius"]:
-            pairs.append((" ".join(own), " ".join(edited)))
-    rows = [(2 * k + j, t) for k, pair in enumerate(pairs) for j, t in enumerate(pair)]
-    got = {x.doc_id: x.component_id for x in H.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **P.NEAR).collect()}
-    assert got == {i: i - i % 2 for i, _ in rows}
-
-
-@pytest.mark.parametrize(("radius", "blocks", "confirm"), [(3, 5, False), (6, 9, False), (7, 10, True)])
-def test_index_loses_no_link(spark, radius, blocks, confirm):
+        at = 0
+        while similarity(" ".join(own), " ".join(edited)) > 0.87:
+            edited[r.randrange(len(own))] = f"edit{k}x{at}"
+            at += 1
+        if similarity(" ".join(own), " ".join(edited)) < 0.8:
+            continue
+        other = own[: len(own) // 3] + words(2 * len(own) // 3, r.randrange(10**6)).split()  # a shared passage is no copy
+        rows += [(3 * k + j, " ".join(t)) for j, t in enumerate((own, edited, other))]
+        want |= {3 * k: 3 * k, 3 * k + 1: 3 * k, 3 * k + 2: 3 * k + 2}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in H.near_duplicates(df, **P.NEAR).collect()}
+    wrong = sum(got[i] != want[i] for i in want)
+    assert len(want) > 150 and wrong <= 2, wrong
+    assert sorted(x.doc_id for x in H.one_of_each(df, **P.NEAR).collect()) == sorted({got[i] for i in want})
+
+
+def test_one_of_each_by_row(spark):
+    from tesserax.llm import simhash as H
+
+    a, b = words(80, 1), words(80, 2)
+    rows = [(1, a, 5), (2, a, 6), (2, b, 7), (None, b, 8), (None, words(80, 3), 9), (3, "", 1), (4, None, 2), (5, b, 3), (2, b, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _h int").repartition(3)
+    assert sorted(map(tuple, H.one_of_each(df, width=5, bands=16, band_radius=18).collect()), key=str) == sorted([(1, a, 5), (2, b, 4), (None, words(80, 3), 9), (3, "", 1)], key=str)
+    assert H.one_of_each(df.limit(0), width=5, bands=16, band_radius=18).count() == 0
+
+
+@pytest.mark.parametrize(("radius", "blocks", "hot", "batch"), [(3, 5, 10**6, 10**6), (6, 9, 10**6, 50), (3, 5, 20, 50)])
+def test_index_loses_no_link(spark, radius, blocks, hot, batch, monkeypatch):
     from tesserax.llm import simhash as H
 
+    monkeypatch.setattr(H, "BATCH", batch)
     r = random.Random(4)
     seeds = [r.getrandbits(64) for _ in range(30)]
-    codes = sorted({s ^ sum(1 << r.randrange(64) for _ in range(r.randrange(5))) & (2**64 - 1) for s in seeds for _ in range(20)})
+    codes = sorted({s ^ sum(1 << r.randrange(64) for _ in range(r.randrange(5))) & (2**64 - 1) for s in seeds for _ in range(40)})
     signed = [c - 2**64 if c >> 63 else c for c in codes]
-    second = [k % 2 * 255 for k in range(len(codes))] if confirm else [0] * len(codes)
-    classes = spark.createDataFrame([(f, g, k) for k, (f, g) in enumerate(zip(signed, second, strict=True))], "fp long, fp2 long, cid long")
-    found = {r.node: r.root for r in H.components(H.links(classes, radius, blocks, 7)).collect()}
-    parent = list(range(len(codes)))
+    classes = spark.createDataFrame([(f,) for f in signed], "fp long")
+    found = {r.node: r.root for r in H.components(H.links(classes, radius, blocks, hot=hot)).collect()}
+    parent = {f: f for f in signed}
 
     def find(x):
         while parent[x] != x:
@@ -134,10 +158,19 @@ def test_index_loses_no_link(spark, radius, blocks, confirm):
 
     for i in range(len(codes)):
         for j in range(i):
-            if (codes[i] ^ codes[j]).bit_count() <= radius and second[i] == second[j]:
-                a, b = find(i), find(j)
+            if (codes[i] ^ codes[j]).bit_count() <= radius:
+                a, b = find(signed[i]), find(signed[j])
                 parent[max(a, b)] = min(a, b)
-    assert all(found.get(k, k) == find(k) for k in range(len(codes)))
+    assert all(found.get(f, f) == find(f) for f in signed)
+
+
+def test_hubs_are_contracted(spark, monkeypatch):
+    from tesserax.operators import components as C
+
+    monkeypatch.setattr(C, "HUB", 10)
+    edges = [(0, k) for k in range(1, 60)] + [(k, k + 1) for k in range(100, 140)] + [(59, 140), (200, 201)]
+    got = {r.node: r.root for r in C.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys([*range(1, 60), *range(100, 141)], 0) | {201: 200}
 
 
 # 3
@@ -270,9 +303,13 @@ def test_language(spark, docs, none):
     got = G.identify(docs, model).collect()
     assert len(got) == len(fixture_rows())
     for r in got:
-        assert (r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or "")) and 0 <= r.score <= 1
+        assert (r.lang_pred == "und") == (not any(unicodedata.category(c)[0] == "L" for c in r.text or "")) and 0 <= r.score <= 1
         assert r.lang_pred != "und" or r.rejected
     assert G.identify(none, model).count() == 0 and G.fit(none) == {}
+    numbers = spark.createDataFrame([(t, "mine", "own") for t in ("½", "²³", "Ⅷ", "①", "_", "٣")], "text string, _found string, score string")
+    assert {r.lang_pred for r in G.identify(numbers, model).collect()} == {"und"} and G.identified(numbers, model).count() == 0
+    clash = spark.createDataFrame([("the " * 30, "mine", "own")], "text string, _found string, score string")
+    assert tuple(G.identified(clash, model).first()) == ("the " * 30, "mine", "own") and G.identify(clash, model).first()._found == "mine"
     found = G.identify_held_out(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").alias("a")
     true = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     assert found.join(true, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
@@ -442,6 +479,21 @@ def test_mix(spark, docs, none):
     assert all(math.isclose(target[s], want[s]) for s in size)
     assert X.mix(none).count() == 0 and X.mixed_copies(docs).columns == docs.columns
     assert X.mixed_copies(docs).count() == sum(r.copies for r in got)
+    clash = docs.withColumns({c: F.lit(k) for k, c in enumerate(("size", "copies", "_copy", "_source", "_draw", "target"), 777)})
+    assert {(r["size"], r["copies"], r["_copy"], r["_source"], r["_draw"], r["target"]) for r in X.mixed_copies(clash).collect()} == {tuple(range(777, 783))}
+    assert {(r["_copy"], r["_source"]) for r in X.mix(clash).collect()} == {(779, 780)}
+
+
+def test_mix_of_null_and_repeated_ids(spark):
+    from tesserax.llm import mixing as X
+
+    rows = [(None, "a b c d", "x")] * 1000 + [(7, "a b c d", "x")] * 500 + [(k, "a b c d", "x") for k in range(100, 600)] + [(k, "e", "y") for k in range(1000, 1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for how in (df.repartition(3), df.repartition(7, "text")):
+        got = X.mix(how, weights=(5, 1)).filter("source = 'x'").agg(F.sum("taken"), F.first("target")).first()
+        assert abs(got[0] - got[1]) < 0.05 * got[1]
+    one, two = (sorted(map(tuple, X.mix(x, weights=(5, 1)).select("doc_id", "text", "taken").collect()), key=str) for x in (df.repartition(3), df.coalesce(1)))
+    assert one == two
 
 
 # 10
@@ -483,7 +535,8 @@ def test_pipeline(spark, docs, none):
     assert out.count() == counts[3]
     for _, stage in P.STAGES:
         assert stage(spark, none.select(*raw.columns), SF).count() == 0
-    odd = docs.select(*raw.columns)
+    odd = docs.select(*raw.columns, F.lit(777).alias("size"), F.lit(888).alias("copies"), F.lit("mine").alias("score"), F.lit(9).alias("_found"), F.lit(8).alias("_h"))
+    columns = odd.columns
     for _, stage in P.STAGES[:-1]:
         odd = P.materialise(stage(spark, odd, SF))
-    assert odd.columns == raw.columns
+    assert odd.columns == columns and {tuple(r)[-5:] for r in odd.collect()} == {(777, 888, "mine", 9, 8)}
