@@ -8,30 +8,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserax.llm.common import materialise, table
+from tesserax.llm.common import held_out, materialise, table
 from tesserax.llm.decontaminate import decontaminate
-from tesserax.llm.language_id import fit, identify
+from tesserax.llm.language_id import fit, identified
 from tesserax.llm.mixing import mixed_copies
 from tesserax.llm.queries import byte_bpe
-from tesserax.llm.simhash import near_duplicates
+from tesserax.llm.simhash import one_of_each
 from tesserax.llm.tokens import tokenize
 
-#: Near copies here: fingerprints of two-word shingles, which few edits change, differ in at most radius bits, or bands of
-#: least hashes of five-word shingles meet; and fingerprints of those in at most second_radius, about what a similarity of 0.8 gives.
-NEAR = {"width": 2, "radius": 7, "blocks": 10, "second": 5, "second_radius": 14, "bands": 16}
+#: Near copies here: a similarity of 0.8 or more over five-word shingles. Their fingerprints differ in about 10 bits then,
+#: so besides the blocks' top nodes, where 3 bits may differ, bands of least hashes have nodes where 18 may.
+NEAR = {"width": 5, "radius": 3, "blocks": 5, "bands": 16, "band_radius": 18}
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what language identification rejects: no letters, or no language ahead of the others."""
-    return identify(docs, fit(docs)).filter(~F.col("rejected")).select(*docs.columns)
+    """Drops what language identification rejects: no letters, or no language ahead of the others. Held-out rows teach nothing."""
+    return identified(docs, fit(docs.filter(~F.coalesce(held_out(), F.lit(False)))))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies the row with the smallest doc_id (one, if it is repeated); rows without an id stay."""
-    found = near_duplicates(docs, **NEAR)
-    first = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """Keeps of each group of near copies one row: that with the smallest doc_id, a null id last."""
+    return one_of_each(docs, **NEAR)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
