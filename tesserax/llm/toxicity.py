@@ -1,15 +1,21 @@
 """Toxicity: a learned lexicon in a trie, intersected with Levenshtein automata, and scores of the hits' context windows.
 
 Terms are words that labelled toxic documents have far oftener than others, in several different contexts, so that copies
-of one document teach nothing. They are learned from at most LEXICON_ROWS labelled documents, the weights from MAX_ROWS. The trie and the automata run as one: a state is the set of (trie node, edits so far) that
-a word's letters can reach, worked out when first met and remembered, so most words end after two or three letters.
-A window of words around a hit tells whether it stands in quotation (quotation marks around it, words of reporting) or is
-addressed to someone. A logistic model over the counts of hits by kind and window gives the score.
+of one document teach nothing. They are learned from at most LEXICON_ROWS labelled documents, the weights from MAX_ROWS of
+those. The trie and the automata run as one: a state is the set of (trie node, edits so far) that a word's letters can
+reach, worked out when first met and remembered, so most words end after two or three letters. A near word that clean
+documents have often is a word of its own, no misspelling, and a term with many such neighbours is matched exactly.
+
+The window of words around a hit tells whether it stands in quotation (between a pair of marks, or after a word of reporting)
+or is addressed to someone. A logistic model over the counts of hits by kind and window gives the score. Labelled rows hold
+few misspelled and quoted terms, so some training rows are taken again with one put in: a misspelled term makes the row
+toxic, a quoted one leaves it as it is.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserax.llm.common import held_out
+from tesserax.llm.common import held_out, materialise
 
 #: Bounds of what executors get and the model is fitted on: terms; labelled rows for the lexicon and for the weights.
 MAX_TERMS, LEXICON_ROWS, MAX_ROWS = 4000, 40_000, 20_000
@@ -27,11 +33,15 @@ EVIDENCE, PRECISION, CONTEXTS = 12.0, 0.8, 4
 ONE_EDIT, TWO_EDITS = 5, 10
 WINDOW = 6
 THRESHOLD = 0.3
+#: Clean documents of the sample that make a near word one of its own, and the bound of such words.
+OWN_WORD, MAX_OWN = 3, 20_000
+#: One in so many training rows is taken again with a term put in; such rows together weigh MADE times as much as the toxic ones.
+MADE_ROWS, MADE = 4, 0.5
 # Marks and words of quotation, words of address.
-QUOTES = frozenset('"“”„«»')
+QUOTED = re.compile(r"""(?<![^\s(])["“„«]\s?[^"“”„«»\n]{1,200}?["“”»](?!\w)""")
 REPORTING = frozenset("said says wrote called quote quoted reported dit écrit appelé citation sagte schrieb nannte zitat dijo escribió llamó cita".split())
 ADDRESS = frozenset("you your youre tu toi vous du dich dein ihr usted ustedes".split())
-TOKEN = re.compile(r'["“”„«»]|[^\W_]+')
+TOKEN = re.compile(r"[^\W_]+")
 #: Steps of the automaton a worker remembers.
 REMEMBERED = 500_000
 
@@ -52,10 +62,8 @@ def term_counts(labelled: DataFrame) -> DataFrame:
     )
 
 
-def lexicon(labelled: DataFrame) -> dict[str, float]:
-    """term: log odds of toxicity, for the MAX_TERMS terms with most evidence."""
-    counts = term_counts(labelled)
-    n_toxic, n = labelled.agg(F.count_if(F.col("toxic") == 1), F.count("*")).first()
+def lexicon(counts: DataFrame, n_toxic: int, n: int) -> dict[str, float]:
+    """term: log odds of toxicity, for the MAX_TERMS terms with most evidence, from term_counts of n rows."""
     if not n_toxic or n_toxic == n:
         return {}
     base = n_toxic / n
@@ -68,13 +76,30 @@ def lexicon(labelled: DataFrame) -> dict[str, float]:
     return {r["term"]: r["odds"] for r in top.collect()}
 
 
+def near_words(counts: DataFrame, terms: dict[str, float]) -> tuple[frozenset[str], frozenset[str]]:
+    """Words near a term, but none, of OWN_WORD clean documents or more, the MAX_OWN most frequent of them; and the terms
+    whose near words clean documents have as often as toxic ones: these are matched exactly."""
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine = LexiconAutomaton(terms)
+        for x in batches:
+            hits = [machine.match(w) for w in x["term"]]
+            yield x.assign(of=[h and h[0] for h in hits])[[h is not None and h[1] > 0 for h in hits]]
+
+    found = materialise(counts.select("term", "toxic", "clean").mapInPandas(near, "term string, toxic long, clean long, of string"), "near")
+    own = found.filter(F.col("clean") >= OWN_WORD).filter(F.col("clean") > 2 * F.col("toxic")).orderBy(F.col("clean").desc(), "term").limit(MAX_OWN)
+    by_term = found.groupBy("of").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    exact = by_term.filter(F.col("clean") >= OWN_WORD).filter(F.col("clean") >= F.col("toxic"))
+    return frozenset(r["term"] for r in own.collect()), frozenset(r["of"] for r in exact.collect())
+
+
 class LexiconAutomaton:
     """All words within each term's edits of it, as a machine made while it is used."""
 
-    def __init__(self, terms: dict[str, float]):
+    def __init__(self, terms: dict[str, float], exact: frozenset[str] = frozenset()):
         self.children, self.word, self.budget = [{}], [None], [0]
         for term in terms:
-            edits, at = (len(term) >= ONE_EDIT) + (len(term) >= TWO_EDITS), 0
+            edits, at = (term not in exact) * ((len(term) >= ONE_EDIT) + (len(term) >= TWO_EDITS)), 0
             self.budget[0] = max(self.budget[0], edits)
             for c in term:
                 if c not in self.children[at]:
@@ -131,95 +156,158 @@ class LexiconAutomaton:
 
 
 class Features:
-    """Of a text: log counts of hits, exact and misspelled, in plain and in quoting windows, addressed ones, and the largest log odds."""
+    """Of a text: log counts of hits, exact and misspelled, in plain and in quoting windows, addressed ones, and the largest log odds of a plain hit."""
 
     SIZE = 6
 
-    def __init__(self, terms: dict[str, float]):
-        self.terms, self.machine, self.known = terms, LexiconAutomaton(terms), {}
+    def __init__(self, terms: dict[str, float], own: frozenset[str] = frozenset(), exact: frozenset[str] = frozenset()):
+        self.terms, self.own, self.machine, self.known = terms, own, LexiconAutomaton(terms, exact), {}
 
     def __call__(self, text: str | None) -> list[float]:
         out = [0.0] * self.SIZE
         if not text or not self.terms:
             return out
-        tokens, known = TOKEN.findall(text.lower()), self.known
+        text, known = text.lower(), self.known
+        tokens = TOKEN.findall(text)
         new = set(tokens).difference(known)
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             new = set(tokens)
         for w in new:
-            known[w] = self.machine.match(w)
-        quotes = 0
-        for k, w in enumerate(tokens):
-            if w in QUOTES:
-                quotes += 1
-            hit = known[w]
-            if hit is None:
-                continue
-            window = tokens[max(0, k - WINDOW) : k + WINDOW + 1]
-            quoted = sum(x in QUOTES for x in window) >= 2 or quotes % 2 == 1 or any(x in REPORTING for x in window)
+            known[w] = None if w in self.own else self.machine.match(w)
+        hits = [k for k, w in enumerate(tokens) if known[w] is not None]
+        if not hits:
+            return out
+        marked = self._marked(text)
+        for k in hits:
+            hit = known[tokens[k]]
+            quoted = marked[k] or any(x in REPORTING for x in tokens[max(0, k - WINDOW) : k])
             out[2 * quoted + (hit[1] > 0)] += 1
-            out[4] += not quoted and any(x in ADDRESS for x in window)
-            out[5] = max(out[5], self.terms[hit[0]] / (1 + hit[1]))
+            if not quoted:
+                out[4] += any(x in ADDRESS for x in tokens[max(0, k - WINDOW) : k + WINDOW + 1])
+                out[5] = max(out[5], self.terms[hit[0]] / (1 + hit[1]))
         return [*np.log1p(out[:5]).tolist(), out[5]]
 
-
-def fit(labelled: DataFrame) -> tuple[dict[str, float], np.ndarray]:
-    """Lexicon and weights (the last is the constant) from labelled(doc_id, text, toxic)."""
-    terms = lexicon(labelled.select("text", "toxic"))
-    n = labelled.count()
-    share = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * min(1, MAX_ROWS / max(n, 1)))
-    rows = with_features(labelled.filter(share), terms).select("f", "toxic").limit(2 * MAX_ROWS).collect()
+    @staticmethod
+    def _marked(text: str) -> list[bool]:
+        """Whether each token stands between a mark that opens and one that closes a quotation soon after."""
+        spans, out, at = [m.span() for m in QUOTED.finditer(text)], [], 0
+        for m in TOKEN.finditer(text):
+            while at < len(spans) and spans[at][1] <= m.start():
+                at += 1
+            out.append(at < len(spans) and spans[at][0] <= m.start())
+        return out
+
+
+def misspelled(term: str, seed: int) -> str:
+    """The term with one letter changed, doubled or left out, not the first; terms too short to be matched so stay."""
+    if len(term) < ONE_EDIT:
+        return term
+    at = 1 + seed % (len(term) - 1)
+    letter = term[(at + 1 + seed // 97 % (len(term) - 1)) % len(term)]
+    return term[:at] + (letter, term[at] * 2, "")[seed // 7 % 3] + term[at + 1 :]
+
+
+def made_rows(text: str, terms: list[str], seed: int) -> list[tuple[str, int | None]]:
+    """The text with a misspelled term put in, toxic; with a quoted one, exact and misspelled, no more toxic than it is (None)."""
+    words, term = text.split(" "), terms[seed % len(terms)]
+    at = seed // 11 % (len(words) + 1)
+    put = lambda x: " ".join([*words[:at], x, *words[at:]])
+    wrong = misspelled(term, seed)
+    return [(put(wrong), 1), (put(f'said "{term}"'), None), (put(f'"{wrong}"'), None)]
+
+
+def training_vectors(labelled: DataFrame, terms: dict[str, float], own: frozenset[str], exact: frozenset[str]) -> DataFrame:
+    """(f, toxic, made): feature vectors of labelled rows, and of those made of one in MADE_ROWS."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, names = Features(terms, own, exact), sorted(set(terms) - exact)
+        for x in batches:
+            rows = []
+            for doc, text, toxic in zip(x["doc_id"], x["text"], x["toxic"], strict=True):
+                rows.append((of(text), int(toxic), False))
+                seed = zlib.crc32(str(doc).encode())
+                if names and seed % MADE_ROWS == 0:
+                    rows += [(of(t), int(toxic) if y is None else y, True) for t, y in made_rows(text or "", names, seed // MADE_ROWS)]
+            yield pd.DataFrame(rows, columns=["f", "toxic", "made"])
+
+    return labelled.select("doc_id", "text", "toxic").mapInPandas(run, "f array<double>, toxic int, made boolean")
+
+
+class Model:
+    """Lexicon, near words that are none of it, terms matched exactly, and weights, of which the last is the constant."""
+
+    def __init__(self, terms: dict[str, float], own: frozenset[str], exact: frozenset[str], weights: np.ndarray):
+        self.terms, self.own, self.exact, self.weights = terms, own, exact, weights
+
+
+def fit(labelled: DataFrame) -> Model:
+    """The model of labelled(doc_id, text, toxic), which is written once; the rows for the weights are those of the least hashes."""
+    labelled = materialise(labelled, "labelled")
+    counts = materialise(term_counts(labelled.select("text", "toxic")), "terms")
+    terms = lexicon(counts, *labelled.agg(F.count_if(F.col("toxic") == 1), F.count("*")).first())
+    own, exact = near_words(counts, terms) if terms else (frozenset(), frozenset())
+    some = labelled.orderBy(F.xxhash64("doc_id", "text", F.lit(3)), "doc_id").limit(MAX_ROWS)
+    rows = training_vectors(some, terms, own, exact).collect()
     x = np.array([[*r["f"], 1.0] for r in rows]).reshape(-1, Features.SIZE + 1)
-    return terms, logistic(x, np.array([r["toxic"] for r in rows], dtype=float))
+    y, made = (np.array([r[c] for r in rows], dtype=float) for c in ("toxic", "made"))
+    real = max(1.0, ((y == 1) & (made == 0)).sum())
+    weight = np.where(made == 1, MADE * real / max(1.0, ((y == 1) & (made == 1)).sum()), 1.0)
+    return Model(terms, own, exact, evidence_only(x, y, weight))
+
+
+def evidence_only(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights of which none but the constant is negative: no hit speaks for a text. Features that would be are left out, the most negative first."""
+    used, w = np.ones(x.shape[1], dtype=bool), np.zeros(x.shape[1])
+    while True:
+        w[:] = 0
+        w[used] = logistic(x[:, used], y, weight)
+        if not len(x) or w[:-1].min() >= 0:
+            return w
+        used[int(w[:-1].argmin())] = False
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 30) -> np.ndarray:
-    """Newton's method for ridge logistic regression; without rows all weights are 0."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05, rounds: int = 30) -> np.ndarray:
+    """Newton's method for weighted ridge logistic regression; without rows all weights are 0."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds if len(x) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (weight * (p - y)) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def with_features(docs: DataFrame, terms: dict[str, float]) -> DataFrame:
-    @F.pandas_udf("array<double>")
-    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        of = Features(terms)
-        for texts in batches:
-            yield pd.Series([of(t) for t in texts])
-
-    return docs.withColumn("f", features("text"))
-
-
-def score(docs: DataFrame, terms: dict[str, float], weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score >= threshold).
 
     Null and empty texts have the score of a text without a hit. Texts of any length are read whole. Columns of these
-    names are replaced, others kept; repeated rows are scored each.
+    names are replaced, all others kept; repeated rows are scored each.
     """
-    w = [float(x) for x in weights]
-    z = sum((F.col("f")[k] * w[k] for k in range(Features.SIZE)), F.lit(w[-1]))
-    out = with_features(docs, terms).withColumn("score", 1 / (1 + F.exp(-z))).drop("f")
+    terms, own, exact, w = model.terms, model.own, model.exact, np.array(model.weights, dtype=float)
+
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        of = Features(terms, own, exact)
+        for texts in batches:
+            yield pd.Series([1 / (1 + np.exp(-(np.array(of(t)) @ w[:-1] + w[-1]))) for t in texts], dtype=float)
+
+    out = docs.withColumn("score", scored("text"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = LEXICON_ROWS) -> DataFrame:
-    """(doc_id, text, toxic) of at most `rows` labelled documents that are not held out, picked by a hash of the id.
+    """(doc_id, text, toxic) of at most `rows` labelled ids that are not held out: those of the least hashes.
 
     The labels picked are few by this bound, so they go to the documents and no text is shuffled.
     """
     own = labels.filter("toxic is not null").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = min(1.0, rows / max(1, own.count()))
-    picked = own.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * share)).limit(rows)
+    picked = own.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(rows)
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
 
 def toxicity_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) with a model of labelled documents that are not held out."""
-    terms, weights = fit(training_rows(docs, labels))
-    return score(docs.select("doc_id", "text"), terms, weights).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    model = fit(training_rows(docs, labels))
+    return score(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", "predicted")

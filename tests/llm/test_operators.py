@@ -205,15 +205,39 @@ def test_toxicity(spark, docs, none):
 
     r = random.Random(5)
     train = [(k, words(40, k) + (f" {words(1, k + 999)} {r.choice(['rotten', 'foolish'])} {words(5, k)}" if k % 5 == 0 else ""), int(k % 5 == 0)) for k in range(400)]
-    terms, weights = T.fit(spark.createDataFrame(train, "doc_id long, text string, toxic int"))
-    assert set(terms) == {"rotten", "foolish"}
-    texts = [(1, "you are foolish today", 1), (2, "you are folish today", 1), (3, "nice day", 0), (4, None, 0), (5, "", 0)]
-    got = {x.doc_id: x for x in T.score(spark.createDataFrame(texts, "doc_id long, text string, want int"), terms, weights).collect()}
-    assert got[1].predicted == 1 and got[3].predicted == 0 and got[4].score == got[5].score == got[3].score and got[2].score >= got[3].score
-    assert T.score(docs, terms, weights).count() == docs.count() and T.score(none, terms, weights).count() == 0
-    assert T.fit(spark.createDataFrame([], "doc_id long, text string, toxic int"))[0] == {}
+    train = spark.createDataFrame(train, "doc_id long, text string, toxic int").repartition(3)
+    model = T.fit(train)
+    assert set(model.terms) == {"rotten", "foolish"} and (T.fit(train.repartition(5)).weights == model.weights).all()
+    texts = ["you are foolish today", "you are folish today", "nice day", None, "", 'the report said someone shouted "foolish" at them', 'they wrote "foolsh"', 'a 5" pipe and you are a rotten thing', "you are a rotten thing", "« rotten »"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"f": F.lit(7), "_f": F.lit(8)})
+    got = {x.doc_id: x for x in T.score(df, model).collect()}
+    assert [got[k].predicted for k in range(10)] == [1, 1, 0, 0, 0, 0, 0, 1, 1, 0]
+    assert got[3].score == got[4].score == got[2].score and got[7].score == got[8].score and {(x.f, x._f) for x in got.values()} == {(7, 8)}
+    assert T.score(docs, model).count() == docs.count() and T.score(none, model).count() == 0
+    assert T.fit(spark.createDataFrame([], "doc_id long, text string, toxic int")).terms == {}
     quote = T.Features({"idiot": 3.0})
-    assert quote('he said "idiot" twice')[2] > 0 and quote("you idiot")[0] > 0 and quote("you idiot")[4] > 0
+    assert quote('it was "idiot" twice')[2] > 0 and quote("you idiot")[0] > 0 and quote("you idiot")[4] > 0
+    own = T.Features({"idiot": 3.0}, frozenset({"idiom"}))
+    assert own("an idiom") == [0.0] * 6 and own("an idiod")[1] > 0 and T.Features({"idiot": 3.0}, exact=frozenset({"idiot"}))("an idiod") == [0.0] * 6
+
+
+def test_training_rows_do_not_depend_on_partitions(spark):
+    from tesserax.llm import toxicity as T
+
+    docs = spark.createDataFrame([(k, f"t{k}") for k in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(0, 300, 2)], "doc_id long, toxic int")
+    picks = [sorted(r.doc_id for r in T.training_rows(docs.repartition(n), labels.repartition(n), 40).collect()) for n in (2, 7, 33)]
+    assert picks[0] == picks[1] == picks[2] and len(picks[0]) == 40
+
+
+def test_toxicity_held_out_accuracy(spark):
+    from tesserax.llm import toxicity as T
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    got = T.toxicity_held_out(docs.join(labels, "doc_id", "left_semi"), labels).filter("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r.toxic, r.predicted): r["count"] for r in got}
+    assert n[1, 1] / (n[1, 1] + n[1, 0]) > 0.88 and n[1, 1] / (n[1, 1] + n[0, 1]) > 0.88, n
 
 
 # 4
