@@ -1,35 +1,75 @@
-"""Benchmark decontamination: word n-grams of test items seed, Smith-Waterman alignment decides.
-
-Items are taken in blocks of at most BLOCK_CHARS characters, the proven bound of what an executor holds; a longer benchmark
-takes more passes over the documents, with the same results. Within a pass documents stay where they are: a document's
-words become the benchmark's word numbers, windows of n known words are looked up among the block's seeds (every window of
-every item, however many items share it), and each run of hits of an item is aligned, word by word, with the item. Items
-with too few words in the document or the passage to reach the score are not aligned. The score is the alignment's over the item's own.
+"""Benchmark decontamination: rare word n-grams of test items seed, Smith-Waterman alignment decides.
+
+1. An item's seeds are, of every STRETCH n-grams in a row, the one that fewest items have, counted over the whole benchmark:
+   so each passage of an item has seeds, the rarest it offers, however many items share it.
+2. Documents are read once. A Bloom filter of the seeds, of bounded size, goes to the tasks; what passes leaves a document's
+   word hashes with the places of its candidate n-grams. Exact copies of a text are one from here on.
+3. Candidates join the seeds, and each pair of text and item is aligned, word by word, around its seeds; pairs that have too
+   few words in common to reach the score are not aligned. The score is the alignment's over the item's own.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserax.llm.common import fresh, materialise, partitions
+
 WIDTH = 5
+STRETCH = 8
 MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 1, -1, 1
-BLOCK_CHARS = 16_000_000
-TOKEN = re.compile(r"[^\W_]+")
-
-
-def words(text: str | None) -> list[str]:
-    return TOKEN.findall(text.lower()) if text else []
+#: Bits of the filter for each seed, and its least and greatest size: 128 MB at most.
+SEED_BITS, FEWEST_BITS, MOST_BITS = 64, 1 << 16, 1 << 30
+#: Rows of found texts up to which they are broadcast.
+FEW_FOUND = 500_000
+SEPARATOR = r"[^\pL\pN]+"
+_POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (runs of letters and numbers, lower-cased) of some texts, and where each text's begin and end."""
+    lists = pc.split_pattern_regex(pc.utf8_lower(texts.cast(pa.large_string()).fill_null("")), SEPARATOR)
+    coded = lists.flatten().dictionary_encode()
+    names = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
+    index = coded.indices.to_numpy()
+    full = np.array([len(x) > 0 for x in names], dtype=bool)[index]
+    ends = np.r_[0, np.cumsum(full)][lists.offsets.to_numpy()]
+    return hashes[index[full]], ends.astype(np.int64)
+
+
+def grams(words: np.ndarray, ends: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place in it, hash) of every `width` words in a row; of a shorter text, of all its words together."""
+    size, none = np.diff(ends), np.zeros(0, dtype=np.int64)
+    h = np.zeros(max(0, len(words) - width + 1), dtype=np.uint64)
+    for k in range(width if len(h) else 0):
+        h += _mixed(words[k : k + len(h)] ^ _POWERS[k % 5]) * _POWERS[k % 5]
+    of = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(words)) - np.repeat(ends[:-1], size)
+    whole = np.flatnonzero(place[: len(h)] + width <= size[of[: len(h)]]) if len(h) else none
+    texts, places, found = [of[whole]], [place[whole]], [_mixed(h[whole])]
+    for t in np.flatnonzero((size > 0) & (size < width)).tolist():
+        own = words[ends[t] : ends[t + 1]]
+        texts.append(np.array([t]))
+        places.append(np.array([0]))
+        found.append(_mixed((_mixed(own ^ _POWERS[: len(own)]) * _POWERS[: len(own)]).sum(keepdims=True) + np.uint64(len(own))))
+    return np.concatenate(texts), np.concatenate(places), np.concatenate(found)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
 
 
 def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
-    """Best local alignment score of two sequences of word numbers, and where in the passage it ends."""
+    """Best local alignment score of two sequences of words, and where in the passage it ends."""
     slope = GAP * np.arange(len(passage) + 1)
     row, best, end = np.zeros(len(passage) + 1, dtype=np.int64), 0, 0
     for w in item:
@@ -42,147 +82,133 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-class Benchmark:
-    """Seeds and word numbers of a block of items (item_id, text)."""
-
-    def __init__(self, items: list[tuple[int, str]], width: int = WIDTH):
-        self.vocabulary: dict[str, int] = {}
-        self.width, self.items = width, []
-        for item, text in items:
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], dtype=np.int64)
-            if len(ids):
-                self.items.append((item, ids))
-        self.sizes = np.array([len(x) for _, x in self.items], dtype=np.int64)
-        self.starts, self.words = np.cumsum(self.sizes) - self.sizes, np.concatenate([x for _, x in self.items] or [self.sizes])
-        self.widths = sorted({min(width, int(n)) for n in self.sizes})
-        grams = [np.unique(self._grams(x)) for _, x in self.items]
-        of = np.repeat(np.arange(len(grams)), [len(x) for x in grams])
-        found = np.concatenate(grams or [self.sizes])
-        order = np.argsort(found, kind="stable")
-        self.by_seed = of[order]
-        self.hashes, self.first, self.shared = np.unique(found[order], return_index=True, return_counts=True)
-        self.present = np.zeros(len(self.vocabulary) + 1, dtype=bool)
-
-    def _grams(self, ids: np.ndarray, width: int | None = None) -> np.ndarray:
-        """Hashes of the windows of `width` words; of a shorter sequence, its own, mixed with its length."""
-        width = width or min(self.width, len(ids))
-        h = np.full(max(0, len(ids) - width + 1), width, dtype=np.int64)
-        for k in range(width if len(h) else 0):
-            h = h * np.int64(6364136223846793005) + ids[k : k + len(h)]
-        return h
-
-    def _enough(self, keys: np.ndarray, ids: np.ndarray, least: float) -> np.ndarray:
-        """Those of the items that have so many words among ids that their score can reach least: each word of an item matches once at most."""
-        self.present[ids] = True
-        self.present[0] = False
-        out = []
-        for some in np.array_split(keys, 1 + len(keys) // 4096):
-            n = self.sizes[some]
-            before = np.cumsum(n) - n
-            at = np.arange(n.sum()) + np.repeat(self.starts[some] - before, n)
-            if len(some):
-                out.append(some[np.add.reduceat(self.present[self.words[at]], before, dtype=np.int64) >= least * n * MATCH])
-        self.present[ids] = False
-        return np.concatenate(out or [keys])
-
-    def find(self, text: str | None, least: float = 0.0) -> Iterator[tuple[int, float, int, int, int]]:
-        """(item_id, score, seeds, first and end word) of every item with a seed in the text and a score of least or more, each at its best place."""
-        found = words(text)
-        if not found or not len(self.hashes):
-            return
-        ids = np.fromiter((self.vocabulary.get(w, 0) for w in found), np.int64, len(found))
-        known = np.r_[0, np.cumsum(ids > 0)]
-        seeds, places = [], []
-        for width in self.widths:
-            if len(ids) < width:
-                continue
-            full = np.flatnonzero(known[width:] - known[:-width] == width)
-            if not len(full):
-                continue
-            h = self._grams(ids, width)[full]
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            hit = self.hashes[at] == h
-            seeds.append(at[hit])
-            places.append(full[hit])
-        if not sum(map(len, seeds)):
-            return
-        seed, place = np.concatenate(seeds), np.concatenate(places)
-        keys = np.zeros(len(self.sizes), dtype=bool)
-        for s in np.unique(seed):
-            keys[self.by_seed[self.first[s] : self.first[s] + self.shared[s]]] = True
-        wanted = np.zeros(len(keys), dtype=bool)
-        wanted[self._enough(np.flatnonzero(keys), ids, least)] = True
-        hits: dict[int, list[int]] = {}
-        if wanted.any():
-            for s, k in zip(seed.tolist(), place.tolist(), strict=True):
-                own = self.by_seed[self.first[s] : self.first[s] + self.shared[s]]
-                for item in own[wanted[own]].tolist():
-                    hits.setdefault(item, []).append(k)
-        for key, at in hits.items():
-            item, own = self.items[key]
-            at, best = sorted(at), (0, 0, 0)
-            cuts = [0, *(k for k in range(1, len(at)) if at[k] - at[k - 1] > 2 * len(own)), len(at)]
-            seen = set()
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                lo, hi = max(0, at[a] - 2 * len(own)), min(len(ids), at[b - 1] + self.width + 2 * len(own))
-                passage = ids[lo:hi]
-                if (print_ := passage.tobytes()) in seen or not len(self._enough(np.array([key]), passage, least)):
+def aligned(own: np.ndarray, words: np.ndarray, places: np.ndarray, least: float) -> tuple[float, int, int] | None:
+    """(score, first and end word) at the best place of an item in a text, around the places of its seeds; None under `least`."""
+    n, best, seen = len(own), (0, 0, 0), set()
+    at = np.sort(places)
+    cuts = np.flatnonzero(np.diff(at) > 2 * n) + 1
+    for some in np.split(at, cuts):
+        lo, hi = max(0, int(some[0]) - 2 * n), min(len(words), int(some[-1]) + WIDTH + 2 * n)
+        passage = words[lo:hi]
+        if (key := passage.tobytes()) in seen or np.isin(own, passage).sum() < least * n:
+            continue
+        seen.add(key)
+        score, end = smith_waterman(own, passage)
+        best = max(best, (score, -(lo + max(0, end - n)), -(lo + end)))
+    return (best[0] / (MATCH * n), -best[1], -best[2]) if best[0] >= least * MATCH * n else None
+
+
+def _key(text: str = "text") -> Column:
+    return F.md5(F.col(text).cast("binary"))
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item, item_id, words, grams): every different item with a word, its word hashes and its n-grams' hashes in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, ends = word_hashes(b.column(2))
+            text, _, found = grams(words, ends)
+            order = np.argsort(text, kind="stable")
+            starts = np.searchsorted(text[order], np.arange(b.num_rows + 1))
+            as_lists = lambda at, x: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), as_lists(ends, words), as_lists(starts, found[order])], names=["item", "item_id", "words", "grams"])
+
+    own = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    own = own.select(F.concat_ws(":", F.col("item_id").cast("string"), _key()).alias("item"), "item_id", "text")
+    return own.mapInArrow(run, "item string, item_id long, words array<long>, grams array<long>").filter("size(words) > 0")
+
+
+def seeds(items: DataFrame) -> DataFrame:
+    """(item, gram): of every STRETCH n-grams in a row of an item that which fewest items have."""
+    each = items.select("item", F.posexplode("grams").alias("at", "gram"))
+    often = each.select("item", "gram").distinct().groupBy("gram").agg(F.count("*").alias("items"))
+    ranked = each.join(often, "gram").groupBy("item", F.floor(F.col("at") / STRETCH).alias("stretch"))
+    return ranked.agg(F.min(F.struct("items", "gram")).alias("s")).select("item", F.col("s.gram").alias("gram")).distinct()
+
+
+def _bloom(found: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """Packed bits of a filter of n seeds, made by Spark and gathered word by word, and their number as a power of two."""
+    power = int(min(MOST_BITS, max(FEWEST_BITS, SEED_BITS * n))).bit_length() - 1
+    at = F.explode(F.array(*(F.shiftrightunsigned(F.shiftleft("gram", k), 64 - power) for k in (0, 20, 34)))).alias("at")
+    words = found.select(at).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("b"))
+    bits = np.zeros(1 << (power - 6), dtype=np.int64)
+    for x in words.toPandas().itertuples(index=False):
+        bits[x.w] = x.b
+    return bits.view(np.uint64), power
+
+
+def _passes(bits: np.ndarray, power: int, gram: np.ndarray) -> np.ndarray:
+    out = np.arange(len(gram))
+    for k in (0, 20, 34):
+        at = gram[out] << np.uint64(k) >> np.uint64(64 - power)
+        out = out[(bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)) == 1]
+    return out
+
+
+def found_texts(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """(key, item_id, score, seeds, first_word, end_word) for each different text (key: its md5) and item that align with min_score or more."""
+    spark = docs.sparkSession
+    items = materialise(_items(benchmark), "items")
+    seed = materialise(seeds(items), "seeds")
+    shipped = spark.sparkContext.broadcast(_bloom(seed.select("gram").distinct(), seed.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, power = shipped.value
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                some = b.slice(at, 1000)
+                words, ends = word_hashes(some.column(1))
+                text, place, found = grams(words, ends)
+                hit = _passes(bits, power, found)
+                if not len(hit):
                     continue
-                seen.add(print_)
-                score, end = smith_waterman(own, passage)
-                best = max(best, (score, -(lo + max(0, end - len(own))), -(lo + end)))
-            if best[0] >= least * MATCH * len(own):
-                yield item, best[0] / (MATCH * len(own)), len(at), -best[1], -best[2]
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of at most BLOCK_CHARS characters, longer ones alone, read one block at a time."""
-    block, held = [], 0
-    for r in benchmark.select("item_id", "text").filter("text is not null").orderBy("item_id", "text").toLocalIterator():
-        if block and held + len(r["text"]) > BLOCK_CHARS:
-            yield block
-            block, held = [], 0
-        block.append((r["item_id"], r["text"]))
-        held += len(r["text"])
-    if block:
-        yield block
+                hit = hit[np.argsort(text[hit], kind="stable")]
+                docs_, first = np.unique(text[hit], return_index=True)
+                lists = lambda x: pa.ListArray.from_arrays(pa.array(np.r_[first, len(hit)], pa.int32()), pa.array(x))
+                size = ends[docs_ + 1] - ends[docs_]
+                own = np.concatenate([words[ends[d] : ends[d + 1]] for d in docs_.tolist()])
+                own = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(own.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(docs_)), own, lists(found[hit].view(np.int64)), lists(place[hit])], names=["key", "words", "grams", "places"])
+
+    texts = docs.filter("text is not null").select(_key().alias("key"), "text")
+    texts = texts.mapInArrow(run, "key string, words array<long>, grams array<long>, places array<long>").dropDuplicates(["key"])
+    texts = materialise(texts, "texts")
+    hits = texts.select("key", F.inline(F.arrays_zip(F.col("grams").alias("gram"), F.col("places").alias("place"))))
+    pairs = hits.join(seed, "gram").groupBy("key", "item").agg(F.collect_set("place").alias("places"))
+    pairs = pairs.join(texts.select("key", "words"), "key").join(items.select("item", "item_id", F.col("words").alias("own")), "item")
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for r in range(b.num_rows):
+                key, item_id, places, words, own = (b.column(k)[r] for k in range(5))
+                places, words, own = (np.asarray(x.values) for x in (places, words, own))
+                if found := aligned(own, words, places, min_score):
+                    rows.append((key.as_py(), item_id.as_py(), found[0], len(places), *found[1:]))
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            types = (pa.string(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, types, strict=True)], names=["key", "item_id", "score", "seeds", "first_word", "end_word"])
+
+    pairs = pairs.select("key", "item_id", "places", "words", "own").repartition(partitions(spark))
+    return materialise(pairs.mapInArrow(align, "key string, item_id long, score double, seeds int, first_word int, end_word int"), "found")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """(doc_id, item_id, score, seeds, first_word, end_word) for each document and item that align with min_score or more.
 
-    Null and empty texts hold nothing; items of under WIDTH words must stand whole, those without a word match nothing.
-    Repeated documents each have their rows; extra columns are dropped; an empty table on either side gives no row.
+    Null and empty texts hold nothing; items of under WIDTH words are found only in documents of the same words, those
+    without a word nowhere. Repeated documents each have their rows, repeated items one; extra columns are dropped; an empty
+    table on either side gives no row.
     """
-    spark, out = docs.sparkSession, None
-    schema = "doc_id long, item_id long, score double, seeds int, first_word int, end_word int"
-    for items in _blocks(benchmark):
-        shipped = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(shipped.value)
-            for b in batches:
-                rows = [(d, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for x in bench.find(t.as_py(), min_score)]
-                columns = zip(*rows, strict=True) if rows else [[]] * 6
-                types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, types, strict=True)], names=["doc_id", "item_id", "score", "seeds", "first_word", "end_word"])
-
-        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], schema) if out is None else out
+    found = found_texts(docs, benchmark, min_score)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key")).join(found, "key").drop("key")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of docs that no item aligns with; all columns are kept, rows are judged one by one."""
-    for items in _blocks(benchmark):
-        shipped = docs.sparkSession.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(shipped.value)
-            for b in batches:
-                texts = b.column(b.schema.names.index("text"))
-                clean = [next(bench.find(t.as_py(), min_score), None) is None for t in texts]
-                yield b.filter(pa.array(clean, pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    """The rows of docs that no item aligns with; all columns are kept as they are, rows are judged one by one."""
+    found = found_texts(docs, benchmark, min_score).select("key").distinct()
+    (key,) = fresh(docs, "key")
+    keyed = docs.withColumn(key, F.coalesce(_key(), F.lit("")))
+    found = F.broadcast(found) if found.count() <= FEW_FOUND else found
+    return keyed.join(found.withColumnRenamed("key", key), key, "left_anti").select(*docs.columns)

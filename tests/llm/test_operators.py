@@ -368,6 +368,58 @@ def test_decontamination_by_a_passage_that_many_items_share(spark):
     assert sorted(r.doc_id for r in B.decontaminate(df, bench).collect()) == [2, 3]
 
 
+def brute_found(docs, items, least=0.5):
+    """Every document against every item over its whole length."""
+    import re as _re
+
+    split = lambda t: _re.findall(r"[^\W_]+", (t or "").lower())
+    out = set()
+    for i, t in docs:
+        d = split(t)
+        for k, x in items:
+            w = split(x)
+            if not w or (len(w) < 5 and w != d):
+                continue
+            row, best = [0] * (len(d) + 1), 0
+            for a in w:
+                new = [0]
+                for j, b in enumerate(d):
+                    new.append(max(0, row[j] + (1 if a == b else -1), row[j + 1] - 1, new[j] - 1))
+                row, best = new, max(best, *new)
+            if best >= least * len(w):
+                out.add((i, k))
+    return out
+
+
+def test_decontamination_is_brute_force(spark, monkeypatch):
+    from tesserax.llm import decontaminate as B
+
+    r, items, rows = random.Random(31), [], []
+    shared = words(40, 900).split()
+    for k in range(25):
+        own = words(r.randrange(12, 50), 1000 + k).split()
+        items.append((k, " ".join(shared[:30] + own if k < 12 else own)))
+    items += [(100, "two words"), (101, "one two three four five")]
+    for k in range(60):
+        own = r.choice(items)[1].split()
+        at, size = r.randrange(max(1, len(own) // 2)), max(4, int(len(own) * r.random()))
+        part = own[at : at + size]
+        for _ in range(r.randrange(4)):
+            part[r.randrange(len(part))] = f"changed{r.randrange(1000)}"
+        rows.append((k, " ".join([*words(r.randrange(60), 3000 + k).split(), *part, *words(r.randrange(60), 4000 + k).split()])))
+    rows += [(200, "Two, WORDS!"), (201, "these two words here"), (202, "a one two three four five b"), (203, None), (204, ""), (None, items[3][1]), (205, items[3][1]), (205, "clean again and again so it is")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_key": F.lit(5), "item_id": F.lit(6)}).repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_found(rows, items)
+    for bits in (1 << 16, 1 << 8):  # a filter that lets nearly all pass changes nothing
+        monkeypatch.setattr(B, "FEWEST_BITS", bits)
+        monkeypatch.setattr(B, "MOST_BITS", bits)
+        got = {(x.doc_id, x.item_id) for x in B.contaminated(df, bench).collect()}
+        assert got <= want and len(got) >= 0.97 * len(want), (len(got), len(want), want - got)
+    clean = [(x.doc_id, x.text, x._key, x.item_id) for x in B.decontaminate(df, bench).collect()]
+    assert sorted(clean, key=str) == sorted(((i, t, 5, 6) for i, t in rows if t == rows[-1][1] or i not in {i for i, _ in got}), key=str)
+
+
 def test_smith_waterman():
     from tesserax.llm.decontaminate import smith_waterman
 
