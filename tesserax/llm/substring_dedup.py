@@ -2,7 +2,8 @@
 
 1. Every window of LENGTH bytes has one anchor: the leftmost place in it with the least hash of ANCHOR bytes. Equal
    windows have equal anchors at equal offsets, so windows can be shared only under anchors that several documents have.
-   Documents send their anchors' codes to shards by hash; a shard tells each bucket of documents which codes are shared.
+   Documents send their anchors' codes to shards by hash, once for each code and bucket of documents in a slice; a shard tells
+   each bucket which codes are shared.
 2. Buckets cut the places under shared anchors out of their texts, once for equal places, and send them to shards by code.
    A code in over HOT documents is split: each of its windows goes by the window's own hash, so no shard gathers it.
 3. A shard joins its distinct places to one text, builds the suffix array by induced sorting and from it the common
@@ -110,8 +111,8 @@ def _codes(shards: int):
 
     def run(batches):
         for b in batches:
-            ids = np.array([NULL_ID if x is None else x for x in b.column(0).to_pylist()], dtype=np.int64)
-            for first, raw, offsets in _slices(b.column(1)):
+            ids, buckets = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for first, raw, offsets in _slices(b.column(2)):
                 doc, _, _, h = anchors(raw, offsets)
                 shard, code = _shard_and_code(h, shards)
                 order = np.lexsort((code, doc, shard))
@@ -120,28 +121,33 @@ def _codes(shards: int):
                 shard, doc, code = shard[new], doc[new], code[new]
                 at, rows = _cuts(shard), []
                 for x, y in zip(at, np.r_[at[1:], len(shard)], strict=True):
-                    d = _cuts(doc[x:y])
-                    rows.append((int(shard[x]), _pack(ids[doc[x:y][d]], np.diff(np.r_[d, y - x]).astype(np.uint32), code[x:y])))
+                    # of each code and bucket, the documents' number and least and greatest id
+                    own, of = code[x:y], buckets[doc[x:y]]
+                    by = np.lexsort((of, own))
+                    own, of, id_ = own[by], of[by], ids[doc[x:y][by]]
+                    d = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (of[1:] != of[:-1])])
+                    n = np.diff(np.r_[d, len(own)]).astype(np.uint32)
+                    rows.append((int(shard[x]), _pack(own[d], of[d].astype(np.int32), n, np.minimum.reduceat(id_, d), np.maximum.reduceat(id_, d))))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "data"])
 
     return run
 
 
-def _shared(buckets: int):
+def _shared():
     """Step 1 in a shard: (bucket, shard, data) with the codes of at least two documents, and whether each is hot."""
 
     def run(t: pa.Table) -> pa.Table:
-        parts = [_unpack(x.as_py(), "<i8", "<u4", "<u4") for x in t.column("data")]
-        doc = np.concatenate([np.repeat(d, n) for d, n, _ in parts])
-        code = np.concatenate([c for _, _, c in parts])
+        parts = [_unpack(x.as_py(), "<u4", "<i4", "<u4", "<i8", "<i8") for x in t.column("data")]
+        code, bucket, docs, low, high = (np.concatenate([p[k] for p in parts]) for k in range(5))
         order = np.argsort(code, kind="stable")
-        doc, code = doc[order], code[order]
+        code, bucket, docs, low, high = (x[order] for x in (code, bucket, docs, low, high))
         at = _cuts(code)
         n = np.diff(np.r_[at, len(code)])
-        several = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at) if len(at) else np.zeros(0, bool)
-        keep, hot = np.repeat(several, n), np.repeat(n > HOT, n)
-        bucket, code, hot = np.mod(doc[keep], buckets), code[keep], hot[keep]
+        many = np.add.reduceat(docs.astype(np.int64), at) > HOT if len(at) else np.zeros(0, bool)
+        several = np.minimum.reduceat(low, at) != np.maximum.reduceat(high, at) if len(at) else np.zeros(0, bool)
+        keep, hot = np.repeat(several, n), np.repeat(many, n)
+        bucket, code, hot = bucket[keep], code[keep], hot[keep]
         order = np.lexsort((code, bucket))
         bucket, code, hot = bucket[order], code[order], hot[order]
         new = np.r_[True, (bucket[1:] != bucket[:-1]) | (code[1:] != code[:-1])] if len(code) else np.zeros(0, bool)
@@ -225,8 +231,9 @@ def least_documents(raw: np.ndarray, size: np.ndarray, least: np.ndarray) -> np.
     number[windows] = np.arange(len(windows))
     in_order = number[suffix_array(text, LENGTH)]
     in_order = in_order[in_order >= 0]
-    shared = permuted_common_prefixes(Substrings(text)(windows, windows + LENGTH), in_order)
-    at = np.flatnonzero(~shared[in_order])
+    place = np.arange(len(windows)) + np.repeat(np.arange(n) * (LENGTH - 1), runs)
+    common = permuted_common_prefixes(raw, place, in_order, LENGTH)
+    at = np.flatnonzero(common[in_order] < LENGTH)
     of_class = np.minimum.reduceat(np.repeat(least, runs)[in_order], at)
     out = np.empty(len(windows), dtype=np.int64)
     out[in_order] = np.repeat(of_class, np.diff(np.r_[at, len(in_order)]))
@@ -331,11 +338,17 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     n_bytes = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(partitions(spark), -(-n_bytes // BUCKET_BYTES)) | 1
     shards = max(partitions(spark), -(-n_bytes // SHARD_BYTES))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    id_ = F.coalesce("doc_id", F.lit(NULL_ID))
-    dealt = rows.select("doc_id", id_.alias("id"), "text", F.pmod(id_, F.lit(buckets)).cast("int").alias("bucket"))
-    codes = rows.mapInArrow(_codes(shards), "shard int, data binary").groupBy("shard").applyInArrow(_shared(buckets), "bucket int, shard int, data binary")
-    places = dealt.groupBy("bucket").cogroup(codes.groupBy("bucket")).applyInArrow(_places(shards), "shard int, bucket int, data binary")
-    spans = places.groupBy("shard").applyInArrow(_spans(), "bucket int, data binary")
+    id_ = F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), id_.alias("id"), F.col(text).alias("text"))
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(buckets)).cast("int")).repartition(_tasks(buckets), "bucket")
+    codes = rows.select("id", F.pmod(F.xxhash64("id", "text"), F.lit(buckets)).cast("int").alias("bucket"), "text").mapInArrow(_codes(shards), "shard int, data binary")
+    shared = codes.repartition(_tasks(shards), "shard").groupBy("shard").applyInArrow(_shared(), "bucket int, shard int, data binary")
+    places = dealt.groupBy("bucket").cogroup(shared.repartition(_tasks(buckets), "bucket").groupBy("bucket")).applyInArrow(_places(shards), "shard int, bucket int, data binary")
+    spans = places.repartition(_tasks(shards), "shard").groupBy("shard").applyInArrow(_spans(), "bucket int, data binary")
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return dealt.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_removed(), result)
+    return dealt.groupBy("bucket").cogroup(spans.repartition(_tasks(buckets), "bucket").groupBy("bucket")).applyInArrow(_removed(), result)
+
+
+def _tasks(groups: int) -> int:
+    """Partitions for so many groups: they grow with the input, so that a task has one or two of them."""
+    return max(1, min(groups, 200_000))

@@ -3,8 +3,10 @@
 Suffixes are classified as S (smaller than the next) or L; leftmost S ones (LMS) cut the text into substrings. Those are
 sorted by inducing, named, and the shorter string of names is sorted in turn; LMS suffixes in order induce all others, L
 ones left to right and S ones right to left. A bucket's suffixes induce as one array operation, once more for each
-repeat of its letter, so the work is a few passes over the text. Order is needed to `depth` letters only, which bounds the
-rounds in which pairs of names become new names; past it equal prefixes may stand in any order.
+repeat of its letter, so the work is a few passes over the text. The string of names has too many letters for buckets:
+there, suffixes are compared up to the next LMS one, and where they are equal so far, the order of those LMS suffixes
+decides, found in the same way from the names of their substrings. Each level halves the string at least. Order is needed to
+`depth` letters only; past it equal prefixes may stand in any order.
 """
 
 from __future__ import annotations
@@ -120,36 +122,66 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         h = Substrings(text)(in_order, end_of[in_order])
         name = np.zeros(n, dtype=np.int64)
         name[in_order] = np.cumsum(np.r_[True, h[1:] != h[:-1]])
-        lms = lms[_order_of_names(name[lms], depth)]
+        lms = lms[order_of_names(name[lms], depth // 2 + 1)]
     return _induce(text, s_type, lms, letters)
 
 
-def _order_of_names(name: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of the string of names in order: names of pairs, of fours and so on, while some are equal.
-
-    A name stands for two letters or more, so depth / 2 of them are enough.
-    """
-    span, top = 1, int(name.max())
-    while top < len(name) and span < depth // 2 + 1:
-        pair = name * (top + 1)
-        pair[:-span] += name[span:]
-        order = np.argsort(pair, kind="stable")
-        pair = pair[order]
-        new = np.cumsum(np.r_[True, pair[1:] != pair[:-1]])
-        name = np.empty_like(name)
-        name[order] = new
-        top, span = int(new[-1]), span * 2
-    return np.argsort(name, kind="stable")
-
-
-def permuted_common_prefixes(hashes: np.ndarray, in_order: np.ndarray) -> np.ndarray:
-    """Whether each of some places shares its fixed-length prefix with the one before it in suffix order.
-
-    hashes: of the prefixes, by place; in_order: the places in suffix order. Computed by place, not by order: each place
-    has one before it, and prefixes are equal where their hashes are.
+def order_of_names(name: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes of a string of names (1 and up) in order of their first `depth` names at least."""
+    n = len(name)
+    text = np.r_[name, 0]
+    s_type = is_s_type(text)
+    lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1  # the last one is the end mark
+    end = lms[np.searchsorted(lms, np.arange(n), side="right")]
+    group = _groups(text * 2 + s_type, end, depth)
+    if depth <= 1 or len(lms) < 2 or len(np.unique(group)) == n:
+        return np.argsort(group, kind="stable")
+    inner, rank = lms[:-1], np.zeros(n + 1, dtype=np.int64)
+    _, names = np.unique(group[inner], return_inverse=True)
+    rank[inner[order_of_names(names + 1, depth // 2 + 1)]] = np.arange(1, len(lms))
+    return np.lexsort((rank[end], group))
+
+
+def _groups(letter: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
+    """For each place k, how many places have a smaller letter[k : end[k] + 1]; letters tell the types, so that equal ones end together."""
+    n = len(end)
+    group = np.empty(n, dtype=np.int64)
+    open_, of, at = np.arange(n), np.zeros(n, dtype=np.int64), 0
+    while len(open_):
+        c = letter[open_ + at]
+        order = np.lexsort((c, of))
+        open_, of, c = open_[order], of[order], c[order]
+        old = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        first = np.repeat(old, np.diff(np.r_[old, len(of)]))
+        new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (c[1:] != c[:-1])])
+        size = np.diff(np.r_[new, len(of)])
+        of = of + np.repeat(new, size) - first
+        group[open_] = of
+        at += 1
+        more = (np.repeat(size, size) > 1) & (open_ + at <= end[open_]) & (at < depth)
+        open_, of = open_[more], of[more]
+    return group
+
+
+def permuted_common_prefixes(raw: np.ndarray, place: np.ndarray, in_order: np.ndarray, most: int) -> np.ndarray:
+    """How many bytes, `most` at most, each of some places of raw has in common with the one before it in suffix order.
+
+    in_order: numbers of the places in suffix order. Computed by place, not by order: each place has one before it, whose
+    bytes are compared with its own, eight at a time while they are equal.
     """
     before = np.empty(len(in_order), dtype=np.int64)
     before[in_order] = np.r_[in_order[:1], in_order[:-1]]
-    shared = hashes == hashes[before]
-    shared[in_order[:1]] = False
-    return shared
+    padded = np.concatenate([raw, np.zeros(most + 8, dtype=np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded[: len(padded) - 7].view(), (len(padded) - 7, 8), (1, 1))
+    common, open_, k = np.zeros(len(place), dtype=np.int64), np.arange(len(place)), 0
+    while k < most and len(open_):
+        a, b = (np.ascontiguousarray(eight[x + k]).view(np.uint64).ravel() for x in (place[open_], place[before[open_]]))
+        differs = a ^ b
+        equal = differs == 0
+        low = differs[~equal] & (~differs[~equal] + np.uint64(1))  # the lowest bit that differs is in the first such byte
+        common[open_[~equal]] = k + np.bitwise_count(low - np.uint64(1)) // 8
+        common[open_[equal]] = k + 8
+        open_, k = open_[equal], k + 8
+    common = np.minimum(common, most)
+    common[in_order[:1]] = 0
+    return common

@@ -3,8 +3,8 @@
 A vector's terms are its non-zero components, its weights floor(scale * x). Candidates are packed into blocks with
 postings by term; queries into blocks of sparse rows. A task takes a block of each: for every query row it walks the row's
 terms and adds weight x posting into a dense score array over the block's candidates, then partitions off the k best.
-Partial lists are merged by rank. Blocks meet by an equi-join on the query block's number and a group of candidate
-blocks, so queries are never gathered in one place and no pair of rows is written out.
+Partial lists are merged by rank. Candidates are shuffled once, into groups of blocks; query blocks are sent once to each
+group and stream through it, so neither side is gathered in one place and no pair of rows is written out.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def usable(vectors: DataFrame, scale: int = 1024) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """(block, ids, dims, cells) and the number of blocks: rows dealt by hash, `size` to a block on average, as bytes of int64."""
+    """(block, ids, dims, cells) and the number of blocks: rows dealt in turn, `size` to a block on average, as bytes of int64."""
     n = max(1, -(-rows.count() // size))
 
     def pack(t: pa.Table) -> pa.Table:
@@ -41,7 +41,8 @@ def _blocks(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
         parts = (t.column("vec_id").to_numpy(), np.diff(w.offsets.to_numpy()), w.flatten().to_numpy(zero_copy_only=False))
         return pa.table({"block": t.column("block").slice(0, 1), **{k: pa.array([x.astype(np.int64).tobytes()]) for k, x in zip(("ids", "dims", "cells"), parts, strict=True)}})
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "w"), F.lit(n)).cast("int"))
+    # equal rows part, however many there are
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int"))
     return dealt.groupBy("block").applyInArrow(pack, "block int, ids binary, dims binary, cells binary"), n
 
 
@@ -91,12 +92,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     query rows merge into one list. Extra columns are dropped; an empty table gives no row.
     """
     c, n_c = _blocks(usable(vectors, scale), CANDIDATES)
-    q, n_q = _blocks(usable(queries, scale).dropDuplicates(["vec_id"]), QUERIES)
+    q, _ = _blocks(usable(queries, scale).dropDuplicates(["vec_id"]), QUERIES)
     groups = -(-n_c // SHARE)
-    c = c.withColumn("share", (F.col("block") % groups).cast("int")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-    q = q.select(F.col("block").alias("q_block"), *(F.col(x).alias(f"q_{x}") for x in ("ids", "dims", "cells")))
+    c = c.withColumn("share", (F.col("block") % groups).cast("int"))
+    q = q.select(*(F.col(x).alias(f"q_{x}") for x in ("ids", "dims", "cells")))
     q = materialise(q, "queries").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    pairs = c.join(q, ["q_block", "share"]).select("ids", "dims", "cells", "q_ids", "q_dims", "q_cells")
+    pairs = q.join(c.repartition(max(1, min(groups, 100_000)), "share"), "share").select("ids", "dims", "cells", "q_ids", "q_dims", "q_cells")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

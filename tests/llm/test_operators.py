@@ -280,13 +280,30 @@ def test_removed_substrings(spark, docs, none, hot, monkeypatch):
 
 
 def test_suffix_arrays():
-    from tesserax.llm.suffix_array import suffix_array
+    from tesserax.llm.suffix_array import order_of_names, suffix_array
 
     r = np.random.default_rng(0)
     for _ in range(300):
         t = np.r_[r.integers(1, r.integers(2, 6), r.integers(1, 60)), 0].astype(np.uint16)
         x = t.tolist()
         assert suffix_array(t, 10**6).tolist() == sorted(range(len(x)), key=lambda i: x[i:])
+        names = r.integers(1, r.integers(2, 6), r.integers(1, 80))
+        assert order_of_names(names, 10**6).tolist() == sorted(range(len(names)), key=lambda i: names[i:].tolist())
+
+
+def test_common_prefixes():
+    from tesserax.llm.suffix_array import permuted_common_prefixes
+
+    r = np.random.default_rng(1)
+    for most in (5, 8, 50):
+        raw = np.repeat(r.integers(0, 2, 60), r.integers(1, 9, 60)).astype(np.uint8)
+        place = r.permutation(len(raw) - most)[:100]
+        b = raw.tobytes()
+        in_order = np.array(sorted(range(len(place)), key=lambda i: b[place[i] : place[i] + most]))
+        got = permuted_common_prefixes(raw, place, in_order, most)
+        for x, y in zip(in_order, in_order[1:], strict=False):
+            p, q = (b[place[i] : place[i] + most] for i in (x, y))
+            assert got[y] == next((k for k in range(most) if p[k] != q[k]), most)
 
 
 # 5
