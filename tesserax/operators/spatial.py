@@ -1,8 +1,9 @@
 """Point, polygon and cell joins. Spatial joins are equi-joins on coarse buckets, refined by an exact expression.
 
 Polygons come as rings(pid, part, ring, xs, ys), one row a ring; a point is in a polygon if an odd number of any one part's
-rings contain it. Buckets are squares of `size` degrees; a polygon has a row for every bucket its box meets, so `size` near
-a typical polygon's width keeps that number small. AQE splits hot buckets and broadcasts a side that turns out small.
+rings contain it. Buckets are squares of `size` degrees. A polygon has a row for every bucket that it fills, where no point needs
+a test, and for every bucket that its edges meet, with the edges at and above the bucket, which decide for the points in
+it; so no row holds a whole polygon, however large. AQE splits hot buckets and broadcasts a side that turns out small.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserax.functions import geo
+from tesserax.sources.scratch import materialise
 
 
 def boxes_to_rings(boxes: DataFrame, part: int = 0) -> DataFrame:
@@ -61,21 +63,73 @@ def with_bucket(points: DataFrame, size: float, lon: str = "lon", lat: str = "la
     return points.withColumns({"bx": F.floor(F.col(lon) / size).cast("int"), "by": F.floor(F.col(lat) / size).cast("int")})
 
 
-def points_in_polygons(points: DataFrame, rings: DataFrame, size: float = 4.0) -> DataFrame:
+def in_edges(x, y, edges) -> Column:
+    """Even-odd rule on a vertical ray over array<struct<x1, y1, x2, y2>>; points on an edge are inside."""
+    x, y = F.col(x) if isinstance(x, str) else x, F.col(y) if isinstance(y, str) else y
+
+    def step(acc, e):
+        side = (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
+        on = (side == 0) & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
+        crossed = ((e["x1"] > x) != (e["x2"] > x)) & F.when(e["x2"] > e["x1"], side < 0).otherwise(side > 0)
+        return F.when((acc < 0) | on, F.lit(-1)).when(crossed, acc + 1).otherwise(acc)
+
+    n = F.aggregate(edges, F.lit(0), step)
+    return (n < 0) | (n % 2 == 1)
+
+
+def meets_box(x1, y1, x2, y2, minx, miny, maxx, maxy) -> Column:
+    """Whether a segment and a closed box share a point: their boxes do, and the box is not wholly on one side of the line."""
+    x1, y1, x2, y2, minx, miny, maxx, maxy = (F.col(c) if isinstance(c, str) else c for c in (x1, y1, x2, y2, minx, miny, maxx, maxy))
+    boxes = (F.least(x1, x2) <= maxx) & (F.greatest(x1, x2) >= minx) & (F.least(y1, y2) <= maxy) & (F.greatest(y1, y2) >= miny)
+    sides = [(x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) for x in (minx, maxx) for y in (miny, maxy)]
+    return boxes & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
+
+
+def covered(rings: DataFrame, size: float) -> DataFrame:
+    """(pid, bx, by, parts): buckets that a polygon fills (parts null) or that its edges meet, with each part's rings' edges at or above."""
+    e = ring_edges(rings).select("pid", "part", "ring", "x1", "y1", "x2", "y2")
+    at = lambda c: F.floor(c / size).cast("int")
+    span = lambda a, b: F.explode(F.sequence(at(F.least(a, b)), at(F.greatest(a, b))))
+    columns = e.withColumn("bx", span("x1", "x2"))
+    box = (F.col("bx") * size, F.col("by") * size, (F.col("bx") + 1) * size, (F.col("by") + 1) * size)
+    border = columns.withColumn("by", span("y1", "y2")).filter(meets_box("x1", "y1", "x2", "y2", *box)).select("pid", "bx", "by").distinct()
+    extent = e.groupBy("pid").agg(F.min(F.least("x1", "x2")).alias("minx"), F.min(F.least("y1", "y2")).alias("miny"), F.max(F.greatest("x1", "x2")).alias("maxx"), F.max(F.greatest("y1", "y2")).alias("maxy"))
+    cells = bucketed(extent, size).select("pid", "bx", "by").join(border.withColumn("border", F.lit(True)), ["pid", "bx", "by"], "left").na.fill(False, ["border"])
+    above = cells.join(columns, ["pid", "bx"]).filter(F.greatest("y1", "y2") >= F.col("by") * size)
+    own = above.groupBy("pid", "bx", "by", "border", "part", "ring").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+    centre = in_edges((F.col("bx") + 0.5) * size, (F.col("by") + 0.5) * size, F.col("edges")).cast("int")
+    parts = own.withColumn("c", centre).groupBy("pid", "bx", "by", "border", "part").agg(F.collect_list(F.struct("edges")).alias("rings"), F.sum("c").alias("c"))
+    kept = parts.filter(F.col("border") | (F.col("c") % 2 == 1))
+    return kept.groupBy("pid", "bx", "by").agg(F.collect_list(F.when(F.col("border"), F.struct("rings"))).alias("parts")).withColumn("parts", F.when(F.size("parts") > 0, F.col("parts")))
+
+
+def in_bucket(x, y, parts="parts") -> Column:
+    """Whether a point is in a polygon, by a row of `covered` of the point's bucket."""
+    odd = lambda p: F.aggregate(p["rings"], F.lit(0), lambda n, r: n + in_edges(x, y, r["edges"]).cast("int")) % 2 == 1
+    return F.col(parts).isNull() | F.exists(parts, odd)
+
+
+def points_in_polygons(points: DataFrame, rings: DataFrame, size: float = 0.5) -> DataFrame:
     """(lon, lat, pid) for every distinct point and each polygon that holds it."""
     own = with_bucket(points.select("lon", "lat").distinct(), size)
-    pairs = own.join(bucketed(shapes(rings), size), ["bx", "by"])
-    box = geo.in_box("lon", "lat", "minx", "miny", "maxx", "maxy")
-    return pairs.filter(box).filter(in_shape("lon", "lat", "shape")).select("lon", "lat", "pid")
+    return own.join(covered(rings, size), ["bx", "by"]).filter(in_bucket("lon", "lat")).select("lon", "lat", "pid")
 
 
-def first_polygon(points: DataFrame, rings: DataFrame, size: float = 4.0) -> DataFrame:
-    """points with pid: the lowest numbered polygon that holds each, else null. Coordinates are looked up once."""
-    first = points_in_polygons(points, rings, size).groupBy("lon", "lat").agg(F.min("pid").alias("pid"))
-    return points.join(first, ["lon", "lat"], "left")
+def first_polygon(points: DataFrame, rings: DataFrame, size: float = 0.5) -> DataFrame:
+    """points with pid: the lowest numbered polygon that holds each, else null. Coordinates are looked up once.
 
+    Of the polygons that fill a bucket only the lowest counts, and only lower ones need a test there.
+    """
+    own = materialise(covered(rings, size), "covered")
+    filled = own.filter("parts is null").groupBy("bx", "by").agg(F.min("pid").alias("filled"))
+    lower = own.filter("parts is not null").join(filled, ["bx", "by"], "left").filter("filled is null or pid < filled").drop("filled")
+    bucket = with_bucket(points.select("lon", "lat").distinct(), size)
+    tested = bucket.join(lower, ["bx", "by"]).filter(in_bucket("lon", "lat")).groupBy("lon", "lat").agg(F.min("pid").alias("tested"))
+    out = with_bucket(points, size).join(filled, ["bx", "by"], "left").join(tested, ["lon", "lat"], "left")
+    return out.withColumn("pid", F.least("filled", "tested")).drop("bx", "by", "filled", "tested")
 
-def every_polygon(points: DataFrame, rings: DataFrame, size: float = 4.0) -> DataFrame:
+
+def every_polygon(points: DataFrame, rings: DataFrame, size: float = 0.5) -> DataFrame:
     """points once for each polygon that holds them."""
     return points.join(points_in_polygons(points, rings, size), ["lon", "lat"])
 
@@ -148,12 +202,31 @@ def objects_intersecting(shapes_a: DataFrame, rings_b: DataFrame) -> DataFrame:
     return crossing.unionByName(inside).distinct()
 
 
-def boxes_within(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(pid1, pid2): boxes of a inside boxes of b, edges included."""
-    pairs = boxes_overlap(a, b).select("pid1", "pid2")
-    inner = a.select(F.col("pid").alias("pid1"), "minx", "miny", "maxx", "maxy")
-    outer = b.select(F.col("pid").alias("pid2"), *(F.col(c).alias(f"o_{c}") for c in ("minx", "miny", "maxx", "maxy")))
-    return pairs.join(inner, "pid1").join(outer, "pid2").filter("minx >= o_minx and miny >= o_miny and maxx <= o_maxx and maxy <= o_maxy").select("pid1", "pid2")
+def crossing_pairs(pairs: DataFrame, rings_a: DataFrame, rings_b: DataFrame) -> DataFrame:
+    """(pid1, pid2) of pairs of which an edge of one properly crosses an edge of the other."""
+    ea = ring_edges(rings_a).select(F.col("pid").alias("pid1"), "x1", "y1", "x2", "y2")
+    eb = ring_edges(rings_b).select(F.col("pid").alias("pid2"), *(F.col(c).alias(f"b{c}") for c in ("x1", "y1", "x2", "y2")))
+    side = lambda ax, ay, bx, by, px, py: F.signum((F.col(bx) - F.col(ax)) * (F.col(py) - F.col(ay)) - (F.col(by) - F.col(ay)) * (F.col(px) - F.col(ax)))
+    proper = (side("x1", "y1", "x2", "y2", "bx1", "by1") * side("x1", "y1", "x2", "y2", "bx2", "by2") < 0) & (side("bx1", "by1", "bx2", "by2", "x1", "y1") * side("bx1", "by1", "bx2", "by2", "x2", "y2") < 0)
+    return pairs.join(ea, "pid1").join(eb, "pid2").filter(proper).select("pid1", "pid2").distinct()
+
+
+def objects_within(inner: DataFrame, outer: DataFrame, size: float = 8.0) -> DataFrame:
+    """(pid1, pid2): polygons (as rings) of the first set that lie in one of the second, its edges included.
+
+    A polygon lies in another if its vertices do, no edge of the one properly crosses one of the other, and no vertex of the
+    other, of a hole or a bay, is inside it and off its edges.
+    """
+    a, b = shapes(inner), shapes(outer)
+    box = lambda d, p: d.select(F.col("pid").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("minx", "miny", "maxx", "maxy")))
+    pairs = boxes_overlap(a, b, size).select("pid1", "pid2").join(box(a, "pid1"), "pid1").join(box(b, "pid2"), "pid2")
+    pairs = pairs.filter("pid1_minx >= pid2_minx and pid1_miny >= pid2_miny and pid1_maxx <= pid2_maxx and pid1_maxy <= pid2_maxy").select("pid1", "pid2")
+    vertex = lambda d, p: ring_edges(d).select(F.col("pid").alias(p), F.col("x1").alias("x"), F.col("y1").alias("y"))
+    shape = lambda d, p: d.select(F.col("pid").alias(p), "shape")
+    out = pairs.join(vertex(inner, "pid1"), "pid1").join(shape(b, "pid2"), "pid2").groupBy("pid1", "pid2").agg(F.bool_and(in_shape("x", "y", "shape")).alias("all")).filter("all").drop("all")
+    strictly = in_shape("x", "y", "shape") & (F.array_min(F.transform("shape", lambda r: F.abs(geo.ring_distance(F.col("x"), F.col("y"), r["xs"], r["ys"], signed=True)))) > 0)
+    pierced = out.join(vertex(outer, "pid2"), "pid2").join(shape(a, "pid1"), "pid1").filter(strictly).select("pid1", "pid2")
+    return out.join(crossing_pairs(out, inner, outer).unionByName(pierced).distinct(), ["pid1", "pid2"], "left_anti")
 
 
 def in_all(lists: list[DataFrame], key: str = "pid") -> DataFrame:

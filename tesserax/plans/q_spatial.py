@@ -85,9 +85,11 @@ def _(v):
     left join {{cells_cl3}} c on c.row = cast(floor((-10 - s.lat) / 0.25) as int) and c.col = cast(floor((s.lon - 112) / 0.25) as int)
     left join (select lon, lat, min(pid) as pid from ({PIP}) group by lon, lat) t on t.lon = s.lon and t.lat = s.lat""")
 def _(v):
-    out = S.sample_grid(v.occurrences, v.cells_el1, "el1", **GRID)
-    out = S.sample_grid(out, v.cells_el2, "el2", **GRID)
-    out = S.sample_classes(out, v.cells_cl3, v.cells_cl3.select("value", "name").distinct(), "cl3", **GRID)
+    from tesserax.operators.rasters import stack
+
+    wide = stack({"el1": v.cells_el1, "el2": v.cells_el2, "class": v.cells_cl3})
+    names = v.cells_cl3.select(F.col("value").alias("class"), F.col("name").alias("cl3")).distinct()
+    out = S.with_cell(v.occurrences, **GRID).join(wide, ["row", "col"], "left").join(names, "class", "left").drop("row", "col", "class")
     out = S.first_polygon(out, S.triangles_to_rings(v.corners)).withColumnRenamed("pid", "cl1")
     return out.select("rec_order", "rec_line", "species", "el1", "el2", "cl3", "cl1")
 
@@ -101,48 +103,62 @@ def _(v):
     return S.with_cell(v.point_objects, **GRID).join(wide, ["row", "col"], "left").select("pid", "el1", "el2", "cl3")
 
 
-def _point_detail(v, points):
-    own = S.sample_grid(points, v.cells_el1, "el1", **GRID).withColumnRenamed("pid", "point")
+@query("join7_point_detail", """select p.pid, p.lon, p.lat, a.pid as area_pid, a.name as area_name, f.name as layer, f.description, case f.spid % 3 when 0 then 'mm' when 1 then 'degrees' else 'percent' end as units, e.value as el1
+    from {point_objects} p left join {areas} a on p.lon between a.minx and a.maxx and p.lat between a.miny and a.maxy
+    left join {cells_el1} e on e.row = cast(floor((-10 - p.lat) / 0.25) as int) and e.col = cast(floor((p.lon - 112) / 0.25) as int)
+    left join {fields} f on f.id = concat(case p.pid % 3 when 0 then 'el' else 'cl' end, cast(p.pid as varchar))""")
+def _(v):
+    own = S.sample_grid(v.point_objects, v.cells_el1, "el1", **GRID).withColumnRenamed("pid", "point")
     found = S.first_polygon(own, S.boxes_to_rings(v.areas)).join(v.areas.select("pid", F.col("name").alias("area_name")), "pid", "left")
-    return found.select(F.col("point").alias("pid"), "lon", "lat", F.col("pid").alias("area_pid"), "area_name", "el1")
+    unit = F.when(F.col("spid") % 3 == 0, "mm").when(F.col("spid") % 3 == 1, "degrees").otherwise("percent")
+    layers = v.fields.select(F.col("id").alias("fid_"), F.col("name").alias("layer"), "description", unit.alias("units"))
+    field = F.concat(F.when(F.col("point") % 3 == 0, "el").otherwise("cl"), F.col("point").cast("string"))
+    found = found.withColumn("fid_", field).join(layers, "fid_", "left").withColumn("units", F.when(F.col("layer").isNotNull(), F.col("units")))
+    return found.select(F.col("point").alias("pid"), "lon", "lat", F.col("pid").alias("area_pid"), "area_name", "layer", "description", "units", "el1")
 
 
-@query("join7_point_detail", """select p.pid, p.lon, p.lat, a.pid as area_pid, a.name as area_name, e.value as el1 from {point_objects} p
-    left join {areas} a on p.lon between a.minx and a.maxx and p.lat between a.miny and a.maxy
-    left join {cells_el1} e on e.row = cast(floor((-10 - p.lat) / 0.25) as int) and e.col = cast(floor((p.lon - 112) / 0.25) as int) where p.pid % 10 = 3""")
+@query("join8_objects_at_location", f"""with t as ({PIP}) select o.rec_order, o.rec_line, cast(t.pid as varchar) as pid from {{occurrences}} o join t on o.lon = t.lon and o.lat = t.lat
+    union all select o.rec_order, o.rec_line, 'grid:' || c.name from {{occurrences}} o join {{cells_cl3}} c on c.row = cast(floor((-10 - o.lat) / 0.25) as int) and c.col = cast(floor((o.lon - 112) / 0.25) as int)
+    where not exists (select 1 from t where t.lon = o.lon and t.lat = o.lat)""")
 def _(v):
-    return _point_detail(v, v.point_objects.filter("pid % 10 = 3"))
+    places = S.points_in_polygons(v.occurrences, S.triangles_to_rings(v.corners))
+    own = v.occurrences.select("rec_order", "rec_line", "lon", "lat")
+    found = own.join(places.select("lon", "lat", F.col("pid").cast("string").alias("pid")), ["lon", "lat"], "left")
+    # where no polygon holds the place, the class of its cell
+    names = v.cells_cl3.select("value", "name").distinct()
+    none = S.sample_classes(found.filter("pid is null"), v.cells_cl3, names, "name", **GRID).filter("name is not null")
+    return found.filter("pid is not null").select("rec_order", "rec_line", "pid").unionByName(none.select("rec_order", "rec_line", F.concat(F.lit("grid:"), "name").alias("pid")))
 
 
-@query("join7_point_detail_all", """select p.pid, p.lon, p.lat, a.pid as area_pid, a.name as area_name, e.value as el1 from {point_objects} p
-    left join {areas} a on p.lon between a.minx and a.maxx and p.lat between a.miny and a.maxy
-    left join {cells_el1} e on e.row = cast(floor((-10 - p.lat) / 0.25) as int) and e.col = cast(floor((p.lon - 112) / 0.25) as int)""")
+@query("join9_objects_intersecting", "select a.pid as pid1, b.pid as pid2 from {areas} a join {areas2} b on a.minx < b.maxx and b.minx < a.maxx and a.miny < b.maxy and b.miny < a.maxy")
 def _(v):
-    return _point_detail(v, v.point_objects)
+    return S.objects_intersecting(S.boxes_to_rings(v.areas), S.boxes_to_rings(v.areas2))
 
 
-@query("join8_objects_at_location", f"select o.rec_order, o.rec_line, t.pid from {{occurrences}} o join ({PIP}) t on o.lon = t.lon and o.lat = t.lat")
-def _(v):
-    return S.every_polygon(v.occurrences, S.triangles_to_rings(v.corners)).select("rec_order", "rec_line", "pid")
+PROPER = "(sign((t.x2 - t.x1) * (o.y1 - t.y1) - (t.y2 - t.y1) * (o.x1 - t.x1)) * sign((t.x2 - t.x1) * (o.y2 - t.y1) - (t.y2 - t.y1) * (o.x2 - t.x1)) < 0 and sign((o.x2 - o.x1) * (t.y1 - o.y1) - (o.y2 - o.y1) * (t.x1 - o.x1)) * sign((o.x2 - o.x1) * (t.y2 - o.y1) - (o.y2 - o.y1) * (t.x2 - o.x1)) < 0)"
 
 
-@query("join9_objects_intersecting", "select a.pid as pid1, b.pid as pid2 from {areas} a join {areas2} b on a.minx < b.maxx and b.minx < a.maxx and a.miny < b.maxy and b.miny < a.maxy")
-def _(v):
-    return S.objects_intersecting(S.boxes_to_rings(v.areas), S.boxes_to_rings(v.areas2))
+def dart(v):
+    """The concave area of the view `dart` as rings."""
+    corner = v.dart.groupBy().agg(F.array_sort(F.collect_list(F.struct("k", "x1", "y1"))).alias("p"))
+    axis = lambda c: F.concat(F.transform("p", lambda p: p[c].cast("double")), F.array(F.col("p")[0][c].cast("double")))
+    return corner.select(F.lit(0).alias("pid"), F.lit(0).alias("part"), F.lit(0).alias("ring"), axis("x1").alias("xs"), axis("y1").alias("ys"))
 
 
-@query("join10_objects_within_area", "select pid from {corners} where least(ax, bx, cx) >= 118 and greatest(ax, bx, cx) <= 140 and least(ay, b_y, cy) >= -40 and greatest(ay, b_y, cy) <= -18")
+@query("join10_objects_within_area", f"""with inside as (select t.pid, t.x1, t.y1, {ODD.format(x='t.x1', y='t.y1')} as v from {{tri_edges}} t, {{dart}} e group by all),
+    whole as (select pid from inside group by 1 having bool_and(v))
+    select pid from whole where pid not in (select t.pid from {{tri_edges}} t, {{dart}} o where {PROPER})""")
 def _(v):
-    area = S.boxes_to_rings(v.areas.limit(1).select(F.lit(0).alias("pid"), F.lit(118.0).alias("minx"), F.lit(-40.0).alias("miny"), F.lit(140.0).alias("maxx"), F.lit(-18.0).alias("maxy")))
-    edges = S.ring_edges(S.triangles_to_rings(v.corners)).join(F.broadcast(S.shapes(area).drop("pid")))
-    return edges.groupBy("pid").agg(F.bool_and(S.in_shape("x1", "y1", "shape")).alias("all")).filter("all").select("pid")
+    return S.objects_within(S.triangles_to_rings(v.corners), dart(v)).select(F.col("pid1").alias("pid"))
 
 
-@query("join11_objects_within_object", """select t.pid as pid1, a.pid as pid2 from {corners} t join {areas} a
-    on least(ax, bx, cx) >= a.minx and greatest(ax, bx, cx) <= a.maxx and least(ay, b_y, cy) >= a.miny and greatest(ay, b_y, cy) <= a.maxy""")
+@query("join11_objects_within_object", f"""with s as (select pid, part, ring, ax + (x1 - ax) / 8 as x1, ay + (y1 - ay) / 8 as y1, ax + (x2 - ax) / 8 as x2, ay + (y2 - ay) / 8 as y2 from {{tri_edges}} join (select pid, ax, ay from {{corners}}) using (pid)),
+    inside as (select t.pid as pid1, e.pid as pid2, t.x1, t.y1, {ODD.format(x='t.x1', y='t.y1')} as v from s t, {{half_edges}} e group by all)
+    select pid1, pid2 from inside group by 1, 2 having bool_and(v)""")
 def _(v):
-    boxes = S.shapes(S.triangles_to_rings(v.corners)).drop("shape")
-    return S.boxes_within(boxes, v.areas)
+    near = lambda c, o: (F.col(o) + (F.col(c) - F.col(o)) / 8).alias(c)
+    small = v.corners.select("pid", "ax", "ay", near("bx", "ax"), near("b_y", "ay"), near("cx", "ax"), near("cy", "ay"))
+    return S.objects_within(S.triangles_to_rings(small), S.triangles_to_rings(v.halves))
 
 
 @query("join12_objects_by_envelope", f"""select p.pid from (select pid, {CELL} from {{point_objects}}) p join {{cells_el1}} a on a.row = p.row and a.col = p.col
@@ -179,11 +195,10 @@ def _(v):
     return v.distributions.filter("type = 'e'").join(near, F.col("spcode") == F.col("pid"), "left_semi").select("spcode", "family")
 
 
-@query("join28_articles_in_polygon", "select distinct id from {article_points} where not missing and lon between 120 and 130 and lat between -35 and -25")
+@query("join28_articles_in_polygon", f"select distinct id from (select p.id, p.lon, p.lat, {ODD.format(x='p.lon', y='p.lat')} as v from {{article_points}} p, {{dart}} e where not missing group by p.id, p.loc, p.lon, p.lat) where v")
 def _(v):
-    articles = v.article_points.filter(~F.col("missing")).groupBy("id").agg(F.collect_list(F.struct("lon", "lat")).alias("locations"))
-    inside = F.exists("locations", lambda p: geo.in_box(p["lon"], p["lat"], F.lit(120), F.lit(-35), F.lit(130), F.lit(-25)))
-    return articles.filter(inside).select("id")
+    points = v.article_points.filter(~F.col("missing")).select("id", "lon", "lat")
+    return S.every_polygon(points, dart(v)).select("id").distinct()
 
 
 @query("set2_union_over_parts", "select distinct pid from {point_objects} where (lon between 115 and 122 and lat between -30 and -20) or (lon between 120 and 130 and lat between -25 and -15)")
@@ -197,11 +212,16 @@ def _(v):
     return S.in_all([v.objects.filter("fid = 'cl1'"), v.objects.filter("namesearch"), v.objects.filter("length(name) > 8")])
 
 
-@query("join16_polygon_overlay", "select pid1, pid2, round((maxx - minx) * (maxy - miny), 6) as area from {overlay}")
+# area of the right triangle (minx, miny), (minx, maxy), (maxx, miny) within a box: a sum over the box's corners
+CUT = "pow(greatest(0, 1 - greatest({x} - h.ax, 0) / (h.cx - h.ax) - greatest({y} - h.ay, 0) / (h.b_y - h.ay)), 2)"
+HALF_IN_BOX = "((h.cx - h.ax) * (h.b_y - h.ay) / 2 * (" + CUT.format(x="b.minx", y="b.miny") + " - " + CUT.format(x="b.maxx", y="b.miny") + " - " + CUT.format(x="b.minx", y="b.maxy") + " + " + CUT.format(x="b.maxx", y="b.maxy") + "))"
+
+
+@query("join16_polygon_overlay", f"select h.pid as pid1, b.pid as pid2, round({HALF_IN_BOX}, 6) as area from {{halves}} h join {{areas2}} b on h.ax < b.maxx and b.minx < h.cx and h.ay < b.maxy and b.miny < h.b_y where {HALF_IN_BOX} > 1e-9")
 def _(v):
     from tesserax.operators.overlay import overlay_area
 
-    return overlay_area(S.boxes_to_rings(v.areas), S.boxes_to_rings(v.areas2)).select("pid1", "pid2", F.round("area", 6).alias("area"))
+    return overlay_area(S.triangles_to_rings(v.halves), S.boxes_to_rings(v.areas2)).filter("area > 1e-9").select("pid1", "pid2", F.round("area", 6).alias("area"))
 
 
 SPH = ("2 * asin(sqrt(pow(sin(radians({b} - {d}) / 2), 2) + cos(radians({b})) * cos(radians({d})) * pow(sin(radians({a} - {c}) / 2), 2)))")

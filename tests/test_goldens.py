@@ -45,13 +45,47 @@ def test_edges_and_vertices_are_inside(spark):
     assert all(r.got == r.want for r in df.collect())
 
 
+def edges_of(*rings):
+    return np.array([[*p, *q] for r in rings for p, q in itertools.pairwise(r)], dtype=float)
+
+
 def test_overlay_of_slanted_polygons():
-    ring = lambda p: {"part": 0, "ring": 0, "xs": [x for x, _ in p], "ys": [y for _, y in p]}
-    square = [ring([(0, 0), (0, 2), (2, 2), (2, 0), (0, 0)])]
-    diamond = [ring([(1, -0.5), (2.5, 1), (1, 2.5), (-0.5, 1), (1, -0.5)])]
-    assert O.common_area(square, diamond) == pytest.approx(3.5)
-    hole = [*square, ring([(0.5, 0.5), (0.5, 1.5), (1.5, 1.5), (1.5, 0.5), (0.5, 0.5)])]
-    assert O.common_area(hole, square) == pytest.approx(3)
+    square = [(0, 0), (0, 2), (2, 2), (2, 0), (0, 0)]
+    diamond = [(1, -0.5), (2.5, 1), (1, 2.5), (-0.5, 1), (1, -0.5)]
+    hole = [(0.5, 0.5), (0.5, 1.5), (1.5, 1.5), (1.5, 0.5), (0.5, 0.5)]
+    assert O.common_area(edges_of(square), edges_of(diamond)) == pytest.approx(3.5)
+    assert O.common_area(edges_of(square, hole), edges_of(square)) == pytest.approx(3)
+    assert sum(O.common_area(edges_of(square), edges_of(diamond), k, k + 0.7) for k in (0, 0.7, 1.4)) == pytest.approx(3.5)
+    area = lambda how: sum((hi - lo) * (b0 - a0 + b1 - a1) / 2 for lo, hi, a0, b0, a1, b1 in O.trapezoids(edges_of(square), edges_of(diamond), how))
+    assert area("union") == pytest.approx(4 + 4.5 - 3.5) and area("intersection") == pytest.approx(3.5)
+
+
+@pytest.mark.parametrize("size", [0.3, 1.0, 7.0])
+def test_points_in_many_cornered_polygons(spark, size):
+    """A star with a hole, and a polygon of two parts: by buckets as by the whole rings, edges and vertices included."""
+    import math
+
+    star = [(5 + (3 if k % 2 else 1.2) * math.cos(k * math.pi / 9), 5 + (3 if k % 2 else 1.2) * math.sin(k * math.pi / 9)) for k in range(18)]
+    box = lambda x, y, w: [(x, y), (x, y + w), (x + w, y + w), (x + w, y)]
+    rings = [(1, 0, 0, star), (1, 0, 1, box(4.5, 4.5, 1)), (2, 0, 0, box(1, 1, 2)), (2, 1, 0, box(6, 2, 3)), (3, 0, 0, box(0, 0, 10))]
+    rows = [(p, part, ring, [float(x) for x, _ in [*r, r[0]]], [float(y) for _, y in [*r, r[0]]]) for p, part, ring, r in rings]
+    df = spark.createDataFrame(rows, "pid int, part int, ring int, xs array<double>, ys array<double>")
+    r = random.Random(2)
+    points = [(r.uniform(-1, 11), r.uniform(-1, 11)) for _ in range(1500)] + [(k / 2, j / 2) for k in range(22) for j in range(22)] + star
+    pts = spark.createDataFrame(points, "lon double, lat double")
+    whole = pts.distinct().join(F.broadcast(S.shapes(df))).filter(S.in_shape("lon", "lat", "shape")).select("lon", "lat", "pid")
+    want = set(map(tuple, whole.collect()))
+    assert set(map(tuple, S.points_in_polygons(pts, df, size).collect())) == want
+    first = {(x.lon, x.lat): x.pid for x in S.first_polygon(pts, df, size).collect()}
+    assert first == {p: min((k for x, y, k in want if (x, y) == p), default=None) for p in points}
+
+
+def test_within_a_concave_polygon(spark):
+    bay = [(0, 0), (0, 10), (5, 3), (10, 10), (10, 0), (0, 0)]
+    rings = lambda d: spark.createDataFrame([(p, 0, k, [float(x) for x, _ in r], [float(y) for _, y in r]) for p, k, r in d], "pid int, part int, ring int, xs array<double>, ys array<double>")
+    inner = rings([(1, 0, [(1, 1), (1, 2), (2, 2), (1, 1)]), (2, 0, [(1, 7), (9, 7), (5, 1), (1, 7)]), (3, 0, [(0, 0), (0, 10), (5, 3), (0, 0)]), (4, 0, [(6, 0.5), (9, 0.5), (7, 2.5), (6, 0.5)])])
+    outer = rings([(10, 0, bay), (11, 0, [(0, 0), (0, 3), (10, 3), (10, 0), (0, 0)]), (11, 1, [(7, 0.8), (7.2, 0.8), (7.1, 1), (7, 0.8)])])
+    assert {tuple(x) for x in S.objects_within(inner, outer).collect()} == {(1, 10), (1, 11), (3, 10), (4, 10)}
 
 
 def test_triangulation_fills_the_hull():
