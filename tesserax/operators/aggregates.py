@@ -31,27 +31,31 @@ def density(occ: DataFrame, minx: float, miny: float, res: float) -> DataFrame:
     return gridded(occ, minx, miny, res, "round").groupBy("row", "col").agg(F.count("*").alias("n"))
 
 
-def _window(cells: DataFrame, size: int, rows: int, cols: int) -> DataFrame:
-    """Every cell once for each cell of the grid whose size x size window it is in."""
+def _window(cells: DataFrame, size: int, rows: int, cols: int, wrap: bool = False) -> DataFrame:
+    """Every cell once for each cell of the grid whose size x size window it is in; with wrap, the last column is beside the first."""
     if size % 2 == 0 or not 1 <= size <= 15:
         raise ValueError("the window is odd, 1 to 15")
     h = size // 2
     off = lambda: F.explode(F.sequence(F.lit(-h), F.lit(h)))
     out = cells.withColumn("dr", off()).withColumn("dc", off())
-    out = out.withColumns({"row": F.col("row") + F.col("dr"), "col": F.col("col") + F.col("dc")}).drop("dr", "dc")
+    col = F.col("col") + F.col("dc")
+    out = out.withColumns({"row": F.col("row") + F.col("dr"), "col": F.pmod(col, F.lit(cols)) if wrap else col}).drop("dr", "dc")
     return out.filter(F.col("row").between(0, rows - 1) & F.col("col").between(0, cols - 1))
 
 
-def _in_grid(size: int, rows: int, cols: int) -> Column:
+def _in_grid(size: int, rows: int, cols: int, wrap: bool = False) -> Column:
     """Cells of the window round (row, col) that the grid has."""
     h = size // 2
     side = lambda c, n: F.least(F.col(c) + h, F.lit(n - 1)) - F.greatest(F.col(c) - h, F.lit(0)) + 1
-    return side("row", rows) * side("col", cols)
+    return side("row", rows) * (F.lit(size) if wrap else side("col", cols))
 
 
-def focal_mean(cells: DataFrame, size: int, rows: int, cols: int) -> DataFrame:
-    """(row, col, value): mean of n over the window, by the cells the grid has; cells with an empty window are left out."""
-    return _window(cells, size, rows, cols).groupBy("row", "col").agg(F.sum("n").alias("s")).select("row", "col", (F.col("s") / _in_grid(size, rows, cols)).alias("value"))
+def focal_mean(cells: DataFrame, size: int, rows: int, cols: int, wrap: bool = False) -> DataFrame:
+    """(row, col, value): mean of n over the window, by the cells the grid has; cells with an empty window are left out.
+
+    wrap: the grid goes round the world, so its first and last columns are neighbours; it has `size` columns at least.
+    """
+    return _window(cells, size, rows, cols, wrap).groupBy("row", "col").agg(F.sum("n").alias("s")).select("row", "col", (F.col("s") / _in_grid(size, rows, cols, wrap)).alias("value"))
 
 
 def focal_richness(sites: DataFrame, size: int, rows: int, cols: int) -> DataFrame:
@@ -80,8 +84,10 @@ def world_cells(occ: DataFrame, res: float) -> DataFrame:
     return occ.withColumns({"lat_cell": F.ceil(dec("lat")).cast("int"), "lon_cell": F.floor(dec("lon")).cast("int")})
 
 
-def world_counts(occ: DataFrame, res: float) -> DataFrame:
-    return world_cells(occ, res).groupBy("lat_cell", "lon_cell").agg(F.count("*").alias("n"))
+def world_counts(occ: DataFrame, res: float, mask: DataFrame | None = None) -> DataFrame:
+    """(lat_cell, lon_cell, n); only cells of mask(lat_cell, lon_cell), if there is one."""
+    n = world_cells(occ, res).groupBy("lat_cell", "lon_cell").agg(F.count("*").alias("n"))
+    return n if mask is None else n.join(mask.select("lat_cell", "lon_cell").distinct(), ["lat_cell", "lon_cell"], "left_semi")
 
 
 def world_richness(occ: DataFrame, res: float) -> DataFrame:
@@ -193,6 +199,13 @@ def class_statistics(cells: DataFrame, res: float) -> DataFrame:
     return c.groupBy("value").agg(F.count("*").alias("cells"), F.sum("km2").alias("km2"), (F.min("lon") - h).alias("minx"), (F.min("lat") - h).alias("miny"), (F.max("lon") + h).alias("maxx"), (F.max("lat") + h).alias("maxy"))
 
 
+def species_partition(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(species, status) of two sets of records: only 1, only 2 or both."""
+    own = lambda d, k: d.select("species").distinct().withColumn("k", F.lit(k))
+    k = own(a, 1).unionByName(own(b, 2)).groupBy("species").agg(F.sum("k").alias("k"))
+    return k.select("species", F.when(F.col("k") == 1, "only 1").when(F.col("k") == 2, "only 2").otherwise("both").alias("status"))
+
+
 def endemic_species(inside: DataFrame, outside: DataFrame) -> DataFrame:
     """Species with a record inside and none outside."""
     return inside.select("species").distinct().join(outside.select("species").distinct(), "species", "left_anti")

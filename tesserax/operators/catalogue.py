@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserax.functions import geo
+from tesserax.operators.overlay import as_rings, overlay_shapes, planar_area
+from tesserax.operators.spatial import every_polygon, shapes
+from tesserax.sources.exports import as_wkt
+from tesserax.sources.records import numbered
+from tesserax.sources.scratch import materialise
+
 
 def tabulation_list(tab: DataFrame) -> DataFrame:
     """(fid1, fid2, area) of the field pairs in id order with an area, leaving out pairs with an incomplete row."""
@@ -15,6 +23,40 @@ def tabulation_list(tab: DataFrame) -> DataFrame:
     return own.join(missing, ["fid1", "fid2"], "left_anti").groupBy("fid1", "fid2").agg(F.sum("area").alias("area")).filter("area > 0")
 
 
+def tabulation_clipped(rings_a: DataFrame, rings_b: DataFrame, clip: DataFrame, occ: DataFrame, names_a: DataFrame, names_b: DataFrame) -> DataFrame:
+    """(pid1, pid2, name1, name2, area, occurrences, species) of the overlay of two fields within an area (rings), recomputed:
+    planar area, records and species of what is left of each pair. Names come from (pid, name)."""
+    key = F.concat_ws(":", "pid1", "pid2")
+    both = materialise(as_rings(overlay_shapes(rings_a, rings_b), key), "overlay")
+    cut = materialise(overlay_shapes(both, clip.withColumn("pid", F.lit("0"))), "clipped")
+    area = cut.groupBy(F.col("pid1").alias("pid")).agg(F.sum(planar_area("xs", "ys")).alias("area"))
+    inside = every_polygon(occ.select("lon", "lat", "species"), as_rings(cut, F.col("pid1")))
+    counts = inside.groupBy("pid").agg(F.count("*").alias("occurrences"), F.countDistinct("species").alias("species"))
+    out = area.join(counts, "pid", "left").na.fill(0, ["occurrences", "species"])
+    at = lambda k, d: F.split("pid", ":")[k].cast(dict(d.dtypes)["pid"])
+    out = out.withColumns({"pid1": at(0, rings_a), "pid2": at(1, rings_b)}).drop("pid")
+    named = lambda d, k: d.select(F.col("pid").alias(f"pid{k}"), F.col("name").alias(f"name{k}"))
+    return out.join(named(names_a, 1), "pid1").join(named(names_b, 2), "pid2")
+
+
+def download_allowed(layers: DataFrame, levels: list[int], level: str = "licence_level") -> DataFrame:
+    """Layers whose licence level permits a download; layers without a level do not."""
+    return layers.filter(F.col(level).isin(*levels))
+
+
+def layer_usage(log: DataFrame, tasks: DataFrame, fields: DataFrame) -> DataFrame:
+    """(level, id, kind, n): uses of fields and of their layers, by kind and in all (kind `Total`).
+
+    log(id, kind): a field and what it was used for; tasks(kind, inputs): JSON {"layers": [...]} with the fields that a task
+    took; fields(id, layer). Uses of unknown fields count for the field only.
+    """
+    taken = tasks.select(F.explode(F.from_json("inputs", "layers array<long>")["layers"]).alias("id"), "kind")
+    uses = log.filter("id is not null").select("id", "kind").unionByName(taken).groupBy("id", "kind").agg(F.count("*").alias("n"))
+    layers = uses.join(fields.select("id", "layer"), "id").groupBy(F.col("layer").alias("id"), "kind").agg(F.sum("n").alias("n"))
+    both = uses.select(F.lit("field").alias("level"), "id", "kind", "n").unionByName(layers.select(F.lit("layer").alias("level"), "id", "kind", "n"))
+    return both.rollup("level", "id", "kind").agg(F.sum("n").alias("n")).filter("id is not null").na.fill({"kind": "Total"})
+
+
 def facet_counts(df: DataFrame, column: str) -> DataFrame:
     """(value, n, values_, total): counts of a column's values, how many values there are, and records."""
     every = Window.partitionBy()
@@ -199,11 +241,49 @@ def log_counts(log: DataFrame, by: list[str], limit: int | None = None, offset:
     return out if limit is None else out.offset(offset).limit(limit)
 
 
-def user_activity(log: DataFrame, kinds: list[str]) -> DataFrame:
-    """A row a user, a column for each category pair named, zero filled, with the total."""
+def aggregate_shapes(rings: DataFrame, name: str, description: list[str]) -> DataFrame:
+    """(name, description, parts, km2, minx, miny, maxx, maxy, wkt): features with rings(pid, ring, xs, ys, name, ...) grouped to
+    objects by name; the description joins several columns of the group, the features become the parts of one polygon."""
+    first = Window.partitionBy(name).orderBy("pid")
+    own = rings.withColumn("part", F.dense_rank().over(first) - 1)
+    signed = F.when(F.col("ring") == 0, 1).otherwise(-1) * F.abs(geo.ring_area("xs", "ys")) / 1e6
+    facts = own.withColumn("a", signed).groupBy(name, *(c for c in description if c != name)).agg(
+        F.countDistinct("pid").alias("parts"), F.sum("a").alias("km2"), F.min(F.array_min("xs")).alias("minx"), F.min(F.array_min("ys")).alias("miny"), F.max(F.array_max("xs")).alias("maxx"), F.max(F.array_max("ys")).alias("maxy")
+    )
+    text = as_wkt(shapes(own.select(F.col(name).alias("pid"), "part", "ring", "xs", "ys"))).withColumnRenamed("pid", name)
+    return facts.withColumn("description", F.concat_ws(", ", *description)).join(text, name)
+
+
+def area_report(found: DataFrame, pid: int, distributions: DataFrame, articles: DataFrame, tabulated: DataFrame) -> DataFrame:
+    """(item, n): the sizes of an area report's tables.
+
+    found(pid, species, taxon): records in all areas; distributions and articles of the area only; tabulated: its overlaps.
+    """
+    item = lambda d, k, c: d.agg(c.alias("n")).select(F.lit(k).alias("item"), "n")
+    own = found.filter(F.col("pid") == pid)
+    endemic = own.select("taxon").distinct().join(found.filter(F.col("pid") != pid).select("taxon").distinct(), "taxon", "left_anti")
+    parts = [
+        item(own, "records", F.count("*")), item(own, "species", F.countDistinct("species")), item(endemic, "endemic", F.count("*")),
+        item(distributions.filter("type = 'c'"), "checklists", F.countDistinct("wmsurl")), item(distributions.filter("type = 'e'"), "expert distributions", F.count("*")),
+        item(articles, "articles", F.countDistinct("id")), item(tabulated, "tabulation", F.count("*")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: Columns that an activity report has at most.
+MAX_KINDS = 1000
+
+
+def user_activity(log: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """A row a user, most active first (place), a column for each category pair (all of the log, if none are named), zero filled, with the total."""
     pair = F.concat_ws("_", "category1", "category2")
+    if kinds is None:
+        kinds = [r.pair for r in log.select(pair.alias("pair")).distinct().orderBy("pair").limit(MAX_KINDS + 1).collect()]
+        if len(kinds) > MAX_KINDS:
+            raise ValueError(f"over {MAX_KINDS} kinds: name those wanted")
     out = log.withColumn("pair", pair).groupBy("user_id").pivot("pair", kinds).count().na.fill(0)
-    return out.withColumn("total", sum((F.col(k) for k in kinds), F.lit(0)))
+    out = out.withColumn("total", sum((F.col(k) for k in kinds), F.lit(0)))
+    return numbered(out, [F.col("total").desc(), F.col("user_id").asc()], "place").orderBy("place")
 
 
 def infer_type(df: DataFrame, column: str) -> DataFrame:
@@ -217,6 +297,4 @@ def infer_type(df: DataFrame, column: str) -> DataFrame:
 
 def name_index(objects: DataFrame) -> DataFrame:
     """(name_lower, name_id): the distinct lower-case names of searchable objects, numbered in order."""
-    from tesserax.sources.records import numbered
-
     return numbered(objects.filter("namesearch").select(F.lower("name").alias("name_lower")).distinct(), "name_lower", "name_id")

@@ -46,14 +46,16 @@ def group_sizes(values: DataFrame, column: str, cuts: DataFrame) -> DataFrame:
     return full.unionByName(missing)
 
 
-def score(values: DataFrame, column: str, n: int = 10) -> DataFrame:
-    """(kind, score): population deviation of class sizes, in distinct values, of each kind of legend; lower is better."""
+def score(values: DataFrame, column: str, n: int = 10, kinds: tuple[str, ...] = ("even", "log", "log10")) -> DataFrame:
+    """(kind, score, chosen): population deviation of class sizes, in distinct values, of each kind of legend; the lowest is
+    chosen, of equal ones the first kind."""
     out = None
-    for kind in ("even", "log", "log10", "size"):
+    for k, kind in enumerate(kinds):
         sizes = group_sizes(values, column, cut_points(values, column, n, kind)).filter("idx >= 0")
-        one = sizes.agg(F.stddev_pop("n_values").alias("score")).select(F.lit(kind).alias("kind"), "score")
+        one = sizes.agg(F.stddev_pop("n_values").alias("score")).select(F.lit(k).alias("k"), F.lit(kind).alias("kind"), "score")
         out = one if out is None else out.unionByName(one)
-    return out
+    best = F.broadcast(out.agg(F.min_by("k", F.struct("score", "k")).alias("best")))  # one row
+    return out.join(best).select("kind", "score", (F.col("k") == F.col("best")).alias("chosen"))
 
 
 def equal_area(values: DataFrame, column: str, n: int = 10) -> DataFrame:

@@ -68,24 +68,40 @@ def hull(points: np.ndarray) -> np.ndarray:
 def extent_of_occurrence(occ: DataFrame) -> DataFrame:
     """(species, points, km2): convex hull of each species' points; under three points, or points on a line, 0.
 
-    Hulls are made within partitions first and of those again, so a species' group holds hull points only.
+    Of a species' points on one meridian only the southernmost and northernmost count; hulls of those are made within
+    partitions and of these again, so a species' group holds hull points only. Rows without a coordinate are left out; a
+    species without any has no points and 0; a null species is one like others.
     """
 
     def partial(batches):
         for pdf in batches:
-            for s, g in pdf.groupby("species", sort=False):
+            for s, g in pdf.groupby("species", sort=False, dropna=False):
                 h = hull(g[["lon", "lat"]].to_numpy())
-                yield pd.DataFrame({"species": s, "lon": h[:, 0], "lat": h[:, 1]})
+                yield pd.DataFrame({"species": s if isinstance(s, str) else None, "lon": h[:, 0], "lat": h[:, 1]})
 
     def merged(key, pdf):
         h = hull(pdf[["lon", "lat"]].to_numpy())
         h = np.vstack([h, h[:1]])
         return pd.DataFrame({"species": [key[0]], "xs": [h[:, 0].tolist()], "ys": [h[:, 1].tolist()]})
 
-    parts = occ.select("species", "lon", "lat").mapInPandas(partial, "species string, lon double, lat double")
+    ends = placed(occ).groupBy("species", "lon").agg(F.array_distinct(F.array(F.min("lat"), F.max("lat"))).alias("ys"))
+    parts = ends.select("species", "lon", F.explode("ys").alias("lat")).mapInPandas(partial, "species string, lon double, lat double")
     rings = parts.groupBy("species").applyInPandas(merged, "species string, xs array<double>, ys array<double>")
     area = F.when(F.size("xs") > 3, F.abs(geo.ring_area("xs", "ys")) / 1e6).otherwise(0.0)
-    return rings.select("species", (F.size("xs") - 1).alias("points"), area.alias("km2"))
+    return every_species(occ, rings.select("species", (F.size("xs") - 1).alias("points"), area.alias("km2")))
+
+
+def placed(occ: DataFrame) -> DataFrame:
+    """(species, lon, lat) of records with both coordinates."""
+    ok = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    return occ.select("species", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).filter(ok("lon") & ok("lat"))
+
+
+def every_species(occ: DataFrame, found: DataFrame) -> DataFrame:
+    """found(species, ...) with a row of zeros for each species of occ that it lacks."""
+    own = occ.select(F.col("species").alias("_s")).distinct()
+    out = own.join(found, F.col("_s").eqNullSafe(F.col("species")), "left").withColumn("species", F.col("_s")).drop("_s")
+    return out.na.fill(0, [c for c in found.columns if c != "species"])
 
 
 def delaunay(p: np.ndarray) -> np.ndarray:
@@ -191,27 +207,30 @@ def delaunay(p: np.ndarray) -> np.ndarray:
     return order[t[np.array([x < 0 for x in turns], dtype=bool)][:, ::-1]]
 
 
-def alpha_hull(occ: DataFrame, alpha: float = 2.0) -> DataFrame:
-    """(species, triangles, area): Delaunay triangles of a species' distinct points whose edges are at most alpha times the mean edge,
-    and their planar area. Rows without a coordinate are left out; a species without a triangle has 0."""
+def alpha_triangles(occ: DataFrame, alpha: float = 2.0, edges: int = 3) -> DataFrame:
+    """(species, xs, ys): the closed triangles of a Delaunay triangulation of a species' distinct points of which the first
+    `edges` edges (3: all) are at most alpha times as long as the mean edge. A species' points are one task's work."""
 
     def run(key, pdf):
-        p = pdf[["lon", "lat"]].to_numpy(dtype=float)
-        p = np.unique(p[np.isfinite(p).all(axis=1)] + 0.0, axis=0)
+        p = np.unique(pdf[["lon", "lat"]].to_numpy(dtype=float) + 0.0, axis=0)
         n = delaunay(p)
         if not len(n):
-            return pd.DataFrame({"species": [key[0]], "triangles": [0], "area": [0.0]})
+            return pd.DataFrame(columns=["species", "xs", "ys"], dtype=object)
         t = p[n]
         pairs = np.unique(np.sort(n[:, [0, 1, 1, 2, 2, 0]].reshape(-1, 2), axis=1), axis=0)
         mean = np.sqrt(((p[pairs[:, 0]] - p[pairs[:, 1]]) ** 2).sum(axis=1)).mean()
-        edge = np.sqrt(((t - np.roll(t, 1, axis=1)) ** 2).sum(axis=2))
-        keep = (edge <= mean * alpha).all(axis=1)
-        a, b = t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]
-        area = np.abs(a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]) / 2
-        return pd.DataFrame({"species": [key[0]], "triangles": [int(keep.sum())], "area": [float(area[keep].sum())]})
+        length = np.sqrt(((np.roll(t, -1, axis=1) - t) ** 2).sum(axis=2))
+        t = t[(length[:, :edges] <= mean * alpha).all(axis=1)][:, [0, 1, 2, 0]]
+        return pd.DataFrame({"species": [key[0]] * len(t), "xs": t[:, :, 0].tolist(), "ys": t[:, :, 1].tolist()}, dtype=object)
+
+    return placed(occ).distinct().groupBy("species").applyInPandas(run, "species string, xs array<double>, ys array<double>")
+
 
-    places = occ.select("species", "lon", "lat").distinct()
-    return places.groupBy("species").applyInPandas(run, "species string, triangles long, area double")
+def alpha_hull(occ: DataFrame, alpha: float = 2.0, edges: int = 3) -> DataFrame:
+    """(species, triangles, km2): number and area on the sphere of alpha_triangles, which make up the hull. Rows without a
+    coordinate are left out; a species without a triangle has 0."""
+    found = alpha_triangles(occ, alpha, edges).groupBy("species").agg(F.count("*").alias("triangles"), F.sum(F.abs(geo.ring_area("xs", "ys")) / 1e6).alias("km2"))
+    return every_species(occ, found)
 
 
 def point_radius_area(occ: DataFrame, radius: float, res: float, fine: float) -> DataFrame:
@@ -219,7 +238,7 @@ def point_radius_area(occ: DataFrame, radius: float, res: float, fine: float) ->
 
     A fine cell counts if its centre is within the radius, so the error is under a fine cell along each circle.
     """
-    seeds = occ.select("species", geo.snap("lon", res).alias("x"), geo.snap("lat", res).alias("y")).distinct()
+    seeds = placed(occ).select("species", geo.snap("lon", res).alias("x"), geo.snap("lat", res).alias("y")).distinct()
     reach = radius / geo.RADIUS * 180 / 3.141592653589793
     wide = F.lit(reach) / F.cos(geo.rad("y"))
     span = lambda lo, hi: F.explode(F.sequence(F.floor(lo / fine).cast("int"), F.floor(hi / fine).cast("int")))

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserax.operators.spatial import boxes_overlap, ring_edges, shapes
@@ -120,25 +120,30 @@ def overlay_shapes(rings_a: DataFrame, rings_b: DataFrame, size: float = 4.0) ->
                 rows += [(p, q, *_ring(t)) for t in trapezoids(np.stack(e1), np.stack(e2), "intersection", k * size, (k + 1) * size)]
             yield pd.DataFrame(rows, columns=["pid1", "pid2", "xs", "ys"])
 
-    pairs = banded_pairs(rings_a, rings_b, size).select(F.col("pid1").cast("long"), F.col("pid2").cast("long"), "band", "e1", "e2")
-    return pairs.mapInPandas(run, "pid1 long, pid2 long, xs array<double>, ys array<double>")
+    pairs = banded_pairs(rings_a, rings_b, size).select("pid1", "pid2", "band", "e1", "e2")
+    types = dict(pairs.dtypes)
+    return pairs.mapInPandas(run, f"pid1 {types['pid1']}, pid2 {types['pid2']}, xs array<double>, ys array<double>")
 
 
 def merged(rings_a: DataFrame, rings_b: DataFrame, how: str, size: float = 4.0) -> DataFrame:
-    """(xs, ys): the union or the intersection of two areas (each all its rings together), as closed trapezoids, band by band."""
+    """(pid, xs, ys): the union or the intersection of the two areas of each pid, as closed trapezoids, band by band."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             rows = []
-            for k, e1, e2 in zip(x["band"], x["e1"], x["e2"], strict=True):
+            for pid, k, e1, e2 in zip(x["pid"], x["band"], x["e1"], x["e2"], strict=True):
                 e1, e2 = (np.stack(e) if e is not None and len(e) else np.zeros((0, 4)) for e in (e1, e2))
-                rows += [_ring(t) for t in trapezoids(e1, e2, how, k * size, (k + 1) * size)]
-            yield pd.DataFrame(rows, columns=["xs", "ys"])
+                rows += [(pid, *_ring(t)) for t in trapezoids(e1, e2, how, k * size, (k + 1) * size)]
+            yield pd.DataFrame(rows, columns=["pid", "xs", "ys"])
 
-    one = lambda d: d.withColumn("pid", F.lit(0))
-    e1, e2 = banded_edges(one(rings_a), size, "p1", "e1").drop("p1"), banded_edges(one(rings_b), size, "p2", "e2").drop("p2")
-    bands = e1.join(e2, "band", "full" if how == "union" else "inner")
-    return bands.mapInPandas(run, "xs array<double>, ys array<double>")
+    bands = banded_edges(rings_a, size, "pid", "e1").join(banded_edges(rings_b, size, "pid", "e2"), ["pid", "band"], "full" if how == "union" else "inner")
+    return bands.select("pid", "band", "e1", "e2").mapInPandas(run, f"pid {dict(bands.dtypes)['pid']}, xs array<double>, ys array<double>")
+
+
+def as_rings(pieces: DataFrame, pid) -> DataFrame:
+    """rings(pid, part, ring, xs, ys) of pieces that meet at their edges only, numbered as parts of a polygon."""
+    part = F.row_number().over(Window.partitionBy("pid").orderBy("ys", "xs"))
+    return pieces.select(pid.alias("pid"), "xs", "ys").select("pid", part.alias("part"), F.lit(0).alias("ring"), "xs", "ys")
 
 
 def _ring(t: tuple[float, ...]) -> tuple[list[float], list[float]]:

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserax.functions import geo
 from tesserax.operators.components import components
-from tesserax.operators.spatial import first_polygon
+from tesserax.operators.spatial import first_polygon, meets_box, points_in_polygons, ring_edges, with_bucket
 from tesserax.sources.scratch import materialise
 
+#: Degrees of the buckets in which cells meet a region's edges.
+BUCKET = 0.5
+
 
 def stack(layers: dict[str, DataFrame]) -> DataFrame:
     """(row, col, one column a layer): all layers' values of a cell in one row; null where a layer has none."""
@@ -24,13 +28,22 @@ def overlay_grids(a: DataFrame, b: DataFrame, res: float) -> DataFrame:
     return both.groupBy("v1", "v2").agg(F.count("*").alias("cells"), F.sum(geo.cell_area(res, "lat")).alias("km2"))
 
 
-def standardise(cells: DataFrame, res: float, target: float, west: float, north: float) -> DataFrame:
-    """cells on a target lattice: the value of the nearest centre if the native cell is at most 1.2 targets wide, else unchanged rows
-    re-binned by mean where several native cells fall into one."""
-    own = cells.withColumns({"row": F.floor((F.lit(north) - F.col("lat")) / target).cast("int"), "col": F.floor((F.col("lon") - west) / target).cast("int")})
-    if res > 1.2 * target:
-        raise ValueError("the native cells are too coarse for the target")
-    return own.groupBy("row", "col").agg(F.avg("value").alias("value"))
+def standardise(cells: DataFrame, res: float, targets: list[float], west: float, north: float) -> DataFrame:
+    """(target, row, col, value): cells on each target lattice that is not too fine, that is if the native cell is at most 1.2
+    targets wide; the mean where several native cells fall into one. What is too fine is taken from resolution_for."""
+    out = None
+    for t in sorted(x for x in targets if res <= 1.2 * x):
+        at = [F.floor((F.lit(north) - F.col("lat")) / t).cast("int").alias("row"), F.floor((F.col("lon") - west) / t).cast("int").alias("col")]
+        one = cells.groupBy(*at).agg(F.avg("value").alias("value")).select(F.lit(t).alias("target"), "row", "col", "value")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("the native cells are too coarse for every target")
+    return out
+
+
+def resolution_for(wanted: float, made: list[float]) -> float:
+    """Of the resolutions that a layer was made in, the wanted one or the nearest finer; without a finer one, the finest."""
+    return max((x for x in made if x <= wanted * (1 + 1e-9)), default=min(made))
 
 
 def cut(layers: dict[str, DataFrame], mask: DataFrame | None = None) -> DataFrame:
@@ -54,12 +67,18 @@ def envelope_summary(cells: DataFrame, places: DataFrame, res: float, cap: int |
     return out.withColumn("res", res * F.pow(F.lit(2.0), times))
 
 
-def region_mask(cells: DataFrame, minx: float, miny: float, maxx: float, maxy: float, res: float) -> DataFrame:
-    """(row, col, full): cells that a box meets, and whether it holds them wholly."""
+def region_mask(cells: DataFrame, rings: DataFrame, res: float) -> DataFrame:
+    """(row, col, full): cells of which a region (rings) has a point, and whether it holds them wholly: then none of its edges meets them."""
     h = res / 2
-    meets = (F.col("lon") + h > minx) & (F.col("lon") - h < maxx) & (F.col("lat") + h > miny) & (F.col("lat") - h < maxy)
-    full = (F.col("lon") - h >= minx) & (F.col("lon") + h <= maxx) & (F.col("lat") - h >= miny) & (F.col("lat") + h <= maxy)
-    return cells.filter(meets).select("row", "col", full.alias("full"))
+    c = cells.select("row", "col", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
+    e = ring_edges(rings).select("x1", "y1", "x2", "y2")
+    at = lambda v: F.floor(v / BUCKET).cast("int")
+    span = lambda a, b: F.explode(F.sequence(at(F.least(a, b) - h), at(F.greatest(a, b) + h)))
+    dealt = e.withColumn("bx", span("x1", "x2")).withColumn("by", span("y1", "y2"))
+    met = with_bucket(c, BUCKET).join(dealt, ["bx", "by"]).filter(meets_box("x1", "y1", "x2", "y2", F.col("lon") - h, F.col("lat") - h, F.col("lon") + h, F.col("lat") + h)).select("row", "col").distinct()
+    inside = points_in_polygons(c, rings).select("lon", "lat").distinct()
+    full = c.join(inside, ["lon", "lat"]).select("row", "col").join(met, ["row", "col"], "left_anti").withColumn("full", F.lit(True))
+    return met.withColumn("full", F.lit(False)).unionByName(full)
 
 
 def reclassify(cells: DataFrame, classes: DataFrame) -> DataFrame:
@@ -92,7 +111,7 @@ def rasterise(cells: DataFrame, rings: DataFrame) -> DataFrame:
 
 def regions(cells: DataFrame) -> DataFrame:
     """(row, col, value, region): cells of equal value joined edge to edge share the least of their cells' numbers."""
-    number = F.col("row").cast("long") * 1_000_000 + F.col("col")
+    number = F.shiftleft(F.col("row").cast("long"), 31) + F.col("col")
     own = materialise(cells.select("row", "col", "value", number.alias("id")))
     beside = [own.alias("a").join(own.alias("b"), (F.col("b.row") == F.col("a.row") + dr) & (F.col("b.col") == F.col("a.col") + dc) & (F.col("a.value") == F.col("b.value"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")) for dr, dc in ((0, 1), (1, 0))]
     found = components(reduce(DataFrame.unionByName, beside))
@@ -109,3 +128,44 @@ def region_edges(labelled: DataFrame) -> DataFrame:
         side = side.select("region", (F.col("col") + x1).alias("x1"), (F.col("row") + y1).alias("y1"), (F.col("col") + x2).alias("x2"), (F.col("row") + y2).alias("y2"))
         out = side if out is None else out.unionByName(side)
     return out
+
+
+def region_rings(labelled: DataFrame, west: float, north: float, res: float) -> DataFrame:
+    """(region, ring, xs, ys): closed outlines of regions in degrees, corners only; ring 0 is the shell, clockwise, others are holes.
+
+    A region's polygon is one value, so its sides are one task's work. Where a region touches itself at a corner only, the
+    outline turns so that the two cells stay apart and holes that touch there become one.
+    """
+
+    def run(key, pdf):
+        by_start: dict = {}
+        for x1, y1, x2, y2 in zip(*(pdf[c].tolist() for c in ("x1", "y1", "x2", "y2")), strict=True):
+            by_start.setdefault((x1, y1), []).append((x2, y2))
+        rings = []
+        while by_start:
+            start = min(by_start)
+            at, way, ring = start, None, []
+            while True:
+                options = by_start[at]
+                # the interior is on the right: of two ways on, the one that turns right stays with its cell
+                k = 0
+                if way is not None and len(options) > 1:
+                    k = max(range(len(options)), key=lambda i: way[0] * (options[i][1] - at[1]) - way[1] * (options[i][0] - at[0]))
+                nxt = options.pop(k)
+                if not options:
+                    del by_start[at]
+                step = (nxt[0] - at[0], nxt[1] - at[1])
+                if step != way:
+                    ring.append(at)
+                at, way = nxt, step
+                if at == start:
+                    break
+            first = (ring[1][0] - ring[0][0], ring[1][1] - ring[0][1])
+            if way[0] * first[1] == way[1] * first[0]:  # the start is no corner
+                ring = ring[1:]
+            rings.append([*ring, ring[0]])
+        rings.sort(key=lambda r: -abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:], strict=False))))
+        rows = [(key[0], k, [west + x * res for x, _ in r], [north - y * res for _, y in r]) for k, r in enumerate(rings)]
+        return pd.DataFrame(rows, columns=["region", "ring", "xs", "ys"])
+
+    return region_edges(labelled).groupBy("region").applyInPandas(run, "region long, ring int, xs array<double>, ys array<double>")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tesserax.functions import geo
 from tesserax.operators import aggregates as A
+from tesserax.operators import catalogue as C
 from tesserax.operators import spatial as S
-from tesserax.plans.views import Registry
+from tesserax.plans.views import Registry, boxes
 
 query = Registry()
 r6 = lambda *cols: [F.round(c, 6).alias(c) for c in cols]
@@ -59,6 +60,13 @@ def _(v):
     return A.focal_mean(cells, 3, 70, 80).select("row", "col", *r6("value"))
 
 
+@query("agg3_focal_mean_wrapped", f"""select row, col, round(sum(n) / ((least(row + 1, 69) - greatest(row - 1, 0) + 1) * 3), 6) as value from (select d.row + a.o as row, (d.col + b.o + 80) % 80 as col, n
+    from (select row, col, sum(n) as n from ({SITES}) group by 1, 2) d, (select unnest([-1, 0, 1]) as o) a, (select unnest([-1, 0, 1]) as o) b) where row between 0 and 69 group by row, col""")
+def _(v):
+    cells = A.sites_by_species(v.occurrences, 112.0, -45.0, 0.5).groupBy("row", "col").agg(F.sum("n").alias("n"))
+    return A.focal_mean(cells, 3, 70, 80, wrap=True).select("row", "col", *r6("value"))
+
+
 @query("agg4_focal_richness", f"select row, col, round(count(distinct species) / {INGRID}, 6) as value " + FOCAL.format(src=f"select row, col, species from ({SITES})"))
 def _(v):
     return A.focal_richness(A.sites_by_species(v.occurrences, 112.0, -45.0, 0.5), 3, 70, 80).select("row", "col", *r6("value"))
@@ -82,9 +90,10 @@ def _(v):
     return A.points_to_grid(v.occurrences, 2.0, 3).select("row", "col", *r6("density", "richness"))
 
 
-@query("agg6_world_counts", f"select {W1}, count(*) as n from {{occurrences}} group by 1, 2")
+@query("agg6_world_counts", f"select * from (select {W1}, count(*) as n from {{occurrences}} group by 1, 2) where (lat_cell, lon_cell) in (select {W1} from {{cells_cl3}} where value % 3 = 0)")
 def _(v):
-    return A.world_counts(v.occurrences, 1)
+    mask = A.world_cells(v.cells_cl3.filter("value % 3 = 0"), 1)
+    return A.world_counts(v.occurrences, 1, mask)
 
 
 @query("agg7_world_richness", f"select {W1}, count(distinct species) as species from {{occurrences}} group by 1, 2")
@@ -109,7 +118,8 @@ def _(v):
 
 @query("agg11_richness_by_region", f"select name, richness, count(*) as cells from (select name, {W1}, count(distinct species) as richness from {{hits}} group by 1, 2, 3) group by 1, 2")
 def _(v):
-    return A.richness_frequency(v.hits, 1, "name")
+    found = S.every_polygon(v.occurrences, S.boxes_to_rings(v.areas)).join(v.areas.select("pid", "name"), "pid")
+    return A.richness_frequency(found, 1, "name")
 
 
 @query("agg11_richness_by_decade", f"select decade, richness, count(*) as cells from (select cast(ceil(year / 10) as int) as decade, {W1}, count(distinct species) as richness from {{occurrences}} group by 1, 2, 3) group by 1, 2")
@@ -141,11 +151,18 @@ def _(v):
     return A.matrix_totals(tab).select("pid1", "pid2", *r6("total"))
 
 
-@query("agg15_tabulation_fetch", f"select pid1, pid2, name1, name2, round({sq_box('minx', 'miny', 'maxx', 'maxy')} / 1e6, 3) as km2 from {{overlay}} where minx >= 116 and maxy <= -14")
+# a right triangle over most of the view: legs from its south-west corner
+CLIP = "(select 113.0::double as ax, -44.5::double as ay, 151.0::double as cx, -11.5::double as b_y)"
+CLIP_CORNER = "pow(greatest(0, 1 - greatest({x} - h.ax, 0) / (h.cx - h.ax) - greatest({y} - h.ay, 0) / (h.b_y - h.ay)), 2)"
+CLIPPED = "((h.cx - h.ax) * (h.b_y - h.ay) / 2 * (" + " ".join(s + CLIP_CORNER.format(x=f"o.{x}", y=f"o.{y}") for s, x, y in (("", "minx", "miny"), ("- ", "maxx", "miny"), ("- ", "minx", "maxy"), ("+ ", "maxx", "maxy"))) + "))"
+
+
+@query("agg15_tabulation_fetch", f"""select pid1, pid2, name1, name2, round({CLIPPED}, 6) as area, count(r.species) as occurrences, count(distinct r.species) as species from {{overlay}} o cross join {CLIP} h
+    left join {{occurrences}} r on r.lon between o.minx and o.maxx and r.lat between o.miny and o.maxy and (r.lon - h.ax) / (h.cx - h.ax) + (r.lat - h.ay) / (h.b_y - h.ay) <= 1 and r.lon >= h.ax and r.lat >= h.ay
+    where {CLIPPED} > 1e-9 group by all""")
 def _(v):
-    tab = S.boxes_overlap(v.areas, v.areas2).filter("minx >= 116 and maxy <= -14").withColumn("km2", F.round(geo.box_area("minx", "miny", "maxx", "maxy") / 1e6, 3))
-    named = tab.join(v.areas.select(F.col("pid").alias("pid1"), F.col("name").alias("name1")), "pid1").join(v.areas2.select(F.col("pid").alias("pid2"), F.col("name").alias("name2")), "pid2")
-    return named.select("pid1", "pid2", "name1", "name2", "km2")
+    clip = v._spark.createDataFrame([(0, 113.0, -44.5, 113.0, -11.5, 151.0, -44.5)], "pid int, ax double, ay double, bx double, b_y double, cx double, cy double")
+    return C.tabulation_clipped(S.boxes_to_rings(v.areas), S.boxes_to_rings(v.areas2), S.triangles_to_rings(clip), v.occurrences, v.areas, v.areas2).filter("area > 1e-9").select("pid1", "pid2", "name1", "name2", *r6("area"), "occurrences", "species")
 
 
 TAB = "select o_orderkey % 40 as fid1, o_custkey % 30 as fid2, case when o_orderkey % 11 = 0 then 0 else o_totalprice end as area, o_orderkey % 97 <> 5 as complete from {orders}"
@@ -166,8 +183,7 @@ def _(v):
 
 @query("agg18_single_field_tabulation", f"select pid, name, round({sq_box('greatest(minx, 118.0)', 'greatest(miny, -40.0)', 'least(maxx, 140.0)', 'least(maxy, -18.0)')} / 1e6, 3) as km2 from {{areas}} where minx < 140 and maxx > 118 and miny < -18 and maxy > -40")
 def _(v):
-    area = v.areas.limit(1).select(F.lit(0).alias("pid"), F.lit(118.0).alias("minx"), F.lit(-40.0).alias("miny"), F.lit(140.0).alias("maxx"), F.lit(-18.0).alias("maxy"))
-    cut = S.boxes_overlap(v.areas, area).withColumn("km2", F.round(geo.box_area("minx", "miny", "maxx", "maxy") / 1e6, 3))
+    cut = S.boxes_overlap(v.areas, boxes(v, (0, 118.0, -40.0, 140.0, -18.0))).withColumn("km2", F.round(geo.box_area("minx", "miny", "maxx", "maxy") / 1e6, 3))
     return v.areas.select("pid", "name").join(cut, F.col("pid") == F.col("pid1")).select("pid", "name", "km2")
 
 
@@ -176,10 +192,14 @@ def _(v):
     return A.percent_of_total(v.cells_cl3.groupBy("value").agg(F.count("*").alias("cells")), "cells").select("value", "cells", *r6("percent"))
 
 
-@query("agg20_overlay_import", f"select pid1 % 5 as v1, pid2 % 5 as v2, round(sum({sq_box('minx', 'miny', 'maxx', 'maxy')} / 1e6), 2) as km2, count(*) as parts from {{overlay}} group by 1, 2")
+BOX_TEXT = "printf('POLYGON((%.6f %.6f,%.6f %.6f,%.6f %.6f,%.6f %.6f,%.6f %.6f))', {a}, {b}, {a}, {d}, {c}, {d}, {c}, {b}, {a}, {b})".format(a="minx", b="miny", c="maxx", d="maxy")
+
+
+@query("agg20_overlay_import", f"select pid1 % 5 as v1, pid2 % 5 as v2, round(sum({sq_box('minx', 'miny', 'maxx', 'maxy')} / 1e6), 2) as km2, 'GEOMETRYCOLLECTION(' || string_agg({BOX_TEXT}, ',' order by {BOX_TEXT}) || ')' as geometry from {{overlay}} group by 1, 2")
 def _(v):
     cut = S.boxes_overlap(v.areas, v.areas2).select((F.col("pid1") % 5).alias("v1"), (F.col("pid2") % 5).alias("v2"), (geo.box_area("minx", "miny", "maxx", "maxy") / 1e6).alias("a"), geo.box_wkt("minx", "miny", "maxx", "maxy").alias("w"))
-    return cut.groupBy("v1", "v2").agg(F.round(F.sum("a"), 2).alias("km2"), F.size(F.collect_list("w")).cast("bigint").alias("parts"))
+    text = F.concat(F.lit("GEOMETRYCOLLECTION("), F.array_join(F.array_sort(F.collect_list("w")), ","), F.lit(")"))
+    return cut.groupBy("v1", "v2").agg(F.round(F.sum("a"), 2).alias("km2"), text.alias("geometry"))
 
 
 @query("agg21_species_by_layer", f"select a.pid, a.name, count(h.species) as n, count(distinct h.species) as species, round({sq_box('minx', 'miny', 'maxx', 'maxy')} / 1e6, 3) as km2 from {{areas}} a left join {{hits}} h on a.pid = h.pid group by all")
@@ -266,10 +286,15 @@ def _(v):
     return A.compare_areas(own.filter("pid = 3"), own.filter("pid = 12"))
 
 
-@query("set1_species_partition", "select species from (select distinct species from {hits} where pid = 3 and year = 1995) where species not in (select species from {hits} where pid = 12 and year = 1995)")
+TAXON = "concat(species, '_', cast(year as varchar), '_', cast(rec_order % 20 as varchar))"
+
+
+@query("set1_species_partition", f"""with a as (select distinct {TAXON} as species from {{hits}} where pid = 3), b as (select distinct {TAXON} as species from {{hits}} where pid = 12)
+    select coalesce(a.species, b.species) as species, case when b.species is null then 'only 1' when a.species is null then 'only 2' else 'both' end as status from a full join b on a.species = b.species""")
 def _(v):
-    one = v.hits.filter("pid = 3 and year = 1995").select("species")
-    return one.distinct().exceptAll(v.hits.filter("pid = 12 and year = 1995").select("species").distinct().intersect(one.distinct()))
+    own = S.every_polygon(v.occurrences, S.boxes_to_rings(v.areas.filter("pid in (3, 12)")))
+    own = own.withColumn("species", F.concat_ws("_", "species", "year", F.col("rec_order") % 20))
+    return A.species_partition(own.filter("pid = 3"), own.filter("pid = 12"))
 
 
 @query("agg30_layer_distance", """with a as (select row, col, (value - min(value) over ()) / (max(value) over () - min(value) over ()) as a from {cells_el1}), b as (select row, col, (value - min(value) over ()) / (max(value) over () - min(value) over ()) as b from {cells_el2})

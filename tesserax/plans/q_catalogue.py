@@ -8,8 +8,11 @@ from tesserax.functions import geo
 from tesserax.operators import aggregates as A
 from tesserax.operators import catalogue as C
 from tesserax.operators import spatial as S
-from tesserax.plans.q_aggregates import sq_box, sq_cell, sq_excess
-from tesserax.plans.views import Registry
+from tesserax.operators.overlay import merged, planar_area
+from tesserax.plans.q_aggregates import TAXON, sq_cell, sq_excess
+from tesserax.plans.views import Registry, boxes
+from tesserax.sources.records import in_order
+from tesserax.sources.scratch import materialise
 
 query = Registry()
 GRID = dict(west=112.0, north=-10.0, res=0.25, rows=140, cols=160)
@@ -71,7 +74,7 @@ def _(v):
 
 @query("pred16_distribution_filter", "select spcode, lsid from {distributions} where type = 'e' and lsid in ('lsid:3', 'lsid:6', 'lsid:9', 'lsid:12') and data_resource in ('dr0', 'dr3') and spcode in (select pid from {corners} where least(ax, bx, cx) < 140 and greatest(ax, bx, cx) > 115)")
 def _(v):
-    near = S.boxes_overlap(S.shapes(S.triangles_to_rings(v.corners)), v.areas.limit(1).select(F.lit(0).alias("pid"), F.lit(115.0).alias("minx"), F.lit(-90.0).alias("miny"), F.lit(140.0).alias("maxx"), F.lit(90.0).alias("maxy")))
+    near = S.boxes_overlap(S.shapes(S.triangles_to_rings(v.corners)), boxes(v, (0, 115.0, -90.0, 140.0, 90.0)))
     own = v.distributions.filter("type = 'e'").filter(F.col("lsid").isin("lsid:3", "lsid:6", "lsid:9", "lsid:12") & F.col("data_resource").isin("dr0", "dr3"))
     return own.join(near, F.col("spcode") == F.col("pid1"), "left_semi").select("spcode", "lsid")
 
@@ -95,6 +98,12 @@ def _(v):
     return cut.select("pid", C.ring_valid(F.col("xs"), F.col("ys")).alias("closed"))
 
 
+@query("pred19_licence_level", "select id from {layers} where id % 5 in (1, 3)")
+def _(v):
+    level = F.when(F.col("id") % 5 != 4, F.col("id") % 5)
+    return C.download_allowed(v.layers.withColumn("licence_level", level), [1, 3]).select("id")
+
+
 @query("join17_grid_overlay", f"select cast(floor(a.value / 16) as int) as v1, cast(floor(b.value / 16) as int) as v2, count(*) as cells, round(sum({sq_cell('0.25', 'a.lat')}), 3) as km2 from {{cells_el1}} a join {{cells_el2}} b on a.row = b.row and a.col = b.col group by 1, 2")
 def _(v):
     from tesserax.operators.rasters import overlay_grids
@@ -184,10 +193,14 @@ def _(v):
     return out.groupBy("name").pivot("n2", ["cl3", "el1"]).agg(F.round(F.max("distance"), 6))
 
 
-@query("agg33_layer_usage", "select cast(json_extract_string(data, '$.k') as bigint) as id, category1 as kind, count(*) as n from {log} where created >= timestamp '2024-01-08' group by 1, 2")
+@query("agg33_layer_usage", """with u as (select cast(json_extract_string(data, '$.k') as bigint) as id, category1 as kind from {log} where created >= timestamp '2024-01-08'
+      union all select cast(unnest(json_extract(inputs, '$.layers[*]')) as bigint), kind from {task_inputs}),
+    f as (select 'field' as level, id, kind, count(*) as n from u group by 2, 3 union all select 'layer', p_partkey % 20, kind, count(*) from u join {part} on p_partkey = id group by 2, 3)
+    select level, id, kind, n from f union all select level, id, 'Total', cast(sum(n) as bigint) from f group by 1, 2""")
 def _(v):
-    recent = v.log.filter("created >= timestamp_ntz '2024-01-08'").withColumn("id", F.get_json_object("data", "$.k").cast("long"))
-    return recent.groupBy("id", F.col("category1").alias("kind")).agg(F.count("*").alias("n"))
+    recent = v.log.filter("created >= timestamp_ntz '2024-01-08'").select(F.get_json_object("data", "$.k").cast("long").alias("id"), F.col("category1").alias("kind"))
+    fields = v.part.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 20).alias("layer"))
+    return C.layer_usage(recent, v.task_inputs, fields)
 
 
 @query("agg35_environment_block", f"select least(cast(floor((a.value - x.lo) / ((x.hi - x.lo) / 20)) as int), 19) as bx, least(cast(floor((b.value - y.lo) / ((y.hi - y.lo) / 20)) as int), 19) as b_y, round(sum({sq_cell('0.25', 'a.lat')}), 3) as km2 from {{cells_el1}} a join {{cells_el2}} b on a.row = b.row and a.col = b.col, (select min(value) as lo, max(value) as hi from {{cells_el1}}) x, (select min(value) as lo, max(value) as hi from {{cells_el2}}) y group by 1, 2")
@@ -202,6 +215,12 @@ def _(v):
     return v.distributions.filter("type = 'e'").groupBy("family").agg(F.count("*").alias("n"))
 
 
+@query("agg36_distribution_families_near", "select family, count(*) as n from {distributions} where type = 'e' and spcode in (select pid from {near_point} where d <= 6 or inside) group by 1")
+def _(v):
+    near = S.shapes(S.triangles_to_rings(v.corners)).filter(S.shape_distance(F.lit(130.0), F.lit(-30.0), "shape") <= 6)
+    return v.distributions.filter("type = 'e'").join(near, F.col("spcode") == F.col("pid"), "left_semi").groupBy("family").agg(F.count("*").alias("n"))
+
+
 @query("agg37_distribution_rollup", "select lsid, max(case when area_name like '%likely%' then area_km end) as likely, max(case when area_name like '%maybe%' then area_km end) as maybe from {distributions} group by 1")
 def _(v):
     of = lambda w: F.max(F.when(F.col("area_name").contains(w), F.col("area_km"))).alias(w)
@@ -223,9 +242,13 @@ def _(v):
     return v.log.agg(F.countDistinct("category1", "category2").alias("n"))
 
 
-@query("agg41_user_activity", "select user_id, count(*) filter (category2 = 'click' and category1 = 'Area') as Area_click, count(*) filter (category2 = 'error' and category1 = 'Area') as Area_error, count(*) filter (category1 = 'Area' and category2 in ('click', 'error')) as total from {log} group by 1")
+PAIRS = [f"{a}_{b}" for a in ("Area", "Tool") for b in ("click", "error", "purchase", "signup", "view")]
+PAIR_COUNTS = ", ".join(f"count(*) filter (concat(category1, '_', category2) = '{p}') as {p}" for p in PAIRS)
+
+
+@query("agg41_user_activity", f"select user_id, {PAIR_COUNTS}, count(*) as total, row_number() over (order by count(*) desc, user_id) as place from {{log}} group by 1")
 def _(v):
-    return C.user_activity(v.log, ["Area_click", "Area_error"])
+    return C.user_activity(v.log)
 
 
 @query("agg42_monthly_tasks", "select category1, category2, cast(year(created) as int) as year, cast(month(created) as int) as month, count(*) as n from {log} where user_id <> 3 group by 1, 2, 3, 4")
@@ -233,18 +256,48 @@ def _(v):
     return v.log.filter("user_id <> 3").groupBy("category1", "category2", F.year("created").alias("year"), F.month("created").alias("month")).agg(F.count("*").alias("n"))
 
 
-@query("agg43_aggregate_shapes", f"select concat('n', cast(pid % 7 as varchar)) as name, count(*) as parts, round(sum({sq_box('minx', 'miny', 'maxx', 'maxy')} / 1e6), 2) as km2, min(minx) as minx, min(miny) as miny, max(maxx) as maxx, max(maxy) as maxy from {{areas}} group by 1")
+TRIANGLE = "concat('((', ax, ' ', ay, ',', bx, ' ', b_y, ',', cx, ' ', cy, ',', ax, ' ', ay, '))')"
+
+
+@query("agg43_aggregate_shapes", f"""select concat('n', cast(pid % 7 as varchar)) as name, concat('n', cast(pid % 7 as varchar), ', group ', cast(pid % 7 % 3 as varchar)) as description, count(*) as parts, round(sum({sq_excess('ax', 'ay', 'bx', 'b_y', 'cx', 'cy')}) * 6378137.0 * 6378137.0 / 1e6, 2) as km2,
+    min(ax) as minx, min(ay) as miny, max(cx) as maxx, max(b_y) as maxy, 'MULTIPOLYGON(' || string_agg({TRIANGLE}, ',' order by pid) || ')' as wkt from {{halves}} group by 1, 2""")
+def _(v):
+    named = v.halves.select("pid", F.concat(F.lit("n"), (F.col("pid") % 7).cast("string")).alias("name"), (F.col("pid") % 7 % 3).alias("grp"))
+    rings = S.triangles_to_rings(v.halves).join(named, "pid").withColumn("group", F.concat(F.lit("group "), F.col("grp").cast("string")))
+    out = C.aggregate_shapes(rings, "name", ["name", "group"])
+    return out.select("name", "description", "parts", F.round("km2", 2).alias("km2"), "minx", "miny", "maxx", "maxy", "wkt")
+
+
+MERGE_IN = "((h.cx - h.ax) * (h.b_y - h.ay) / 2 * (" + " ".join(s + "pow(greatest(0, 1 - greatest(b.{x} - h.ax, 0) / (h.cx - h.ax) - greatest(b.{y} - h.ay, 0) / (h.b_y - h.ay)), 2)".format(x=x, y=y) for s, x, y in (("", "minx", "miny"), ("- ", "maxx", "miny"), ("- ", "minx", "maxy"), ("+ ", "maxx", "maxy"))) + "))"
+
+
+@query("agg44_merge_areas", f"""with m as (select h.pid, {MERGE_IN} as i, (h.cx - h.ax) * (h.b_y - h.ay) / 2 + greatest(b.maxx - b.minx, 0) * greatest(b.maxy - b.miny, 0) as t from {{halves}} h join {{areas2}} b on b.pid = h.pid + 100 where b.maxx > b.minx and b.maxy > b.miny)
+    select 'union' as kind, pid, round(t - i, 6) as area from m union all select 'intersection', pid, round(i, 6) from m where i > 1e-9""")
 def _(v):
-    a = v.areas.withColumns({"name": F.concat(F.lit("n"), (F.col("pid") % 7).cast("string")), "w": geo.box_wkt("minx", "miny", "maxx", "maxy"), "a": geo.box_area("minx", "miny", "maxx", "maxy") / 1e6})
-    return a.groupBy("name").agg(F.size(F.collect_list("w")).cast("long").alias("parts"), F.round(F.sum("a"), 2).alias("km2"), F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"))
+    b = v.areas2.filter("maxx > minx and maxy > miny").withColumn("pid", F.col("pid") - 100)
+    a = S.triangles_to_rings(v.halves.join(b.select("pid"), "pid", "left_semi"))
+    of = lambda how: merged(a, S.boxes_to_rings(b), how).groupBy("pid").agg(F.round(F.sum(planar_area("xs", "ys")), 6).alias("area")).filter("area > 0").select(F.lit(how).alias("kind"), "pid", "area")
+    return of("union").unionByName(of("intersection"))
+
+
+BOX_SIDES = ", ".join(f"(e.x2 - e.x1) * (a.{y} - e.y1) - (e.y2 - e.y1) * (a.{x} - e.x1)" for x in ("minx", "maxx") for y in ("miny", "maxy"))
+MEETS_BOX = f"(least(e.x1, e.x2) <= a.maxx and greatest(e.x1, e.x2) >= a.minx and least(e.y1, e.y2) <= a.maxy and greatest(e.y1, e.y2) >= a.miny and least({BOX_SIDES}) <= 0 and greatest({BOX_SIDES}) >= 0)"
+ODD_CORNER = "(sum(case when (e.x1 > a.minx) <> (e.x2 > a.minx) and a.miny < e.y1 + (a.minx - e.x1) * (e.y2 - e.y1) / (e.x2 - e.x1) then 1 else 0 end) % 2 = 1)"
 
 
-@query("agg44_merge_areas", "select 'union' as kind, count(*) as cells from {cells_el1} where (lon between 115 and 125 and lat between -30 and -20) or (lon between 120 and 135 and lat between -25 and -12) union all select 'intersection', count(*) from {cells_el1} where lon between 120 and 125 and lat between -25 and -20")
+@query("agg46_area_report", f"""with a as (select * from {{areas}} where pid = 12), t as (select e.pid from {{tri_edges}} e, a group by e.pid, a.minx, a.miny having bool_or({MEETS_BOX}) or {ODD_CORNER}),
+    d as (select * from {{distributions}} where spcode in (select pid from t)), taxa as (select *, {TAXON} as taxon from {{hits}})
+    select 'records' as item, count(*) as n from {{hits}} where pid = 12 union all select 'species', count(distinct species) from {{hits}} where pid = 12
+    union all select 'endemic', count(distinct taxon) from taxa where pid = 12 and taxon not in (select taxon from taxa where pid <> 12)
+    union all select 'checklists', count(distinct wmsurl) from d where type = 'c' union all select 'expert distributions', count(*) from d where type = 'e'
+    union all select 'articles', count(distinct id) from {{article_points}}, a where not missing and lon between minx and maxx and lat between miny and maxy
+    union all select 'tabulation', count(*) from {{overlay}} where pid1 = 12""")
 def _(v):
-    area = lambda *b: v.cells_el1.filter(geo.in_box("lon", "lat", *map(F.lit, b))).select("row", "col")
-    a, b = area(115, -30, 125, -20), area(120, -25, 135, -12)
-    count = lambda d, k: d.agg(F.count("*").alias("cells")).select(F.lit(k).alias("kind"), "cells")
-    return count(a.unionByName(b).distinct(), "union").unionByName(count(a.intersect(b), "intersection"))
+    area = v.areas.filter("pid = 12")
+    found = S.every_polygon(v.occurrences.withColumn("taxon", F.concat_ws("_", "species", "year", F.col("rec_order") % 20)), S.boxes_to_rings(v.areas))
+    met = S.objects_intersecting(S.triangles_to_rings(v.corners), S.boxes_to_rings(area)).select(F.col("pid1").alias("spcode"))
+    articles = S.every_polygon(v.article_points.filter("not missing"), S.boxes_to_rings(area))
+    return C.area_report(materialise(found, "records"), 12, v.distributions.join(met, "spcode", "left_semi"), articles, S.boxes_overlap(area, v.areas2))
 
 
 @query("agg46_area_report", "select 'records' as item, count(*) as n from {hits} where pid = 12 union all select 'species', count(distinct species) from {hits} where pid = 12 union all select 'articles', count(distinct id) from {article_points} where not missing and lon between 128 and 136 and lat between -31 and -24 union all select 'years', count(distinct year) from {hits} where pid = 12")
@@ -278,10 +331,10 @@ def _(v):
     return found.orderBy(F.locate("ll", F.col("low")), "low", "pid").limit(30).select("pid", "name")
 
 
-@query("srt3_spatial_sort", "select row, col, count(*) as n from (select cast(trunc((lat + 45) / 0.5) as int) as row, cast(trunc((lon - 112) / 0.5) as int) as col from {occurrences}) group by 1, 2")
+@query("srt3_spatial_sort", "select row, col, count(*) as n, true as in_order from (select cast(trunc((lat + 45) / 0.5) as int) as row, cast(trunc((lon - 112) / 0.5) as int) as col from {occurrences}) group by 1, 2")
 def _(v):
     g = A.gridded(v.occurrences, 112.0, -45.0, 0.5).repartitionByRange("row", "col").sortWithinPartitions("row", "col")
-    return g.groupBy("row", "col").agg(F.count("*").alias("n"))
+    return in_order(g, "row", "col").groupBy("row", "col").agg(F.count("*").alias("n"), F.bool_and("in_order").alias("in_order"))
 
 
 @query("srt4_categories_by_count", "select species, n, cast(row_number() over (order by n desc, species) as int) as rank from (select species, count(*) as n from {occurrences} group by 1)")

@@ -9,8 +9,12 @@ from tesserax.operators import legends as L
 from tesserax.operators import models as M
 from tesserax.operators import rasters as R
 from tesserax.operators import spatial as S
-from tesserax.plans.q_aggregates import r6, sq_cell
+from tesserax.operators.overlay import planar_area
+from tesserax.plans.q_aggregates import r6, sq_angle, sq_cell
+from tesserax.plans.q_spatial import ODD, dart
 from tesserax.plans.views import Registry
+from tesserax.sources import grids as G
+from tesserax.sources.scratch import materialise
 
 query = Registry()
 GRID = dict(west=112.0, north=-10.0, res=0.25, rows=140, cols=160)
@@ -35,14 +39,20 @@ def _(v):
     return R.envelope_summary(own, v.cells_el1, 0.25, 1000).withColumn("km2", F.round("km2", 3))
 
 
-@query("ras3_region_mask", "select row, col, lon - 0.125 >= 118.1 and lon + 0.125 <= 140.1 and lat - 0.125 >= -40.1 and lat + 0.125 <= -18.1 as full_ from {cells_el1} where lon + 0.125 > 118.1 and lon - 0.125 < 140.1 and lat + 0.125 > -40.1 and lat - 0.125 < -18.1")
+# whether a segment e and the closed cell c (a quarter of a degree wide) share a point
+CELL_SIDES = ", ".join(f"(e.x2 - e.x1) * (c.lat {b} 0.125 - e.y1) - (e.y2 - e.y1) * (c.lon {a} 0.125 - e.x1)" for a in "+-" for b in "+-")
+MEETS_CELL = f"(least(e.x1, e.x2) <= c.lon + 0.125 and greatest(e.x1, e.x2) >= c.lon - 0.125 and least(e.y1, e.y2) <= c.lat + 0.125 and greatest(e.y1, e.y2) >= c.lat - 0.125 and least({CELL_SIDES}) <= 0 and greatest({CELL_SIDES}) >= 0)"
+
+
+@query("ras3_region_mask", f"""with t as (select c.row, c.col, bool_or({MEETS_CELL}) as met, {ODD.format(x='c.lon', y='c.lat')} as inside from {{cells_el1}} c, {{dart}} e group by 1, 2, c.lon, c.lat)
+    select row, col, not met as full_ from t where met or inside""")
 def _(v):
-    return R.region_mask(v.cells_el1, 118.1, -40.1, 140.1, -18.1, 0.25).withColumnRenamed("full", "full_")
+    return R.region_mask(v.cells_el1, dart(v), 0.25).withColumnRenamed("full", "full_")
 
 
-@query("ras4_standardise", "select cast(floor(row / 4) as int) as row, cast(floor(col / 4) as int) as col, round(avg(value), 6) as value from {cells_el1} group by 1, 2")
+@query("ras4_standardise", " union all ".join(f"select {t}::double as target, cast(floor(row * 0.25 / {t} + 0.125 / {t}) as int) as row, cast(floor(col * 0.25 / {t} + 0.125 / {t}) as int) as col, round(avg(value), 6) as value from {{cells_el1}} group by 2, 3" for t in (0.5, 1.0)))
 def _(v):
-    return R.standardise(v.cells_el1, 0.25, 1.0, 112.0, -10.0).select("row", "col", *r6("value"))
+    return R.standardise(v.cells_el1, 0.25, [0.1, 0.5, 1.0], 112.0, -10.0).select("target", "row", "col", *r6("value"))
 
 
 @query("ras5_rasterise", "select row, col, pid from {cells_el1} c join {areas} a on c.lon between a.minx and a.maxx and c.lat between a.miny and a.maxy")
@@ -50,21 +60,31 @@ def _(v):
     return R.rasterise(v.cells_el1, S.boxes_to_rings(v.areas))
 
 
-@query("ras6_vectorise_classes", """with recursive c as (select row, col, value, row * 1000000 + col as id from {cells_cl3} where value < 12),
+@query("ras6_vectorise_classes", """with recursive c as (select row, col, value, cast(row as bigint) * 2147483648 + col as id from {cells_cl3}),
     e as (select a.id as x, b.id as y from c a join c b on a.value = b.value and ((a.row = b.row and abs(a.col - b.col) = 1) or (a.col = b.col and abs(a.row - b.row) = 1))),
     t as (select id, id as root from c union select e.y, t.root from t join e on t.id = e.x and t.root < e.y),
-    l as (select id, min(root) as region from t group by 1)
-    select c.value, l.region, count(*) as cells, 4 * count(*) - coalesce(sum(n.k), 0)::bigint as sides from c join l on c.id = l.id left join (select x, count(*) as k from e group by 1) n on n.x = c.id group by 1, 2""")
+    l as (select id, min(root) as region from t group by 1),
+    r as (select c.*, l.region from c join l on c.id = l.id),
+    quads as (select a.region, count(*) as k from r a join r b on a.region = b.region and b.row = a.row and b.col = a.col + 1 join r d on a.region = d.region and d.row = a.row + 1 and d.col = a.col join r f on a.region = f.region and f.row = a.row + 1 and f.col = a.col + 1 group by 1)
+    select r.value, r.region, count(*) as cells, cast(2 - (count(*) - coalesce(sum(n.k), 0) / 2 + coalesce(any_value(q.k), 0)) as bigint) as rings, round(count(*) * 0.0625, 6) as area
+    from r left join (select x, count(*) as k from e group by 1) n on n.x = r.id left join quads q on q.region = r.region group by 1, 2""")
 def _(v):
-    labelled = R.regions(v.cells_cl3.filter("value < 12"))
-    sides = R.region_edges(labelled).groupBy("region").agg(F.count("*").alias("sides"))
-    return labelled.groupBy("value", "region").agg(F.count("*").alias("cells")).join(sides, "region").select("value", "region", "cells", "sides")
+    labelled = materialise(R.regions(v.cells_cl3), "regions")
+    rings = R.region_rings(labelled, 112.0, -10.0, 0.25)
+    shell = F.when(F.col("ring") == 0, 1).otherwise(-1)
+    outline = rings.groupBy("region").agg(F.count("*").alias("rings"), F.round(F.sum(shell * planar_area("xs", "ys")), 6).alias("area"))
+    return labelled.groupBy("value", "region").agg(F.count("*").alias("cells")).join(outline, "region").select("value", "region", "cells", "rings", "area")
 
 
-@query("ras7_envelope_polygon", "with c as (select a.row, a.col from {cells_el1} a join {cells_el2} b on a.row = b.row and a.col = b.col where a.value between 10 and 50 and b.value between 5 and 40) select count(*) * 4 - (select count(*) from c x join c y on (x.row = y.row and abs(x.col - y.col) = 1) or (x.col = y.col and abs(x.row - y.row) = 1)) as sides from c")
+@query("ras7_envelope_polygon", """with c as (select a.row, a.col from {cells_el1} a join {cells_el2} b on a.row = b.row and a.col = b.col where a.value between 10 and 50 and b.value between 5 and 40),
+    v as (select row + r as row, col + k as col, sum(case r * 2 + k when 0 then 8 when 1 then 4 when 2 then 2 else 1 end) as m from c, (select unnest([0, 1]) as r), (select unnest([0, 1]) as k) group by 1, 2)
+    select count(*) as cells, round(count(*) * 0.0625, 6) as area, (select sum(case when m in (1, 2, 4, 8, 7, 11, 13, 14) then 1 when m in (6, 9) then 2 else 0 end) from v)::bigint as corners from c""")
 def _(v):
-    own = R.envelope_cells(_layers(v), {"el1": (10, 50), "el2": (5, 40)}).withColumn("value", F.lit(1))
-    return R.region_edges(R.regions(own)).agg(F.count("*").alias("sides"))
+    own = materialise(R.regions(R.envelope_cells(_layers(v), {"el1": (10, 50), "el2": (5, 40)}).withColumn("value", F.lit(1))), "regions")
+    rings = R.region_rings(own, 112.0, -10.0, 0.25)
+    shell = F.when(F.col("ring") == 0, 1).otherwise(-1)
+    outline = rings.agg(F.round(F.sum(shell * planar_area("xs", "ys")), 6).alias("area"), F.sum(F.size("xs") - 1).alias("corners"))
+    return own.agg(F.count("*").alias("cells")).join(outline).select("cells", "area", "corners")
 
 
 @query("ras8_reclassify", "select row, col, value % 7 as value from {cells_cl3}")
@@ -115,7 +135,7 @@ def _(v):
     return L.cut_points(v.customer, "c_acctbal", kind="size")
 
 
-@query("leg4_equal_area")
+@query("leg4_equal_area", "select cast(row_number() over (order by max(v)) - 1 as int) as idx, max(v)::double as cut from (select v, sum(n) over (order by v) as upto, sum(n) over () as total from (select l_quantity as v, count(*) as n from {lineitem} group by 1)) group by cast(ceil(upto * 10 / total) as int)")
 def _(v):
     return L.equal_area(v.lineitem, "l_quantity")
 
@@ -130,9 +150,17 @@ def _(v):
     return L.group_sizes(v.lineitem, "l_quantity", L.cut_points(v.lineitem, "l_quantity"))
 
 
-@query("leg7_score", "with e as (select min(c_acctbal) as lo, max(c_acctbal) as hi from {customer}), b as (select i, case when i = 0 then -1e9 else lo + (hi - lo) * (i / 10) end as p, case when i = 9 then hi else lo + (hi - lo) * ((i + 1) / 10) end as c from e, (select unnest(range(0, 10)) as i)) select 'even' as kind, round(stddev_pop(n), 6) as score from (select i, count(distinct c_acctbal) as n from b left join {customer} on c_acctbal > p and c_acctbal <= c group by 1)")
+BOUNDS = """with e as (select min(c_acctbal) as lo, max(c_acctbal) as hi, case when min(c_acctbal) < 1 then 1 - min(c_acctbal) else 0 end as s from {customer}),
+    cuts as (select 'even' as kind, i, lo + (hi - lo) * (i / 10) as p, case when i = 9 then hi else lo + (hi - lo) * ((i + 1) / 10) end as c from e, (select unnest(range(0, 10)) as i)
+      union all select 'log', i, exp(ln(lo + s) + (ln(hi + s) - ln(lo + s)) * (i / 10)) - s, case when i = 9 then hi else exp(ln(lo + s) + (ln(hi + s) - ln(lo + s)) * ((i + 1) / 10)) - s end from e, (select unnest(range(0, 10)) as i)
+      union all select 'log10', i, pow(10.0, log10(lo + s) + (log10(hi + s) - log10(lo + s)) * (i / 10)) - s, case when i = 9 then hi else pow(10.0, log10(lo + s) + (log10(hi + s) - log10(lo + s)) * ((i + 1) / 10)) - s end from e, (select unnest(range(0, 10)) as i)),
+    n as (select kind, i, count(distinct c_acctbal) as n from cuts left join {customer} on (i = 0 or c_acctbal > p) and c_acctbal <= c group by 1, 2),
+    s as (select kind, round(stddev_pop(n), 6) as score from n group by 1)"""
+
+
+@query("leg7_score", BOUNDS + " select kind, score, kind = (select kind from s order by score, array_position(['even', 'log', 'log10'], kind) limit 1) as chosen from s")
 def _(v):
-    return L.score(v.customer, "c_acctbal").filter("kind = 'even'").select("kind", *r6("score"))
+    return L.score(v.customer, "c_acctbal").select("kind", *r6("score"), "chosen")
 
 
 @query("leg8_category_legend", "select o_orderpriority as value, count(*) as n, cast(row_number() over (order by count(*) desc, o_orderpriority) as int) as rank from {orders} group by 1")
@@ -145,10 +173,20 @@ def _(v):
     return L.field_legend(v.part, "p_brand")
 
 
-@query("leg10_grid_legend")
+# values that none has a share of ten to itself: classes end where the running count passes each tenth
+TENTHS = "(select v, sum(n) over (order by v) as upto, sum(n) over () as total from (select {column} as v, count(*) as n from {{{table}}} group by 1))"
+
+
+@query("leg9_field_legend_numeric", "select cast(max(v) as varchar) as label, cast(max(upto) - coalesce(lag(max(upto)) over (order by max(v)), 0) as bigint) as n from " + TENTHS.format(column="l_quantity", table="lineitem") + " group by cast(ceil(upto * 10 / total) as int)")
 def _(v):
-    sampled = v.cells_el1.filter("row % 2 = 0 and col % 2 = 0")
-    cuts = L.equal_area(sampled, "value")
+    return L.field_legend(v.lineitem, "l_quantity")
+
+
+@query("leg10_grid_legend", """with c as (select row_number() over (order by max(v)) - 1 as idx, max(v)::double as cut from (select v, sum(n) over (order by v) as upto, sum(n) over () as total from (select value as v, count(*) as n from {cells_el1} where row % 2 = 0 and col % 2 = 0 group by 1)) group by cast(ceil(upto * 10 / total) as int)),
+    b as (select idx, cut, coalesce(lag(cut) over (order by idx), -1e9) as p from c)
+    select cast(idx as int) as idx, cut, count(distinct value) as n_values, count(value) as n_cells from b left join {cells_el1} on value > p and value <= cut group by 1, 2""")
+def _(v):
+    cuts = L.equal_area(G.decimated(v.cells_el1, 2), "value")
     return L.group_sizes(v.cells_el1, "value", cuts).join(cuts, "idx").select("idx", "cut", "n_values", "n_cells")
 
 
@@ -218,9 +256,17 @@ def _(v):
     return M.alpha_hull(v.occurrences)
 
 
-@query("agg29_point_radius_area")
+SNAP = "(case when {c} / 0.5 >= 0 then floor({c} / 0.5) else ceil({c} / 0.5) - case when {c} / 0.5 <= -1 then 1 else 0 end end * 0.5)"
+REACH = "(40000 / 6378137.0 * 180 / pi())"
+
+
+@query("agg29_point_radius_area", f"""with s as (select distinct species, {SNAP.format(c='lon')} as x, {SNAP.format(c='lat')} as y from {{occurrences}}),
+    r as (select species, x, y, unnest(range(cast(floor((y - {REACH}) / 0.125) as bigint), cast(floor((y + {REACH}) / 0.125) as bigint) + 1)) as r from s),
+    c as (select species, x, y, r, unnest(range(cast(floor((x - {REACH} / cos(radians(y))) / 0.125) as bigint), cast(floor((x + {REACH} / cos(radians(y))) / 0.125) as bigint) + 1)) as c from r),
+    d as (select distinct species, r, c from c where 6378137.0 * {sq_angle('x', 'y', '(c + 0.5) * 0.125', '(r + 0.5) * 0.125')} <= 40000)
+    select species, round(sum({sq_cell('0.125', '(r + 0.5) * 0.125')}), 3) as km2 from d group by 1""")
 def _(v):
-    return M.point_radius_area(v.occurrences, 40_000.0, 0.5, 0.125)
+    return M.point_radius_area(v.occurrences, 40_000.0, 0.5, 0.125).withColumn("km2", F.round("km2", 3))
 
 
 # -- functions ----------------------------------------------------------------------------------------------------------

@@ -63,6 +63,11 @@ VIEWS = {
         -45 + (2 * ((o_orderkey * 17) % 2240) + 1) / cast(128 as double) as lat, o_orderkey % 5 = 0 as missing from {orders}""",
     "hits": """select o.species, o.lon, o.lat, o.year, o.rec_order, o.rec_line, a.pid, a.name from {occurrences} o join {areas} a
         on o.lon between a.minx and a.maxx and o.lat between a.miny and a.maxy""",
+    "near_point": """select c.pid, min(d) as d, sum(case when (x1 > 130) <> (x2 > 130) and -30 < y1 + (130 - x1) * (y2 - y1) / (x2 - x1) then 1 else 0 end) % 2 = 1 as inside from (
+        select pid, x1, y1, x2, y2, sqrt(pow(130 - (x1 + t * (x2 - x1)), 2) + pow(-30 - (y1 + t * (y2 - y1)), 2)) as d from (
+        select pid, x1, y1, x2, y2, greatest(cast(0 as double), least(cast(1 as double), ((130 - x1) * (x2 - x1) + (-30 - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) as t from {tri_edges}) a) c group by c.pid""",
+    "task_inputs": """select o_orderkey as id, case when o_orderkey % 3 = 0 then 'Model' else 'Tabulate' end as kind,
+        concat('{{"layers":[', cast(o_custkey % 120 as string), ',', cast(o_orderkey % 90 as string), ']}}') as inputs from {orders}""",
     "overlay": """select a.pid as pid1, b.pid as pid2, a.name as name1, b.name as name2, greatest(a.minx, b.minx) as minx, greatest(a.miny, b.miny) as miny,
         least(a.maxx, b.maxx) as maxx, least(a.maxy, b.maxy) as maxy from {areas} a join {areas2} b
         on a.minx < b.maxx and b.minx < a.maxx and a.miny < b.maxy and b.miny < a.maxy""",
@@ -103,7 +108,7 @@ def oracle(sql: str) -> str:
                 order.append(name)
 
     visit(sql)
-    plain = lambda text: re.sub(r"\{(\w+)\}", r"\1", text)
+    plain = lambda text: re.sub(r"\{(\w+)\}", r"\1", text).replace("{{", "{").replace("}}", "}")
     views = [f"{name} as ({plain(VIEWS[name])})" for name in order]
     body = plain(sql).strip()
     if body.lower().startswith("with recursive "):
@@ -114,6 +119,11 @@ def oracle(sql: str) -> str:
     return ("with " + ",\n".join(views) + "\n" if views else "") + body
 
 
+def boxes(v: Views, *rows: tuple) -> DataFrame:
+    """(pid, minx, miny, maxx, maxy) of boxes that a query names."""
+    return v._spark.createDataFrame(list(rows), "pid int, minx double, miny double, maxx double, maxy double")
+
+
 class Registry:
     """Queries by name and, where SQL can express them, their DuckDB text."""
 

@@ -53,8 +53,27 @@ def read_downloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def species_dictionary(occ: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(species, species_id) numbered in order, and (lon, lat) distinct."""
-    return numbered(occ.select("species").distinct(), "species", "species_id", 0), occ.select("lon", "lat").dropDuplicates()
+    """(species, species_id) and (lon, lat, point_id): both distinct and numbered from 0 in their order."""
+    return numbered(occ.select("species").distinct(), "species", "species_id", 0), numbered(occ.select("lon", "lat").distinct(), ["lon", "lat"], "point_id", 0)
+
+
+def with_references(occ: DataFrame) -> DataFrame:
+    """occ with the numbers of its species and of its place instead of both."""
+    species, points = species_dictionary(occ)
+    return occ.join(species, "species").join(points, ["lon", "lat"]).drop("species", "lon", "lat")
+
+
+def in_order(df: DataFrame, *columns: str) -> DataFrame:
+    """df, dealt and sorted beforehand, with whether each row comes in order: after the row before it in its partition, and
+    a partition's first row after all rows of the partitions before."""
+    key = F.struct(*columns)
+    own = materialise(df.withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()}), "dealt")
+    before = F.lag(key).over(Window.partitionBy("_p").orderBy("_m"))
+    ends = own.groupBy("_p").agg(F.max(key).alias("_high"))
+    highest = F.max("_high").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))  # a row a partition
+    own = own.withColumn("_before", before).join(F.broadcast(ends.select("_p", highest.alias("_highest"))), "_p")
+    ok = (F.col("_before").isNull() | (F.col("_before") <= key)) & (F.col("_highest").isNull() | (F.col("_highest") <= key))
+    return own.withColumn("in_order", ok).drop("_p", "_m", "_before", "_highest")
 
 
 #: Header terms of occurrence uploads and the names they are known by.
@@ -68,9 +87,13 @@ def ingest_upload(df: DataFrame, order: str, user_id: str, dataset: str) -> Data
     return out.withColumns({"userId": F.lit(user_id), "datasetName": F.lit(dataset)})
 
 
-def harvest_tracks(df: DataFrame, mapping: dict[str, str], order: str) -> DataFrame:
-    """Mapped columns (empty text as null), type `t`, spcode numbered from 5,000,000."""
-    own = df.select(order, *(F.when(F.trim(F.col(src).cast("string")) != "", F.col(src)).alias(to) for src, to in mapping.items()))
+def harvest_tracks(df: DataFrame, mapping: dict[str, str], order: str, geometry: str | None = None) -> DataFrame:
+    """Mapped columns (empty text as null), type `t`, spcode numbered from 5,000,000; with a geometry column (WKT), its bounding box."""
+    own = df.select(order, *(F.when(F.trim(F.col(src).cast("string")) != "", F.col(src)).alias(to) for src, to in mapping.items()), *([F.col(geometry).alias("_wkt")] if geometry else []))
+    if geometry:
+        numbers = F.regexp_extract_all("_wkt", F.lit(r"(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"), F.lit(1)).cast("array<double>")
+        axis = lambda k: F.filter("_n", lambda v, i: i % 2 == k)
+        own = own.withColumn("_n", numbers).withColumns({"minx": F.array_min(axis(0)), "miny": F.array_min(axis(1)), "maxx": F.array_max(axis(0)), "maxy": F.array_max(axis(1))}).drop("_n", "_wkt")
     return numbered(own, order, "spcode", 5_000_000).withColumn("type", F.lit("t"))
 
 

@@ -88,6 +88,58 @@ def test_within_a_concave_polygon(spark):
     assert {tuple(x) for x in S.objects_within(inner, outer).collect()} == {(1, 10), (1, 11), (3, 10), (4, 10)}
 
 
+def test_hulls_leave_out_what_has_no_place(spark):
+    rows = [("a", 0.0, 0.0), ("a", 0.0, 2.0), ("a", 2.0, 0.0), ("a", 0.0, 1.0), ("a", None, 50.0), ("a", 50.0, float("nan")), (None, 1.0, 1.0), (None, 2.0, 3.0), ("b", None, None)]
+    occ = spark.createDataFrame(rows, "species string, lon double, lat double").repartition(3)
+    got = {r.species: r for r in M.extent_of_occurrence(occ).collect()}
+    half = 2 * 6378137.0 * np.arcsin(np.sin(np.radians(1)))  # half of a side of two degrees, in metres times two
+    assert got["a"].points == 3 and got["a"].km2 == pytest.approx(half**2 / 2 / 1e6, rel=1e-3)
+    assert (got[None].points, got[None].km2, got["b"].points, got["b"].km2) == (2, 0.0, 0, 0.0)
+    alpha = {r.species: r for r in M.alpha_hull(occ).collect()}
+    assert alpha["a"].triangles == 2 and alpha["a"].km2 == pytest.approx(got["a"].km2, rel=1e-6)
+    assert (alpha[None].triangles, alpha["b"].km2) == (0, 0.0)
+
+
+def test_alpha_hull_tests_every_edge_or_two(spark):
+    # a far point: its triangles have long edges, which the mean of the distinct edges leaves out
+    rows = [("a", float(x), float(y)) for x in range(4) for y in range(4)] + [("a", 30.0, 1.5)]
+    occ = spark.createDataFrame(rows, "species string, lon double, lat double")
+    three, two = (M.alpha_hull(occ, 2.0, n).first() for n in (3, 2))
+    assert three.triangles == 18 and two.triangles >= three.triangles
+    square = [x for x in M.alpha_triangles(occ).collect()]
+    assert sum(abs((t.xs[1] - t.xs[0]) * (t.ys[2] - t.ys[0]) - (t.ys[1] - t.ys[0]) * (t.xs[2] - t.xs[0])) for t in square) / 2 == pytest.approx(9)
+
+
+def test_outlines_of_cells_that_touch_at_corners(spark):
+    from tesserax.operators import rasters as R
+    from tesserax.operators.overlay import planar_area
+
+    picture = ["######.#", "#.#..#..", "##.#.###", "#..###.#", "######.#", "......##", "##......", "##.#...."]
+    cells = [(r, c, 1) for r, line in enumerate(picture) for c, x in enumerate(line) if x == "#"]
+    labelled = R.regions(spark.createDataFrame(cells, "row int, col int, value int"))
+    rings = R.region_rings(labelled, 0.0, 8.0, 1.0).withColumn("a", planar_area("xs", "ys")).collect()
+    size = {r.region: r["count"] for r in labelled.groupBy("region").count().collect()}
+    assert sum(size.values()) == len(cells)
+    for region, n in size.items():
+        own = sorted((x for x in rings if x.region == region), key=lambda x: x.ring)
+        assert own[0].a - sum(x.a for x in own[1:]) == pytest.approx(n)
+        for x in own:  # corners only
+            steps = [(b - a, d - c) for a, b, c, d in zip(x.xs, x.xs[1:], x.ys, x.ys[1:], strict=False)]
+            assert all((p[0] == 0) != (q[0] == 0) for p, q in zip(steps, steps[1:] + steps[:1], strict=True))
+        # a region's rings: two less its Euler number, which is cells less pairs side by side plus full squares of four
+        mine = {(r.row, r.col) for r in labelled.filter(F.col("region") == region).collect()}
+        pairs = sum((r + dr, c + dc) in mine for r, c in mine for dr, dc in ((0, 1), (1, 0)))
+        squares = sum({(r, c + 1), (r + 1, c), (r + 1, c + 1)} <= mine for r, c in mine)
+        assert len(own) == 2 - (n - pairs + squares)
+    assert max(sum(x.region == region for x in rings) for region in size) > 1
+
+
+def test_nearest_resolution_that_is_no_coarser():
+    from tesserax.operators.rasters import resolution_for
+
+    assert [resolution_for(x, [0.1, 0.25, 1.0]) for x in (0.05, 0.1, 0.3, 1.0, 5.0)] == [0.1, 0.1, 0.25, 1.0, 1.0]
+
+
 def test_triangulation_fills_the_hull():
     p = np.random.default_rng(1).random((60, 2))
     t = p[M.delaunay(p)]
@@ -117,7 +169,8 @@ def test_alpha_hull_takes_the_points_themselves(spark):
     """Distinct points of a 51 x 51 lattice of 1/64 degree: two triangles a square, and more than 2000 places."""
     rows = [("a", 120 + i / 64, -20 + j / 64) for i in range(51) for j in range(51)]
     got = M.alpha_hull(spark.createDataFrame(rows + rows[:9], "species string, lon double, lat double")).first()
-    assert got.triangles == 5000 and got.area == pytest.approx((50 / 64) ** 2, rel=1e-12)
+    sphere = 6378137.0**2 * np.radians(50 / 64) * (np.sin(np.radians(-20 + 50 / 64)) - np.sin(np.radians(-20))) / 1e6
+    assert got.triangles == 5000 and got.km2 == pytest.approx(sphere, rel=1e-5)
 
 
 def test_point_radius_area_takes_records_of_all_years(spark):
