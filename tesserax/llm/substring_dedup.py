@@ -30,11 +30,11 @@ from tesserax.llm.suffix_array import Substrings, permuted_common_prefixes, suff
 
 LENGTH, ANCHOR = 50, 16
 #: Bytes of text of a bucket and, about, for a shard.
-BUCKET_BYTES, SHARD_BYTES = 8_000_000, 12_000_000
+BUCKET_BYTES, SHARD_BYTES = 8_000_000, 6_000_000
 #: Documents with a code from which on its windows are dealt one by one.
 HOT = 10_000
 #: Bytes worked on at once in a bucket.
-SLICE = 4_000_000
+SLICE = 2_000_000
 NULL_ID = 2**63 - 1
 
 
@@ -249,7 +249,7 @@ def _spans():
         size, n = size.astype(np.int64), n.astype(np.int64)
         bucket = np.repeat(np.array(t.column("bucket").to_pylist(), dtype=np.int64), [len(p[4]) for p in parts])
         begin = np.cumsum(size) - size
-        digest = Substrings(raw)(begin, begin + size)
+        digest = np.concatenate([Substrings(p[3])(np.cumsum(n) - n, np.cumsum(n)) for p in parts for n in (p[1].astype(np.int64),)])
         # equal places of several buckets are one
         order = np.lexsort((digest, key))
         new = np.r_[True, (key[order][1:] != key[order][:-1]) | (digest[order][1:] != digest[order][:-1])]

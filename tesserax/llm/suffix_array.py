@@ -19,23 +19,39 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    power = np.full(n, base, dtype=np.uint64)
+#: Letters worked on at once where only a running sum is kept of them.
+_CHUNK = 1 << 20
+
+
+def _power(base: int, bits: int) -> np.ndarray:
+    """base ** 0, base ** 1 and so on, 2 ** bits of them."""
+    power = np.full(1 << bits, base, dtype=np.uint64)
     power[0] = 1
     return np.multiply.accumulate(power)
 
 
+_LOW, _HIGH = ((_power(b, 16), _power(pow(b, 1 << 16, 2**64), 16)) for b in (_BASE, _INVERSE))
+
+
+def _powers(tables: tuple[np.ndarray, np.ndarray], k: np.ndarray) -> np.ndarray:
+    """base ** k for k below 2 ** 32."""
+    return tables[0][k & 0xFFFF] * tables[1][k >> 16]
+
+
 class Substrings:
     """64-bit hashes of any substrings of an array of letters, the same for equal substrings of other arrays."""
 
     def __init__(self, text: np.ndarray):
         self.total = np.zeros(len(text) + 1, dtype=np.uint64)
-        np.cumsum(_RANDOM[text] * _powers(_BASE, len(text) + 1)[:-1], out=self.total[1:])
-        self.back = _powers(_INVERSE, len(text) + 1)
+        for at in range(0, len(text), _CHUNK):
+            end = min(len(text), at + _CHUNK)
+            part = _RANDOM[text[at:end]] * _powers(_LOW, np.arange(at, end))
+            part[0] += self.total[at]
+            np.cumsum(part, out=self.total[at + 1 : end + 1])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Equal for equal text[start:end]; mixed with the length."""
-        h = (self.total[end] - self.total[start]) * self.back[start]
+        h = (self.total[end] - self.total[start]) * _powers(_HIGH, start)
         h ^= h >> np.uint64(32)
         return h * np.uint64(0xD6E8FEB86659FD93) + (end - start).astype(np.uint64)
 
@@ -58,7 +74,7 @@ def _induce(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, letters: int)
     start = end - sizes
     used = np.flatnonzero(sizes).tolist()
     n_l = np.bincount(text[~s_type], minlength=letters)
-    sa = np.full(n, -1, dtype=np.int64)
+    sa = np.full(n, -1, dtype=np.int32)
     first = text[lms]
     order = np.argsort(first, kind="stable")
     lms, cut = lms[order], np.searchsorted(first[order], np.arange(letters + 1))
@@ -112,17 +128,16 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     s_type = is_s_type(text)
     lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
     if len(lms) > 1:
-        rough = _induce(text, s_type, lms, letters)
-        mark = np.zeros(n, dtype=bool)
-        mark[lms] = True
-        in_order = rough[mark[rough]]
+        number = np.full(n, -1, dtype=np.int32)
+        number[lms] = np.arange(len(lms))
+        in_order = number[_induce(text, s_type, lms, letters)]
+        in_order = in_order[in_order >= 0]
         ends = np.minimum(np.r_[lms[1:], n - 1] + 1, n)
-        end_of = np.zeros(n, dtype=np.int64)
-        end_of[lms] = ends
-        h = Substrings(text)(in_order, end_of[in_order])
-        name = np.zeros(n, dtype=np.int64)
+        h = Substrings(text)(lms[in_order], ends[in_order])
+        name = np.empty(len(lms), dtype=np.int64)
         name[in_order] = np.cumsum(np.r_[True, h[1:] != h[:-1]])
-        lms = lms[order_of_names(name[lms], depth // 2 + 1)]
+        del number, in_order, ends, h
+        lms = lms[order_of_names(name, depth // 2 + 1)]
     return _induce(text, s_type, lms, letters)
 
 
@@ -173,15 +188,17 @@ def permuted_common_prefixes(raw: np.ndarray, place: np.ndarray, in_order: np.nd
     before[in_order] = np.r_[in_order[:1], in_order[:-1]]
     padded = np.concatenate([raw, np.zeros(most + 8, dtype=np.uint8)])
     eight = np.lib.stride_tricks.as_strided(padded[: len(padded) - 7].view(), (len(padded) - 7, 8), (1, 1))
-    common, open_, k = np.zeros(len(place), dtype=np.int64), np.arange(len(place)), 0
-    while k < most and len(open_):
-        a, b = (np.ascontiguousarray(eight[x + k]).view(np.uint64).ravel() for x in (place[open_], place[before[open_]]))
-        differs = a ^ b
-        equal = differs == 0
-        low = differs[~equal] & (~differs[~equal] + np.uint64(1))  # the lowest bit that differs is in the first such byte
-        common[open_[~equal]] = k + np.bitwise_count(low - np.uint64(1)) // 8
-        common[open_[equal]] = k + 8
-        open_, k = open_[equal], k + 8
+    common = np.zeros(len(place), dtype=np.int64)
+    for at in range(0, len(place), _CHUNK):
+        open_, k = np.arange(at, min(len(place), at + _CHUNK)), 0
+        while k < most and len(open_):
+            a, b = (np.ascontiguousarray(eight[x + k]).view(np.uint64).ravel() for x in (place[open_], place[before[open_]]))
+            differs = a ^ b
+            equal = differs == 0
+            low = differs[~equal] & (~differs[~equal] + np.uint64(1))  # the lowest bit that differs is in the first such byte
+            common[open_[~equal]] = k + np.bitwise_count(low - np.uint64(1)) // 8
+            common[open_[equal]] = k + 8
+            open_, k = open_[equal], k + 8
     common = np.minimum(common, most)
     common[in_order[:1]] = 0
     return common
