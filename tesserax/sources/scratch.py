@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; below a temporary folder only where that is unset."""
+    """A new path below spark.checkpoint.dir; where that is unset, below a temporary folder in local mode only."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = os.environ.setdefault("TESSERAX_SHARED", tempfile.mkdtemp(prefix="tesserax-"))
     return f"{top.rstrip('/')}/tesserax/{uuid.uuid4().hex}/{name}"
 
