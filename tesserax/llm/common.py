@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset, a temporary one in local mode only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = os.environ.get("TESSERAX_SCRATCH") or tempfile.mkdtemp(prefix="tesserax-")
         os.environ["TESSERAX_SCRATCH"] = where
     return where.rstrip("/")

@@ -332,6 +332,23 @@ def test_shards(spark, docs, none):
     assert sums.max() - sums.min() < 600
 
 
+def test_differencing_is_that_of_lists():
+    """Against Karmarkar-Karp on plain lists: take the two partitions of largest spread, add largest to smallest, until one is left."""
+    from tesserax.llm import sharding as P
+
+    for seed, shards in ((1, 2), (2, 3), (3, 7)):
+        sizes = np.random.default_rng(seed).integers(1, 100_000, 40)
+        parts = [[0] * shards] + [[int(x)] + [0] * (shards - 1) for x in sorted(sizes.tolist(), reverse=True)]
+        age = list(range(len(parts)))
+        while len(parts) > 1:
+            order = sorted(range(len(parts)), key=lambda k: (parts[k][-1] - parts[k][0], age[k]))
+            a, b = (parts[k] for k in order[:2])
+            rest = [k for k in range(len(parts)) if k not in order[:2]]
+            parts, age = [parts[k] for k in rest] + [sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True)], [age[k] for k in rest] + [max(age) + 1]
+        got = np.bincount(P.differenced(sizes, shards), weights=sizes, minlength=shards)
+        assert sorted(got.astype(int).tolist(), reverse=True) == parts[0]
+
+
 # 6
 
 
@@ -356,6 +373,30 @@ def test_language(spark, docs, none):
     assert found.join(true, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
 
 
+def test_language_is_the_smallest_encoding():
+    """Against one compression a language of whole texts; within the slack of short ones the more frequent language may be taken."""
+    import zstandard
+
+    from tesserax.llm import language_id as G
+
+    vocabulary = {lang: [f"{a}{b}{c}" for a in x for b in "aeiou" for c in y] for lang, x, y in (("one", "bcdfg", "mnprs"), ("two", "hjklm", "tvwxz"), ("three", "pqrst", "bdfgh"))}
+    r = random.Random(12)
+    text = lambda lang, n: " ".join(r.choice(vocabulary[lang]) for _ in range(n))
+    model = {lang: G.letters(text(lang, 3000)) for lang in vocabulary}
+    classify = G.Classifier(model)
+    for _ in range(150):
+        lang = r.choice(list(vocabulary))
+        t = text(lang, r.randrange(20, 400)).upper() + " 12, " + text(r.choice(list(vocabulary)), r.randrange(8))
+        data = G.letters(t)
+        sizes = {}
+        for k in model:
+            d = zstandard.ZstdCompressionDict(model[k][G.CARRIER :], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            how = zstandard.ZstdCompressionParameters.from_level(G.LEVEL, dict_size=len(d), min_match=G.MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[k] = sum(len(zstandard.ZstdCompressor(compression_params=how, dict_data=d).compress(data[at : at + G.BLOCK])) for at in range(0, len(data), G.BLOCK))
+        got, score, margin = classify(t)
+        assert sizes[got] == min(sizes.values()) and got == lang and 0 < score <= 1 and margin >= 0
+
+
 # 7
 
 
@@ -612,6 +653,48 @@ def test_top_k(spark):
 # pipeline
 
 
+def test_pipeline_stages_by_brute_force(spark):
+    """Each stage on whole rows of the smallest table, against plain Python on what the stage before it kept."""
+    import corpus_pipeline as P
+    from tokenizers import Tokenizer
+
+    from tesserax.llm import language_id as G
+    from tesserax.llm.queries import byte_bpe
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stage = dict(P.STAGES)
+    raw = docs.collect()
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    classify = G.Classifier(G.fit(spark.createDataFrame([r for r in raw if not held(r.doc_id)], docs.schema)))
+    first = P.materialise(stage["language"](spark, docs, SF), "a")
+    found = [(r, classify(r.text)) for r in raw]
+    assert sorted(map(str, first.collect())) == sorted(str(r) for r, (lang, _, margin) in found if lang != "und" and margin >= G.MIN_MARGIN)
+    # near copies: groups by exact similarity; pairs near the limit of 0.8 may go either way
+    rows = first.collect()
+    sets = [set(hash(s) for s in zip(*(r.text.lower().split()[k:] for k in range(5)), strict=False)) or {r.text.lower()} for r in rows]
+    second = P.materialise(stage["near_copies"](spark, first, SF), "b")
+    kept = {r.doc_id for r in second.collect()}
+    for i, a in enumerate(sets):
+        near = [(len(a & b) / len(a | b), rows[j].doc_id) for j, b in enumerate(sets) if j != i and a & b]
+        if max((x for x, _ in near), default=0) < 0.5:
+            assert rows[i].doc_id in kept
+        if any(x >= 0.9 and k < rows[i].doc_id for x, k in near):
+            assert rows[i].doc_id not in kept
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    clean = [r for r in second.collect() if not brute_found([(r.doc_id, r.text)], items)] if len(items) * second.count() < 3000 else None
+    third = P.materialise(stage["benchmark"](spark, second, SF), "c")
+    if clean is not None:
+        assert sorted(map(str, third.collect())) == sorted(map(str, clean))
+    mixed = P.materialise(stage["mixing"](spark, third, SF), "d")
+    copies = collections.Counter(map(str, mixed.collect()))
+    assert set(copies) <= set(map(str, third.collect())) and max(copies.values()) <= 3
+    library = Tokenizer.from_file(byte_bpe())
+    tokens = stage["tokens"](spark, mixed, SF).collect()
+    ids = lambda t: [*library.encode(t or "", add_special_tokens=False).ids, 2]
+    want = collections.Counter((r.doc_id, len(ids(r.text)), zlib.crc32(np.array(ids(r.text), "<u4").tobytes())) for r in mixed.collect())
+    assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens) == want
+
+
 def test_pipeline(spark, docs, none):
     import corpus_pipeline as P
 
