@@ -247,8 +247,9 @@ def fit(labelled: DataFrame) -> Model:
     counts = materialise(term_counts(labelled.select("text", "toxic")), "terms")
     terms = lexicon(counts, *labelled.agg(F.count_if(F.col("toxic") == 1), F.count("*")).first())
     own, exact = near_words(counts, terms) if terms else (frozenset(), frozenset())
-    some = labelled.orderBy(F.xxhash64("doc_id", "text", F.lit(3)), "doc_id").limit(MAX_ROWS)
-    rows = training_vectors(some, terms, own, exact).collect()
+    h = F.xxhash64("doc_id", "text", F.lit(3))
+    last = labelled.select(h.alias("h")).orderBy("h").limit(MAX_ROWS).agg(F.max("h")).first()[0]  # only hashes are sorted
+    rows = training_vectors(labelled.filter(h <= F.lit(last)), terms, own, exact).orderBy("made", "toxic", "f").collect()
     x = np.array([[*r["f"], 1.0] for r in rows]).reshape(-1, Features.SIZE + 1)
     y, made = (np.array([r[c] for r in rows], dtype=float) for c in ("toxic", "made"))
     real = max(1.0, ((y == 1) & (made == 0)).sum())
