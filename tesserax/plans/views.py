@@ -31,7 +31,7 @@ VIEWS = {
     "halves": """select pid, name, minx as ax, miny as ay, minx as bx, maxy as b_y, maxx as cx, miny as cy from {areas}""",
     "half_edges": """select pid, 0 as part, 0 as ring, ax as x1, ay as y1, bx as x2, b_y as y2 from {halves}
         union all select pid, 0, 0, bx, b_y, cx, cy from {halves} union all select pid, 0, 0, cx, cy, ax, ay from {halves}""",
-    "dart": """select * from (values (1, 113.3, -44.7, 150.3, -41.9), (2, 150.3, -41.9, 139.1, -12.3), (3, 139.1, -12.3, 131.7, -33.3), (4, 131.7, -33.3, 113.3, -44.7)) as t(k, x1, y1, x2, y2)""",
+    "dart": """select k, cast(x1 as double) as x1, cast(y1 as double) as y1, cast(x2 as double) as x2, cast(y2 as double) as y2 from (values (1, 113.3, -44.7, 150.3, -41.9), (2, 150.3, -41.9, 139.1, -12.3), (3, 139.1, -12.3, 131.7, -33.3), (4, 131.7, -33.3, 113.3, -44.7)) as t(k, x1, y1, x2, y2)""",
     "nested": """select pid, 0 as ring, minx, miny, maxx, maxy from {areas}
         union all select pid, 1 as ring, minx + 2 as minx, miny + 1.75 as miny, maxx - 2 as maxx, maxy - 1.75 as maxy from {areas}""",
     "cells_el1": """select row, col, 112 + (2 * col + 1) / cast(8 as double) as lon, -10 - (2 * row + 1) / cast(8 as double) as lat, value from (
