@@ -170,6 +170,7 @@ def found_texts(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SC
                 own = np.concatenate([words[ends[d] : ends[d + 1]] for d in docs_.tolist()])
                 own = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(own.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(docs_)), own, lists(found[hit].view(np.int64)), lists(place[hit])], names=["key", "words", "grams", "places"])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     texts = docs.filter("text is not null").select(_key().alias("key"), "text")
     texts = texts.mapInArrow(run, "key string, words array<long>, grams array<long>, places array<long>").dropDuplicates(["key"])

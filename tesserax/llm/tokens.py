@@ -36,9 +36,9 @@ RANGE_BYTES = 24_000_000
 READ_SHARDS = 4
 WORD_BITS = 512
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 250_000
 #: Bytes of text encoded at once, about.
-SLAB = 4_000_000
+SLAB = 2_000_000
 
 
 class WaveletMatrix:
@@ -314,6 +314,7 @@ def write_shards(docs: DataFrame, tokenizer: str, shard_tokens: int = SHARD_TOKE
             held = [(doc_ids[at:], lengths[at:], ids[int(ends[at - 1]) if at else 0 :])] if at < len(ends) else []
         if held:
             yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     shards = rows.select("doc_id", "text").mapInArrow(run, "part int, seq int, first_doc long, docs long, tokens long, file string")
     return materialise(shards, "shards").withColumn("file", F.concat(F.lit(f"{folder}/"), "file"))
@@ -344,6 +345,7 @@ def read_back(shards: DataFrame) -> DataFrame:
                 same = lambda x: pa.array(np.full(len(starts), x, dtype=np.int32))
                 columns = [pa.array(doc_ids), pa.array(starts + r["base"]), pa.array(ends - starts), pa.array(crc, pa.int64()), same(r["part"]), same(r["seq"])]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "part", "seq"])
+        pa.default_memory_pool().release_unused()
 
     n = max(1, min(shards.count(), 100_000) // READ_SHARDS)
     found = offsets.repartition(n, "part", "seq").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, seq int")

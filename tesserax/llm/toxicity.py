@@ -249,7 +249,8 @@ def fit(labelled: DataFrame) -> Model:
     own, exact = near_words(counts, terms) if terms else (frozenset(), frozenset())
     h = F.xxhash64("doc_id", "text", F.lit(3))
     last = labelled.select(h.alias("h")).orderBy("h").limit(MAX_ROWS).agg(F.max("h")).first()[0]  # only hashes are sorted
-    rows = training_vectors(labelled.filter(h <= F.lit(last)), terms, own, exact).orderBy("made", "toxic", "f").collect()
+    rows = training_vectors(labelled.filter(h <= F.lit(last)), terms, own, exact).collect()
+    rows.sort(key=lambda r: (r["made"], r["toxic"], r["f"]))  # so that sums don't depend on partitions
     x = np.array([[*r["f"], 1.0] for r in rows]).reshape(-1, Features.SIZE + 1)
     y, made = (np.array([r[c] for r in rows], dtype=float) for c in ("toxic", "made"))
     real = max(1.0, ((y == 1) & (made == 0)).sum())
