@@ -87,7 +87,8 @@ def meets_box(x1, y1, x2, y2, minx, miny, maxx, maxy) -> Column:
 
 def covered(rings: DataFrame, size: float) -> DataFrame:
     """(pid, bx, by, parts): buckets that a polygon fills (parts null) or that its edges meet, with each part's rings' edges at or above."""
-    e = ring_edges(rings).select("pid", "part", "ring", "x1", "y1", "x2", "y2")
+    n = int(rings.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a few rows of polygons make many of buckets
+    e = ring_edges(rings).select("pid", "part", "ring", "x1", "y1", "x2", "y2").repartition(n, "pid", "x1", "y1")
     at = lambda c: F.floor(c / size).cast("int")
     span = lambda a, b: F.explode(F.sequence(at(F.least(a, b)), at(F.greatest(a, b))))
     columns = e.withColumn("bx", span("x1", "x2"))
