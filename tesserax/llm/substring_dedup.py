@@ -2,8 +2,7 @@
 
 1. Every window of LENGTH bytes has one anchor: the leftmost place in it with the least hash of ANCHOR bytes. Equal
    windows have equal anchors at equal offsets, so windows can be shared only under anchors that several documents have.
-   Documents send their anchors' codes to shards by hash, once for each code and bucket of documents in a slice; a shard tells
-   each bucket which codes are shared.
+   Documents send their anchors' codes to shards by hash; a shard tells each bucket of documents which codes are shared.
 2. Buckets cut the places under shared anchors out of their texts, once for equal places, and send them to shards by code.
    A code in over HOT documents is split: each of its windows goes by the window's own hash, so no shard gathers it.
 3. A shard joins its distinct places to one text, builds the suffix array by induced sorting and from it the common
@@ -121,13 +120,9 @@ def _codes(shards: int):
                 shard, doc, code = shard[new], doc[new], code[new]
                 at, rows = _cuts(shard), []
                 for x, y in zip(at, np.r_[at[1:], len(shard)], strict=True):
-                    # of each code and bucket, the documents' number and least and greatest id
-                    own, of = code[x:y], buckets[doc[x:y]]
-                    by = np.lexsort((of, own))
-                    own, of, id_ = own[by], of[by], ids[doc[x:y][by]]
-                    d = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (of[1:] != of[:-1])])
-                    n = np.diff(np.r_[d, len(own)]).astype(np.uint32)
-                    rows.append((int(shard[x]), _pack(own[d], of[d].astype(np.int32), n, np.minimum.reduceat(id_, d), np.maximum.reduceat(id_, d))))
+                    d = _cuts(doc[x:y])
+                    own = doc[x:y][d]
+                    rows.append((int(shard[x]), _pack(ids[own], buckets[own].astype(np.int32), np.diff(np.r_[d, y - x]).astype(np.uint32), code[x:y])))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "data"])
 
@@ -138,15 +133,15 @@ def _shared():
     """Step 1 in a shard: (bucket, shard, data) with the codes of at least two documents, and whether each is hot."""
 
     def run(t: pa.Table) -> pa.Table:
-        parts = [_unpack(x.as_py(), "<u4", "<i4", "<u4", "<i8", "<i8") for x in t.column("data")]
-        code, bucket, docs, low, high = (np.concatenate([p[k] for p in parts]) for k in range(5))
+        parts = [_unpack(x.as_py(), "<i8", "<i4", "<u4", "<u4") for x in t.column("data")]
+        doc, bucket = (np.concatenate([np.repeat(p[k], p[2]) for p in parts]) for k in (0, 1))
+        code = np.concatenate([p[3] for p in parts])
         order = np.argsort(code, kind="stable")
-        code, bucket, docs, low, high = (x[order] for x in (code, bucket, docs, low, high))
+        doc, bucket, code = doc[order], bucket[order], code[order]
         at = _cuts(code)
         n = np.diff(np.r_[at, len(code)])
-        many = np.add.reduceat(docs.astype(np.int64), at) > HOT if len(at) else np.zeros(0, bool)
-        several = np.minimum.reduceat(low, at) != np.maximum.reduceat(high, at) if len(at) else np.zeros(0, bool)
-        keep, hot = np.repeat(several, n), np.repeat(many, n)
+        several = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at) if len(at) else np.zeros(0, bool)
+        keep, hot = np.repeat(several, n), np.repeat(n > HOT, n)
         bucket, code, hot = bucket[keep], code[keep], hot[keep]
         order = np.lexsort((code, bucket))
         bucket, code, hot = bucket[order], code[order], hot[order]
