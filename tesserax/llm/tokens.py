@@ -36,7 +36,7 @@ RANGE_BYTES = 24_000_000
 READ_SHARDS = 4
 WORD_BITS = 512
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 #: Bytes of text encoded at once, about.
 SLAB = 2_000_000
 
