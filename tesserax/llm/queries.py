@@ -89,6 +89,12 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserax.llm.quality import judged
+
+    return judged(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
@@ -150,5 +156,32 @@ select query_id, rank, vec_id, score from r where rank <= 10
 """
 
 
+OP11_SQL = r"""
+with t as (
+  select doc_id, coalesce(text, '') as x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as l, row_number() over () as k
+  from documents),
+g as (select k, generate_subscripts(w[3:], 1) as i, unnest(list_zip(w[:-3], w[2:-2], w[3:])) as s from t where len(w) >= 3),
+r as (select k, i from g qualify count(*) over (partition by k, s) > 1),
+c as (select k, count(distinct i + j) as n from r, range(3) as o(j) group by k),
+m as (
+  select doc_id, len(w)::bigint as n_words, coalesce(length(array_to_string(w, '')), 0)::bigint as word_chars,
+    (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, len(l) as n_lines,
+    (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(n, 0)::bigint as n_repeat_words,
+    len(list_filter(w, lambda y: not regexp_matches(y, '\p{L}'))) as n_letterless,
+    length(x) - length(regexp_replace(x, '[A-ZÀ-ÖØ-Þ]', '', 'g')) as n_capitals,
+    len(list_filter(l, lambda y: regexp_matches(y, '^ *[-*•]'))) as n_bullet_lines,
+    len(list_filter(l, lambda y: regexp_matches(y, '(\.\.\.|…) *$'))) as n_ellipsis_lines
+  from t left join c using (k)),
+b as (
+  select *, (n_words < 50)::bigint + 2 * (100 * n_repeat_words > 50 * n_words)::bigint + 4 * (10 * n_symbols > n_words)::bigint
+    + 8 * (5 * n_dup_lines > 2 * n_lines)::bigint + 16 * (word_chars < 2 * n_words)::bigint + 32 * (word_chars > 20 * n_words)::bigint
+    + 64 * (10 * n_letterless > 4 * n_words)::bigint + 128 * (2 * n_capitals > word_chars)::bigint
+    + 256 * (10 * n_bullet_lines > 9 * n_lines)::bigint + 512 * (10 * n_ellipsis_lines > 3 * n_lines)::bigint as failed
+  from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 > 0 as base_failed, failed = 0 as kept, failed from b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op9_mixing": OP9_SQL, "op10_topk": OP10_SQL}
+    return {"op1_url_filter": OP1_SQL, "op9_mixing": OP9_SQL, "op10_topk": OP10_SQL, "op11_quality": OP11_SQL}
