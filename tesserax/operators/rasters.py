@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tesserax.functions import geo
 from tesserax.operators.components import components
-from tesserax.operators.spatial import first_polygon, meets_box, points_in_polygons, ring_edges, with_bucket
+from tesserax.operators.spatial import covered, first_polygon, in_bucket, meets_box, points_in_polygons, ring_edges, with_bucket
 from tesserax.sources.scratch import materialise
 
 #: Degrees of the buckets in which cells meet a region's edges.
@@ -97,10 +97,20 @@ def sub_grid(cells: DataFrame, minx: float, miny: float, maxx: float, maxy: floa
     return cells.filter(geo.in_box("lon", "lat", *map(F.lit, (minx, miny, maxx, maxy))))
 
 
-def lattice(boxes: DataFrame, step: float) -> DataFrame:
-    """(pid, lon, lat): points from each box's south-west corner by `step`, inside it."""
-    at = lambda lo, hi: F.transform(F.sequence(F.lit(0), F.floor((F.col(hi) - F.col(lo)) / step).cast("int")), lambda k: F.col(lo) + k * step)
-    return boxes.select("pid", F.explode(at("minx", "maxx")).alias("lon"), "miny", "maxy").select("pid", "lon", F.explode(at("miny", "maxy")).alias("lat"))
+def lattice(rings: DataFrame, step: float, size: float = 0.5) -> DataFrame:
+    """(pid, lon, lat): the points from the south-west corner of each polygon's box on, by `step`, that the polygon holds, edges included.
+
+    The box is gone over by columns of buckets, and of those only the ones that the polygon fills or that its edges meet."""
+    own = covered(rings, size)
+    corner = rings.groupBy("pid").agg(F.min(F.array_min("xs")).alias("minx"), F.min(F.array_min("ys")).alias("miny"))
+
+    def at(low, bucket):
+        first = F.greatest(F.lit(0), F.floor((F.col(bucket) * size - F.col(low)) / step))
+        last = F.ceil(((F.col(bucket) + 1) * size - F.col(low)) / step)
+        return F.filter(F.transform(F.sequence(first, F.greatest(first, last)), lambda k: F.col(low) + k * step), lambda x: F.floor(x / size) == F.col(bucket))
+
+    points = own.join(corner, "pid").withColumn("lon", F.explode(at("minx", "bx"))).withColumn("lat", F.explode(at("miny", "by")))
+    return points.filter(in_bucket("lon", "lat")).select("pid", "lon", "lat")
 
 
 def rasterise(cells: DataFrame, rings: DataFrame) -> DataFrame:

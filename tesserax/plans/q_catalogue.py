@@ -300,14 +300,6 @@ def _(v):
     return C.area_report(materialise(found, "records"), 12, v.distributions.join(met, "spcode", "left_semi"), articles, S.boxes_overlap(area, v.areas2))
 
 
-@query("agg46_area_report", "select 'records' as item, count(*) as n from {hits} where pid = 12 union all select 'species', count(distinct species) from {hits} where pid = 12 union all select 'articles', count(distinct id) from {article_points} where not missing and lon between 128 and 136 and lat between -31 and -24 union all select 'years', count(distinct year) from {hits} where pid = 12")
-def _(v):
-    own = S.every_polygon(v.occurrences, S.boxes_to_rings(v.areas.filter("pid = 12")))
-    articles = S.every_polygon(v.article_points.filter("not missing"), S.boxes_to_rings(v.areas.filter("pid = 12")))
-    item = lambda d, k, c: d.agg(c.alias("n")).select(F.lit(k).alias("item"), "n")
-    return item(own, "records", F.count("*")).unionByName(item(own, "species", F.countDistinct("species"))).unionByName(item(articles, "articles", F.countDistinct("id"))).unionByName(item(own, "years", F.countDistinct("year")))
-
-
 @query("agg47_name_index", "select lower(name) as name_lower, row_number() over (order by lower(name)) as name_id from (select distinct lower(name) as name from {objects} where namesearch)")
 def _(v):
     return C.name_index(v.objects)

@@ -105,9 +105,15 @@ def _(v):
     return R.sub_grid(v.cells_el1, 118, -40, 140, -18).select("row", "col", "value")
 
 
-@query("ras11_lattice_points", "select pid, least(ax, bx, cx) + i * 0.5 as lon, least(ay, b_y, cy) + j * 0.5 as lat from {corners}, (select unnest(range(0, 200)) as i), (select unnest(range(0, 200)) as j) where least(ax, bx, cx) + i * 0.5 <= greatest(ax, bx, cx) and least(ay, b_y, cy) + j * 0.5 <= greatest(ay, b_y, cy)")
+#: Which side of a triangle's edges a point is on.
+TURN = "((c.{1} - c.{0}) * (lat - c.{2}) - (c.{3} - c.{2}) * (lon - c.{0}))"
+TURNS = ", ".join(TURN.format(*e) for e in (("ax", "bx", "ay", "b_y"), ("bx", "cx", "b_y", "cy"), ("cx", "ax", "cy", "ay")))
+
+
+@query("ras11_lattice_points", f"""select pid, lon, lat from (select *, least(ax, bx, cx) + i * 0.375 as lon, least(ay, b_y, cy) + j * 0.375 as lat from {{corners}}, (select unnest(range(0, 200)) as i), (select unnest(range(0, 200)) as j)) c
+    where least({TURNS}) >= 0 or greatest({TURNS}) <= 0""")
 def _(v):
-    return R.lattice(S.shapes(S.triangles_to_rings(v.corners)), 0.5)
+    return R.lattice(S.triangles_to_rings(v.corners), 0.375)
 
 
 # -- legends ------------------------------------------------------------------------------------------------------------

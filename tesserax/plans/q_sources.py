@@ -9,8 +9,11 @@ from tesserax.operators import aggregates as A
 from tesserax.operators import spatial as S
 from tesserax.plans.views import Registry
 from tesserax.sources import exports as E
+from tesserax.sources import grid_source as B
 from tesserax.sources import grids as G
+from tesserax.sources import polygon_source as P
 from tesserax.sources import records as R
+from tesserax.sources.headers import header_text
 from tesserax.sources.scratch import materialise, shared_path
 
 query = Registry()
@@ -63,8 +66,18 @@ def _(v):
 @query("src6_binary_grid", "select row, col, value from {cells_el1}")
 def _(v):
     path = shared_path(v._spark, "grids")
-    materialise(G.write_grids(v.cells_el1.withColumn("layer", F.lit("el1")), path, {"el1": (112.0, -10.0, 0.25, 140, 160)}))
-    return G.read_grids(v._spark, f"{path}/*.grd", f"{path}/*.gri").select("row", "col", "value")
+    B.write_grids(v.cells_el1.withColumn("layer", F.lit("el1")), path, {"el1": (112.0, -10.0, 0.25, 140, 160)}, part=640 * 30)
+    return B.read_grids(v._spark, path, split=640 * 9).select("row", "col", "value")
+
+
+@query("src6_grid_window", """select 'el2' as layer, row, col, lon, lat, value from {cells_el2} where lon between 120 and 131.5 and lat between -31 and -17.125 union all
+    select 'el1', row, col, lon, lat, value from {cells_el1} where lon between 120 and 131.5 and lat between -31 and -17.125""")
+def _(v):
+    path = shared_path(v._spark, "grids")
+    both = v.cells_el1.withColumn("layer", F.lit("el1")).unionByName(v.cells_el2.withColumn("layer", F.lit("el2")))
+    both = both.unionByName(v.cells_el1.withColumn("layer", F.lit("other")))
+    B.write_grids(both, path, {k: (112.0, -10.0, 0.25, 140, 160) for k in ("el1", "el2", "other")}, part=640 * 50)
+    return B.read_grids(v._spark, path, split=640 * 16, layers=("el1", "el2"), lon=(120.0, 131.5), lat=(-31.0, -17.125))
 
 
 def _binary(spark, path: str, chunks) -> None:
@@ -83,7 +96,7 @@ def _tiles(v):
     west = v.cells_el1.filter("col < 100").select(F.lit("a").alias("layer"), "row", "col", "value")
     east = v.cells_el2.filter("col >= 60").select(F.lit("b").alias("layer"), "row", (F.col("col") - 60).alias("col"), "value")
     sizes = {"a": (112.0, -10.0, 0.25, 140, 100), "b": (127.0, -10.0, 0.25, 140, 100)}
-    materialise(G.write_grids(west.unionByName(east), path, sizes))
+    B.write_grids(west.unionByName(east), path, sizes)
     return G.read_tiles(v._spark, path)
 
 
@@ -119,16 +132,38 @@ def _(v):
     return v._spark.read.parquet(path)
 
 
+#: Features of two parts (one for each third pid), the second with two holes, and null shapes for each seventh pid.
+PARTS = """select pid, part, ring, minx + dx * (maxx - minx) as minx, miny + dy * (maxy - miny) as miny, minx + (dx + w) * (maxx - minx) as maxx, miny + (dy + w) * (maxy - miny) as maxy
+    from {areas} join (values (0, 0, 0.0, 0.0, 0.25), (1, 0, 0.5, 0.5, 0.5), (1, 1, 0.625, 0.625, 0.125), (1, 2, 0.8125, 0.625, 0.125)) as t(part, ring, dx, dy, w) on part = 0 or pid % 3 = 0 where pid % 7 <> 0"""
+
+
 @query("src10_polygon_files", "select pid, ax as x0, cx as x2, 'class ' || (pid % 13)::varchar as label, (select count(distinct 'class ' || (d.pid % 13)::varchar) from {corners} d where 'class ' || (d.pid % 13)::varchar < 'class ' || (c.pid % 13)::varchar)::int as code from {corners} c")
 def _(v):
     path = shared_path(v._spark, "shapes")
     at = lambda *names: F.array(*(F.col(n).cast("double") for n in names))
-    rings = v.corners.select("pid", at("ax", "cx", "bx", "ax").alias("xs"), at("ay", "cy", "b_y", "ay").alias("ys"), F.concat(F.lit("class "), (F.col("pid") % 13).cast("string")).alias("label"), F.col("pid").cast("string").alias("own"))
-    materialise(G.write_polygon_files(rings, path, 2 + rings.count() // 50_000, [("label", 12), ("own", 12)]))
-    table = G.read_attributes(v._spark, f"{path}/*.dbf").select("file", "feature", F.col("attributes")["label"].alias("label"), F.col("attributes")["own"].cast("long").alias("pid"))
-    numbers, _ = G.coded(table.withColumn("code", F.col("label")), "code")
-    own = G.read_polygon_files(v._spark, f"{path}/*.shp").join(numbers, ["file", "feature"])
-    return own.select("pid", F.get("xs", F.lit(0)).alias("x0"), F.get("xs", F.lit(1)).alias("x2"), "label", "code")
+    rings = v.corners.select("pid", F.lit(0).alias("part"), F.lit(0).alias("ring"), at("ax", "cx", "bx", "ax").alias("xs"), at("ay", "cy", "b_y", "ay").alias("ys"), F.concat(F.lit("class "), (F.col("pid") % 13).cast("string")).alias("label"), F.col("pid").cast("string").alias("own"))
+    materialise(P.write_polygons(rings, path, 2 + rings.count() // 50_000, [("label", 12), ("own", 12)]))
+    own = P.read_polygons(v._spark, path, records=300)
+    own = own.select(F.col("attributes")["own"].cast("long").alias("pid"), F.get("xs", F.lit(0)).alias("x0"), F.get("xs", F.lit(1)).alias("x2"), F.col("attributes")["label"].alias("label"))
+    return G.coded(own.withColumn("code", F.col("label")), "code")[0]
+
+
+@query("src10_parts_and_holes", f"""select a.pid::bigint as pid, a.name, p.part, p.ring, round(minx, 9) as minx, round(maxy, 9) as maxy, round((p.maxx - p.minx) * (p.maxy - p.miny), 9) as area
+    from (select pid, name from {{areas}}) a left join ({PARTS}) p on a.pid = p.pid""")
+def _(v):
+    path = shared_path(v._spark, "parts")
+    boxes = v._spark.sql(PARTS, areas=v.areas)
+    at = lambda *names: F.array(*(F.col(n).cast("double") for n in names))
+    rings = v.areas.select("pid", "name").join(boxes, "pid", "left").select(
+        "pid", "name", "part", "ring", F.when(F.col("part").isNotNull(), at("minx", "minx", "maxx", "maxx", "minx")).alias("xs"), at("miny", "maxy", "maxy", "miny", "miny").alias("ys"), F.col("pid").cast("string").alias("own")
+    )
+    materialise(P.write_polygons(rings, path, 3, [("name", 30), ("own", 12)]))
+    own = P.read_polygons(v._spark, path, records=4)
+    width, height = F.array_max("xs") - F.array_min("xs"), F.array_max("ys") - F.array_min("ys")
+    return own.select(
+        F.col("attributes")["own"].cast("long").alias("pid"), F.col("attributes")["name"].alias("name"), "part", "ring",
+        F.round(F.array_min("xs"), 9).alias("minx"), F.round(F.array_max("ys"), 9).alias("maxy"), F.round(width * height, 9).alias("area"),
+    )
 
 
 @query("src11_wkt_reader", "select pid, ring, minx, maxy, 5 as n from {nested}")
@@ -218,7 +253,7 @@ def _(v):
 def _(v):
     e = v.cells_el1.agg(F.min("value").alias("lo"), F.max("value").alias("hi")).first()
     path = shared_path(v._spark, "el1.grd")
-    _binary(v._spark, path, [G.header_text(112.0, -45.0, 152.0, -10.0, 140, 160, e.lo, e.hi).encode()])
+    _binary(v._spark, path, [header_text(112.0, -45.0, 152.0, -10.0, 140, 160, e.lo, e.hi).encode()])
     text = v._spark.read.text(path, wholetext=True)
     at = lambda k: F.regexp_extract("value", rf"(?m)^{k}=(.*)$", 1)
     d = lambda k: at(k).cast("double")

@@ -132,6 +132,9 @@ class Registry:
         self.sql: dict[str, str] = {}
 
     def __call__(self, name: str, sql: str | None = None):
+        if name in self.queries:
+            raise ValueError(f"{name} is registered twice")
+
         def add(f):
             self.queries[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
             if sql:

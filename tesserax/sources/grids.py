@@ -1,86 +1,15 @@
-"""Binary grids and their headers, ASCII grids, polygon files."""
+"""Folders of grids as one, ASCII grids, samples of grids, and columns coded as numbers."""
 
 from __future__ import annotations
 
-import configparser
-import struct
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserax.sources.grid_source import read_grids
+from tesserax.sources.headers import parse_header
 from tesserax.sources.records import numbered
 
-TYPES = {"BYTE": "i1", "UBYTE": "u1", "SHORT": "i2", "INT": "i4", "LONG": "i8", "FLOAT": "f4", "DOUBLE": "f8"}
-
-
-def parse_header(text: str) -> dict:
-    """Extent, size, type, byte order, nodata and rescale of a grid's INI header; units `1/n x` divide, `nx y` multiply."""
-    ini = configparser.ConfigParser(strict=False)
-    ini.read_string(text)
-    g = {k.lower(): v for s in ini.sections() for k, v in ini[s].items()}
-    units, scale = g.get("units", ""), 1.0
-    if units.startswith("1/") and " " in units:
-        scale = 1 / float(units[2 : units.index(" ")])
-    elif "x " in units and units[: units.index("x ")].replace(".", "", 1).isdigit():
-        scale = float(units[: units.index("x ")])
-    order = "<" if g.get("byteorder", "LSB").upper() == "LSB" else ">"
-    return {"minx": float(g["minx"]), "maxy": float(g["maxy"]), "res": (float(g["maxx"]) - float(g["minx"])) / int(g["columns"]), "rows": int(g["rows"]), "cols": int(g["columns"]),
-            "dtype": order + TYPES[g["datatype"].upper()], "nodata": float(g.get("nodatavalue", "nan")), "scale": scale}
-
-
-def read_grids(spark: SparkSession, headers: str, cells: str) -> DataFrame:
-    """(layer, row, col, lon, lat, value) of header files (.grd) and data files (.gri) of the same name; nodata cells are left out.
-
-    A header goes to its data by a join on the name; one file is decoded in a task, a thousand rows of cells at a time.
-    """
-    name = F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1)
-    h = spark.read.format("binaryFile").load(headers).select(name.alias("layer"), F.col("content").cast("string").alias("header"))
-    d = spark.read.format("binaryFile").load(cells).select(name.alias("layer"), "content")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for layer, header, content in zip(pdf.layer, pdf.header, pdf.content, strict=True):
-                g = parse_header(header)
-                v = np.frombuffer(content, dtype=g["dtype"]).reshape(g["rows"], g["cols"])
-                for at in range(0, g["rows"], 1000):
-                    part = v[at : at + 1000].astype("f8")
-                    row, col = np.nonzero(~(np.isnan(part) | (part == g["nodata"])))
-                    yield pd.DataFrame({"layer": layer, "row": (row + at).astype("i4"), "col": col.astype("i4"), "lon": g["minx"] + (col + 0.5) * g["res"], "lat": g["maxy"] - (row + at + 0.5) * g["res"], "value": (part[row, col] * g["scale"]).astype("f4").astype("f8")})
-
-    return h.join(d, "layer").mapInPandas(run, "layer string, row int, col int, lon double, lat double, value double")
-
-
-def write_grids(cells: DataFrame, path: str, sizes: dict[str, tuple[float, float, float, int, int]]) -> DataFrame:
-    """(layer, file): grids(layer, row, col, value) encoded within tasks, a header and a data file for each layer of sizes
-    (minx, maxy, res, rows, cols), in a folder that executors share. Files are written when the result is; a repeated task writes
-    the same files again."""
-
-    def run(key, pdf):
-        minx, maxy, res, rows, cols = sizes[key[0]]
-        v = np.full((rows, cols), np.nan, dtype="<f4")
-        v[pdf["row"], pdf["col"]] = pdf["value"]
-        store, folder = fs_of(path)
-        with store.open_output_stream(f"{folder}/{key[0]}.gri") as out:
-            out.write(v.tobytes())
-        with store.open_output_stream(f"{folder}/{key[0]}.grd") as out:
-            out.write(header_text(minx, maxy - rows * res, minx + cols * res, maxy, rows, cols, float(pdf["value"].min()), float(pdf["value"].max())).encode())
-        return pd.DataFrame({"layer": [key[0]], "file": [f"{key[0]}.gri"]})
-
-    return cells.filter(F.col("layer").isin(*sizes)).select("layer", "row", "col", "value").groupBy("layer").applyInPandas(run, "layer string, file string")
-
-
-def fs_of(path: str):
-    """(file system, path in it) of a folder that executors share."""
-    from pyarrow import fs
-
-    store, folder = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-    store.create_dir(folder, recursive=True)
-    return store, folder
-
-
 def read_tiles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A directory of grids of one resolution as one: cells(row, col, lon, lat, value) and one row of its extent, resolution, size and least
     and greatest value. A place in several tiles has the value of the first, by name, that holds it."""
@@ -94,7 +23,7 @@ def read_tiles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     h = raw.select("layer", parsed("header").alias("h")).select("layer", "h.*")
     whole = h.agg(F.min("minx").alias("minx"), F.max("maxy").alias("maxy"), F.max(F.col("minx") + F.col("cols") * F.col("res")).alias("maxx"), F.min(F.col("maxy") - F.col("rows") * F.col("res")).alias("miny"), F.min("res").alias("res"))
     whole = whole.withColumns({"rows": F.round((F.col("maxy") - F.col("miny")) / F.col("res")).cast("int"), "cols": F.round((F.col("maxx") - F.col("minx")) / F.col("res")).cast("int")})
-    own = read_grids(spark, f"{path}/*.grd", f"{path}/*.gri").crossJoin(F.broadcast(whole.select(F.col("minx").alias("_x"), F.col("maxy").alias("_y"), F.col("res").alias("_r"))))  # one row
+    own = read_grids(spark, path).crossJoin(F.broadcast(whole.select(F.col("minx").alias("_x"), F.col("maxy").alias("_y"), F.col("res").alias("_r"))))  # one row
     own = own.withColumns({"row": F.floor((F.col("_y") - F.col("lat")) / F.col("_r")).cast("int"), "col": F.floor((F.col("lon") - F.col("_x")) / F.col("_r")).cast("int")})
     cells = own.groupBy("row", "col").agg(F.min_by(F.struct("lon", "lat", "value"), "layer").alias("c")).select("row", "col", "c.*")
     return cells, whole.join(F.broadcast(cells.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))))
@@ -108,29 +37,6 @@ def sampled(cells: DataFrame, extent: DataFrame, rows: int, cols: int) -> DataFr
     return at.join(cells.select("row", "col", "value"), ["row", "col"]).select(F.col("r").alias("row"), F.col("c").alias("col"), "value")
 
 
-def encode_grid(cells: DataFrame, rows: int, cols: int) -> DataFrame:
-    """(row, line binary): a grid's rows as little-endian floats, NaN where there is no cell; rows without one too."""
-    spine = cells.sparkSession.range(rows).select(F.col("id").cast("int").alias("row"))
-    packed = cells.groupBy("row").agg(F.collect_list(F.struct("col", "value")).alias("c"))
-
-    @F.pandas_udf("binary")
-    def line(c: pd.Series) -> pd.Series:
-        out = []
-        for x in c:
-            v = np.full(cols, np.nan, dtype="<f4")
-            for p in [] if x is None else x:
-                v[p["col"]] = p["value"]
-            out.append(v.tobytes())
-        return pd.Series(out)
-
-    return spine.join(packed, "row", "left").select("row", line("c").alias("line"))
-
-
-def header_text(minx: float, miny: float, maxx: float, maxy: float, rows: int, cols: int, low: float, high: float) -> str:
-    lines = ["[General]", "[GeoReference]", f"Columns={cols}", f"Rows={rows}", f"MinX={minx}", f"MaxX={maxx}", f"MinY={miny}", f"MaxY={maxy}", "[Data]", "DataType=FLOAT", f"MinValue={low}", f"MaxValue={high}", "NoDataValue=nan", "ByteOrder=LSB"]
-    return "\n".join(lines) + "\n"
-
-
 def ascii_grid(cells: DataFrame, rows: int, cols: int, minx: float, miny: float, res: float, nodata: str = "-9999") -> DataFrame:
     """(at, value): an ASCII grid's header lines and rows from the north, in the order of `at`; whole numbers without a point."""
     spine = cells.sparkSession.range(rows).select(F.col("id").cast("int").alias("row"))
@@ -148,69 +54,6 @@ def decimated(cells: DataFrame, every: int) -> DataFrame:
     return cells.filter((F.col("row") % every == 0) & (F.col("col") % every == 0))
 
 
-def collection(tiles: DataFrame) -> DataFrame:
-    """(row, col, value) of overlapping tiles(tile, row, col, value): the first tile that holds a cell decides."""
-    return tiles.groupBy("row", "col").agg(F.min_by("value", "tile").alias("value"))
-
-
-def read_polygon_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, feature, part, ring, xs, ys) of polygon shape files (.shp), one file a task; the part that a ring belongs to starts with
-    each clockwise ring. Features of other types are left out."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, data in zip(pdf.path, pdf.content, strict=True):
-                yield pd.DataFrame(list(_features(name.rsplit("/", 1)[-1], data)), columns=["file", "feature", "part", "ring", "xs", "ys"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "file string, feature int, part int, ring int, xs array<double>, ys array<double>")
-
-
-def _features(name: str, data: bytes):
-    at = 100
-    while at + 12 <= len(data):
-        number, words = struct.unpack(">ii", data[at : at + 8])
-        body, at = data[at + 8 : at + 8 + 2 * words], at + 8 + 2 * words
-        if struct.unpack("<i", body[:4])[0] != 5:
-            continue
-        n_parts, n_points = struct.unpack("<ii", body[36:44])
-        starts = [*struct.unpack(f"<{n_parts}i", body[44 : 44 + 4 * n_parts]), n_points]
-        xy = np.frombuffer(body, "<f8", 2 * n_points, 44 + 4 * n_parts).reshape(-1, 2)
-        part, ring = -1, 0
-        for a, b in zip(starts, starts[1:], strict=False):
-            x, y = xy[a:b, 0], xy[a:b, 1]
-            clockwise = (x[:-1] * y[1:] - x[1:] * y[:-1]).sum() < 0
-            part, ring = (part + 1, 0) if clockwise or part < 0 else (part, ring + 1)
-            yield name, number, part, ring, x.tolist(), y.tolist()
-
-
-def read_attributes(spark: SparkSession, path: str) -> DataFrame:
-    """(file, feature, attributes map<string, string>) of the tables (.dbf) beside polygon files, one file a task; deleted rows are left
-    out. file has the polygon file's ending, so that both join."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, data in zip(pdf.path, pdf.content, strict=True):
-                rows = [(name.rsplit("/", 1)[-1].rsplit(".", 1)[0] + ".shp", k, r) for k, r in _attributes(data)]
-                yield pd.DataFrame(rows, columns=["file", "feature", "attributes"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "file string, feature int, attributes map<string, string>")
-
-
-def _attributes(data: bytes):
-    count, head, size = struct.unpack("<IHH", data[4:12])
-    columns, at, start = [], 32, 1
-    while data[at] != 0x0D:
-        name, width = data[at : at + 11].split(b"\0")[0].decode("latin-1"), data[at + 16]
-        columns.append((name, start, start + width))
-        start, at = start + width, at + 32
-    for k in range(count):
-        row = data[head + k * size : head + (k + 1) * size]
-        if row[:1] != b"*":
-            yield k + 1, {n: row[a:b].decode("utf-8", "replace").strip() or None for n, a, b in columns}
-
-
 def coded(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """df with a column's values as numbers from 0 in their order, null as null; and the dictionary (code, value)."""
     values = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("_n"))
@@ -218,45 +61,3 @@ def coded(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     own = codes.select(F.col("value").alias("_value"), F.col("code").cast("int").alias("_code"))
     kept = [F.col("_code").alias(c) if c == column else F.col(c) for c in df.columns]
     return df.join(own, df[column] == own._value, "left").select(*kept), codes
-
-
-def encode_attributes(columns: list[tuple[str, int]], rows: list[tuple]) -> bytes:
-    """A table (.dbf) of text columns (name, width)."""
-    head = 32 + 32 * len(columns) + 1
-    out = [struct.pack("<4BIHH20x", 3, 124, 1, 1, len(rows), head, 1 + sum(w for _, w in columns))]
-    out += [struct.pack("<11sc4xBB14x", n.encode()[:10], b"C", w, 0) for n, w in columns]
-    out.append(b"\r")
-    for r in rows:
-        out.append(b" " + b"".join(("" if v is None else str(v)).encode()[:w].ljust(w) for v, (_, w) in zip(r, columns, strict=True)))
-    return b"".join(out) + b"\x1a"
-
-
-def encode_polygons(rings: list[tuple[list[float], list[float]]]) -> bytes:
-    """A polygon shape file with a feature for each ring."""
-    out = []
-    for k, (xs, ys) in enumerate(rings, 1):
-        body = struct.pack("<i4d2ii", 5, min(xs), min(ys), max(xs), max(ys), 1, len(xs), 0) + np.column_stack([xs, ys]).astype("<f8").tobytes()
-        out.append(struct.pack(">ii", k, len(body) // 2) + body)
-    return b"\0" * 100 + b"".join(out)
-
-
-def write_polygon_files(rings: DataFrame, path: str, parts: int, columns: list[tuple[str, int]] = ()) -> DataFrame:
-    """(file, feature, pid): rings(pid, xs, ys, ...) encoded within tasks, one polygon file, with a table of the text columns
-    (name, width) if there are any, for each of `parts` ranges of pid, in a folder that executors share. Files are written when
-    the result is; a repeated task writes the same file again."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        own = pd.concat([pd.DataFrame({"pid": [], "xs": [], "ys": []}), *batches])
-        if len(own):
-            name = f"{TaskContext.get().partitionId()}.shp"
-            store, folder = fs_of(path)
-            with store.open_output_stream(f"{folder}/{name}") as out:
-                out.write(encode_polygons([(list(x), list(y)) for x, y in zip(own["xs"], own["ys"], strict=True)]))
-            if columns:
-                with store.open_output_stream(f"{folder}/{name[:-4]}.dbf") as out:
-                    out.write(encode_attributes(list(columns), list(own[[n for n, _ in columns]].itertuples(index=False, name=None))))
-            yield pd.DataFrame({"file": name, "feature": range(1, len(own) + 1), "pid": own.pid.astype("int64")})
-
-    return rings.select("pid", "xs", "ys", *(n for n, _ in columns)).repartitionByRange(parts, "pid").sortWithinPartitions("pid", "xs", "ys").mapInPandas(run, "file string, feature int, pid long")

@@ -8,15 +8,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tesserax.sources.files import qualified
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset, below a temporary folder in local mode only."""
+    """A new path, with its scheme, below spark.checkpoint.dir; where that is unset, below a temporary folder in local mode only."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        top = os.environ.setdefault("TESSERAX_SHARED", tempfile.mkdtemp(prefix="tesserax-"))
-    return f"{top.rstrip('/')}/tesserax/{uuid.uuid4().hex}/{name}"
+        top = os.environ.get("TESSERAX_SHARED") or tempfile.mkdtemp(prefix="tesserax-")
+        os.environ["TESSERAX_SHARED"] = top
+    return qualified(spark, f"{top.rstrip('/')}/tesserax/{uuid.uuid4().hex}/{name}")
 
 
 def materialise(df: DataFrame, name: str = "part") -> DataFrame:

@@ -14,7 +14,7 @@ from tesserax.operators import legends as L
 from tesserax.operators import models as M
 from tesserax.operators import overlay as O
 from tesserax.operators import spatial as S
-from tesserax.sources.grids import parse_header
+from tesserax.sources.headers import parse_header
 
 # latitude and longitude as the known result has them: out of range, but its areas follow from them
 THREE = [("a", -15.0, 120.0), ("a", -25.0, 154.0), ("a", -40.0, 140.0)]
@@ -185,16 +185,6 @@ def test_point_radius_area_takes_records_of_all_years(spark):
     assert got["sp5"] == pytest.approx(one.km2)
 
 
-def test_polygon_files_of_all_ranges(spark, tmp_path):
-    from tesserax.sources import grids as G
-
-    rows = [(k, [k + 0.0, k + 1.0, k + 1.0, k + 0.0], [0.0, 2.0, 0.0, 0.0]) for k in range(5, 305)]
-    numbers = G.write_polygon_files(spark.createDataFrame(rows, "pid long, xs array<double>, ys array<double>"), tmp_path.as_uri(), 3).collect()
-    back = {(r.file, r.feature): r.xs[0] for r in G.read_polygon_files(spark, f"{tmp_path}/*.shp").collect()}
-    assert len({r.file for r in numbers}) == 3
-    assert {r.pid: back[r.file, r.feature] for r in numbers} == {k: float(k) for k in range(5, 305)} and len(back) == 300
-
-
 def test_winding_region_is_one(spark):
     """A serpentine through a grid of 140 x 160 cells, beside it single cells of another value."""
     from tesserax.operators import rasters as R
