@@ -8,12 +8,13 @@ together: differences accumulate level by level, and a pair over the radius is d
 
 At a wider similarity fingerprints differ in more bits than blocks can hold apart. Then texts may also meet under top nodes
 of another kind, bands of least hashes of the same shingles, below which fingerprints are indexed in the same way at a
-wider radius; and all links must agree in enough of the least hashes, so that chance neighbours, of which a large corpus
-has many, do not link.
+wider radius. All such links must agree in enough of the least hashes, so that chance neighbours, of which a large corpus has
+many, do not link; and each link that leaves a task is then confirmed by the two texts' whole sets of shingles.
 
-Fingerprints are made distinct first, so groups of exact copies have one entry. A top node of over HOT entries is cut into
-chunks, every two of which meet in a task of their own. What leaves a task is a spanning forest of its links, not the
-pairs; components then come from alternating star contraction over shuffles.
+Fingerprints, or texts where bands are asked for, are made distinct first, so groups of exact copies have one entry. A top node of
+over HOT entries is cut into chunks, every two of which meet in a task of their own. What leaves a task is a spanning forest of its
+links, not the pairs, made of the likeliest links first where they are to be confirmed, so that a wrong one seldom stands for a right
+one; components then come from alternating star contraction over shuffles.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ BLOCKS = 5
 ROWS = 4
 #: Least hashes of bands are remembered by 4 bits each; linked texts must have so many equal: at a similarity of 0.8 99 in 100 have.
 AGREE = 0.7
+#: Links of so many equal least hashes are made before others.
+SURE = 0.85
 #: Entries of a top node that one task takes.
 HOT = 100_000
 #: Bits by which a node's children are longer.
@@ -129,18 +132,22 @@ def gray_rank(code: np.ndarray) -> np.ndarray:
 
 
 class Forest:
-    """Union by smallest member over 0..n-1, whole arrays of links at a time."""
+    """Union by smallest member over 0..n-1, whole arrays of links at a time; `made` has the links that joined two trees."""
 
     def __init__(self, n: int):
         self.parent = np.arange(n)
+        self.made: list[np.ndarray] = []
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        p = self.parent
+        p, own = self.parent, np.stack([a, b])
         while len(a):
-            a, b = p[a], p[b]
+            a, b = p[own[0]], p[own[1]]
             apart = a != b
-            a, b = a[apart], b[apart]
-            np.minimum.at(p, np.maximum(a, b), np.minimum(a, b))
+            own, a, b = own[:, apart], a[apart], b[apart]
+            high, low = np.maximum(a, b), np.minimum(a, b)
+            np.minimum.at(p, high, low)
+            won = np.flatnonzero(p[high] == low)
+            self.made.append(own[:, won[np.unique(high[won], return_index=True)[1]]])
             while (q := p[p]).tobytes() != p.tobytes():
                 p[:] = q
 
@@ -178,10 +185,11 @@ def _follow(levels: list, k: int, a: np.ndarray, b: np.ndarray, radius: int, for
         a, b, k = a[once], b[once], k + 1
 
 
-def linked(key: np.ndarray, rest: np.ndarray, bits: int, radius: int, agree) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the entries and, in that order, the smallest entry each is linked with through others of its key.
+def linked(key: np.ndarray, rest: np.ndarray, bits: int, radius: int, *agrees) -> tuple[np.ndarray, Forest]:
+    """Order of the entries and, in that order, the forest of their links through others of their key.
 
-    key: the top node of each; rest: its other bits, `bits` of them; agree: of arrays of entries a and b, whether they may link.
+    key: the top node of each; rest: its other bits, `bits` of them; agrees: of arrays of entries a and b, whether they may link, the
+    strictest first.
     """
     rank = gray_rank(rest)
     order = np.lexsort((rank, key))
@@ -200,25 +208,26 @@ def linked(key: np.ndarray, rest: np.ndarray, bits: int, radius: int, agree) ->
         first = np.r_[np.searchsorted(below, starts), len(below)] if below is not None else None
         tree.append((code[starts], first, starts))
     forest = Forest(n)
-    agree_ = lambda a, b: agree(order[a], order[b])
-    # neighbours in Gray order first: large groups of near copies are mostly one tree before pairs are followed
-    for gap in (1, 2, 3, 4, 8, 16):
-        a = np.arange(max(0, n - gap))
-        b = a + gap
-        near = (key[a] == key[b]) & (np.bitwise_count(rest[a] ^ rest[b]) <= radius)
-        near[near] = agree_(a[near], b[near])
-        forest.link(a[near], b[near])
     tops = np.arange(len(levels[0][0]))
     tops = tops[np.diff(np.r_[levels[0][0], n]) > 1]
-    _follow(tree, 0, tops, tops, radius, forest, agree_)
-    return order, forest.parent
+    for agree in agrees:
+        agree_ = lambda a, b, agree=agree: agree(order[a], order[b])
+        # neighbours in Gray order first: large groups of near copies are mostly one tree before pairs are followed
+        for gap in (1, 2, 3, 4, 8, 16):
+            a = np.arange(max(0, n - gap))
+            b = a + gap
+            near = (key[a] == key[b]) & (np.bitwise_count(rest[a] ^ rest[b]) <= radius)
+            near[near] = agree_(a[near], b[near])
+            forest.link(a[near], b[near])
+        _follow(tree, 0, tops, tops, radius, forest, agree_)
+    return order, forest
 
 
 def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, band_radius: int = 64, hot: int = HOT) -> DataFrame:
-    """(a, b): a spanning forest, by top nodes, of the links among distinct fingerprints, classes(fp[, keys, sketch]).
+    """(a, b): a spanning forest, by top nodes, of the links among distinct fingerprints, classes(fp), or texts, classes(fp, id, keys, sketch).
 
-    With keys of bands, classes that share one link as well if fp differs in at most band_radius bits, and all links need
-    sketches that are equal in AGREE of their least hashes.
+    With keys of bands, texts that share one link as well if fp differs in at most band_radius bits, and all links need sketches that
+    are equal in AGREE of their least hashes; then a and b are the ids of two such texts. Without, they are fp, and in one tree only.
     """
     edges = np.linspace(0, 64, blocks + 1).round().astype(int)
     choices = list(combinations(range(blocks), blocks - radius))
@@ -227,7 +236,7 @@ def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, band_r
     masks = [signed(sum(mask(i) for i in c)) for c in choices]
     widths = [64 - int(sum(edges[i + 1] - edges[i] for i in c)) for c in choices]
     banded = "keys" in classes.columns
-    own = ["fp", "sketch"] if banded else ["fp"]
+    own = ["fp", "sketch", "id"] if banded else ["fp"]
     keys = F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))
     rows = classes.select(*own, F.posexplode(F.concat(keys, F.col("keys")) if banded else keys).alias("choice", "key"))
     # chunks of a hot top node meet two by two
@@ -243,13 +252,14 @@ def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, band_r
     def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
         fp, choice, key, pair = (t.column(c).to_numpy() for c in ("fp", "choice", "key", "pair"))
+        ids_ = t.column("id" if banded else "fp").to_numpy()
         if banded:
             held = t.column("sketch").combine_chunks()
             held = held.chunk(0) if isinstance(held, pa.ChunkedArray) else held
             size = np.diff(held.offsets.to_numpy())
             sketches = np.zeros((len(fp), int(size.max(initial=0))), dtype=np.uint64)
             sketches[size > 0] = held.flatten().to_numpy().view(np.uint64).reshape(int((size > 0).sum()), sketches.shape[1])
-            enough = AGREE * 16 * sketches.shape[1]
+            enough = [e * 16 * sketches.shape[1] for e in (SURE, AGREE)]
         # one number for a node, whatever its pair of chunks
         node = np.cumsum(np.r_[True, (choice[1:] != choice[:-1]) | (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])])
         for c in np.unique(choice):
@@ -257,22 +267,23 @@ def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, band_r
             if len(x) < 2:
                 continue
             if banded:
-                agree = lambda a, b, x=x: equal_hashes(sketches[x[a]], sketches[x[b]]) >= enough
+                agrees = [lambda a, b, x=x, e=e: equal_hashes(sketches[x[a]], sketches[x[b]]) >= e for e in enough]
             else:
-                agree = lambda a, b: np.ones(len(a), dtype=bool)
+                agrees = [lambda a, b: np.ones(len(a), dtype=bool)]
             bits, rest = fp[x].view(np.uint64), np.zeros(len(x), dtype=np.uint64)
             if c >= len(choices):
-                order, root = linked(node[x], bits, 64, band_radius, agree)
+                order, forest = linked(node[x], bits, 64, band_radius, *agrees)
             else:
                 at = 0
                 for i in set(range(blocks)) - set(choices[c]):
                     rest |= ((bits >> np.uint64(edges[i])) & np.uint64((1 << int(edges[i + 1] - edges[i])) - 1)) << np.uint64(at)
                     at += int(edges[i + 1] - edges[i])
-                order, root = linked(node[x], rest, widths[c], radius, agree)
-            ids = fp[x][order]
-            below = np.flatnonzero(root != np.arange(len(root)))
+                order, forest = linked(node[x], rest, widths[c], radius, *agrees)
+            ids = ids_[x][order]
+            below = np.flatnonzero(forest.parent != np.arange(len(x)))
+            a, b = np.concatenate(forest.made, axis=1) if banded and len(below) else (forest.parent[below], below)
             if len(below):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[root[below]]), pa.array(ids[below])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -297,15 +308,42 @@ def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, band_r
     return dealt.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = RADIUS, blocks: int = BLOCKS, bands: int = 0, band_radius: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, h, fp) of every row, h a hash of its text; (node, root) of every fingerprint with a link: the least one that links reach.
+def confirmed(found: DataFrame, docs: DataFrame, text: str, width: int, similarity: float) -> DataFrame:
+    """Of links (a, b) between hashes of texts, those whose sets of shingles have a Jaccard similarity of so much; two texts without a
+    word are alike. Texts go to their links by joins, so a text with many links is on as many tasks as its links are."""
+    texts = docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    ends = found.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    own = materialise(texts.join(ends, "h", "left_semi").groupBy("h").agg(F.first("t").alias("t")), "linked")
+    side = lambda x: own.select(F.col("h").alias(x), F.col("t").alias(f"t{x}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, last, x = np.zeros(b.num_rows, dtype=bool), None, None
+            for k, (a, ta, tb) in enumerate(zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True)):
+                if a != last:
+                    last, x = a, np.unique(shingles(ta.as_py(), width))
+                y = np.unique(shingles(tb.as_py(), width))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep[k] = both >= similarity * (len(x) + len(y) - both) - 1e-9
+            yield b.select([0, 1]).filter(pa.array(keep))
+
+    return found.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def groups(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = RADIUS, blocks: int = BLOCKS, bands: int = 0, band_radius: int = 64, similarity: float = 0.8
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node, h, fp) of every row, h a hash of its text; (node, root) of every node with a link: the least one that links reach.
 
-    bands: documents that share one of so many bands of least hashes link within band_radius bits too.
+    Nodes are fingerprints. With bands they are texts, h; those that share one of so many bands of least hashes link within band_radius
+    bits too, and links are confirmed at this similarity of the texts' sets of shingles.
     """
     fps = materialise(fingerprints(docs, doc_id, text, width, bands), "fingerprints")
-    # texts with one fingerprint are one node, but stand under the bands of each
-    classes = materialise(fps.select("fp", *(["sketch", "keys"] if bands else [])).distinct(), "classes")
-    return fps, components(links(classes, radius, blocks, band_radius))
+    if not bands:
+        return fps.withColumn("node", F.col("fp")), components(links(materialise(fps.select("fp").distinct(), "classes"), radius, blocks))
+    classes = materialise(fps.groupBy(F.col("h").alias("id")).agg(*(F.first(c).alias(c) for c in ("fp", "sketch", "keys"))), "classes")
+    found = materialise(links(classes, radius, blocks, band_radius), "links")
+    return fps.withColumn("node", F.col("h")), components(materialise(confirmed(found, docs, text, width, similarity), "confirmed"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -315,13 +353,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     columns are dropped; an empty table gives no row; where only rows with a null id are reachable, component_id is null.
     """
     fps, roots = groups(docs, doc_id, text, **how)
-    least = materialise(_with_root(fps.groupBy("fp").agg(F.min("doc_id").alias("m")), roots), "roots")
-    of = least.join(least.groupBy("root").agg(F.min("m").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    least = materialise(_with_root(fps.groupBy("node").agg(F.min("doc_id").alias("m")), roots), "roots")
+    of = least.join(least.groupBy("root").agg(F.min("m").alias("component_id")), "root").select("node", "component_id")
+    return fps.join(of, "node").select("doc_id", "fp", "component_id")
 
 
-def _with_root(by_fp: DataFrame, roots: DataFrame) -> DataFrame:
-    return by_fp.join(roots, by_fp.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+def _with_root(by_node: DataFrame, roots: DataFrame) -> DataFrame:
+    return by_node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -330,7 +368,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **h
     """
     fps, roots = groups(docs, doc_id, text, **how)
     key = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "h")
-    first = fps.groupBy("fp").agg(F.min(key).alias("k"))
+    first = fps.groupBy("node").agg(F.min(key).alias("k"))
     first = _with_root(first, roots).groupBy("root").agg(F.min("k").alias("k"))
     first = first.select(F.col("k.doc_id").alias("first_id"), F.col("k.h").alias("first_h"))
     id_, h = fresh(docs, "id", "h")

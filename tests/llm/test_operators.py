@@ -128,6 +128,63 @@ def test_near_copies_at_a_similarity_of_0_8(spark):
     assert sorted(x.doc_id for x in H.one_of_each(df, **P.NEAR).collect()) == sorted({got[i] for i in want})
 
 
+def brute_kept(rows):
+    """The least ids of the groups that pairs of a similarity of 0.8 or more make."""
+    sets = [five_word_sets(t) for _, t in rows]
+    postings, parent = collections.defaultdict(list), list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, n in collections.Counter(j for s in a for j in postings[s]).items():
+            if 5 * n >= 4 * (len(a) + len(sets[j]) - n):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+        for s in a:
+            postings[s].append(i)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), doc), doc)
+    return set(least.values())
+
+
+def five_word_sets(text):
+    w = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def test_near_copies_as_by_brute_force(spark):
+    import corpus_pipeline as P
+    from tesserax.llm import simhash as H
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in H.one_of_each(df, **P.NEAR).collect()} == brute_kept(rows)
+
+
+@pytest.mark.parametrize("goal", [0.6, 0.7, 0.75, 0.79, 0.81, 0.85])
+def test_pairs_below_the_similarity_stay(spark, goal):
+    import corpus_pipeline as P
+    from tesserax.llm import simhash as H
+
+    r, rows = random.Random(int(goal * 100)), []
+    for k in range(60):
+        own = words(r.randrange(150, 500), r.randrange(10**6)).split()
+        edited, a, b = list(own), set(), set()
+        for at in r.sample(range(len(own)), len(own)):
+            a, b = five_word_sets(" ".join(own)), five_word_sets(" ".join(edited))
+            if len(a & b) / len(a | b) <= goal + 0.01:
+                break
+            edited[at] = f"edit{k}x{at}"
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(edited))]
+    kept = {x.doc_id for x in H.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), **P.NEAR).collect()}
+    wrong = kept ^ brute_kept(rows)
+    assert not wrong - set(range(1, 120, 2)) and (len(wrong) <= 1 if goal > 0.8 else not wrong)
+
+
 def test_one_of_each_by_row(spark):
     from tesserax.llm import simhash as H
 
@@ -669,17 +726,10 @@ def test_pipeline_stages_by_brute_force(spark):
     first = P.materialise(stage["language"](spark, docs, SF), "a")
     found = [(r, classify(r.text)) for r in raw]
     assert sorted(map(str, first.collect())) == sorted(str(r) for r, (lang, _, margin) in found if lang != "und" and margin >= G.MIN_MARGIN)
-    # near copies: groups by exact similarity; pairs near the limit of 0.8 may go either way
+    # near copies: groups by exact similarity
     rows = first.collect()
-    sets = [set(hash(s) for s in zip(*(r.text.lower().split()[k:] for k in range(5)), strict=False)) or {r.text.lower()} for r in rows]
     second = P.materialise(stage["near_copies"](spark, first, SF), "b")
-    kept = {r.doc_id for r in second.collect()}
-    for i, a in enumerate(sets):
-        near = [(len(a & b) / len(a | b), rows[j].doc_id) for j, b in enumerate(sets) if j != i and a & b]
-        if max((x for x, _ in near), default=0) < 0.5:
-            assert rows[i].doc_id in kept
-        if any(x >= 0.9 and k < rows[i].doc_id for x, k in near):
-            assert rows[i].doc_id not in kept
+    assert {r.doc_id for r in second.collect()} == brute_kept([(r.doc_id, r.text) for r in rows])
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     clean = [r for r in second.collect() if not brute_found([(r.doc_id, r.text)], items)] if len(items) * second.count() < 3000 else None
     third = P.materialise(stage["benchmark"](spark, second, SF), "c")
