@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserax.sources.files import qualified, store
+
 #: ASCII white space, the word separator of every contract here.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,14 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset, a temporary one in local mode only."""
+    """The folder in spark.checkpoint.dir, which driver and executors share, with its scheme, so that tasks that open files themselves
+    find it where Spark does; where it is unset, a temporary one in local mode only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = os.environ.get("TESSERAX_SCRATCH") or tempfile.mkdtemp(prefix="tesserax-")
         os.environ["TESSERAX_SCRATCH"] = where
-    return where.rstrip("/")
+    return qualified(spark, where.rstrip("/"))
 
 
 def materialise(df: DataFrame, name: str = "part") -> DataFrame:
@@ -37,10 +40,8 @@ def materialise(df: DataFrame, name: str = "part") -> DataFrame:
 
 
 def file_system(where: str):
-    """(file system, path in it) of a folder or file that tasks write and read themselves."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(where) if "://" in where or where.startswith("file:") else (fs.LocalFileSystem(), where)
+    """(file system, path in it) of a folder or file below shared_dir that tasks write and read themselves."""
+    return store(where)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

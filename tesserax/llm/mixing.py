@@ -2,8 +2,10 @@
 once more if a seeded hash of its id, read as a number in [0, 1), is below the rate's fraction.
 
 All of it is DataFrame operations: one partial aggregate by source, a handful of rows of arithmetic, and a join back of one
-row per source. Rows whose id is null or not their own draw by id, text and number among their equals, so that they draw
-apart. What is taken does not depend on partitioning, so reruns agree.
+row per source. Rows whose id is null or not their own draw by id, text, source, their other columns and their number among rows
+equal in all of these, so that they draw apart; which of such rows has which number makes no difference. So what is taken depends
+neither on partitioning nor on the order of rows, and reruns agree. A source of few or long documents may miss its target by the luck of
+single draws: its expected number of words is the target.
 """
 
 from __future__ import annotations
@@ -32,9 +34,9 @@ def unit_hash(*parts) -> Column:
 
 
 def with_draw(docs: DataFrame, name: str, seed: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with a number in [0, 1): of the id where it is one row's own, else of id, text and the row's number among rows
-    equal in both. Only ids are shuffled for that, and the rows that share one; equal rows are counted by partition first,
-    so many of them are no one task's work."""
+    """docs with a number in [0, 1): of the id where it is one row's own, else of id, text, source, other columns and the row's number
+    among rows equal in all. Only ids are shuffled for that, and the rows that share one; equal rows are counted by partition
+    first, so many of them are no one task's work."""
     ids = docs.select(F.col(doc_id).alias("id"))
     shared = materialise(ids.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 or id is null").select("id"), "shared_ids")
     own = docs.withColumn(name, unit_hash(F.lit(str(seed)), F.col(doc_id).cast("string")))
@@ -45,7 +47,10 @@ def with_draw(docs: DataFrame, name: str, seed: int, doc_id: str = "doc_id", tex
     # each id as text with a mark, so that null is a value like others
     keyed = docs.withColumn(key, F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))
     several = keyed.join(shared.select(F.coalesce(F.col("id").cast("string"), F.lit("null")).alias(key)), key, "left_semi")
-    several = materialise(several.withColumns({h: F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")), part: F.spark_partition_id()}), "repeated")
+    marked = lambda c: F.md5(F.coalesce(F.concat(F.lit("t"), F.col(c).cast("string")), F.lit("n")).cast("binary"))
+    rest = [c for c in docs.columns if c not in (doc_id, text, "source")]
+    parts = [marked(c) for c in (text, "source") if c in docs.columns] + ([F.md5(F.to_json(F.struct(*rest)).cast("binary"))] if rest else [])
+    several = materialise(several.withColumns({h: F.concat_ws(":", *parts), part: F.spark_partition_id()}), "repeated")
     sizes = several.groupBy(key, h, part).agg(F.count("*").alias("n"))
     offset = F.coalesce(F.sum("n").over(Window.partitionBy(key, h).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     number = several.withColumn(k, F.row_number().over(Window.partitionBy(key, h, part).orderBy(key)))

@@ -134,7 +134,7 @@ OP9_SQL = r"""
 with d as (
   select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
     case when doc_id is not null and count(*) over (partition by doc_id) = 1 then doc_id::varchar
-      else concat(coalesce(doc_id::varchar, 'null'), ':', md5(coalesce(text, '')), ':', row_number() over (partition by doc_id, md5(coalesce(text, '')))) end as draw
+      else concat(coalesce(doc_id::varchar, 'null'), ':', md5(coalesce('t' || text, 'n')), ':', md5(coalesce('t' || source, 'n')), ':', row_number() over (partition by doc_id, text, source)) end as draw
   from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as weight, 3 * source_size as cap from s),

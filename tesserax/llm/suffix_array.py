@@ -46,7 +46,7 @@ class Substrings:
         for at in range(0, len(text), _CHUNK):
             end = min(len(text), at + _CHUNK)
             part = _RANDOM[text[at:end]] * _powers(_LOW, np.arange(at, end))
-            part[0] += self.total[at]
+            part[:1] += self.total[at : at + 1]  # arrays wrap without a warning
             np.cumsum(part, out=self.total[at + 1 : end + 1])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -687,6 +687,17 @@ def test_mix_of_null_and_repeated_ids(spark):
     assert one == two
 
 
+def test_mix_of_rows_equal_but_for_source_or_more(spark):
+    from tesserax.llm import mixing as X
+
+    rows = [(k % 40, "a b c d", "xyz"[k % 3], k % 7) for k in range(400)] + [(None, None if k % 2 else "", None, k % 5) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    every = [sorted(map(tuple, X.mix(df.repartition(n)).select("doc_id", "text", "source", "n", "copies").collect()), key=str) for n in (3, 7, 5)]
+    assert every[0] == every[1] == every[2] and len({x[-1] for x in every[0]}) > 1
+    one, two = (sorted(map(tuple, X.mixed_copies(df.repartition(n, "n")).collect()), key=str) for n in (2, 6))
+    assert one == two
+
+
 # 10
 
 
