@@ -245,3 +245,81 @@ def split_collection(wkt) -> Column:
 def ring_wkt(xs, ys) -> Column:
     points = F.transform(F.arrays_zip(_c(xs).alias("x"), _c(ys).alias("y")), lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string")))
     return F.concat(F.lit("("), F.array_join(points, ","), F.lit(")"))
+
+
+#: WGS 84: semi-major axis in metres and flattening.
+AXIS, FLAT = 6378137.0, 1 / 298.257223563
+#: Steps until the longitude on the sphere settles (six do, but near antipodes), and halvings of the azimuth where it does not.
+SETTLE, HALVE = 30, 60
+
+
+def _arc(sin_u1, cos_u1, sin_u2, cos_u2, lam) -> dict[str, Column]:
+    """Parts of the geodesic between reduced latitudes whose longitudes on the sphere differ by lam."""
+    p, q = cos_u2 * F.sin(lam), cos_u1 * sin_u2 - sin_u1 * cos_u2 * F.cos(lam)
+    sin_s, cos_s = F.sqrt(p * p + q * q), sin_u1 * sin_u2 + cos_u1 * cos_u2 * F.cos(lam)
+    sin_a = F.when(sin_s == 0, 0.0).otherwise(cos_u1 * cos_u2 * F.sin(lam) / F.when(sin_s != 0, sin_s))
+    cos_a2 = 1 - sin_a * sin_a
+    mid = F.when(cos_a2 == 0, 0.0).otherwise(cos_s - 2 * sin_u1 * sin_u2 / F.when(cos_a2 != 0, cos_a2))
+    return {"s": F.atan2(sin_s, cos_s), "sin_s": sin_s, "cos_s": cos_s, "sin_a": sin_a, "cos_a2": cos_a2, "mid": mid}
+
+
+def _lag(g) -> Column:
+    """By how much the longitude on the sphere is ahead of that on the spheroid, from the parts of a geodesic."""
+    c = FLAT / 16 * g["cos_a2"] * (4 + FLAT * (4 - 3 * g["cos_a2"]))
+    return (1 - c) * FLAT * g["sin_a"] * (g["s"] + c * g["sin_s"] * (g["mid"] + c * g["cos_s"] * (-1 + 2 * g["mid"] * g["mid"])))
+
+
+def _length(g) -> Column:
+    """Metres along a geodesic of these parts."""
+    b = AXIS * (1 - FLAT)
+    u2 = g["cos_a2"] * (AXIS * AXIS - b * b) / (b * b)
+    k1 = (F.sqrt(1 + u2) - 1) / (F.sqrt(1 + u2) + 1)
+    big, small = (1 + k1 * k1 / 4) / (1 - k1), k1 * (1 - 3 * k1 * k1 / 8)
+    m = g["mid"]
+    ds = small * g["sin_s"] * (m + small / 4 * (g["cos_s"] * (-1 + 2 * m * m) - small / 6 * m * (-3 + 4 * g["sin_s"] * g["sin_s"]) * (-3 + 4 * m * m)))
+    return b * big * (g["s"] - ds)
+
+
+def _turned(u1, u2, azimuth) -> dict[str, Column]:
+    """Parts of the geodesic from reduced latitude u1 (south, the farther from the equator) at an azimuth to u2, and `lam`."""
+    sin_a = F.sin(azimuth) * F.cos(u1)
+    c1 = F.cos(azimuth) * F.cos(u1)
+    c2 = F.sqrt(F.greatest(F.lit(0.0), c1 * c1 + (F.cos(u2) * F.cos(u2) - F.cos(u1) * F.cos(u1))))
+    s1, s2 = F.atan2(F.sin(u1), c1), F.atan2(F.sin(u2), c2)
+    lam = F.atan2(sin_a * F.sin(u2), c2) - F.atan2(sin_a * F.sin(u1), c1)
+    return {"s": s2 - s1, "sin_s": F.sin(s2 - s1), "cos_s": F.cos(s2 - s1), "sin_a": sin_a, "cos_a2": 1 - sin_a * sin_a, "mid": F.cos(s1 + s2), "lam": lam}
+
+
+def spheroid_distance(lon1, lat1, lon2, lat2) -> Column:
+    """Metres along the shortest line on the WGS 84 spheroid, to a millimetre.
+
+    The longitude on the auxiliary sphere is iterated. Near antipodes that does not settle; there the azimuth at the latitude farther from
+    the equator is halved upon, as the longitude it leads to falls steadily from half a turn.
+    """
+    lon1, lat1, lon2, lat2 = map(_c, (lon1, lat1, lon2, lat2))
+    turn = F.abs(F.radians(lon2 - lon1)) % (2 * math.pi)
+    length = F.when(turn > math.pi, 2 * math.pi - turn).otherwise(turn)
+    reduced = lambda lat: F.atan((1 - FLAT) * F.tan(F.radians(lat)))
+    far, near = F.when(F.abs(lat1) >= F.abs(lat2), lat1).otherwise(lat2), F.when(F.abs(lat1) >= F.abs(lat2), lat2).otherwise(lat1)
+    side = F.when(far > 0, -1.0).otherwise(1.0)
+    given = F.struct(reduced(far * side).alias("u1"), reduced(near * side).alias("u2"), length.alias("l"))
+
+    def solved(g):
+        u1, u2, l = g["u1"], g["u2"], g["l"]
+        parts = lambda lam: _arc(F.sin(u1), F.cos(u1), F.sin(u2), F.cos(u2), lam)
+        step = lambda acc, _: F.struct((l + _lag(parts(acc["lam"]))).alias("lam"), acc["lam"].alias("last"))
+        settled = F.aggregate(F.sequence(F.lit(1), F.lit(SETTLE)), F.struct(l.alias("lam"), F.lit(9.0).alias("last")), step)
+
+        def halved(acc, _):
+            m = (acc["lo"] + acc["hi"]) / 2
+            at = _turned(u1, u2, m)
+            # an azimuth that leads farther round than asked for is too far to the south
+            beyond = at["lam"] - _lag(at) > l
+            return F.struct(F.when(beyond, acc["lo"]).otherwise(m).alias("lo"), F.when(beyond, m).otherwise(acc["hi"]).alias("hi"))
+
+        slow = F.aggregate(F.sequence(F.lit(1), F.lit(HALVE)), F.struct(F.lit(0.0).alias("lo"), F.lit(math.pi).alias("hi")), halved, lambda acc: _length(_turned(u1, u2, (acc["lo"] + acc["hi"]) / 2)))
+        good = lambda x: (F.abs(x["lam"] - x["last"]) < 1e-12) & (F.abs(x["lam"]) <= math.pi)
+        one = F.transform(F.array(settled), lambda x: F.when(good(x), _length(parts(x["lam"]))).otherwise(slow))
+        return F.get(one, F.lit(0))
+
+    return F.when((lon1 == lon2) & (lat1 == lat2), 0.0).otherwise(F.get(F.transform(F.array(given), solved), F.lit(0)))

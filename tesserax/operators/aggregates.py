@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,10 +188,44 @@ def compare_areas(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.withColumn("status", F.when(F.col("n2") == 0, "only 1").when(F.col("n1") == 0, "only 2").otherwise("both"))
 
 
-def layer_distance(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row (distance): mean absolute difference of the min-max scaled values on common cells."""
-    own = lambda d, n: d.filter("value is not null").crossJoin(F.broadcast(d.agg(F.min("value").alias("lo"), F.max("value").alias("hi")))).select("row", "col", geo.min_max_scale("value", "lo", "hi").alias(n))
-    return own(a, "a").join(own(b, "b"), ["row", "col"]).agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias("distance"))
+@dataclass(frozen=True)
+class Lattice:
+    """Where a grid's cells are: its west and north edges, the size of a cell, rows and columns."""
+
+    west: float
+    north: float
+    res: float
+    rows: int
+    cols: int
+
+    def common(self, other: Lattice) -> tuple[float, float, float, float]:
+        """(west, south, east, north) of the extent that two lattices share."""
+        south, east = (lambda g: g.north - g.rows * g.res), (lambda g: g.west + g.cols * g.res)
+        return max(self.west, other.west), max(south(self), south(other)), min(east(self), east(other)), min(self.north, other.north)
+
+
+def common_cells(a: DataFrame, b: DataFrame, la: Lattice, lb: Lattice) -> DataFrame:
+    """(row, col, a, b): values of two grids at the cells of the finer one (the first, of equals) whose centres are in the common extent.
+
+    A cell of the finer grid has the value of the coarser cell that its centre is in, on an edge the one to the south and east. Each
+    finer cell names its coarser one by arithmetic, so grids of any sizes and offsets meet in one equi-join of a row a cell.
+    """
+    fine, coarse, lf, lc = (a, b, la, lb) if la.res <= lb.res else (b, a, lb, la)
+    names = ("a", "b") if la.res <= lb.res else ("b", "a")
+    west, south, east, north = la.common(lb)
+    lon, lat = F.lit(lf.west) + (F.col("row_col.col") + 0.5) * lf.res, F.lit(lf.north) - (F.col("row_col.row") + 0.5) * lf.res
+    own = fine.select(F.struct("row", "col").alias("row_col"), F.col("value").cast("double").alias(names[0])).filter((lon >= west) & (lon <= east) & (lat >= south) & (lat <= north))
+    cell = lambda x, n: F.least(F.floor(x), F.lit(n - 1)).cast("int")  # noqa: E731  a centre on the last edge is in the last cell
+    own = own.withColumns({"row": cell((F.lit(lc.north) - lat) / lc.res, lc.rows), "col": cell((lon - F.lit(lc.west)) / lc.res, lc.cols)})
+    other = coarse.select("row", "col", F.col("value").cast("double").alias(names[1]))
+    return own.join(other, ["row", "col"]).select("row_col.row", "row_col.col", "a", "b")
+
+
+def layer_distance(a: DataFrame, b: DataFrame, la: Lattice, lb: Lattice) -> DataFrame:
+    """One row (distance): mean absolute difference of two grids' values, each min-max scaled by its own range, at the cells of the
+    finer grid in the common extent; null without one."""
+    own = lambda d: d.filter("value is not null").crossJoin(F.broadcast(d.agg(F.min("value").alias("lo"), F.max("value").alias("hi")))).select("row", "col", geo.min_max_scale("value", "lo", "hi").alias("value"))  # noqa: E731  one row
+    return common_cells(own(a), own(b), la, lb).agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias("distance"))
 
 
 def class_statistics(cells: DataFrame, res: float) -> DataFrame:

@@ -163,14 +163,6 @@ def domains_meet(a, b):
     return F.coalesce(F.arrays_overlap(own(a), own(b)), F.lit(True))
 
 
-def ring_valid(xs, ys):
-    """Closed, four vertices or more, not all on a line."""
-    n = F.size(xs)
-    closed = (F.get(xs, F.lit(0)) == F.get(xs, n - 1)) & (F.get(ys, F.lit(0)) == F.get(ys, n - 1))
-    turn = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.lit(0.0), lambda s, i: s + F.get(xs, i - 1) * F.get(ys, i) - F.get(xs, i) * F.get(ys, i - 1))
-    return F.coalesce((n >= 4) & closed & (turn != 0), F.lit(False))
-
-
 # -- look-ups and joins -------------------------------------------------------------------------------------------------
 
 

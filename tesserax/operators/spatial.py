@@ -188,48 +188,6 @@ def boxes_overlap(a: DataFrame, b: DataFrame, size: float = 8.0) -> DataFrame:
     return out.filter((F.floor(F.col("minx") / size) == F.col("bx")) & (F.floor(F.col("miny") / size) == F.col("by"))).drop("bx", "by")
 
 
-def objects_intersecting(shapes_a: DataFrame, rings_b: DataFrame) -> DataFrame:
-    """(pid1, pid2): polygons (as rings) of two sets that share a point: an edge crossing, or one inside the other."""
-    a, b = shapes(shapes_a), shapes(rings_b)
-    pairs = boxes_overlap(a, b).select("pid1", "pid2")
-    ea = ring_edges(shapes_a).select(F.col("pid").alias("pid1"), "x1", "y1", "x2", "y2")
-    eb = ring_edges(rings_b).select(F.col("pid").alias("pid2"), *(F.col(c).alias(f"b{c}") for c in ("x1", "y1", "x2", "y2")))
-    side = lambda ax, ay, bx, by, px, py: (F.col(bx) - F.col(ax)) * (F.col(py) - F.col(ay)) - (F.col(by) - F.col(ay)) * (F.col(px) - F.col(ax))
-    cross = (side("x1", "y1", "x2", "y2", "bx1", "by1") * side("x1", "y1", "x2", "y2", "bx2", "by2") <= 0) & (side("bx1", "by1", "bx2", "by2", "x1", "y1") * side("bx1", "by1", "bx2", "by2", "x2", "y2") <= 0)
-    crossing = pairs.join(ea, "pid1").join(eb, "pid2").filter(cross).select("pid1", "pid2")
-    corner = lambda s, n: s.select(F.col("pid").alias(n), F.col("shape").alias(f"s{n}"), F.col("shape")[0]["xs"][0].alias(f"x{n}"), F.col("shape")[0]["ys"][0].alias(f"y{n}"))
-    inside = pairs.join(corner(a, "pid1"), "pid1").join(corner(b, "pid2"), "pid2")
-    inside = inside.filter(in_shape("xpid1", "ypid1", "spid2") | in_shape("xpid2", "ypid2", "spid1")).select("pid1", "pid2")
-    return crossing.unionByName(inside).distinct()
-
-
-def crossing_pairs(pairs: DataFrame, rings_a: DataFrame, rings_b: DataFrame) -> DataFrame:
-    """(pid1, pid2) of pairs of which an edge of one properly crosses an edge of the other."""
-    ea = ring_edges(rings_a).select(F.col("pid").alias("pid1"), "x1", "y1", "x2", "y2")
-    eb = ring_edges(rings_b).select(F.col("pid").alias("pid2"), *(F.col(c).alias(f"b{c}") for c in ("x1", "y1", "x2", "y2")))
-    side = lambda ax, ay, bx, by, px, py: F.signum((F.col(bx) - F.col(ax)) * (F.col(py) - F.col(ay)) - (F.col(by) - F.col(ay)) * (F.col(px) - F.col(ax)))
-    proper = (side("x1", "y1", "x2", "y2", "bx1", "by1") * side("x1", "y1", "x2", "y2", "bx2", "by2") < 0) & (side("bx1", "by1", "bx2", "by2", "x1", "y1") * side("bx1", "by1", "bx2", "by2", "x2", "y2") < 0)
-    return pairs.join(ea, "pid1").join(eb, "pid2").filter(proper).select("pid1", "pid2").distinct()
-
-
-def objects_within(inner: DataFrame, outer: DataFrame, size: float = 8.0) -> DataFrame:
-    """(pid1, pid2): polygons (as rings) of the first set that lie in one of the second, its edges included.
-
-    A polygon lies in another if its vertices do, no edge of the one properly crosses one of the other, and no vertex of the
-    other, of a hole or a bay, is inside it and off its edges.
-    """
-    a, b = shapes(inner), shapes(outer)
-    box = lambda d, p: d.select(F.col("pid").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("minx", "miny", "maxx", "maxy")))
-    pairs = boxes_overlap(a, b, size).select("pid1", "pid2").join(box(a, "pid1"), "pid1").join(box(b, "pid2"), "pid2")
-    pairs = pairs.filter("pid1_minx >= pid2_minx and pid1_miny >= pid2_miny and pid1_maxx <= pid2_maxx and pid1_maxy <= pid2_maxy").select("pid1", "pid2")
-    vertex = lambda d, p: ring_edges(d).select(F.col("pid").alias(p), F.col("x1").alias("x"), F.col("y1").alias("y"))
-    shape = lambda d, p: d.select(F.col("pid").alias(p), "shape")
-    out = pairs.join(vertex(inner, "pid1"), "pid1").join(shape(b, "pid2"), "pid2").groupBy("pid1", "pid2").agg(F.bool_and(in_shape("x", "y", "shape")).alias("all")).filter("all").drop("all")
-    strictly = in_shape("x", "y", "shape") & (F.array_min(F.transform("shape", lambda r: F.abs(geo.ring_distance(F.col("x"), F.col("y"), r["xs"], r["ys"], signed=True)))) > 0)
-    pierced = out.join(vertex(outer, "pid2"), "pid2").join(shape(a, "pid1"), "pid1").filter(strictly).select("pid1", "pid2")
-    return out.join(crossing_pairs(out, inner, outer).unionByName(pierced).distinct(), ["pid1", "pid2"], "left_anti")
-
-
 def in_all(lists: list[DataFrame], key: str = "pid") -> DataFrame:
     """Keys that stand in every one of several results."""
     out = lists[0].select(key).distinct().withColumn("k", F.lit(0))

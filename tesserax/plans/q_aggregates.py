@@ -297,10 +297,24 @@ def _(v):
     return A.species_partition(own.filter("pid = 3"), own.filter("pid = 12"))
 
 
-@query("agg30_layer_distance", """with a as (select row, col, (value - min(value) over ()) / (max(value) over () - min(value) over ()) as a from {cells_el1}), b as (select row, col, (value - min(value) over ()) / (max(value) over () - min(value) over ()) as b from {cells_el2})
-    select round(avg(abs(a - b)), 6) as distance from a join b using (row, col)""")
+SCALED = "(select *, (value - min(value) over ()) / (max(value) over () - min(value) over ())::double as v from {{{0}}})"
+#: The views' grids; the coarse one has cells of 0.625 degrees and another extent, with edges inside the others' cells.
+FINE, COARSE = A.Lattice(112.0, -10.0, 0.25, 140, 160), A.Lattice(115.125, -12.75, 0.625, 40, 50)
+IN_COARSE = "b.row = floor((-12.75 - a.lat) / 0.625::double) and b.col = floor((a.lon - 115.125) / 0.625::double) and a.lon between 115.125 and 146.375 and a.lat between -37.75 and -12.75"
+
+
+@query("agg30_layer_distance", f"select round(avg(abs(a.v - b.v)), 6) as distance from {SCALED.format('cells_el1')} a join {SCALED.format('cells_el2')} b using (row, col)")
+def _(v):
+    return A.layer_distance(v.cells_el1, v.cells_el2, FINE, FINE).select(*r6("distance"))
+
+
+@query("agg30_unequal_lattices", f"""with f as (select avg(abs(a.v - b.v)) as d, count(*) as n from {SCALED.format('cells_el1')} a join {SCALED.format('cells_coarse')} b on {IN_COARSE})
+    select 'fine first' as way, round(d, 6) as distance, n as cells from f union all select 'coarse first', round(d, 6), n from f""")
 def _(v):
-    return A.layer_distance(v.cells_el1, v.cells_el2).select(*r6("distance"))
+    one = A.layer_distance(v.cells_el1, v.cells_coarse, FINE, COARSE).select(F.lit("fine first").alias("way"), *r6("distance"))
+    two = A.layer_distance(v.cells_coarse, v.cells_el1, COARSE, FINE).select(F.lit("coarse first").alias("way"), *r6("distance"))
+    n = A.common_cells(v.cells_el1, v.cells_coarse, FINE, COARSE).agg(F.count("*").alias("cells"))
+    return one.unionByName(two).crossJoin(F.broadcast(n))
 
 
 @query("agg32_class_statistics", f"select value, count(*) as cells, round(sum({sq_cell('0.25', 'lat')}), 3) as km2, min(lon) - 0.125 as minx, min(lat) - 0.125 as miny, max(lon) + 0.125 as maxx, max(lat) + 0.125 as maxy from {{cells_cl3}} group by 1")

@@ -8,8 +8,9 @@ from tesserax.functions import geo
 from tesserax.operators import aggregates as A
 from tesserax.operators import catalogue as C
 from tesserax.operators import spatial as S
+from tesserax.operators import topology as T
 from tesserax.operators.overlay import merged, planar_area
-from tesserax.plans.q_aggregates import TAXON, sq_cell, sq_excess
+from tesserax.plans.q_aggregates import COARSE, FINE, IN_COARSE, SCALED, TAXON, sq_cell, sq_excess
 from tesserax.plans.views import Registry, boxes
 from tesserax.sources.records import in_order
 from tesserax.sources.scratch import materialise
@@ -91,11 +92,32 @@ def _(v):
     return v.layers.filter(C.domains_meet(F.col("domain"), F.lit("Marine , Other"))).select("id")
 
 
-@query("pred19_geometry_validity", "select pid, pid % 2 = 0 as closed from {corners}")
+#: Four-cornered polygons: a triangle's corners and a fourth; with every fifth left open. Opposite sides that meet make them invalid.
+FOUR = "(select pid, ax as px, ay as py, bx as qx, b_y as qy, cx as rx, cy as ry, ax + pid % 9 - cast(4 as double) as sx, ay + pid % 7 - cast(2.5 as double) as sy from {corners})"
+SIDES = "(({1}x - {0}x) * ({2}y - {0}y) - ({1}y - {0}y) * ({2}x - {0}x))"
+APART = lambda a, b, c, d: f"sign({SIDES.format(a, b, c)}) * sign({SIDES.format(a, b, d)}) <= 0 and sign({SIDES.format(c, d, a)}) * sign({SIDES.format(c, d, b)}) <= 0"
+
+
+@query("pred19_geometry_validity", f"""select pid, not (pid % 5 = 0 or ({APART("p", "q", "r", "s")}) or ({APART("q", "r", "s", "p")})) as valid from {FOUR} q""")
+def _(v):
+    q = v._spark.sql(f"select * from {FOUR}", corners=v.corners)
+    ring = lambda c: F.when(F.col("pid") % 5 == 0, F.array(*(F.col(x + c) for x in "pqrs"))).otherwise(F.array(*(F.col(x + c) for x in "pqrsp")))
+    rings = q.select("pid", F.lit(0).alias("part"), F.lit(0).alias("ring"), ring("x").alias("xs"), ring("y").alias("ys"))
+    return q.select("pid").join(T.invalid_polygons(rings).select("pid", F.lit(False).alias("valid")).distinct(), "pid", "left").select("pid", F.coalesce("valid", F.lit(True)).alias("valid"))
+
+
+@query("pred19_holes", "select pid, case pid % 5 when 0 then 'loose' when 1 then 'nested' when 2 then 'cross' end as fault from {areas}")
 def _(v):
-    rings = S.triangles_to_rings(v.corners).withColumn("keep", F.when(F.col("pid") % 2 == 0, 4).otherwise(3))
-    cut = rings.select("pid", F.slice("xs", F.lit(1), F.col("keep")).alias("xs"), F.slice("ys", F.lit(1), F.col("keep")).alias("ys"))
-    return cut.select("pid", C.ring_valid(F.col("xs"), F.col("ys")).alias("closed"))
+    # a hole that is outside, in another hole, over the outer ring's edge, touching the outer ring in a point, or inside
+    box = lambda ring, x, y, w, h: F.struct(F.lit(ring).alias("ring"), *(F.expr(e).alias(c) for c, e in (("minx", f"minx + {x}"), ("miny", f"miny + {y}"), ("maxx", f"minx + {x} + {w}"), ("maxy", f"miny + {y} + {h}"))))
+    kind = F.col("pid") % 5
+    second = F.when(kind == 0, box(1, 9.0, 1.0, 1.0, 1.0)).when(kind == 1, box(1, 2.5, 2.5, 1.0, 1.0)).when(kind == 2, box(1, 7.5, 3.0, 1.0, 1.0)).when(kind == 3, box(1, 5.0, 5.0, 1.0, 1.0)).otherwise(box(1, 4.0, 5.0, 1.0, 1.0))
+    holes = v.areas.select("pid", F.explode(F.array(box(0, 0.0, 0.0, 8.0, 7.0), second, box(2, 2.0, 2.0, 2.0, 2.0))).alias("b")).select("pid", "b.*")
+    rings = S.boxes_to_rings(holes)
+    # the hole of the fourth kind is a triangle with one corner on the outer ring
+    tip = (F.col("ring") == 1) & (F.col("pid") % 5 == 3)
+    rings = rings.withColumns({"xs": F.when(tip, F.transform("xs", lambda x, i: x)).otherwise(F.col("xs")), "ys": F.when(tip, F.transform("ys", lambda y, i: F.when((i == 1), y + 1.0).otherwise(y))).otherwise(F.col("ys"))})
+    return v.areas.select("pid").join(T.invalid_polygons(rings), "pid", "left").select("pid", "fault")
 
 
 @query("pred19_licence_level", "select id from {layers} where id % 5 in (1, 3)")
@@ -179,18 +201,16 @@ def _(v):
     return C.match_names(names, v.areas)
 
 
-@query("agg31_layer_distance_matrix", """with l as (select 'el1' as n, row, col, (value - min(value) over ()) / (max(value) over () - min(value) over ()) as v from {cells_el1} union all select 'el2', row, col, (value - min(value) over ()) / (max(value) over () - min(value) over ()) from {cells_el2} union all select 'cl3', row, col, (value - min(value) over ()) / (max(value) over () - min(value) over ())::double from {cells_cl3}),
-    d as (select a.n as n1, b.n as n2, avg(abs(a.v - b.v)) as d from l a join l b on a.row = b.row and a.col = b.col and a.n > b.n group by 1, 2)
-    select n1 as name, round(max(case when n2 = 'cl3' then d end), 6) as cl3, round(max(case when n2 = 'el1' then d end), 6) as el1 from d group by 1""")
+@query("agg31_layer_distance_matrix", f"""with l as (select 'el1' as n, row, col, v from {SCALED.format('cells_el1')} union all select 'el2', row, col, v from {SCALED.format('cells_el2')} union all select 'cl3', row, col, v from {SCALED.format('cells_cl3')}),
+    f as (select l.*, 112 + (2 * col + 1) / 8::double as lon, -10 - (2 * row + 1) / 8::double as lat from l),
+    d as (select a.n as n1, b.n as n2, avg(abs(a.v - b.v)) as d from l a join l b on a.row = b.row and a.col = b.col and a.n > b.n group by 1, 2
+      union all select greatest(a.n, 'coarse'), least(a.n, 'coarse'), avg(abs(a.v - b.v)) from f a join {SCALED.format('cells_coarse')} b on {IN_COARSE} group by a.n)
+    select n1 as name, round(max(case when n2 = 'cl3' then d end), 6) as cl3, round(max(case when n2 = 'coarse' then d end), 6) as coarse, round(max(case when n2 = 'el1' then d end), 6) as el1 from d group by 1""")
 def _(v):
-    layers = {"el1": v.cells_el1, "el2": v.cells_el2, "cl3": v.cells_cl3}
-    out = None
-    for a in layers:
-        for b in layers:
-            if a > b:
-                one = A.layer_distance(layers[a], layers[b]).select(F.lit(a).alias("name"), F.lit(b).alias("n2"), "distance")
-                out = one if out is None else out.unionByName(one)
-    return out.groupBy("name").pivot("n2", ["cl3", "el1"]).agg(F.round(F.max("distance"), 6))
+    layers = {"el1": (v.cells_el1, FINE), "el2": (v.cells_el2, FINE), "cl3": (v.cells_cl3, FINE), "coarse": (v.cells_coarse, COARSE)}
+    pairs = [(a, b) for a in layers for b in layers if a > b]
+    each = [A.layer_distance(layers[a][0], layers[b][0], layers[a][1], layers[b][1]).select(F.lit(a).alias("name"), F.lit(b).alias("n2"), "distance") for a, b in pairs]
+    return reduce(DataFrame.unionByName, each).groupBy("name").pivot("n2", ["cl3", "coarse", "el1"]).agg(F.round(F.max("distance"), 6))
 
 
 @query("agg33_layer_usage", """with u as (select cast(json_extract_string(data, '$.k') as bigint) as id, category1 as kind from {log} where created >= timestamp '2024-01-08'
@@ -295,7 +315,7 @@ ODD_CORNER = "(sum(case when (e.x1 > a.minx) <> (e.x2 > a.minx) and a.miny < e.y
 def _(v):
     area = v.areas.filter("pid = 12")
     found = S.every_polygon(v.occurrences.withColumn("taxon", F.concat_ws("_", "species", "year", F.col("rec_order") % 20)), S.boxes_to_rings(v.areas))
-    met = S.objects_intersecting(S.triangles_to_rings(v.corners), S.boxes_to_rings(area)).select(F.col("pid1").alias("spcode"))
+    met = T.objects_intersecting(S.triangles_to_rings(v.corners), S.boxes_to_rings(area)).select(F.col("pid1").alias("spcode"))
     articles = S.every_polygon(v.article_points.filter("not missing"), S.boxes_to_rings(area))
     return C.area_report(materialise(found, "records"), 12, v.distributions.join(met, "spcode", "left_semi"), articles, S.boxes_overlap(area, v.areas2))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tesserax.functions import geo
 from tesserax.operators import spatial as S
+from tesserax.operators import topology as T
 from tesserax.plans.views import Registry
 
 query = Registry()
@@ -132,7 +133,7 @@ def _(v):
 
 @query("join9_objects_intersecting", "select a.pid as pid1, b.pid as pid2 from {areas} a join {areas2} b on a.minx < b.maxx and b.minx < a.maxx and a.miny < b.maxy and b.miny < a.maxy")
 def _(v):
-    return S.objects_intersecting(S.boxes_to_rings(v.areas), S.boxes_to_rings(v.areas2))
+    return T.objects_intersecting(S.boxes_to_rings(v.areas), S.boxes_to_rings(v.areas2))
 
 
 PROPER = "(sign((t.x2 - t.x1) * (o.y1 - t.y1) - (t.y2 - t.y1) * (o.x1 - t.x1)) * sign((t.x2 - t.x1) * (o.y2 - t.y1) - (t.y2 - t.y1) * (o.x2 - t.x1)) < 0 and sign((o.x2 - o.x1) * (t.y1 - o.y1) - (o.y2 - o.y1) * (t.x1 - o.x1)) * sign((o.x2 - o.x1) * (t.y2 - o.y1) - (o.y2 - o.y1) * (t.x2 - o.x1)) < 0)"
@@ -149,7 +150,24 @@ def dart(v):
     whole as (select pid from inside group by 1 having bool_and(v))
     select pid from whole where pid not in (select t.pid from {{tri_edges}} t, {{dart}} o where {PROPER})""")
 def _(v):
-    return S.objects_within(S.triangles_to_rings(v.corners), dart(v)).select(F.col("pid1").alias("pid"))
+    return T.objects_within_area(S.triangles_to_rings(v.corners), dart(v))
+
+
+IN_BOX = "(least(ax, bx, cx) >= m.minx and greatest(ax, bx, cx) <= m.maxx and least(ay, b_y, cy) >= m.miny and greatest(ay, b_y, cy) <= m.maxy)"
+
+
+@query("join10_objects_within_collection", f"select pid from {{corners}} where exists (select 1 from {{areas}} a join (values (0), (1), (2), (3)) as t(k) on true, lateral (select a.minx - 4 * (t.k % 2) as minx, a.maxx + 4 * (t.k % 2) as maxx, a.miny - 5 * (t.k // 2) as miny, a.maxy + 5 * (t.k // 2) as maxy) m where {IN_BOX}) order by pid limit 40")
+def _(v):
+    # a collection of overlapping members: each area, and it widened to the sides, upwards and both
+    wide = v.areas.select("pid", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"), "minx", "miny", "maxx", "maxy")
+    x, y = 4 * (F.col("k") % 2), 5 * F.floor(F.col("k") / 2)
+    members = wide.select((F.col("pid") * 4 + F.col("k")).alias("pid"), (F.col("minx") - x).alias("minx"), (F.col("miny") - y).alias("miny"), (F.col("maxx") + x).alias("maxx"), (F.col("maxy") + y).alias("maxy"))
+    return T.objects_within_area(S.triangles_to_rings(v.corners), S.boxes_to_rings(members), limit=40)
+
+
+@query("join9_touching_objects", "select a.pid as pid1, b.pid as pid2 from {areas} a join {areas} b on a.minx <= b.maxx and b.minx <= a.maxx and a.miny <= b.maxy and b.miny <= a.maxy")
+def _(v):
+    return T.objects_intersecting(S.boxes_to_rings(v.areas), S.boxes_to_rings(v.areas))
 
 
 @query("join11_objects_within_object", f"""with s as (select pid, part, ring, ax + (x1 - ax) / 8 as x1, ay + (y1 - ay) / 8 as y1, ax + (x2 - ax) / 8 as x2, ay + (y2 - ay) / 8 as y2 from {{tri_edges}} join (select pid, ax, ay from {{corners}}) using (pid)),
@@ -158,7 +176,7 @@ def _(v):
 def _(v):
     near = lambda c, o: (F.col(o) + (F.col(c) - F.col(o)) / 8).alias(c)
     small = v.corners.select("pid", "ax", "ay", near("bx", "ax"), near("b_y", "ay"), near("cx", "ax"), near("cy", "ay"))
-    return S.objects_within(S.triangles_to_rings(small), S.triangles_to_rings(v.halves))
+    return T.objects_within(S.triangles_to_rings(small), S.triangles_to_rings(v.halves))
 
 
 @query("join12_objects_by_envelope", f"""select p.pid from (select pid, {CELL} from {{point_objects}}) p join {{cells_el1}} a on a.row = p.row and a.col = p.col

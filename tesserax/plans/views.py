@@ -40,6 +40,8 @@ VIEWS = {
     "cells_el2": """select row, col, 112 + (2 * col + 1) / cast(8 as double) as lon, -10 - (2 * row + 1) / cast(8 as double) as lat, value from (
         select cast((l_orderkey * 53 + l_linenumber) % 140 as int) as row, cast((l_partkey * 29) % 160 as int) as col,
           max((l_suppkey * 11 + l_linenumber * 5) % 256) / cast(4 as double) as value from {lineitem} group by 1, 2) t where (row + col) % 19 <> 0""",
+    "cells_coarse": """select cast(floor((cast(-12.75 as double) - lat) / cast(0.625 as double)) as int) as row, cast(floor((lon - cast(115.125 as double)) / cast(0.625 as double)) as int) as col,
+        max(value) as value from {cells_el2} where lon >= 115.125 and lon < 146.375 and lat <= -12.75 and lat > -37.75 group by 1, 2""",
     "cells_cl3": """select row, col, lon, lat, cast(floor(row / 20) * 8 + floor(col / 20) as int) as value,
         concat('class', cast(cast(floor(row / 20) * 8 + floor(col / 20) as int) as string)) as name from {cells_el1}""",
     "layers": """select p_partkey as id, p_name as displayname, concat(p_name, ' ', p_brand) as name, p_type as type, p_brand as keywords,

@@ -14,6 +14,7 @@ from tesserax.operators import legends as L
 from tesserax.operators import models as M
 from tesserax.operators import overlay as O
 from tesserax.operators import spatial as S
+from tesserax.operators import topology as T
 from tesserax.sources.headers import parse_header
 
 # latitude and longitude as the known result has them: out of range, but its areas follow from them
@@ -85,7 +86,7 @@ def test_within_a_concave_polygon(spark):
     rings = lambda d: spark.createDataFrame([(p, 0, k, [float(x) for x, _ in r], [float(y) for _, y in r]) for p, k, r in d], "pid int, part int, ring int, xs array<double>, ys array<double>")
     inner = rings([(1, 0, [(1, 1), (1, 2), (2, 2), (1, 1)]), (2, 0, [(1, 7), (9, 7), (5, 1), (1, 7)]), (3, 0, [(0, 0), (0, 10), (5, 3), (0, 0)]), (4, 0, [(6, 0.5), (9, 0.5), (7, 2.5), (6, 0.5)])])
     outer = rings([(10, 0, bay), (11, 0, [(0, 0), (0, 3), (10, 3), (10, 0), (0, 0)]), (11, 1, [(7, 0.8), (7.2, 0.8), (7.1, 1), (7, 0.8)])])
-    assert {tuple(x) for x in S.objects_within(inner, outer).collect()} == {(1, 10), (1, 11), (3, 10), (4, 10)}
+    assert {tuple(x) for x in T.objects_within(inner, outer).collect()} == {(1, 10), (1, 11), (3, 10), (4, 10)}
 
 
 def test_hulls_leave_out_what_has_no_place(spark):
