@@ -41,6 +41,8 @@ ROWS = 4
 AGREE = 0.7
 #: Links of so many equal least hashes are made before others.
 SURE = 0.85
+#: Where all of a tree agree in so many with its least text, its links are those to that text, which most of its bands' trees have.
+STAR = 0.92
 #: Entries of a top node that one task takes.
 HOT = 100_000
 #: Bits by which a node's children are longer.
@@ -152,6 +154,22 @@ class Forest:
                 p[:] = q
 
 
+def _star_or_tree(forest: Forest, ids: np.ndarray, close) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a forest: of a tree whose members are all close to that of the least id, to that one, otherwise as they were made."""
+    least, root = np.full(len(ids), np.iinfo(np.int64).max), forest.parent
+    np.minimum.at(least, root, ids)
+    head = np.zeros(len(ids), dtype=np.int64)
+    first = np.flatnonzero(ids == least[root])
+    head[root[first]] = first
+    member = np.flatnonzero(np.bincount(root, minlength=len(ids))[root] > 1)
+    member = member[member != head[root[member]]]
+    far = np.zeros(len(ids), dtype=bool)
+    far[root[member[~close(head[root[member]], member)]]] = True
+    star, made = member[~far[root[member]]], np.concatenate(forest.made, axis=1)
+    made = made[:, far[root[made[0]]]]
+    return np.concatenate([head[root[star]], made[0]]), np.concatenate([star, made[1]])
+
+
 def _follow(levels: list, k: int, a: np.ndarray, b: np.ndarray, radius: int, forest: Forest, agree) -> None:
     """Pairs (a, b), a <= b, of nodes on level k: prune, then their children's pairs; on the last level, link.
 
@@ -281,7 +299,9 @@ def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, band_r
                 order, forest = linked(node[x], rest, widths[c], radius, *agrees)
             ids = ids_[x][order]
             below = np.flatnonzero(forest.parent != np.arange(len(x)))
-            a, b = np.concatenate(forest.made, axis=1) if banded and len(below) else (forest.parent[below], below)
+            a, b = forest.parent[below], below
+            if banded and len(below):
+                a, b = _star_or_tree(forest, ids, lambda p, q, x=x[order]: equal_hashes(sketches[x[p]], sketches[x[q]]) >= STAR * 16 * sketches.shape[1])
             if len(below):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], names=["a", "b"])
 
