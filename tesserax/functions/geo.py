@@ -302,7 +302,9 @@ def spheroid_distance(lon1, lat1, lon2, lat2) -> Column:
     reduced = lambda lat: F.atan((1 - FLAT) * F.tan(F.radians(lat)))
     far, near = F.when(F.abs(lat1) >= F.abs(lat2), lat1).otherwise(lat2), F.when(F.abs(lat1) >= F.abs(lat2), lat2).otherwise(lat1)
     side = F.when(far > 0, -1.0).otherwise(1.0)
-    given = F.struct(reduced(far * side).alias("u1"), reduced(near * side).alias("u2"), length.alias("l"))
+    # on the equator a little to the south, so that an azimuth is defined
+    south = F.least(reduced(far * side), F.lit(-1e-15))
+    given = F.struct(south.alias("u1"), reduced(near * side).alias("u2"), length.alias("l"))
 
     def solved(g):
         u1, u2, l = g["u1"], g["u2"], g["l"]
