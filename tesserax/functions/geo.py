@@ -249,6 +249,8 @@ def ring_wkt(xs, ys) -> Column:
 
 #: WGS 84: semi-major axis in metres and flattening.
 AXIS, FLAT = 6378137.0, 1 / 298.257223563
+#: Fewest metres of a degree of latitude, at the equator.
+LEAST_DEGREE = 110_500.0
 #: Steps until the longitude on the sphere settles (six do, but near antipodes), and halvings of the azimuth where it does not.
 SETTLE, HALVE = 30, 60
 
@@ -324,4 +326,5 @@ def spheroid_distance(lon1, lat1, lon2, lat2) -> Column:
         one = F.transform(F.array(settled), lambda x: F.when(good(x), _length(parts(x["lam"]))).otherwise(slow))
         return F.get(one, F.lit(0))
 
-    return F.when((lon1 == lon2) & (lat1 == lat2), 0.0).otherwise(F.get(F.transform(F.array(given), solved), F.lit(0)))
+    known = lon1.isNotNull() & lat1.isNotNull() & lon2.isNotNull() & lat2.isNotNull()
+    return F.when((lon1 == lon2) & (lat1 == lat2), 0.0).when(known, F.get(F.transform(F.array(given), solved), F.lit(0)))

@@ -300,7 +300,7 @@ def _(v):
 SCALED = "(select *, (value - min(value) over ()) / (max(value) over () - min(value) over ())::double as v from {{{0}}})"
 #: The views' grids; the coarse one has cells of 0.625 degrees and another extent, with edges inside the others' cells.
 FINE, COARSE = A.Lattice(112.0, -10.0, 0.25, 140, 160), A.Lattice(115.125, -12.75, 0.625, 40, 50)
-IN_COARSE = "b.row = floor((-12.75 - a.lat) / 0.625::double) and b.col = floor((a.lon - 115.125) / 0.625::double) and a.lon between 115.125 and 146.375 and a.lat between -37.75 and -12.75"
+IN_COARSE = "b.row = least(floor((-12.75 - a.lat) / 0.625::double), 39) and b.col = least(floor((a.lon - 115.125) / 0.625::double), 49) and a.lon between 115.125 and 146.375 and a.lat between -37.75 and -12.75"
 
 
 @query("agg30_layer_distance", f"select round(avg(abs(a.v - b.v)), 6) as distance from {SCALED.format('cells_el1')} a join {SCALED.format('cells_el2')} b using (row, col)")

@@ -190,13 +190,31 @@ def _(v):
 HAV = "2 * 6378137 * asin(sqrt(pow(sin(radians(lat - ({y})) / 2), 2) + cos(radians(lat)) * cos(radians({y})) * pow(sin(radians(lon - ({x})) / 2), 2)))"
 
 
-@query("join13_objects_within_radius", f"select pid, round({HAV.format(x=133, y=-25)}, 3) as distance from {{point_objects}} where {HAV.format(x=133, y=-25)} <= 500000")
+def spheroid(x: float, y: float) -> str:
+    """SQL of (pid, lon, lat, distance) of point objects from a place along the spheroid: the longitude settled step by step, each a subquery."""
+    f, a = geo.FLAT, geo.AXIS
+    b = a * (1 - f)
+    u = lambda lat: f"atan({1 - f!r} * tan(radians({lat})))"
+    sql = f"select pid, lon, lat, {u(y)} as u1, {u('lat')} as u2, abs(radians(lon - ({x}))) as l, abs(radians(lon - ({x}))) as lam from {{point_objects}}"
+    for _ in range(9):
+        sql = f"select *, sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) as ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) as cs from ({sql})"
+        sql = f"select *, atan2(ss, cs) as s, case when ss = 0 then 0 else cos(u1) * cos(u2) * sin(lam) / ss end as sa from ({sql})"
+        sql = f"select *, 1 - sa * sa as ca, cs - 2 * sin(u1) * sin(u2) / (1 - sa * sa) as m, {f / 16!r} * (1 - sa * sa) * (4 + {f!r} * (4 - 3 * (1 - sa * sa))) as c from ({sql})"
+        sql = f"select pid, lon, lat, u1, u2, l, l + (1 - c) * {f!r} * sa * (s + c * ss * (m + c * cs * (2 * m * m - 1))) as lam, ss, cs, s, ca, m from ({sql})"
+        last, sql = sql, f"select pid, lon, lat, u1, u2, l, lam from ({sql})"
+    sql = f"select *, (sqrt(1 + ca * {(a * a - b * b) / (b * b)!r}) - 1) / (sqrt(1 + ca * {(a * a - b * b) / (b * b)!r}) + 1) as k from ({last})"
+    sql = f"select *, k * (1 - 3 * k * k / 8) as q from ({sql})"
+    ds = "q * ss * (m + q / 4 * (cs * (2 * m * m - 1) - q / 6 * m * (4 * ss * ss - 3) * (4 * m * m - 3)))"
+    return f"(select pid, lon, lat, {b!r} * (1 + k * k / 4) / (1 - k) * (s - {ds}) as distance from ({sql}))"
+
+
+@query("join13_objects_within_radius", f"select pid, round(distance, 3) as distance from {spheroid(133.0, -25.0)} where distance <= 500000")
 def _(v):
     return S.within_radius(v.point_objects, 133.0, -25.0, 500_000.0).select("pid", F.round("distance", 3).alias("distance"))
 
 
-@query("join14_nearest", f"""select pid, round({HAV.format(x=133.3, y=-25.1)}, 3) as distance, round((degrees(atan2(lon - 133.3, lat + 25.1)) + 360) % 360, 6) as azimuth
-    from {{point_objects}} order by {HAV.format(x=133.3, y=-25.1)}, pid limit 40""")
+@query("join14_nearest", f"""select pid, round(distance, 3) as distance, round((degrees(atan2(lon - 133.3, lat + 25.1)) + 360) % 360, 6) as azimuth
+    from {spheroid(133.3, -25.1)} order by distance, pid limit 40""")
 def _(v):
     return S.nearest(v.point_objects, 133.3, -25.1).select("pid", F.round("distance", 3).alias("distance"), F.round("azimuth", 6).alias("azimuth"))
 

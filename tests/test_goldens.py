@@ -275,3 +275,34 @@ def test_streaming_sampling(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.id, r.el1) for r in spark.table("sampled").collect()} == {(1, 7.0), (2, None), (3, None)}
+
+
+#: Published lines on the spheroid: Flinders Peak to Buninyong, Wellington to Salamanca, near antipodes, and quarters of the world.
+LINES = [
+    (144 + 25 / 60 + 29.5244 / 3600, -(37 + 57 / 60 + 3.7203 / 3600), 143 + 55 / 60 + 35.3839 / 3600, -(37 + 39 / 60 + 10.1561 / 3600), 54972.271),
+    (174.81, -41.32, -5.50, 40.96, 19959679.267), (0.0, 0.0, 179.5, 0.5, 19936288.579), (0.0, 0.0, 179.7, 0.5, 19944127.421), (0.0, 0.0, 1.0, 0.0, 111319.491),
+    (0.0, 0.0, 180.0, 0.0, 20003931.459), (0.0, 90.0, 0.0, -90.0, 20003931.459), (10.0, 30.0, -170.0, -30.0, 20003931.459), (7.0, 0.0, 7.0, 90.0, 10001965.729), (10.0, 20.0, 10.0, 20.0, 0.0),
+]
+
+
+def test_lines_on_the_spheroid(spark):
+    df = spark.createDataFrame(LINES, "a double, b double, c double, d double, metres double")
+    for r in df.select("metres", geo.spheroid_distance("a", "b", "c", "d").alias("there"), geo.spheroid_distance("c", "d", "a", "b").alias("back")).collect():
+        assert abs(r.there - r.metres) < 1e-3 and abs(r.back - r.metres) < 1e-3
+    assert spark.createDataFrame([(None, 1.0)], "x double, y double").select(geo.spheroid_distance("x", "y", "y", "y").alias("d")).first().d is None
+
+
+def test_finer_cells_name_coarser_ones(spark):
+    fine, coarse = A.Lattice(0.0, 4.0, 0.5, 8, 8), A.Lattice(1.0, 3.5, 1.25, 2, 2)
+    cells = lambda g: spark.createDataFrame([(r, c, float(10 * r + c)) for r in range(g.rows) for c in range(g.cols)], "row int, col int, value double")
+    got = {(r.row, r.col): (r.a, r.b) for r in A.common_cells(cells(fine), cells(coarse), fine, coarse).collect()}
+    want = {}
+    for r, c in itertools.product(range(8), range(8)):
+        x, y = (c + 0.5) * 0.5, 4 - (r + 0.5) * 0.5
+        if 1.0 <= x <= 3.5 and 1.0 <= y <= 3.5:
+            want[r, c] = float(10 * r + c), float(10 * min(1, int((3.5 - y) / 1.25)) + min(1, int((x - 1) / 1.25)))
+    assert got == want and len(want) == 25
+    back = {(r.row, r.col): (r.b, r.a) for r in A.common_cells(cells(coarse), cells(fine), coarse, fine).collect()}
+    assert back == want
+    apart = A.Lattice(50.0, 60.0, 0.25, 8, 8)
+    assert A.layer_distance(cells(fine), cells(apart), fine, apart).first().distance is None
