@@ -6,8 +6,9 @@ those. The trie and the automata run as one: a state is the set of (trie node, e
 reach, worked out when first met and remembered, so most words end after two or three letters. A near word that clean
 documents have often is a word of its own, no misspelling, and a term with many such neighbours is matched exactly.
 
-The window of words around a hit tells whether it stands in quotation (between a pair of marks, or after a word of reporting)
-or is addressed to someone. A logistic model over the counts of hits by kind and window gives the score. Labelled rows hold
+The window of words around a hit, which ends where its sentence does, tells whether it stands in quotation (between a pair of marks, of
+any distance within a line, or after a word that labelled documents without toxicity have before such hits) or is addressed to
+someone. A logistic model over the counts of hits by kind and window gives the score. Labelled rows hold
 few misspelled and quoted terms, so some training rows are taken again with one put in: a misspelled term makes the row
 toxic, a quoted one leaves it as it is.
 """
@@ -37,11 +38,15 @@ THRESHOLD = 0.3
 OWN_WORD, MAX_OWN = 3, 20_000
 #: One in so many training rows is taken again with a term put in; such rows together weigh MADE times as much as the toxic ones.
 MADE_ROWS, MADE = 4, 0.5
-# Marks and words of quotation, words of address.
-QUOTED = re.compile(r"""(?<![^\s(])["“„«]\s?[^"“”„«»\n]{1,200}?["“”»](?!\w)""")
-REPORTING = frozenset("said says wrote called quote quoted reported dit écrit appelé citation sagte schrieb nannte zitat dijo escribió llamó cita".split())
+#: Share of documents without toxicity among those with a word before a hit, and fewest of them, that make it a word of reporting.
+REPORTED, REPORTS = 0.8, 3
+# Pairs of marks, single ones not within words; words of address.
+QUOTED = re.compile(
+    r"""(?<![^\s(])["“„«][^"“”„«»\n]+["“”»](?!\w)|(?<![^\s(])['‘‚‹](?=\S)(?:[^'‘’‚‹›\n]|(?<=\w)['’](?=\w))+['’‘›](?!\w)"""
+)
 ADDRESS = frozenset("you your youre tu toi vous du dich dein ihr usted ustedes".split())
 TOKEN = re.compile(r"[^\W_]+")
+SENTENCE_END = re.compile(r"[.!?…;\n]")
 #: Steps of the automaton a worker remembers.
 REMEMBERED = 500_000
 
@@ -160,14 +165,12 @@ class Features:
 
     SIZE = 6
 
-    def __init__(self, terms: dict[str, float], own: frozenset[str] = frozenset(), exact: frozenset[str] = frozenset()):
-        self.terms, self.own, self.machine, self.known = terms, own, LexiconAutomaton(terms, exact), {}
+    def __init__(self, terms: dict[str, float], own: frozenset[str] = frozenset(), exact: frozenset[str] = frozenset(), reporting: frozenset[str] = frozenset()):
+        self.terms, self.own, self.machine, self.known, self.reporting = terms, own, LexiconAutomaton(terms, exact), {}, reporting
 
-    def __call__(self, text: str | None) -> list[float]:
-        out = [0.0] * self.SIZE
-        if not text or not self.terms:
-            return out
-        text, known = text.lower(), self.known
+    def hits(self, text: str) -> tuple[list[str], list[int]]:
+        """Tokens of a lower-case text, and which of them are hits."""
+        known = self.known
         tokens = TOKEN.findall(text)
         new = set(tokens).difference(known)
         if len(known) + len(new) > REMEMBERED:
@@ -175,16 +178,23 @@ class Features:
             new = set(tokens)
         for w in new:
             known[w] = None if w in self.own else self.machine.match(w)
-        hits = [k for k, w in enumerate(tokens) if known[w] is not None]
+        return tokens, [k for k, w in enumerate(tokens) if known[w] is not None]
+
+    def __call__(self, text: str | None) -> list[float]:
+        out = [0.0] * self.SIZE
+        if not text or not self.terms:
+            return out
+        text = text.lower()
+        tokens, hits = self.hits(text)
         if not hits:
             return out
-        marked = self._marked(text)
+        marked, starts = self._marked(text), sentences(text)
         for k in hits:
-            hit = known[tokens[k]]
-            quoted = marked[k] or any(x in REPORTING for x in tokens[max(0, k - WINDOW) : k])
+            hit, (first, end) = self.known[tokens[k]], window(starts, k)
+            quoted = marked[k] or not self.reporting.isdisjoint(tokens[first:k])
             out[2 * quoted + (hit[1] > 0)] += 1
             if not quoted:
-                out[4] += any(x in ADDRESS for x in tokens[max(0, k - WINDOW) : k + WINDOW + 1])
+                out[4] += not ADDRESS.isdisjoint(tokens[first:end])
                 out[5] = max(out[5], self.terms[hit[0]] / (1 + hit[1]))
         return [*np.log1p(out[:5]).tolist(), out[5]]
 
@@ -199,6 +209,43 @@ class Features:
         return out
 
 
+def sentences(text: str) -> np.ndarray:
+    """The number of each token's sentence."""
+    out, last, n = [], 0, 0
+    for m in TOKEN.finditer(text):
+        n += SENTENCE_END.search(text, last, m.start()) is not None
+        out.append(n)
+        last = m.end()
+    return np.array(out)
+
+
+def window(sentence: np.ndarray, k: int) -> tuple[int, int]:
+    """First and end (not included) of a token's window, within its sentence."""
+    low, high = max(0, k - WINDOW), min(len(sentence), k + WINDOW + 1)
+    own = np.flatnonzero(sentence[low:high] == sentence[k])
+    return low + int(own[0]), low + int(own[-1]) + 1
+
+
+def reporting_words(labelled: DataFrame, terms: dict[str, float], own: frozenset[str], exact: frozenset[str]) -> frozenset[str]:
+    """Words that stand before a hit, in its window, in documents without toxicity mostly."""
+
+    def before(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = Features(terms, own, exact)
+        for x in batches:
+            rows = []
+            for text, toxic in zip(x["text"], x["toxic"], strict=True):
+                text = (text or "").lower()
+                tokens, hits = of.hits(text)
+                starts = sentences(text) if hits else None
+                rows += [(w, int(toxic)) for w in {w for k in hits for w in tokens[window(starts, k)[0] : k]}]
+            yield pd.DataFrame(rows, columns=["word", "toxic"])
+
+    counts = labelled.select("text", "toxic").mapInPandas(before, "word string, toxic int").groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
+    clean = F.col("n") - F.col("toxic")
+    found = counts.filter((clean >= REPORTS) & (clean >= REPORTED * F.col("n"))).filter(~F.col("word").isin(*ADDRESS, *terms)).orderBy(clean.desc(), "word").limit(MAX_TERMS)
+    return frozenset(r["word"] for r in found.collect())
+
+
 def misspelled(term: str, seed: int) -> str:
     """The term with one letter changed, doubled or left out, not the first; terms too short to be matched so stay."""
     if len(term) < ONE_EDIT:
@@ -214,14 +261,14 @@ def made_rows(text: str, terms: list[str], seed: int) -> list[tuple[str, int | N
     at = seed // 11 % (len(words) + 1)
     put = lambda x: " ".join([*words[:at], x, *words[at:]])
     wrong = misspelled(term, seed)
-    return [(put(wrong), 1), (put(f'said "{term}"'), None), (put(f'"{wrong}"'), None)]
+    return [(put(wrong), 1), (put(f'"{term}"'), None), (put(f'"{wrong}"'), None)]
 
 
-def training_vectors(labelled: DataFrame, terms: dict[str, float], own: frozenset[str], exact: frozenset[str]) -> DataFrame:
+def training_vectors(labelled: DataFrame, terms: dict[str, float], own: frozenset[str], exact: frozenset[str], reporting: frozenset[str]) -> DataFrame:
     """(f, toxic, made): feature vectors of labelled rows, and of those made of one in MADE_ROWS."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, names = Features(terms, own, exact), sorted(set(terms) - exact)
+        of, names = Features(terms, own, exact, reporting), sorted(set(terms) - exact)
         for x in batches:
             rows = []
             for doc, text, toxic in zip(x["doc_id"], x["text"], x["toxic"], strict=True):
@@ -235,10 +282,10 @@ def training_vectors(labelled: DataFrame, terms: dict[str, float], own: frozense
 
 
 class Model:
-    """Lexicon, near words that are none of it, terms matched exactly, and weights, of which the last is the constant."""
+    """Lexicon, near words that are none of it, terms matched exactly, words of reporting, and weights, of which the last is the constant."""
 
-    def __init__(self, terms: dict[str, float], own: frozenset[str], exact: frozenset[str], weights: np.ndarray):
-        self.terms, self.own, self.exact, self.weights = terms, own, exact, weights
+    def __init__(self, terms: dict[str, float], own: frozenset[str], exact: frozenset[str], reporting: frozenset[str], weights: np.ndarray):
+        self.terms, self.own, self.exact, self.reporting, self.weights = terms, own, exact, reporting, weights
 
 
 def fit(labelled: DataFrame) -> Model:
@@ -249,13 +296,15 @@ def fit(labelled: DataFrame) -> Model:
     own, exact = near_words(counts, terms) if terms else (frozenset(), frozenset())
     h = F.xxhash64("doc_id", "text", F.lit(3))
     last = labelled.select(h.alias("h")).orderBy("h").limit(MAX_ROWS).agg(F.max("h")).first()[0]  # only hashes are sorted
-    rows = training_vectors(labelled.filter(h <= F.lit(last)), terms, own, exact).collect()
+    picked = labelled.filter(h <= F.lit(last))
+    reporting = reporting_words(picked, terms, own, exact) if terms else frozenset()
+    rows = training_vectors(picked, terms, own, exact, reporting).collect()
     rows.sort(key=lambda r: (r["made"], r["toxic"], r["f"]))  # so that sums don't depend on partitions
     x = np.array([[*r["f"], 1.0] for r in rows]).reshape(-1, Features.SIZE + 1)
     y, made = (np.array([r[c] for r in rows], dtype=float) for c in ("toxic", "made"))
     real = max(1.0, ((y == 1) & (made == 0)).sum())
     weight = np.where(made == 1, MADE * real / max(1.0, ((y == 1) & (made == 1)).sum()), 1.0)
-    return Model(terms, own, exact, evidence_only(x, y, weight))
+    return Model(terms, own, exact, reporting, evidence_only(x, y, weight))
 
 
 def evidence_only(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -287,11 +336,11 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     Null and empty texts have the score of a text without a hit. Texts of any length are read whole. Columns of these
     names are replaced, all others kept; repeated rows are scored each.
     """
-    terms, own, exact, w = model.terms, model.own, model.exact, np.array(model.weights, dtype=float)
+    known, w = (model.terms, model.own, model.exact, model.reporting), np.array(model.weights, dtype=float)
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        of = Features(terms, own, exact)
+        of = Features(*known)
         for texts in batches:
             yield pd.Series([1 / (1 + np.exp(-(np.array(of(t)) @ w[:-1] + w[-1]))) for t in texts], dtype=float)
 

@@ -274,10 +274,27 @@ def test_toxicity(spark, docs, none):
     assert T.fit(spark.createDataFrame([], "doc_id long, text string, toxic int")).terms == {}
     quote = T.Features({"idiot": 3.0})
     assert quote('it was "idiot" twice')[2] > 0 and quote("you idiot")[0] > 0 and quote("you idiot")[4] > 0
+    single, far = quote("it was 'idiot, don't' twice"), quote('"' + "so it goes " * 90 + 'idiot" was said')
+    assert single[2] > 0 == single[0] and far[2] > 0 == far[0] and quote("don't say that, you idiot, isn't it")[0] > 0
+    told = T.Features({"idiot": 3.0}, reporting=frozenset({"said"}))
+    assert told("they said idiot")[2] > 0 and told("they said hello. you idiot")[0] > 0 == told("they said hello. you idiot")[2]
+    assert quote("you there. an idiot")[4] == 0 < quote("you there, an idiot")[4]
     own = T.Features({"idiot": 3.0}, frozenset({"idiom"}))
     assert own("an idiom") == [0.0] * 6 and own("an idiod")[1] > 0 and T.Features({"idiot": 3.0}, exact=frozenset({"idiot"}))("an idiod") == [0.0] * 6
 
 
+def test_words_of_reporting_are_learned(spark):
+    from tesserax.llm import toxicity as T
+
+    rows = [(k, words(30, k) + f" you {words(1, k + 999)} {'rotten foolish'.split()[k % 2]} {words(5, k)}", 1) for k in range(80)]
+    rows += [(k, f"{words(20, k)}. the minutes record rotten as heard, {words(9, k)}", 0) for k in range(200, 206)] + [(k, words(40, k), 0) for k in range(300, 700)]
+    model = T.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3))
+    assert {"minutes", "record"} <= model.reporting and not model.reporting & {"you", "rotten", "foolish"}
+    texts = ["nice. you are a rotten one", "the record has it. you are a rotten one", "the minutes record rotten as said", "nobody should ever be called rotten"]
+    got = {x.doc_id: x for x in T.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert got[0].predicted == got[1].predicted == got[3].predicted == 1 and got[2].predicted == 0 and got[0].score == got[1].score
+
+
 def test_training_rows_do_not_depend_on_partitions(spark):
     from tesserax.llm import toxicity as T
 
