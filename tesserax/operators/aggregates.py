@@ -118,6 +118,13 @@ def double_gridding(occ: DataFrame, primary: float, secondary: float, years: int
     return g.groupBy("ox", "oy", "bin").agg(F.countDistinct("species").alias("species"), F.countDistinct("inner").alias("bins"), F.count("*").alias("n"))
 
 
+def double_gridding_species(occ: DataFrame, primary: float, secondary: float, years: int) -> DataFrame:
+    """(ox, oy, bin, species, bins, n): of each species in an outer cell and year bin, its distinct inner cells and records."""
+    at = lambda c, r: F.floor(F.col(c) / r).cast("int")
+    g = occ.select("species", at("lon", secondary).alias("ox"), at("lat", secondary).alias("oy"), (F.floor(F.col("year") / years) * years).cast("int").alias("bin"), F.struct(at("lon", primary), at("lat", primary)).alias("inner"))
+    return g.groupBy("ox", "oy", "bin", "species").agg(F.countDistinct("inner").alias("bins"), F.count("*").alias("n"))
+
+
 def decade(year) -> Column:
     """Decade number: 1991 to 2000 is 200."""
     return F.ceil((F.col(year) if isinstance(year, str) else year) / 10).cast("int")
@@ -146,6 +153,28 @@ def matrix_totals(tab: DataFrame, value: str = "area") -> DataFrame:
     return tab.cube("pid1", "pid2").agg(F.sum(value).alias("total"))
 
 
+def tabulation_matrix(tab: DataFrame, species: DataFrame, value: str = "area") -> DataFrame:
+    """(at, pid, cells, total, species): the matrix of tab(pid1, pid2, value): the side of more objects as rows (the first, of equals),
+    the other as columns, both by pid; cells are null where a pair has none. After the rows come the columns' totals (pid null) and
+    their numbers of species. species(side, pid1, pid2, species) as `tabulation_counts` gives it.
+
+    A row's cells are gathered by partial aggregates; a row is as wide as the smaller side.
+    """
+    one = tab.agg((F.count_distinct("pid1") < F.count_distinct("pid2")).alias("turned")).first()["turned"]
+    row, col = ("pid2", "pid1") if one else ("pid1", "pid2")
+    sums = tab.groupBy(F.col(row).alias("pid"), F.col(col).alias("col")).agg(F.sum(value).alias("v"))
+    columns = tab.agg(F.sort_array(F.collect_set(col)).alias("columns"))
+    wide = lambda d: d.crossJoin(F.broadcast(columns)).withColumn("cells", F.transform("columns", lambda c: F.try_element_at("m", c)))  # noqa: E731  one row
+    mapped = F.map_from_entries(F.collect_list(F.struct("col", "v"))).alias("m")
+    own = species.filter("side > 0").select(F.col("pid1").alias("p1"), F.col("pid2").alias("p2"), F.col("species").cast("double").alias("s"))
+    side = lambda k: own.filter(F.col("p1" if k == "pid1" else "p2").isNotNull()).select(F.col("p1" if k == "pid1" else "p2").alias("key"), "s")
+    rows = wide(sums.groupBy("pid").agg(mapped, F.sum("v").alias("total"))).join(side(row), F.col("pid") == F.col("key"), "left")
+    rows = rows.select(F.row_number().over(Window.orderBy("pid")).alias("at"), "pid", "cells", "total", "s")
+    last = wide(sums.groupBy("col").agg(F.sum("v").alias("v")).agg(mapped, F.sum("v").alias("total"))).select(F.lit(2**31 - 2).alias("at"), F.lit(None).cast(dict(rows.dtypes)["pid"]).alias("pid"), "cells", "total", F.lit(None).cast("double").alias("s"))
+    kinds = wide(side(col).select(F.col("key").alias("col"), F.col("s").alias("v")).agg(mapped)).select(F.lit(2**31 - 1).alias("at"), F.lit(None).cast(dict(rows.dtypes)["pid"]).alias("pid"), "cells", F.lit(None).cast("double").alias("total"), F.lit(None).cast("double").alias("s"))
+    return rows.unionByName(last).unionByName(kinds).withColumnRenamed("s", "species")
+
+
 def percent_of_total(df: DataFrame, value: str) -> DataFrame:
     return df.withColumn("percent", F.col(value) * 100 / F.sum(value).over(Window.partitionBy()))
 
@@ -188,6 +217,20 @@ def compare_areas(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.withColumn("status", F.when(F.col("n2") == 0, "only 1").when(F.col("n1") == 0, "only 2").otherwise("both"))
 
 
+def compare_field(records: DataFrame) -> DataFrame:
+    """(pid1, pid2, only1, only2, both) for every two areas of a field, pid1 < pid2, of records(pid, species): numbers of species.
+
+    What two areas share is counted species by species; what only one has follows from the areas' own numbers, so nothing but
+    shared species is paired."""
+    own = records.select("pid", "species").distinct()
+    n = own.groupBy("pid").agg(F.count("*").alias("n"))
+    a, b = own.withColumnRenamed("pid", "pid1"), own.withColumnRenamed("pid", "pid2")
+    both = a.join(b, "species").filter("pid1 < pid2").groupBy("pid1", "pid2").agg(F.count("*").alias("both"))
+    areas = n.select(F.col("pid").alias("pid1"), F.col("n").alias("n1")).join(n.select(F.col("pid").alias("pid2"), F.col("n").alias("n2")), F.col("pid1") < F.col("pid2"))
+    out = areas.join(both, ["pid1", "pid2"], "left").withColumn("both", F.coalesce("both", F.lit(0)))
+    return out.select("pid1", "pid2", (F.col("n1") - F.col("both")).alias("only1"), (F.col("n2") - F.col("both")).alias("only2"), "both")
+
+
 @dataclass(frozen=True)
 class Lattice:
     """Where a grid's cells are: its west and north edges, the size of a cell, rows and columns."""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserax.functions import geo
-from tesserax.operators.overlay import as_rings, overlay_shapes, planar_area
+from tesserax.operators.overlay import as_rings, overlay_area, overlay_shapes, planar_area
 from tesserax.operators.spatial import every_polygon, shapes
 from tesserax.sources.exports import as_wkt
 from tesserax.sources.records import numbered
@@ -163,6 +163,39 @@ def domains_meet(a, b):
     return F.coalesce(F.arrays_overlap(own(a), own(b)), F.lit(True))
 
 
+def objects_of_field(objects: DataFrame, classes: DataFrame, fid: str, text: str = "", start: int = 0, size: int | None = None) -> DataFrame:
+    """(pid, name) of a page of a field's objects whose name or description has the text, by pid; of a field without such objects the
+    classes(fid, layer, value, name) of its grid whose name has it, by value, as `layer:value`."""
+    page = lambda d: d.offset(start) if size is None else d.offset(start).limit(size)
+    own = objects.filter(F.col("fid") == fid).filter(matches(text, "name", "descr"))
+    found = page(own.orderBy("pid")).select(F.col("pid").cast("string").alias("pid"), "name")
+    none = own.groupBy().agg((F.count("*") == 0).alias("none"))  # one row
+    other = classes.filter(F.col("fid") == fid).filter(matches(text, "name")).crossJoin(F.broadcast(none)).filter("none")
+    return found.unionByName(page(other.orderBy("value")).select(F.concat_ws(":", "layer", "value").alias("pid"), "name"))
+
+
+def articles_in(points: DataFrame, rings: DataFrame) -> DataFrame:
+    """(id) of the articles of points(id, lon, lat) with a place in any of the polygons, each once."""
+    return every_polygon(points.select("id", "lon", "lat"), rings).select("id").distinct()
+
+
+def single_field(rings: DataFrame, names: DataFrame, area: DataFrame | None = None) -> DataFrame:
+    """(pid, name, area) of a field's objects (rings): square degrees of each within an area (rings of one object or of a text), or of
+    each whole one if there is none; holes do not count. Objects without an area there are left out."""
+    if area is None:
+        signed = F.when(F.col("ring") == 0, planar_area("xs", "ys")).otherwise(-planar_area("xs", "ys"))
+        found = rings.groupBy("pid").agg(F.sum(signed).alias("area"))
+    else:
+        found = overlay_area(rings, area).groupBy(F.col("pid1").alias("pid")).agg(F.sum("area").alias("area"))
+    return found.filter("area > 0").join(names.select("pid", "name"), "pid").select("pid", "name", "area")
+
+
+def single_grid_field(cells: DataFrame, rings: DataFrame, res: float) -> DataFrame:
+    """(value, cells, km2) of the classes of a grid whose cells' centres an area (rings) holds."""
+    own = cells.withColumns({c: F.col(c).cast("double") for c in ("lon", "lat")})
+    return every_polygon(own, rings).groupBy("value").agg(F.count("*").alias("cells"), F.sum(geo.cell_area(res, "lat")).alias("km2"))
+
+
 # -- look-ups and joins -------------------------------------------------------------------------------------------------
 
 

@@ -116,6 +116,11 @@ def _(v):
     return A.double_gridding(v.occurrences, 0.25, 2.0, 3)
 
 
+@query("agg10_species_counts", "select cast(floor(lon / 2) as int) as ox, cast(floor(lat / 2) as int) as oy, cast(floor(year / 3) * 3 as int) as bin, species, count(distinct (cast(floor(lon / 0.25) as int), cast(floor(lat / 0.25) as int))) as bins, count(*) as n from {occurrences} group by 1, 2, 3, 4")
+def _(v):
+    return A.double_gridding_species(v.occurrences, 0.25, 2.0, 3)
+
+
 @query("agg11_richness_by_region", f"select name, richness, count(*) as cells from (select name, {W1}, count(distinct species) as richness from {{hits}} group by 1, 2, 3) group by 1, 2")
 def _(v):
     found = S.every_polygon(v.occurrences, S.boxes_to_rings(v.areas)).join(v.areas.select("pid", "name"), "pid")
@@ -151,6 +156,24 @@ def _(v):
     return A.matrix_totals(tab).select("pid1", "pid2", *r6("total"))
 
 
+IN_BOTH = "(select o.*, a.pid as pid1, b.pid as pid2 from {occurrences} o join {areas} a on o.lon between a.minx and a.maxx and o.lat between a.miny and a.maxy join {areas2} b on o.lon between b.minx and b.maxx and o.lat between b.miny and b.maxy)"
+
+
+@query("agg14_matrix_rows", f"""with t as (select pid1, pid2, sum((maxx - minx) * (maxy - miny)) as v from {{overlay}} group by 1, 2), c as (select distinct pid2 from t), r as (select distinct pid1 from t),
+    h as (select * from {IN_BOTH}), s1 as (select pid1, count(distinct species) as s from h group by 1), s2 as (select pid2, count(distinct species) as s from h group by 1),
+    m as (select r.pid1, list(round(t.v, 6) order by c.pid2) as cells, round(sum(t.v), 6) as total from r cross join c left join t on t.pid1 = r.pid1 and t.pid2 = c.pid2 group by 1)
+    select row_number() over (order by m.pid1) as at_, m.pid1 as pid, array_to_string(cells, ',') as cells_, len(cells) as n, total, s::double as species from m left join s1 on s1.pid1 = m.pid1
+    union all select 2147483646, null, (select string_agg(round(v, 6)::varchar, ',' order by pid2) from (select pid2, sum(v) as v from t group by 1)), (select count(*) from c), (select round(sum(v), 6) from t), null
+    union all select 2147483647, null, (select string_agg(s::double::varchar, ',' order by c.pid2) from c left join s2 on s2.pid2 = c.pid2), (select count(*) from c), null, null""")
+def _(v):
+    tab = S.boxes_overlap(v.areas, v.areas2).withColumn("area", (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny")))
+    one, two = (S.every_polygon(v.occurrences, S.boxes_to_rings(a)).withColumnRenamed("pid", n) for a, n in ((v.areas, "pid1"), (v.areas2, "pid2")))
+    hits = one.join(two.select("rec_order", "rec_line", "pid2"), ["rec_order", "rec_line"])
+    rows = A.tabulation_matrix(tab, A.tabulation_counts(hits))
+    text = F.array_join(F.transform("cells", lambda x: F.round(x, 6).cast("string")), ",")
+    return rows.select(F.col("at").alias("at_"), "pid", text.alias("cells_"), F.size("cells").alias("n"), *r6("total"), "species")
+
+
 # a right triangle over most of the view: legs from its south-west corner
 CLIP = "(select 113.0::double as ax, -44.5::double as ay, 151.0::double as cx, -11.5::double as b_y)"
 CLIP_CORNER = "pow(greatest(0, 1 - greatest({x} - h.ax, 0) / (h.cx - h.ax) - greatest({y} - h.ay, 0) / (h.b_y - h.ay)), 2)"
@@ -187,6 +210,21 @@ def _(v):
     return v.areas.select("pid", "name").join(cut, F.col("pid") == F.col("pid1")).select("pid", "name", "km2")
 
 
+OF_HALF = "((h.cx - h.ax) * (h.b_y - h.ay) / 2 * (" + " ".join(s + CLIP_CORNER.format(x=f"b.{x}", y=f"b.{y}") for s, x, y in (("", "minx", "miny"), ("- ", "maxx", "miny"), ("- ", "minx", "maxy"), ("+ ", "maxx", "maxy"))) + "))"
+
+
+@query("agg18_single_field_forms", f"""select 'object' as form, h.pid::varchar as pid, name, round({OF_HALF}, 6) as area from {{halves}} h join (select minx, miny, maxx, maxy from {{areas2}} where pid = 112) b on true where {OF_HALF} > 1e-9
+    union all select 'world', pid::varchar, name, round((cx - ax) * (b_y - ay) / 2, 6) from {{halves}}
+    union all select 'grid', c.value::varchar, '', round(sum({sq_cell('0.25', 'c.lat')}), 3) from {{cells_cl3}} c join (select * from {{areas2}} where pid = 112) a on c.lon between a.minx and a.maxx and c.lat between a.miny and a.maxy group by c.value""")
+def _(v):
+    from tesserax.operators import catalogue as C
+
+    halves, one = S.triangles_to_rings(v.halves), S.boxes_to_rings(v.areas2.filter("pid = 112"))
+    shape = lambda d, form: d.filter("area > 1e-9").select(F.lit(form).alias("form"), F.col("pid").cast("string").alias("pid"), "name", *r6("area"))
+    grid = C.single_grid_field(v.cells_cl3, one, 0.25).select(F.lit("grid").alias("form"), F.col("value").cast("string").alias("pid"), F.lit("").alias("name"), F.round("km2", 3).alias("area"))
+    return shape(C.single_field(halves, v.halves, one), "object").unionByName(shape(C.single_field(halves, v.halves), "world")).unionByName(grid)
+
+
 @query("agg19_percent_of_area", "select c.value, count(*) as cells, round(count(*) * 100.0 / sum(count(*)) over (), 6) as percent from {cells_cl3} c group by 1")
 def _(v):
     return A.percent_of_total(v.cells_cl3.groupBy("value").agg(F.count("*").alias("cells")), "cells").select("value", "cells", *r6("percent"))
@@ -286,6 +324,14 @@ def _(v):
     return A.compare_areas(own.filter("pid = 3"), own.filter("pid = 12"))
 
 
+@query("join25_compare_field", """with o as (select distinct pid, species || '_' || (rec_order % 20)::varchar as species from {hits}), n as (select pid, count(*) as n from o group by 1),
+    b as (select a.pid as pid1, c.pid as pid2, count(*) as n from o a join o c using (species) where a.pid < c.pid group by 1, 2)
+    select x.pid as pid1, y.pid as pid2, x.n - coalesce(b.n, 0) as only1, y.n - coalesce(b.n, 0) as only2, coalesce(b.n, 0) as "both" from n x join n y on x.pid < y.pid left join b on b.pid1 = x.pid and b.pid2 = y.pid""")
+def _(v):
+    records = S.every_polygon(v.occurrences, S.boxes_to_rings(v.areas))
+    return A.compare_field(records.withColumn("species", F.concat_ws("_", "species", (F.col("rec_order") % 20).cast("string"))))
+
+
 TAXON = "concat(species, '_', cast(year as varchar), '_', cast(rec_order % 20 as varchar))"
 
 

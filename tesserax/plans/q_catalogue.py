@@ -76,6 +76,13 @@ def _(v):
     return v.objects.filter("fid = 'cl2'").filter(C.matches("r", "name", "descr")).orderBy("pid").offset(10).limit(50).select("pid", "name")
 
 
+@query("pred15_classes_of_field", """select pid::varchar as pid, name from (select pid, name from {objects} where fid = 'cl3' and (name ilike '%an%' or descr ilike '%an%') order by pid limit 20 offset 5)
+    union all select * from (select '31:' || value, name from (select distinct value, name from {cells_cl3}) where name ilike '%1%' order by value limit 12 offset 3)""")
+def _(v):
+    classes = v.cells_cl3.select(F.lit("cl9").alias("fid"), F.lit("31").alias("layer"), "value", "name").distinct()
+    return C.objects_of_field(v.objects, classes, "cl3", "an", 5, 20).unionByName(C.objects_of_field(v.objects, classes, "cl9", "1", 3, 12))
+
+
 @query("pred16_distribution_filter", "select spcode, lsid from {distributions} where type = 'e' and lsid in ('lsid:3', 'lsid:6', 'lsid:9', 'lsid:12') and data_resource in ('dr0', 'dr3') and spcode in (select pid from {corners} where least(ax, bx, cx) < 140 and greatest(ax, bx, cx) > 115)")
 def _(v):
     near = S.boxes_overlap(S.shapes(S.triangles_to_rings(v.corners)), boxes(v, (0, 115.0, -90.0, 140.0, 90.0)))

@@ -260,18 +260,18 @@ def _(v):
     return text.select(d("MinX").alias("minx"), d("MaxY").alias("maxy"), ((d("MaxX") - d("MinX")) / d("Columns")).alias("res"), at("Rows").cast("int").alias("rows_"), at("Columns").cast("int").alias("cols_"), d("MinValue").alias("lo"), d("MaxValue").alias("hi"))
 
 
-#: Species of the matrix.
-TEN = [f"sp1{k}" for k in range(10)]
+#: Species of the matrix: all.
+EVERY = [f"sp{k}" for k in range(97)]
 
 
-@query("snk4_species_matrix", "select cast(trunc((lat + 45) / 2) as int) as row, cast(trunc((lon - 112) / 2) as int) as col, " + ", ".join(f"count(*) filter (species = '{s}') as {s}" for s in TEN) + " from {occurrences} where species in (" + ", ".join(f"'{s}'" for s in TEN) + ") group by 1, 2")
+@query("snk4_species_matrix", "select cast(trunc((lat + 45) / 2) as int) as row, cast(trunc((lon - 112) / 2) as int) as col, " + ", ".join(f"count(*) filter (species = '{s}') as {s}" for s in EVERY) + " from {occurrences} group by 1, 2")
 def _(v):
     sites = A.sites_by_species(v.occurrences, 112.0, -45.0, 2.0)
-    lines = E.species_matrix_lines(A.site_matrix(sites.filter(F.col("species").isin(*TEN)), TEN), TEN)
+    lines = E.species_matrix_lines(A.site_matrix(sites, EVERY), EVERY)
     path = shared_path(v._spark, "matrix.csv")
     E.write_lines(lines, path)
     cells = F.split("line", ",")
-    return E.read_lines(v._spark, path).filter("at >= 5").select(*(F.get(cells, F.lit(k)).cast("int" if k < 2 else "long").alias(n) for k, n in enumerate(("row", "col", *TEN))))
+    return E.read_lines(v._spark, path).filter("at >= 5").select(*(F.get(cells, F.lit(k)).cast("int" if k < 2 else "long").alias(n) for k, n in enumerate(("row", "col", *EVERY))))
 
 
 RING = "concat({a}, ' ', {b}, ',', {a}, ' ', {d}, ',', {c}, ' ', {d}, ',', {c}, ' ', {b}, ',', {a}, ' ', {b})"

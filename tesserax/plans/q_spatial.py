@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserax.functions import geo
+from tesserax.operators import catalogue as C
 from tesserax.operators import spatial as S
 from tesserax.operators import topology as T
 from tesserax.plans.views import Registry
@@ -231,10 +232,19 @@ def _(v):
     return v.distributions.filter("type = 'e'").join(near, F.col("spcode") == F.col("pid"), "left_semi").select("spcode", "family")
 
 
-@query("join28_articles_in_polygon", f"select distinct id from (select p.id, p.lon, p.lat, {ODD.format(x='p.lon', y='p.lat')} as v from {{article_points}} p, {{dart}} e where not missing group by p.id, p.loc, p.lon, p.lat) where v")
+ARTICLES = f"(select distinct id from (select p.id, p.lon, p.lat, {ODD.format(x='p.lon', y='p.lat')} as v from {{article_points}} p, {{dart}} e where not missing group by p.id, p.loc, p.lon, p.lat) where v)"
+
+
+@query("join28_articles_in_polygon", f"select id from {ARTICLES}")
+def _(v):
+    return C.articles_in(v.article_points.filter(~F.col("missing")), dart(v))
+
+
+@query("join28_count_and_page", f"select 'count' as what, count(*) as id from {ARTICLES} union all select * from (select 'page', id from {ARTICLES} order by id limit 25 offset 50)")
 def _(v):
-    points = v.article_points.filter(~F.col("missing")).select("id", "lon", "lat")
-    return S.every_polygon(points, dart(v)).select("id").distinct()
+    found = C.articles_in(v.article_points.filter(~F.col("missing")), dart(v))
+    page = found.orderBy("id").offset(50).limit(25).select(F.lit("page").alias("what"), F.col("id").cast("long").alias("id"))
+    return found.agg(F.count("*").alias("id")).select(F.lit("count").alias("what"), "id").unionByName(page)
 
 
 @query("set2_union_over_parts", "select distinct pid from {point_objects} where (lon between 115 and 122 and lat between -30 and -20) or (lon between 120 and 130 and lat between -25 and -15)")
