@@ -1,9 +1,10 @@
 """Overlay of polygons: exact planar area and shape of what overlapping pairs share, by bands and slabs.
 
 Candidates come from boxes through buckets. A polygon's edges are dealt to bands of latitude, so a pair is worked on band by
-band, with the edges there only, however large the polygons are. Within a band a pair is cut at the heights of all vertices
-and crossings; within such a slab edges do not cross, so each polygon is a list of trapezoids and the common width is
-linear between the slab's two sides.
+band, with the edges there only, however large the polygons are. Within a band heights are halved until few edges are left in each
+part, which an edge is in only where it runs, so a band's work grows with its edges and slabs and not with their product. There a pair is
+cut at the heights of all vertices and crossings; within such a slab edges do not cross, so each polygon is a list of trapezoids
+and the common width is linear between the slab's two sides.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from tesserax.operators.spatial import boxes_overlap, ring_edges, shapes
 
 #: Edges of one polygon compared with the other's at once.
 CHUNK = 256
+#: Edges of a pair that are not divided further.
+LEAF = 64
 
 
 def _upwards(edges: np.ndarray) -> np.ndarray:
@@ -52,20 +55,50 @@ def _crossings(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate(out or [np.zeros(0)])
 
 
+def _leaves(a: np.ndarray, b: np.ndarray, low: float, high: float) -> Iterator[tuple[np.ndarray, np.ndarray, float, float]]:
+    """Upward edges of two polygons by ranges of height, from the lowest on, each with the edges that are in it; ranges end at vertices."""
+    ys = np.concatenate([a[:, [1, 3]].ravel(), b[:, [1, 3]].ravel()])
+    if not len(ys):
+        return
+    todo = [(a, b, max(low, ys.min()), min(high, ys.max()))]
+    while todo:
+        a, b, low, high = todo.pop()
+        a, b = (e[(e[:, 1] < high) & (e[:, 3] > low)] for e in (a, b))
+        ys = np.concatenate([a[:, [1, 3]].ravel(), b[:, [1, 3]].ravel()])
+        ys = ys[(ys > low) & (ys < high)]
+        if len(a) + len(b) <= LEAF or not len(ys):
+            yield a, b, low, high
+            continue
+        mid = np.partition(ys, len(ys) // 2)[len(ys) // 2]
+        todo += [(a, b, mid, high), (a, b, low, mid)]
+
+
 def trapezoids(a: np.ndarray, b: np.ndarray, how: str = "intersection", low: float = -np.inf, high: float = np.inf) -> Iterator[tuple[float, float, float, float, float, float]]:
     """(lo, hi, left and right at lo, left and right at hi) of what both polygons (intersection) or either (union) hold between two heights.
 
     Polygons are edges x1, y1, x2, y2; holes and parts count by the even-odd rule.
     """
     a, b = (_upwards(np.asarray(e, dtype=float).reshape(-1, 4)) for e in (a, b))
-    ys = np.concatenate([a[:, 1], a[:, 3], b[:, 1], b[:, 3], _crossings(a, b), [y for y in (low, high) if np.isfinite(y)]])
+    for p, q, lo, hi in _leaves(a, b, low, high):
+        yield from _slabs(p, q, how, lo, hi)
+
+
+def _slabs(a: np.ndarray, b: np.ndarray, how: str, low: float, high: float):
+    ys = np.concatenate([a[:, 1], a[:, 3], b[:, 1], b[:, 3], _crossings(a, b), [low, high]])
     ys = np.unique(ys[(ys >= low) & (ys <= high)])
     for lo, hi in zip(ys[:-1].tolist(), ys[1:].tolist(), strict=True):
         mid = (lo + hi) / 2
+        if not lo < mid < hi:  # no number between: no area
+            continue
         x, y = (_at(e, mid, lo, hi) for e in (a, b))
         if how == "intersection":
-            left = np.maximum(x[:, None, 0], y[None, :, 0])
-            right = np.minimum(x[:, None, 1], y[None, :, 1])
+            # spans of one polygon are apart and in order, so those of the other that meet one are neighbours
+            mx, my = x.sum(axis=-1), y.sum(axis=-1)
+            first, end = np.searchsorted(my[:, 1], mx[:, 0], "right"), np.searchsorted(my[:, 0], mx[:, 1], "left")
+            n = np.maximum(0, end - first)
+            i = np.repeat(np.arange(len(x)), n)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+            left, right = np.maximum(x[i, 0], y[j, 0]), np.minimum(x[i, 1], y[j, 1])
             keep = right.sum(axis=-1) > left.sum(axis=-1)
             spans = zip(left[keep].tolist(), right[keep].tolist(), strict=True)
         else:

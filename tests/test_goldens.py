@@ -61,6 +61,34 @@ def test_overlay_of_slanted_polygons():
     assert area("union") == pytest.approx(4 + 4.5 - 3.5) and area("intersection") == pytest.approx(3.5)
 
 
+def test_overlay_of_many_edges_is_not_quadratic():
+    import time
+
+    n = 20_000
+    at = np.linspace(0, 2 * np.pi, n, endpoint=False)
+
+    def ring(x, r):
+        p = np.stack([x + r * np.cos(at), r * np.sin(at)], axis=1)
+        return np.concatenate([p, np.roll(p, -1, axis=0)], axis=1)
+
+    began = time.time()
+    area = O.common_area(ring(0.0, 1.0), ring(1.0, 1.0))
+    assert area == pytest.approx(2 * np.pi / 3 - np.sqrt(3) / 2, rel=1e-6) and time.time() - began < 60
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        def shape():
+            t, r = np.sort(rng.random(90)) * 2 * np.pi, rng.integers(5, 40, 90)
+            p = np.stack([r * np.cos(t) + rng.integers(0, 9), r * np.sin(t)], axis=1)
+            return np.concatenate([p, np.roll(p, -1, axis=0)], axis=1)
+
+        a, b = shape(), shape()
+        for how in ("intersection", "union"):
+            size = lambda: sum((hi - lo) * (b0 - a0 + b1 - a1) / 2 for lo, hi, a0, b0, a1, b1 in O.trapezoids(a, b, how))
+            whole, O.LEAF = (O.LEAF, 10**9)
+            flat, O.LEAF = size(), whole
+            assert size() == pytest.approx(flat, rel=1e-9)
+
+
 @pytest.mark.parametrize("size", [0.3, 1.0, 7.0])
 def test_points_in_many_cornered_polygons(spark, size):
     """A star with a hole, and a polygon of two parts: by buckets as by the whole rings, edges and vertices included."""
