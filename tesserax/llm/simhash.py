@@ -43,6 +43,8 @@ AGREE = 0.7
 SURE = 0.85
 #: Where all of a tree agree in so many with its least text, its links are those to that text, which most of its bands' trees have.
 STAR = 0.92
+#: Hashes of linked texts, of 8 bytes each, up to which they are broadcast.
+FEW_ENDS = 1_000_000
 #: Entries of a top node that one task takes.
 HOT = 100_000
 #: Bits by which a node's children are longer.
@@ -330,10 +332,12 @@ def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, band_r
 
 def confirmed(found: DataFrame, docs: DataFrame, text: str, width: int, similarity: float) -> DataFrame:
     """Of links (a, b) between hashes of texts, those whose sets of shingles have a Jaccard similarity of so much; two texts without a
-    word are alike. Texts go to their links by joins, so a text with many links is on as many tasks as its links are."""
+    word are alike. Texts go to their links by joins, so a text with many links is on as many tasks as its links are. Up to FEW_ENDS
+    hashes of linked texts are broadcast, so that the other texts are not shuffled; the result is the same with more."""
     texts = docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    ends = found.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    own = materialise(texts.join(ends, "h", "left_semi").groupBy("h").agg(F.first("t").alias("t")), "linked")
+    ends = materialise(found.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "ends")
+    few = ends.count() <= FEW_ENDS
+    own = materialise(texts.join(F.broadcast(ends) if few else ends, "h", "left_semi").groupBy("h").agg(F.first("t").alias("t")), "linked")
     side = lambda x: own.select(F.col("h").alias(x), F.col("t").alias(f"t{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -156,10 +156,12 @@ def five_word_sets(text):
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
 
 
-def test_near_copies_as_by_brute_force(spark):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_near_copies_as_by_brute_force(spark, monkeypatch, few):
     import corpus_pipeline as P
     from tesserax.llm import simhash as H
 
+    monkeypatch.setattr(H, "FEW_ENDS", few)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r.doc_id for r in H.one_of_each(df, **P.NEAR).collect()} == brute_kept(rows)
