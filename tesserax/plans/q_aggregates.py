@@ -167,8 +167,8 @@ IN_BOTH = "(select o.*, a.pid as pid1, b.pid as pid2 from {occurrences} o join {
     union all select 2147483647, null, (select string_agg(s::double::varchar, ',' order by c.pid2) from c left join s2 on s2.pid2 = c.pid2), (select count(*) from c), null, null""")
 def _(v):
     tab = S.boxes_overlap(v.areas, v.areas2).withColumn("area", (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny")))
-    one, two = (S.every_polygon(v.occurrences, S.boxes_to_rings(a)).withColumnRenamed("pid", n) for a, n in ((v.areas, "pid1"), (v.areas2, "pid2")))
-    hits = one.join(two.select("rec_order", "rec_line", "pid2"), ["rec_order", "rec_line"])
+    one = S.every_polygon(v.occurrences, S.boxes_to_rings(v.areas)).withColumnRenamed("pid", "pid1")
+    hits = S.every_polygon(one, S.boxes_to_rings(v.areas2)).withColumnRenamed("pid", "pid2")
     rows = A.tabulation_matrix(tab, A.tabulation_counts(hits))
     text = F.array_join(F.transform("cells", lambda x: F.round(x, 6).cast("string")), ",")
     return rows.select(F.col("at").alias("at_"), "pid", text.alias("cells_"), F.size("cells").alias("n"), *r6("total"), "species")
