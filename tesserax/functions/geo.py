@@ -166,19 +166,39 @@ def pixel_distance(x1, y1, x2, y2, zoom: int) -> Column:
     return F.floor(F.floor(F.sqrt(dx * dx + dy * dy)) / float(2 ** (21 - zoom))).cast("long")
 
 
+def let(value, body) -> Column:
+    """body(value), with the value worked out once a row however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _circle_terms(lon, lat, radius) -> Column:
+    """What all points of a circle share."""
+    b, e = _c(radius) / RADIUS, rad(lat)
+    return F.struct(_c(lon).alias("lon"), F.sin(e).alias("sin_e"), F.cos(b).alias("cos_b"), (F.cos(b) * F.sin(e)).alias("p"), (F.sin(b) * F.cos(e)).alias("q"))
+
+
+def _circle_point(c, degree) -> Column:
+    def placed(g):
+        x = F.degrees(F.atan2(c["q"] * F.sin(rad(degree)), c["cos_b"] - c["sin_e"] * g))
+        return F.struct((c["lon"] + x).alias("x"), F.degrees(F.asin(g)).alias("y"))
+
+    return let(c["p"] + c["q"] * F.cos(rad(degree)), placed)
+
+
 def circle_point(lon, lat, radius, degree) -> Column:
     """Struct (x, y): the point at a distance (metres) and bearing; x is not wrapped."""
-    b, e, a = _c(radius) / RADIUS, rad(lat), rad(degree)
-    g = F.cos(b) * F.sin(e) + F.sin(b) * F.cos(e) * F.cos(a)
-    x = F.degrees(F.atan2(F.sin(b) * F.cos(e) * F.sin(a), F.cos(b) - F.sin(e) * g))
-    return F.struct((_c(lon) + x).alias("x"), F.degrees(F.asin(g)).alias("y"))
+    return let(_circle_terms(lon, lat, radius), lambda c: _circle_point(c, degree))
 
 
 def circle(lon, lat, radius) -> Column:
     """Closed array of 361 vertices (x, y); moved east by 360 if any is west of -180."""
-    points = F.transform(F.sequence(F.lit(0), F.lit(360)), lambda k: circle_point(lon, lat, radius, k % 360))
-    moved = F.transform(points, lambda p: F.struct((p["x"] + 360.0).alias("x"), p["y"].alias("y")))
-    return F.when(F.exists(points, lambda p: p["x"] < -180), moved).otherwise(points)
+    ring = let(_circle_terms(lon, lat, radius), lambda c: F.transform(F.sequence(F.lit(0), F.lit(360)), lambda k: _circle_point(c, k % 360)))
+
+    def wrapped(points):
+        moved = F.transform(points, lambda p: F.struct((p["x"] + 360.0).alias("x"), p["y"].alias("y")))
+        return F.when(F.exists(points, lambda p: p["x"] < -180), moved).otherwise(points)
+
+    return let(ring, wrapped)
 
 
 def snap(x, res: float, mode: str = "truncate") -> Column:
@@ -255,31 +275,51 @@ LEAST_DEGREE = 110_500.0
 SETTLE, HALVE = 30, 60
 
 
-def _arc(sin_u1, cos_u1, sin_u2, cos_u2, lam) -> dict[str, Column]:
-    """Parts of the geodesic between reduced latitudes whose longitudes on the sphere differ by lam."""
-    p, q = cos_u2 * F.sin(lam), cos_u1 * sin_u2 - sin_u1 * cos_u2 * F.cos(lam)
-    sin_s, cos_s = F.sqrt(p * p + q * q), sin_u1 * sin_u2 + cos_u1 * cos_u2 * F.cos(lam)
-    sin_a = F.when(sin_s == 0, 0.0).otherwise(cos_u1 * cos_u2 * F.sin(lam) / F.when(sin_s != 0, sin_s))
-    cos_a2 = 1 - sin_a * sin_a
-    mid = F.when(cos_a2 == 0, 0.0).otherwise(cos_s - 2 * sin_u1 * sin_u2 / F.when(cos_a2 != 0, cos_a2))
-    return {"s": F.atan2(sin_s, cos_s), "sin_s": sin_s, "cos_s": cos_s, "sin_a": sin_a, "cos_a2": cos_a2, "mid": mid}
+def _arc(g, lam, body) -> Column:
+    """body(parts) of the geodesic between reduced latitudes (sines and cosines in g) whose longitudes on the sphere differ by lam.
+
+    Each part is worked out once: written into one another they would be some thousand terms."""
+
+    def angles(x):
+        p, q = g["cos_u2"] * x["sin_l"], g["cos_u1"] * g["sin_u2"] - g["sin_u1"] * g["cos_u2"] * x["cos_l"]
+        return F.struct(p.alias("p"), q.alias("q"), x["sin_l"].alias("sin_l"), (g["sin_u1"] * g["sin_u2"] + g["cos_u1"] * g["cos_u2"] * x["cos_l"]).alias("cos_s"))
+
+    def arc(x):
+        return F.struct(F.sqrt(x["p"] * x["p"] + x["q"] * x["q"]).alias("sin_s"), x["cos_s"].alias("cos_s"), x["sin_l"].alias("sin_l"))
+
+    def azimuth_of(x):
+        sin_a = F.when(x["sin_s"] == 0, 0.0).otherwise(g["cos_u1"] * g["cos_u2"] * x["sin_l"] / F.when(x["sin_s"] != 0, x["sin_s"]))
+        return F.struct(F.atan2(x["sin_s"], x["cos_s"]).alias("s"), x["sin_s"].alias("sin_s"), x["cos_s"].alias("cos_s"), sin_a.alias("sin_a"))
+
+    def squared(x):
+        return F.struct(*(x[c].alias(c) for c in ("s", "sin_s", "cos_s", "sin_a")), (1 - x["sin_a"] * x["sin_a"]).alias("cos_a2"))
+
+    def middle(x):
+        mid = F.when(x["cos_a2"] == 0, 0.0).otherwise(x["cos_s"] - 2 * g["sin_u1"] * g["sin_u2"] / F.when(x["cos_a2"] != 0, x["cos_a2"]))
+        return F.struct(*(x[c].alias(c) for c in ("s", "sin_s", "cos_s", "sin_a", "cos_a2")), mid.alias("mid"))
+
+    own = F.struct(F.sin(lam).alias("sin_l"), F.cos(lam).alias("cos_l"))
+    return let(own, lambda x: let(angles(x), lambda x: let(arc(x), lambda x: let(azimuth_of(x), lambda x: let(squared(x), lambda x: let(middle(x), body))))))
 
 
 def _lag(g) -> Column:
     """By how much the longitude on the sphere is ahead of that on the spheroid, from the parts of a geodesic."""
     c = FLAT / 16 * g["cos_a2"] * (4 + FLAT * (4 - 3 * g["cos_a2"]))
-    return (1 - c) * FLAT * g["sin_a"] * (g["s"] + c * g["sin_s"] * (g["mid"] + c * g["cos_s"] * (-1 + 2 * g["mid"] * g["mid"])))
+    return let(c, lambda c: (1 - c) * FLAT * g["sin_a"] * (g["s"] + c * g["sin_s"] * (g["mid"] + c * g["cos_s"] * (-1 + 2 * g["mid"] * g["mid"]))))
 
 
 def _length(g) -> Column:
     """Metres along a geodesic of these parts."""
     b = AXIS * (1 - FLAT)
-    u2 = g["cos_a2"] * (AXIS * AXIS - b * b) / (b * b)
-    k1 = (F.sqrt(1 + u2) - 1) / (F.sqrt(1 + u2) + 1)
-    big, small = (1 + k1 * k1 / 4) / (1 - k1), k1 * (1 - 3 * k1 * k1 / 8)
-    m = g["mid"]
-    ds = small * g["sin_s"] * (m + small / 4 * (g["cos_s"] * (-1 + 2 * m * m) - small / 6 * m * (-3 + 4 * g["sin_s"] * g["sin_s"]) * (-3 + 4 * m * m)))
-    return b * big * (g["s"] - ds)
+
+    def along(k1):
+        big, small = (1 + k1 * k1 / 4) / (1 - k1), k1 * (1 - 3 * k1 * k1 / 8)
+        m = g["mid"]
+        ds = small * g["sin_s"] * (m + small / 4 * (g["cos_s"] * (-1 + 2 * m * m) - small / 6 * m * (-3 + 4 * g["sin_s"] * g["sin_s"]) * (-3 + 4 * m * m)))
+        return b * big * (g["s"] - ds)
+
+    root = F.sqrt(1 + g["cos_a2"] * (AXIS * AXIS - b * b) / (b * b))
+    return let(let(root, lambda r: (r - 1) / (r + 1)), along)
 
 
 def _turned(u1, u2, azimuth) -> dict[str, Column]:
@@ -306,12 +346,12 @@ def spheroid_distance(lon1, lat1, lon2, lat2) -> Column:
     side = F.when(far > 0, -1.0).otherwise(1.0)
     # on the equator a little to the south, so that an azimuth is defined
     south = F.least(reduced(far * side), F.lit(-1e-15))
-    given = F.struct(south.alias("u1"), reduced(near * side).alias("u2"), length.alias("l"))
+    given = let(F.struct(south.alias("u1"), reduced(near * side).alias("u2"), length.alias("l")), lambda g: F.struct(*(g[c].alias(c) for c in ("u1", "u2", "l")), *(f(g[u]).alias(f"{n}_{u}") for u in ("u1", "u2") for n, f in (("sin", F.sin), ("cos", F.cos)))))
 
     def solved(g):
         u1, u2, l = g["u1"], g["u2"], g["l"]
-        parts = lambda lam: _arc(F.sin(u1), F.cos(u1), F.sin(u2), F.cos(u2), lam)
-        step = lambda acc, _: F.struct((l + _lag(parts(acc["lam"]))).alias("lam"), acc["lam"].alias("last"))
+        # a longitude that has not moved does not move again
+        step = lambda acc, _: F.when(acc["lam"] == acc["last"], acc).otherwise(F.struct((l + _arc(g, acc["lam"], _lag)).alias("lam"), acc["lam"].alias("last")))
         settled = F.aggregate(F.sequence(F.lit(1), F.lit(SETTLE)), F.struct(l.alias("lam"), F.lit(9.0).alias("last")), step)
 
         def halved(acc, _):
@@ -323,8 +363,7 @@ def spheroid_distance(lon1, lat1, lon2, lat2) -> Column:
 
         slow = F.aggregate(F.sequence(F.lit(1), F.lit(HALVE)), F.struct(F.lit(0.0).alias("lo"), F.lit(math.pi).alias("hi")), halved, lambda acc: _length(_turned(u1, u2, (acc["lo"] + acc["hi"]) / 2)))
         good = lambda x: (F.abs(x["lam"] - x["last"]) < 1e-12) & (F.abs(x["lam"]) <= math.pi)
-        one = F.transform(F.array(settled), lambda x: F.when(good(x), _length(parts(x["lam"]))).otherwise(slow))
-        return F.get(one, F.lit(0))
+        return let(settled, lambda x: F.when(good(x), _arc(g, x["lam"], _length)).otherwise(slow))
 
     known = lon1.isNotNull() & lat1.isNotNull() & lon2.isNotNull() & lat2.isNotNull()
-    return F.when((lon1 == lon2) & (lat1 == lat2), 0.0).when(known, F.get(F.transform(F.array(given), solved), F.lit(0)))
+    return F.when((lon1 == lon2) & (lat1 == lat2), 0.0).when(known, let(given, solved))
