@@ -296,9 +296,9 @@ def _(v):
 
 @query("fn7_circle", """select pid, round(max(y), 6) as north, round(min(y), 6) as south, count(*) + 1 as vertices from (select pid, degrees(asin(cos(50000 / 6378137.0) * sin(radians(lat)) + sin(50000 / 6378137.0) * cos(radians(lat)) * cos(radians(k)))) as y from {point_objects}, (select unnest(range(0, 360)) as k)) group by 1""")
 def _(v):
-    own = v.point_objects.withColumn("c", geo.circle("lon", "lat", F.lit(50000)))
-    ys = F.transform("c", lambda p: p["y"])
-    return own.select("pid", F.round(F.array_max(ys), 6).alias("north"), F.round(F.array_min(ys), 6).alias("south"), F.size("c").cast("long").alias("vertices"))
+    ys = geo.let(geo.circle("lon", "lat", F.lit(50000)), lambda c: F.transform(c, lambda p: p["y"]))
+    own = S.spread(v.point_objects.select("pid", "lon", "lat")).withColumn("c", geo.let(ys, lambda y: F.struct(F.array_max(y).alias("north"), F.array_min(y).alias("south"), F.size(y).alias("n"))))
+    return own.select("pid", F.round("c.north", 6).alias("north"), F.round("c.south", 6).alias("south"), F.col("c.n").cast("long").alias("vertices"))
 
 
 @query("fn8_snap", "select rec_order, rec_line, case when lat / 0.5 >= 0 then floor(lat / 0.5) else ceil(lat / 0.5) - case when lat / 0.5 <= -1 then 1 else 0 end end * 0.5 as y from {occurrences}")
