@@ -110,18 +110,36 @@ def in_bucket(x, y, parts="parts") -> Column:
     return F.col(parts).isNull() | F.exists(parts, odd)
 
 
-def points_in_polygons(points: DataFrame, rings: DataFrame, size: float = 0.5) -> DataFrame:
-    """(lon, lat, pid) for every distinct point and each polygon that holds it."""
+def alike(rings: DataFrame) -> DataFrame:
+    """(pid, shape): for each polygon the lowest pid of those with the same rings, by a digest of each ring's text."""
+    ring = F.sha2(F.concat_ws("|", F.col("xs").cast("string"), F.col("ys").cast("string")), 256)
+    own = rings.select("pid", F.struct("part", "ring", ring.alias("digest")).alias("r"))
+    key = own.groupBy("pid").agg(F.sort_array(F.collect_list("r")).alias("key"))
+    key = key.select("pid", F.sha2(F.to_json("key"), 256).alias("key"))
+    return key.join(key.groupBy("key").agg(F.min("pid").alias("shape")), "key").select("pid", "shape")
+
+
+def points_in_shapes(points: DataFrame, rings: DataFrame, size: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(lon, lat, shape) for every distinct point and each shape that holds it, and (pid, shape) of the polygons of each shape."""
+    members = materialise(alike(rings), "alike")
+    first = rings.join(members.filter("pid = shape").select("pid"), "pid", "left_semi")
     own = with_bucket(points.select("lon", "lat").distinct(), size)
-    return own.join(covered(rings, size), ["bx", "by"]).filter(in_bucket("lon", "lat")).select("lon", "lat", "pid")
+    return own.join(covered(first, size), ["bx", "by"]).filter(in_bucket("lon", "lat")).select("lon", "lat", F.col("pid").alias("shape")), members
+
+
+def points_in_polygons(points: DataFrame, rings: DataFrame, size: float = 0.5) -> DataFrame:
+    """(lon, lat, pid) for every distinct point and each polygon that holds it. Polygons of the same rings are tested once."""
+    places, members = points_in_shapes(points, rings, size)
+    return places.join(members, "shape").select("lon", "lat", "pid")
 
 
 def first_polygon(points: DataFrame, rings: DataFrame, size: float = 0.5) -> DataFrame:
     """points with pid: the lowest numbered polygon that holds each, else null. Coordinates are looked up once.
 
-    Of the polygons that fill a bucket only the lowest counts, and only lower ones need a test there.
+    Of polygons with the same rings, and of those that fill a bucket, only the lowest counts, and only lower ones need a test there.
     """
-    own = materialise(covered(rings, size), "covered")
+    first = rings.join(alike(rings).filter("pid = shape").select("pid"), "pid", "left_semi")
+    own = materialise(covered(first, size), "covered")
     filled = own.filter("parts is null").groupBy("bx", "by").agg(F.min("pid").alias("filled"))
     lower = own.filter("parts is not null").join(filled, ["bx", "by"], "left").filter("filled is null or pid < filled").drop("filled")
     bucket = with_bucket(points.select("lon", "lat").distinct(), size)
@@ -132,7 +150,8 @@ def first_polygon(points: DataFrame, rings: DataFrame, size: float = 0.5) -> Dat
 
 def every_polygon(points: DataFrame, rings: DataFrame, size: float = 0.5) -> DataFrame:
     """points once for each polygon that holds them."""
-    return points.join(points_in_polygons(points, rings, size), ["lon", "lat"])
+    places, members = points_in_shapes(points, rings, size)
+    return points.join(places, ["lon", "lat"]).join(members, "shape").drop("shape")
 
 
 def polygons_within(points: DataFrame, rings: DataFrame, distance: float, size: float = 4.0) -> DataFrame:

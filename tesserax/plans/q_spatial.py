@@ -9,6 +9,7 @@ from tesserax.operators import catalogue as C
 from tesserax.operators import spatial as S
 from tesserax.operators import topology as T
 from tesserax.plans.views import Registry
+from tesserax.sources.scratch import materialise
 
 query = Registry()
 GRID = dict(west=112.0, north=-10.0, res=0.25, rows=140, cols=160)
@@ -123,13 +124,15 @@ def _(v):
     union all select o.rec_order, o.rec_line, 'grid:' || c.name from {{occurrences}} o join {{cells_cl3}} c on c.row = cast(floor((-10 - o.lat) / 0.25) as int) and c.col = cast(floor((o.lon - 112) / 0.25) as int)
     where not exists (select 1 from t where t.lon = o.lon and t.lat = o.lat)""")
 def _(v):
-    places = S.points_in_polygons(v.occurrences, S.triangles_to_rings(v.corners))
-    own = v.occurrences.select("rec_order", "rec_line", "lon", "lat")
-    found = own.join(places.select("lon", "lat", F.col("pid").cast("string").alias("pid")), ["lon", "lat"], "left")
+    places, members = S.points_in_shapes(v.occurrences, S.triangles_to_rings(v.corners))
+    places, own = materialise(places, "places"), v.occurrences.select("rec_order", "rec_line", "lon", "lat")
+    # records meet shapes first; a shape's polygons come last, so that no row of the result is shuffled
+    found = own.join(places, ["lon", "lat"]).join(members.select("shape", F.col("pid").cast("string").alias("pid")), "shape")
     # where no polygon holds the place, the class of its cell
     names = v.cells_cl3.select("value", "name").distinct()
-    none = S.sample_classes(found.filter("pid is null"), v.cells_cl3, names, "name", **GRID).filter("name is not null")
-    return found.filter("pid is not null").select("rec_order", "rec_line", "pid").unionByName(none.select("rec_order", "rec_line", F.concat(F.lit("grid:"), "name").alias("pid")))
+    outside = own.join(places.select("lon", "lat").distinct(), ["lon", "lat"], "left_anti")
+    none = S.sample_classes(outside, v.cells_cl3, names, "name", **GRID).filter("name is not null")
+    return found.select("rec_order", "rec_line", "pid").unionByName(none.select("rec_order", "rec_line", F.concat(F.lit("grid:"), "name").alias("pid")))
 
 
 @query("join9_objects_intersecting", "select a.pid as pid1, b.pid as pid2 from {areas} a join {areas2} b on a.minx < b.maxx and b.minx < a.maxx and a.miny < b.maxy and b.miny < a.maxy")
