@@ -265,8 +265,8 @@ def common_cells(a: DataFrame, b: DataFrame, la: Lattice, lb: Lattice) -> DataFr
 
 
 def layer_distance(a: DataFrame, b: DataFrame, la: Lattice, lb: Lattice) -> DataFrame:
-    """One row (distance): mean absolute difference of two grids' values, each min-max scaled by its own range, at the cells of the
-    finer grid in the common extent; null without one."""
+    """One row (distance): mean absolute difference of two grids' values, each min-max scaled by its own range (a grid of one value is 0
+    throughout), at the cells of the finer grid in the common extent; null without one."""
     own = lambda d: d.filter("value is not null").crossJoin(F.broadcast(d.agg(F.min("value").alias("lo"), F.max("value").alias("hi")))).select("row", "col", geo.min_max_scale("value", "lo", "hi").alias("value"))  # noqa: E731  one row
     return common_cells(own(a), own(b), la, lb).agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias("distance"))
 

@@ -344,6 +344,8 @@ def _(v):
 
 
 SCALED = "(select *, (value - min(value) over ()) / (max(value) over () - min(value) over ())::double as v from {{{0}}})"
+#: As the operator scales: a grid of one value is 0 throughout.
+SCALED_OR_0 = "(select *, case when max(value) over () > min(value) over () then (value - min(value) over ()) / (max(value) over () - min(value) over ())::double else 0 end as v from {{{0}}})"
 #: The views' grids; the coarse one has cells of 0.625 degrees and another extent, with edges inside the others' cells.
 FINE, COARSE = A.Lattice(112.0, -10.0, 0.25, 140, 160), A.Lattice(115.125, -12.75, 0.625, 40, 50)
 IN_COARSE = "b.row = least(floor((-12.75 - a.lat) / 0.625::double), 39) and b.col = least(floor((a.lon - 115.125) / 0.625::double), 49) and a.lon between 115.125 and 146.375 and a.lat between -37.75 and -12.75"
@@ -354,7 +356,7 @@ def _(v):
     return A.layer_distance(v.cells_el1, v.cells_el2, FINE, FINE).select(*r6("distance"))
 
 
-@query("agg30_unequal_lattices", f"""with f as (select avg(abs(a.v - b.v)) as d, count(*) as n from {SCALED.format('cells_el1')} a join {SCALED.format('cells_coarse')} b on {IN_COARSE})
+@query("agg30_unequal_lattices", f"""with f as (select avg(abs(a.v - b.v)) as d, count(*) as n from {SCALED_OR_0.format('cells_el1')} a join {SCALED_OR_0.format('cells_coarse')} b on {IN_COARSE})
     select 'fine first' as way, round(d, 6) as distance, n as cells from f union all select 'coarse first', round(d, 6), n from f""")
 def _(v):
     one = A.layer_distance(v.cells_el1, v.cells_coarse, FINE, COARSE).select(F.lit("fine first").alias("way"), *r6("distance"))
