@@ -83,7 +83,8 @@ def _(v):
     own = materialise(R.regions(R.envelope_cells(_layers(v), {"el1": (10, 50), "el2": (5, 40)}).withColumn("value", F.lit(1))), "regions")
     rings = R.region_rings(own, 112.0, -10.0, 0.25)
     shell = F.when(F.col("ring") == 0, 1).otherwise(-1)
-    outline = rings.agg(F.round(F.sum(shell * planar_area("xs", "ys")), 6).alias("area"), F.sum(F.size("xs") - 1).alias("corners"))
+    area = F.coalesce(F.sum(shell * planar_area("xs", "ys")), F.lit(0.0))  # no cell, no outline
+    outline = rings.agg(F.round(area, 6).alias("area"), F.sum(F.size("xs") - 1).alias("corners"))
     return own.agg(F.count("*").alias("cells")).join(outline).select("cells", "area", "corners")
 
 
