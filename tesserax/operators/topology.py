@@ -54,12 +54,14 @@ def _dealt(own: DataFrame, name: str, others: list[int]) -> DataFrame:
     return df.withColumn("bx", span("west", "east")).withColumn("by", span("south", "north")).withColumn(f"home_{name}", F.col("at") == F.col("level")).drop("level")
 
 
-def edge_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a, b): structs of all columns of two edge tables, for each two edges whose closed boxes meet, once."""
+def edge_pairs(a: DataFrame, b: DataFrame, same: list[str] | None = None) -> DataFrame:
+    """(a, b): structs of all columns of two edge tables, for each two edges whose closed boxes meet, once; only of equal columns `same`."""
     la, lb = materialise(_levels(a, "a"), "edges"), materialise(_levels(b, "b"), "edges")
     present = lambda d: sorted(r[0] for r in d.select("level").distinct().collect())  # noqa: E731  some thirty levels at most
     left, right = _dealt(la, "a", present(lb)), _dealt(lb, "b", present(la))
-    both = left.join(right, ["at", "bx", "by"]).filter("home_a or home_b")
+    keys = [f"same_{c}" for c in same or []]
+    keyed = lambda d, name: d.select("*", *(F.col(f"{name}.{c}").alias(f"same_{c}") for c in same or []))
+    both = keyed(left, "a").join(keyed(right, "b"), ["at", "bx", "by", *keys]).filter("home_a or home_b")
     p, q, size = _sides("a"), _sides("b"), BASE * F.pow(F.lit(2.0), F.col("at"))
     meet = (p["west"] <= q["east"]) & (q["west"] <= p["east"]) & (p["south"] <= q["north"]) & (q["south"] <= p["north"])
     first = (F.floor(F.greatest(p["west"], q["west"]) / size) == F.col("bx")) & (F.floor(F.greatest(p["south"], q["south"]) / size) == F.col("by"))
@@ -78,9 +80,9 @@ def _apart(e: str, f: str) -> Column:
     return F.signum(side(e, f, 1)) * F.signum(side(e, f, 2))
 
 
-def contacts(a: DataFrame, b: DataFrame) -> DataFrame:
+def contacts(a: DataFrame, b: DataFrame, same: list[str] | None = None) -> DataFrame:
     """(a, b, proper, along): edges of two tables that share a point; proper if both go on on both sides; along if on one line."""
-    found = edge_pairs(a, b).filter((_apart("a", "b") <= 0) & (_apart("b", "a") <= 0))
+    found = edge_pairs(a, b, same).filter((_apart("a", "b") <= 0) & (_apart("b", "a") <= 0))
     level = (side("a", "b", 1) == 0) & (side("a", "b", 2) == 0)
     return found.withColumns({"proper": (_apart("a", "b") < 0) & (_apart("b", "a") < 0), "along": level})
 
@@ -181,10 +183,11 @@ def invalid_polygons(rings: DataFrame, size: float = 0.5) -> DataFrame:
     last = lambda c: F.get(c, n - 1)
     closed = (F.get("xs", F.lit(0)) == last("xs")) & (F.get("ys", F.lit(0)) == last("ys"))
     turn = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.lit(0.0), lambda s, i: s + F.get("xs", i - 1) * F.get("ys", i) - F.get("xs", i) * F.get("ys", i - 1))
-    fault = F.when(n < 4, "short").when(~closed, "open").when(turn == 0, "flat")
-    single = rings.select("pid", F.when(F.coalesce(n, F.lit(0)) < 1, "short").otherwise(fault).alias("fault")).filter("fault is not null")
+    short, loose_ends = F.coalesce(n, F.lit(0)) < 4, (n > 0) & ~closed
+    faults = F.array(F.when(short, "short"), F.when(loose_ends, "open"), F.when(~short & ~loose_ends & (turn == 0), "flat"))
+    single = rings.select("pid", F.explode(F.array_compact(faults)).alias("fault"))
     edges = numbered_edges(rings).filter("x1 <> x2 or y1 <> y2")
-    met = contacts(edges, edges).filter("a.pid = b.pid and (a.part, a.ring, a.k) < (b.part, b.ring, b.k)")
+    met = contacts(edges, edges, ["pid"]).filter("(a.part, a.ring, a.k) < (b.part, b.ring, b.k)")
     ring = F.expr("a.part = b.part and a.ring = b.ring")
     beside = ring & (F.expr("b.k = a.k + 1 or (a.k = 0 and b.k = b.last)"))
     # edges along each other share more than an end if their boxes do
@@ -193,11 +196,15 @@ def invalid_polygons(rings: DataFrame, size: float = 0.5) -> DataFrame:
     crossed = met.select(F.col("a.pid").alias("pid"), crossing.alias("fault")).filter("fault is not null")
     # rings as polygons of their own: a hole must be in its part's outer ring only, an outer ring in none
     key = F.struct("pid", "part", "ring")
-    alone = rings.select(key.alias("pid"), F.lit(0).alias("part"), F.lit(0).alias("ring"), "xs", "ys")
+    # of a polygon of one ring there is nothing to find
+    several = rings.groupBy("pid").agg(F.count("*").alias("n")).filter("n > 1").select("pid")
+    alone = rings.join(several, "pid", "left_semi").select(key.alias("pid"), F.lit(0).alias("part"), F.lit(0).alias("ring"), "xs", "ys")
     on = met.filter(~ring).select(F.explode(F.array(*(F.struct(F.struct(*(F.col(f"{e}.{c}") for c in ("pid", "part", "ring"))).alias("r"), F.col(f"{e}.x1").alias("lon"), F.col(f"{e}.y1").alias("lat")) for e in ("a", "b")))).alias("o")).select("o.*")
     ends = edges.select(F.struct("pid", "part", "ring").alias("r"), F.col("x1").alias("lon"), F.col("y1").alias("lat"))
     free = ends.join(on.distinct(), ["r", "lon", "lat"], "left_anti").groupBy("r").agg(F.min(F.struct("lon", "lat")).alias("c")).select("r", "c.lon", "c.lat")
-    lies = free.join(points_in_polygons(free, alone, size).withColumnRenamed("pid", "o"), ["lon", "lat"]).filter("r.pid = o.pid and r <> o")
+    # by polygon as well as by bucket, so that polygons that lie over each other do not meet
+    buckets = covered(alone, size).withColumnRenamed("pid", "o").withColumn("own", F.col("o.pid"))
+    lies = with_bucket(free.withColumn("own", F.col("r.pid")), size).join(buckets, ["own", "bx", "by"]).filter("r <> o").filter(in_bucket("lon", "lat")).select("r", "o")
     home = lies.filter("r.ring > 0 and o.part = r.part and o.ring = 0").select("r")
     holes = free.filter("r.ring > 0").select("r")
     loose = holes.join(home, "r", "left_anti").select("r.pid", F.lit("loose").alias("fault"))
