@@ -111,6 +111,14 @@ def ring_area(xs, ys) -> Column:
     return F.when(world, 510e12).otherwise(F.when(F.size(xs) > 3, fan).otherwise(0.0) * RADIUS * RADIUS)
 
 
+def triangle_area(ax, ay, bx, by, cx, cy) -> Column:
+    """ring_area of the closed triangle, without its sign and without arrays or branches, so that Spark compiles it and works out each part once."""
+    world = F.lit(True)
+    for x, y in ((ax, ay), (bx, by), (cx, cy)):
+        world = world & (F.abs(_c(x)) > 174) & (F.abs(_c(y)) > 84)
+    return F.greatest(F.abs(triangle_excess(ax, ay, bx, by, cx, cy)) * RADIUS * RADIUS, world.cast("double") * 510e12)
+
+
 def box_area(minx, miny, maxx, maxy) -> Column:
     """Square metres of a box with great-circle sides: two spherical triangles."""
     return F.abs(triangle_excess(minx, miny, minx, maxy, maxx, maxy) + triangle_excess(minx, miny, maxx, maxy, maxx, miny)) * RADIUS * RADIUS

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from array import array
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserax.functions import geo
+from tesserax.operators.triangulation import delaunay, hull, triangulated  # noqa: F401
+from tesserax.sources.scratch import materialise
 
 
 def classify(cells: DataFrame, columns: list[str], groups: int, seed: int = 1) -> DataFrame:
@@ -48,23 +48,6 @@ def habitat(cells: DataFrame, presences: DataFrame, columns: list[str], category
     return model.transform(own).select("row", "col", vector_to_array("probability")[1].alias("score"), "test")
 
 
-def hull(points: np.ndarray) -> np.ndarray:
-    """Convex hull of (n, 2), anticlockwise, without the first point again."""
-    p = np.unique(points, axis=0)
-    if len(p) < 3:
-        return p
-
-    def half(q):
-        out: list = []
-        for z in q:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (z[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (z[0] - out[-2][0]) <= 0:
-                out.pop()
-            out.append(tuple(z))
-        return out[:-1]
-
-    return np.array(half(p) + half(p[::-1]))
-
-
 def extent_of_occurrence(occ: DataFrame) -> DataFrame:
     """(species, points, km2): convex hull of each species' points; under three points, or points on a line, 0.
 
@@ -104,132 +87,30 @@ def every_species(occ: DataFrame, found: DataFrame) -> DataFrame:
     return out.na.fill(0, [c for c in found.columns if c != "species"])
 
 
-def delaunay(p: np.ndarray) -> np.ndarray:
-    """(m, 3) vertex numbers of a Delaunay triangulation of distinct points, by divide and conquer over quad edges.
-
-    Coordinates become integers of one power of two, so that every test is exact: points on a line or on a circle need no shift, and
-    the order of points settles which of several triangulations it is.
-    """
-    order = np.lexsort((p[:, 1], p[:, 0]))
-    if len(p) < 3:
-        return np.zeros((0, 3), dtype=np.int64)
-    exact = [(x.as_integer_ratio(), y.as_integer_ratio()) for x, y in p[order].tolist()]
-    unit = max(max(x[1], y[1]) for x, y in exact)
-    xs, ys = ([z[k][0] * (unit // z[k][1]) for z in exact] for k in (0, 1))
-    org, nxt, prv = array("q"), array("q"), array("q")  # edge e starts at org[e]; e ^ 1 is its other direction
-    live = bytearray()
-
-    def edge(a: int, b: int) -> int:
-        e = len(org)
-        for x in (org, nxt, prv):
-            x.extend((a, b) if x is org else (e, e + 1))
-        live.append(1)
-        return e
-
-    def splice(a: int, b: int) -> None:
-        if a != b:
-            prv[nxt[a]], prv[nxt[b]] = b, a
-            nxt[a], nxt[b] = nxt[b], nxt[a]
-
-    def connect(a: int, b: int) -> int:
-        e = edge(org[a ^ 1], org[b])
-        splice(e, prv[a ^ 1])
-        splice(e ^ 1, b)
-        return e
-
-    def delete(e: int) -> None:
-        splice(e, prv[e])
-        splice(e ^ 1, prv[e ^ 1])
-        live[e >> 1] = 0
-
-    def side(k: int, e: int) -> int:
-        """Positive where point k is on one side of the edge, negative on the other."""
-        a, b, x, y = org[e], org[e ^ 1], xs[k], ys[k]
-        return (xs[a] - x) * (ys[b] - y) - (ys[a] - y) * (xs[b] - x)
-
-    def inside(a: int, b: int, c: int, d: int) -> bool:
-        x, y = xs[d], ys[d]
-        a1, a2, b1, b2, c1, c2 = xs[a] - x, ys[a] - y, xs[b] - x, ys[b] - y, xs[c] - x, ys[c] - y
-        return (a1 * a1 + a2 * a2) * (b1 * c2 - b2 * c1) + (b1 * b1 + b2 * b2) * (a2 * c1 - a1 * c2) + (c1 * c1 + c2 * c2) * (a1 * b2 - a2 * b1) < 0
-
-    def made(lo: int, hi: int) -> tuple[int, int]:
-        if hi - lo == 2:
-            a = edge(lo, lo + 1)
-            return a, a ^ 1
-        if hi - lo == 3:
-            a, b = edge(lo, lo + 1), edge(lo + 1, lo + 2)
-            splice(a ^ 1, b)
-            turn = side(lo + 2, a)
-            if turn == 0:
-                return a, b ^ 1
-            c = connect(b, a)
-            return (a, b ^ 1) if turn > 0 else (c ^ 1, c)
-        mid = (lo + hi + 1) // 2
-        (left_out, left), (right, right_out) = made(lo, mid), made(mid, hi)
-        while True:
-            if side(org[right], left) > 0:
-                left = nxt[left ^ 1]
-            elif side(org[left], right) < 0:
-                right = prv[right ^ 1]
-            else:
-                break
-        base = connect(left ^ 1, right)
-        left_out = base if org[left] == org[left_out] else left_out
-        right_out = base ^ 1 if org[right] == org[right_out] else right_out
-        while True:
-            r, q = nxt[base ^ 1], prv[base]
-            on_r, on_q = side(org[r ^ 1], base) > 0, side(org[q ^ 1], base) > 0
-            if not (on_r or on_q):
-                return left_out, right_out
-            if on_r:
-                while side(org[nxt[r] ^ 1], base) > 0 and inside(org[base ^ 1], org[base], org[r ^ 1], org[nxt[r] ^ 1]):
-                    t = nxt[r]
-                    delete(r)
-                    r = t
-            if on_q:
-                while side(org[prv[q] ^ 1], base) > 0 and inside(org[base ^ 1], org[base], org[q ^ 1], org[prv[q] ^ 1]):
-                    t = prv[q]
-                    delete(q)
-                    q = t
-            if not on_r or on_q and inside(org[r ^ 1], org[r], org[q], org[q ^ 1]):
-                base = connect(q, base ^ 1)
-            else:
-                base = connect(base ^ 1, r ^ 1)
-
-    made(0, len(p))
-    start, before = np.frombuffer(org, dtype=np.int64), np.frombuffer(prv, dtype=np.int64)
-    e = np.flatnonzero(np.repeat(np.frombuffer(live, dtype=np.uint8), 2))
-    second = before[e ^ 1]
-    third = before[second ^ 1]
-    t = np.column_stack([start[e], start[second], start[third]])
-    t = t[(before[third ^ 1] == e) & (t[:, 0] < t[:, 1]) & (t[:, 0] < t[:, 2])]
-    turns = [(xs[b] - xs[a]) * (ys[c] - ys[a]) - (ys[b] - ys[a]) * (xs[c] - xs[a]) for a, b, c in t.tolist()]
-    return order[t[np.array([x < 0 for x in turns], dtype=bool)][:, ::-1]]
+def kept_triangles(occ: DataFrame, alpha: float, edges: int) -> DataFrame:
+    """Rows of `triangulated` of the triangles of alpha_triangles. All are stored, since the mean edge comes before the test."""
+    points = placed(occ).select("species", (F.col("lon") + 0.0).alias("lon"), (F.col("lat") + 0.0).alias("lat")).distinct()
+    own = materialise(triangulated(points))
+    edge = lambda a, b: F.sqrt((F.col(f"x{a}") - F.col(f"x{b}")) * (F.col(f"x{a}") - F.col(f"x{b}")) + (F.col(f"y{a}") - F.col(f"y{b}")) * (F.col(f"y{a}") - F.col(f"y{b}")))
+    lengths = [edge(1, 2), edge(2, 3), edge(3, 1)]
+    # an edge is of two triangles, or of one and of those around all
+    twice, ends = F.coalesce(sum(lengths[1:], lengths[0]), F.col("x1")), F.when(F.col("x3").isNull(), F.col("y1")).otherwise(3.0)
+    mean = own.groupBy(F.col("species").alias("_s")).agg((F.sum(twice) / F.sum(ends)).alias("mean"))
+    kept = own.filter("x3 is not null").join(F.broadcast(mean), F.col("species").eqNullSafe(F.col("_s")))
+    return kept.filter(F.greatest(*lengths[:edges], F.lit(0.0)) <= F.col("mean") * alpha)
 
 
 def alpha_triangles(occ: DataFrame, alpha: float = 2.0, edges: int = 3) -> DataFrame:
     """(species, xs, ys): the closed triangles of a Delaunay triangulation of a species' distinct points of which the first
-    `edges` edges (3: all) are at most alpha times as long as the mean edge. A species' points are one task's work."""
-
-    def run(key, pdf):
-        p = np.unique(pdf[["lon", "lat"]].to_numpy(dtype=float) + 0.0, axis=0)
-        n = delaunay(p)
-        if not len(n):
-            return pd.DataFrame(columns=["species", "xs", "ys"], dtype=object)
-        t = p[n]
-        pairs = np.unique(np.sort(n[:, [0, 1, 1, 2, 2, 0]].reshape(-1, 2), axis=1), axis=0)
-        mean = np.sqrt(((p[pairs[:, 0]] - p[pairs[:, 1]]) ** 2).sum(axis=1)).mean()
-        length = np.sqrt(((np.roll(t, -1, axis=1) - t) ** 2).sum(axis=2))
-        t = t[(length[:, :edges] <= mean * alpha).all(axis=1)][:, [0, 1, 2, 0]]
-        return pd.DataFrame({"species": [key[0]] * len(t), "xs": t[:, :, 0].tolist(), "ys": t[:, :, 1].tolist()}, dtype=object)
-
-    return placed(occ).distinct().groupBy("species").applyInPandas(run, "species string, xs array<double>, ys array<double>")
+    `edges` edges (3: all) are at most alpha times as long as the mean edge. Points on one circle are all joined with the least of them."""
+    return kept_triangles(occ, alpha, edges).select("species", F.array("x1", "x2", "x3", "x1").alias("xs"), F.array("y1", "y2", "y3", "y1").alias("ys"))
 
 
 def alpha_hull(occ: DataFrame, alpha: float = 2.0, edges: int = 3) -> DataFrame:
     """(species, triangles, km2): number and area on the sphere of alpha_triangles, which make up the hull. Rows without a
     coordinate are left out; a species without a triangle has 0."""
-    found = alpha_triangles(occ, alpha, edges).groupBy("species").agg(F.count("*").alias("triangles"), F.sum(F.abs(geo.ring_area("xs", "ys")) / 1e6).alias("km2"))
+    km2 = geo.triangle_area("x1", "y1", "x2", "y2", "x3", "y3") / 1e6
+    found = kept_triangles(occ, alpha, edges).groupBy("species").agg(F.count("*").alias("triangles"), F.sum(km2).alias("km2"))
     return every_species(occ, found)
 
 
