@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tesserax.functions import geo
 from tesserax.operators.triangulation import delaunay, hull, triangulated  # noqa: F401
-from tesserax.sources.scratch import materialise
 
 
 def classify(cells: DataFrame, columns: list[str], groups: int, seed: int = 1) -> DataFrame:
@@ -88,9 +87,9 @@ def every_species(occ: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def kept_triangles(occ: DataFrame, alpha: float, edges: int) -> DataFrame:
-    """Rows of `triangulated` of the triangles of alpha_triangles. All are stored, since the mean edge comes before the test."""
+    """Rows of `triangulated` of the triangles of alpha_triangles. The mean edge of all comes before the test."""
     points = placed(occ).select("species", (F.col("lon") + 0.0).alias("lon"), (F.col("lat") + 0.0).alias("lat")).distinct()
-    own = materialise(triangulated(points))
+    own = triangulated(points)
     edge = lambda a, b: F.sqrt((F.col(f"x{a}") - F.col(f"x{b}")) * (F.col(f"x{a}") - F.col(f"x{b}")) + (F.col(f"y{a}") - F.col(f"y{b}")) * (F.col(f"y{a}") - F.col(f"y{b}")))
     lengths = [edge(1, 2), edge(2, 3), edge(3, 1)]
     # an edge is of two triangles, or of one and of those around all

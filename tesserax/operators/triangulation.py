@@ -332,7 +332,7 @@ def settle_rest(key: tuple[pa.Scalar, ...], points: pa.Table) -> pa.Table:
 
 
 def triangulated(points: DataFrame, few: int = 4000, cell: int = 80_000) -> DataFrame:
-    """ROWS of a Delaunay triangulation of each species' distinct points (species, lon, lat): its triangles, anticlockwise with the least
+    """Stored ROWS of a Delaunay triangulation of each species' distinct points (species, lon, lat): its triangles, anticlockwise with the least
     point last, and a row whose x1 and y1 are the length and number of the edges around them, with `open` set.
 
     A species' square is cut into cells of about `cell` points. There the stars of points are found whose circles are small against the
@@ -379,7 +379,7 @@ def triangulated(points: DataFrame, few: int = 4000, cell: int = 80_000) -> Data
     ends = last[0]
     for x in last[1:]:
         ends = ends.unionByName(x)
-    out = ends.repartition(tasks, "species").groupBy("species").applyInArrow(settle_rest, ROWS)
+    out = materialise(ends.repartition(tasks, "species").groupBy("species").applyInArrow(settle_rest, ROWS))
     for x in found:
         out = out.unionByName(x)
     return out

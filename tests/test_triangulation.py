@@ -43,7 +43,7 @@ def test_no_task_has_all_points(spark, monkeypatch):
     monkeypatch.setattr(T, "materialise", lambda df: stored.append(keep(df)) or stored[-1])
     out = T.triangulated(points, few=500, cell=8000)
     assert isinstance(out, DataFrame) and out.filter("x3 is not null").count() == len(T.delaunay(p))
-    left = [x.filter("x3 is null").count() for x in stored if "x3" in x.columns]
+    left = [x.filter("x3 is null").count() for x in stored if "x3" in x.columns][:-1]  # the last table is the last task's
     assert len(left) > 1 and left[0] < 6000 and left[-1] < 3000
 
 
