@@ -5,9 +5,9 @@
    Documents send their anchors' codes to shards by hash; a shard tells each bucket of documents which codes are shared.
 2. Buckets cut the places under shared anchors out of their texts, once for equal places, and send them to shards by code.
    A code in over HOT documents is split: each of its windows goes by the window's own hash, so no shard gathers it.
-3. A shard joins its distinct places to one text, builds the suffix array by induced sorting and from it the common
-   prefixes; windows equal over LENGTH bytes form classes, each with its smallest doc_id. Runs of windows with a smaller
-   one go back to their bucket as spans.
+3. A shard joins those windows of its distinct places whose hash comes again to one text, builds the suffix array by
+   induced sorting and from it the common prefixes; windows equal over LENGTH bytes form classes, each with its smallest
+   doc_id. Runs of windows with a smaller one go back to their bucket as spans.
 4. Buckets unite the spans, remove them and hash what is left.
 
 Rows between steps are packed arrays (zstandard), one for each bucket and shard. Buckets and shards grow in number with
@@ -32,8 +32,8 @@ LENGTH, ANCHOR = 50, 16
 BUCKET_BYTES, SHARD_BYTES = 8_000_000, 6_000_000
 #: Documents with a code from which on its windows are dealt one by one.
 HOT = 10_000
-#: Bytes worked on at once in a bucket.
-SLICE = 2_000_000
+#: Bytes worked on at once in a bucket, and windows whose anchors are sought at once: few enough for a processor's cache.
+SLICE, CHUNK = 2_000_000, 1 << 16
 NULL_ID = 2**63 - 1
 
 
@@ -50,36 +50,58 @@ def _unpack(data: bytes, *types) -> list[np.ndarray]:
     return [np.frombuffer(data, t, n // np.dtype(t).itemsize, e - n) for t, n, e in zip(types, sizes.tolist(), ends.tolist(), strict=True)]
 
 
+_ODD = 0x7FB5D329728EA185
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(_ODD)
     return h ^ (h >> np.uint64(27))
 
 
+def _two_bytes() -> np.ndarray:
+    """The hash of each two bytes, by 256 times the first and the second."""
+    one = _mixed(np.arange(1, 257, dtype=np.uint64))
+    return _mixed((one * np.uint64(_FACTOR))[:, None] + one).ravel()
+
+
+_FACTOR = 0x9E3779B97F4A7C15 + 2
+_TWO = _two_bytes()
+_LOW = np.uint64(0xFFFFFFFF)
+
+
 def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, first window, windows, code): runs of windows under one anchor, in documents raw[offsets[k]:offsets[k + 1]]."""
     none = np.zeros(0, dtype=np.int64)
-    if len(raw) < LENGTH:
+    n = len(raw) - LENGTH + 1
+    if n < 1:
         return none, none, none, none.astype(np.uint64)
-    h, k = _mixed(raw.astype(np.uint64) + np.uint64(1)), 1
-    while k < ANCHOR:
-        h = _mixed(h[:-k] * np.uint64(0x9E3779B97F4A7C15 + 2 * k) + h[k:])
-        k *= 2
-    least = (h >> np.uint64(32) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
-    choices, k = LENGTH - ANCHOR + 1, 1
-    while 2 * k <= choices:
-        least = np.minimum(least[:-k], least[k:])
-        k *= 2
-    if choices > k:
-        least = np.minimum(least[: k - choices], least[choices - k :])
-    valid = np.ones(len(least), dtype=bool)
+    anchor, h = np.empty(n, dtype=np.int32), np.empty(len(raw) - ANCHOR + 1, dtype=np.uint64)
+    numbers, choices = np.arange(CHUNK + LENGTH, dtype=np.uint64), LENGTH - ANCHOR + 1
+    for a in range(0, n, CHUNK):
+        b = min(n, a + CHUNK)
+        part = raw[a : b + LENGTH - 1]
+        x, k = _TWO[(part[:-1].astype(np.uint16) << 8) | part[1:]], 2
+        while k < ANCHOR:
+            y = x[:-k] * np.uint64(_FACTOR - 2 + 2 * k)
+            y += x[k:]
+            y ^= y >> np.uint64(31)
+            y *= np.uint64(_ODD)
+            y ^= y >> np.uint64(27)
+            x, k = y, 2 * k
+        h[a : a + len(x)] = x
+        least, k = (x & ~_LOW) | numbers[: len(x)], 1
+        while 2 * k <= choices:
+            least = np.minimum(least[:-k], least[k:])
+            k *= 2
+        if choices > k:
+            least = np.minimum(least[: k - choices], least[choices - k :])
+        anchor[a:b] = (least & _LOW).astype(np.int32) + np.int32(a)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        valid[max(a, b - LENGTH + 1) : b] = False
-    at = np.flatnonzero(valid)
-    anchor = (least[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]) if len(at) else none
-    runs = np.diff(np.r_[first, len(at)])
-    start = at[first]
-    return np.searchsorted(offsets, start, side="right") - 1, start, runs, h[anchor[first]]
+        anchor[max(a, b - LENGTH + 1) : b] = -1  # so documents' windows never touch
+    start = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+    runs, anchor = np.diff(np.r_[start, n]), anchor[start]
+    start, runs, anchor = (x[anchor >= 0] for x in (start, runs, anchor))
+    return np.searchsorted(offsets, start, side="right") - 1, start, runs, h[anchor]
 
 
 def _shard_and_code(h: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -235,6 +257,25 @@ def least_documents(raw: np.ndarray, size: np.ndarray, least: np.ndarray) -> np.
     return out
 
 
+def found_again(hashes: Substrings, begin: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first window in it, windows): runs of windows whose hash another window has too, in places with so many windows from
+    `begin` on. Equal windows have equal hashes, so every other window is in one place only."""
+    at = np.repeat(begin - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
+    h = hashes(at, at + LENGTH)
+    order = np.argsort(h)
+    h = h[order]
+    same = h[1:] == h[:-1]
+    again = np.zeros(len(h), dtype=bool)
+    again[order[np.r_[False, same] | np.r_[same, False]]] = True
+    first = np.cumsum(runs) - runs
+    breaks = np.zeros(len(h), dtype=bool)
+    breaks[first] = True
+    number = np.flatnonzero(again & (breaks | ~np.r_[False, again[:-1]]))
+    stop = np.flatnonzero(again & (np.r_[breaks[1:], True] | ~np.r_[again[1:], False]))
+    place = np.searchsorted(first, number, side="right") - 1
+    return place, number - first[place], stop + 1 - number
+
+
 def _spans():
     """Step 3 in a shard: (bucket, data) with the spans of windows that a smaller document has."""
 
@@ -244,7 +285,8 @@ def _spans():
         size, n = size.astype(np.int64), n.astype(np.int64)
         bucket = np.repeat(np.array(t.column("bucket").to_pylist(), dtype=np.int64), [len(p[4]) for p in parts])
         begin = np.cumsum(size) - size
-        digest = np.concatenate([Substrings(p[3])(np.cumsum(n) - n, np.cumsum(n)) for p in parts for n in (p[1].astype(np.int64),)])
+        hashes = Substrings(raw)
+        digest = hashes(begin, begin + size)
         # equal places of several buckets are one
         order = np.lexsort((digest, key))
         new = np.r_[True, (key[order][1:] != key[order][:-1]) | (digest[order][1:] != digest[order][:-1])]
@@ -260,10 +302,15 @@ def _spans():
         _, which, count = np.unique(key, return_inverse=True, return_counts=True)
         some = np.flatnonzero(count[which] > 1)
         if len(some):
-            take = np.repeat(begin[pick][some] - (np.cumsum(size[some]) - size[some]), size[some]) + np.arange(size[some].sum())
+            # only windows that come again are sorted, in the parts of places that hold them
+            owner, inside, n_windows = found_again(hashes, begin[pick][some], runs[some])
+            part, at = n_windows + LENGTH - 1, begin[pick][some][owner] + inside
+            take = np.repeat(at - (np.cumsum(part) - part), part) + np.arange(part.sum())
             first = np.cumsum(runs) - runs
-            where = np.repeat(first[some] - (np.cumsum(runs[some]) - runs[some]), runs[some]) + np.arange(runs[some].sum())
-            low[where] = least_documents(raw[take], size[some], least[some])
+            where = first[some][owner] + inside
+            where = np.repeat(where - (np.cumsum(n_windows) - n_windows), n_windows) + np.arange(n_windows.sum())
+            if len(part):
+                low[where] = least_documents(raw[take], part, least[some][owner])
         # documents after a place's first lose all of it; the first, runs of windows that others have earlier
         later = doc > least[of]
         b, r, s, e = [bucket[later]], [row[later]], [start[later]], [start[later] + size[of[later]]]

@@ -43,9 +43,11 @@ class Substrings:
 
     def __init__(self, text: np.ndarray):
         self.total = np.zeros(len(text) + 1, dtype=np.uint64)
-        for at in range(0, len(text), _CHUNK):
-            end = min(len(text), at + _CHUNK)
-            part = _RANDOM[text[at:end]] * _powers(_LOW, np.arange(at, end))
+        low, high = _LOW
+        for at in range(0, len(text), len(low)):
+            end = min(len(text), at + len(low))
+            part = _RANDOM[text[at:end]] * low[: end - at]
+            part *= high[at >> 16]
             part[:1] += self.total[at : at + 1]  # arrays wrap without a warning
             np.cumsum(part, out=self.total[at + 1 : end + 1])
 
