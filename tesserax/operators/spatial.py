@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from tesserax.functions import geo
 from tesserax.sources.scratch import materialise
 
+#: Polygons in a list of those of one shape, about.
+MEMBERS = 4096
+
 
 def boxes_to_rings(boxes: DataFrame, part: int = 0) -> DataFrame:
     """rings of boxes(pid, [ring], minx, miny, maxx, maxy)."""
@@ -127,6 +130,14 @@ def points_in_shapes(points: DataFrame, rings: DataFrame, size: float = 0.5) ->
     return own.join(covered(first, size), ["bx", "by"]).filter(in_bucket("lon", "lat")).select("lon", "lat", F.col("pid").alias("shape")), members
 
 
+def member_lists(members: DataFrame, most: int = MEMBERS) -> DataFrame:
+    """(shape, pids): the pids of each shape as text, in lists of about `most`, so that a join makes a row a list, not a row a pid."""
+    lists = members.groupBy("shape").agg(F.ceil(F.count("*") / most).alias("lists"))
+    dealt = members.join(lists, "shape").withColumn("list", F.pmod(F.xxhash64("pid"), F.col("lists")))
+    found = dealt.groupBy("shape", "list").agg(F.collect_list(F.struct(F.col("pid").cast("string").alias("pid"))).alias("m"))
+    return materialise(found.select("shape", F.col("m.pid").alias("pids")), "lists")
+
+
 def points_in_polygons(points: DataFrame, rings: DataFrame, size: float = 0.5) -> DataFrame:
     """(lon, lat, pid) for every distinct point and each polygon that holds it. Polygons of the same rings are tested once."""
     places, members = points_in_shapes(points, rings, size)

@@ -125,14 +125,14 @@ def _(v):
     where not exists (select 1 from t where t.lon = o.lon and t.lat = o.lat)""")
 def _(v):
     places, members = S.points_in_shapes(v.occurrences, S.triangles_to_rings(v.corners))
-    places, own = materialise(places, "places"), v.occurrences.select("rec_order", "rec_line", "lon", "lat")
-    # records meet shapes first; a shape's polygons come last, so that no row of the result is shuffled
-    found = own.join(places, ["lon", "lat"]).join(members.select("shape", F.col("pid").cast("string").alias("pid")), "shape")
+    places, own, pids = materialise(places, "places"), v.occurrences.select("rec_order", "rec_line", "lon", "lat"), S.member_lists(members)
+    # records meet shapes first; a shape's polygons come last, as lists, so that no row of the result is shuffled or joined
+    found = own.join(places, ["lon", "lat"]).join(pids, "shape").select("rec_order", "rec_line", F.explode("pids").alias("pid"))
     # where no polygon holds the place, the class of its cell
     names = v.cells_cl3.select("value", "name").distinct()
     outside = own.join(places.select("lon", "lat").distinct(), ["lon", "lat"], "left_anti")
     none = S.sample_classes(outside, v.cells_cl3, names, "name", **GRID).filter("name is not null")
-    return found.select("rec_order", "rec_line", "pid").unionByName(none.select("rec_order", "rec_line", F.concat(F.lit("grid:"), "name").alias("pid")))
+    return found.unionByName(none.select("rec_order", "rec_line", F.concat(F.lit("grid:"), "name").alias("pid")))
 
 
 @query("join9_objects_intersecting", "select a.pid as pid1, b.pid as pid2 from {areas} a join {areas2} b on a.minx < b.maxx and b.minx < a.maxx and a.miny < b.maxy and b.miny < a.maxy")
